@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     return (
@@ -34,8 +37,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
+        shared = _own[0]
     return f"{shared.rstrip('/')}/quillon/{spark.sparkContext.applicationId}"
 
 
