@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import line_dedup, mixing, quality_rules
+from quillon.llm import line_dedup, mixing, quality_rules, secret_scan
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
