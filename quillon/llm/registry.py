@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import line_dedup, mixing, quality_rules, secret_scan
+from quillon.llm import language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL = {
