@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan
+from quillon.llm import decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_quality_rules": quality_rules.op5_quality_rules,
