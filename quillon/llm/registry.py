@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan
+import corpus_pipeline
+from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
@@ -10,8 +11,10 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
