@@ -178,9 +178,9 @@ def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
     """(node, root, links): of each task's nodes the local root and the number of documents linked there."""
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     some = roots.join(sizes, "root").join(nodes.select("node", "copies", *ROW), "node")
-    some = materialise(some, "candidates")
+    some = materialise(some, "candidates")  # as many as the corpus has near copies: no bound, so no broadcast at any size
     texts = with_row_key(docs.select("doc_id", "text"))
-    rows = texts.join(some, ROW).select("root", "n", "node", "copies", token_hashes(F.col("text")).alias("t"))
+    rows = texts.join(some.hint("merge"), ROW).select("root", "n", "node", "copies", token_hashes(F.col("text")).alias("t"))
     rows = _dealt(rows, "root", "n", CHUNK).select("__g", "node", "copies", "side", "same", "t").repartition("__g").sortWithinPartitions("__g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
