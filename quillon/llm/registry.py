@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan
+from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
