@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan
+from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_secret_scan": secret_scan.op10_secret_scan,
