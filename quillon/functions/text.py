@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it, with the four information separators.
 SPACES = "[\\s\\x1c-\\x1f\\x85\\p{Z}]+"
@@ -112,7 +113,7 @@ def answer_of_target(target: Column) -> Column:
 
 
 # -- factoids ------------------------------------------------------------------------------------------------------------
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility decomposition without combining marks; the one step that Spark has no function for."""
     for s in parts:
