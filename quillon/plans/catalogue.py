@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import audit, corpus, evaluation, quality, retrieval, splits, statistics, training
+from quillon.operators import analysis, audit, corpus, evaluation, quality, retrieval, splits, statistics, training
 from quillon.plans.fixtures import EX, GOLD, KNN, PRED, QUERIES as Q_SQL, corpus as passages, examples, gold, predictions, queries, retrieved, retrieved_text, sql_words, with_passages
 from quillon.session import materialise, table
 
@@ -484,6 +484,28 @@ def main_table(spark, d):
     return acc.select("model", *statistics.RETRIEVALS)
 
 
+@query(
+    "citation_support",
+    f"""with {EX}, {PASSAGES}, s as (select question_id, unnest(string_split_regex(generated_reasoning, '[.!?]\\s+')) as sentence from ex where generated_reasoning is not null),
+    c as (select question_id, sentence, unnest(list_distinct(regexp_extract_all(sentence, 'P([1-5])([^0-9]|$)', 1)))::int as position from s),
+    w as (select c.question_id, {sql_words("lower(regexp_replace(sentence, '" + "[[]?P[1-5](, P[1-5])*[]]?" + "', '', 'g'))")} as s, list_distinct({sql_words("lower(ts[position])")}) as p from c join pt on pt.question_id = c.question_id)
+    select question_id, count(*) as n_citations, count_if(len(list_filter(s, lambda x: list_contains(p, x))) >= {analysis.SUPPORT}::double * len(s) and len(s) > 0)::bigint as n_supported from w group by question_id""",
+)
+def citation_support(spark, d):
+    return analysis.citation_support(with_passages(examples(spark, d).where("generated_reasoning is not null"), spark, d))
+
+
+@query("stratified_accuracy", f"with {PRED} select model, retrieval, lang as stratum, count(*) as n, round(avg({OK}), 6) as accuracy from pred join documents on doc_id = example_id group by model, retrieval, lang")
+def stratified_accuracy(spark, d):
+    return analysis.stratified(predictions(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("example_id"), F.col("lang").alias("stratum")), "model", "retrieval")
+
+
+@query("synthetic_filter_drops", rf"""with {EX}, r as (select case when floor(len({sql_words("generated_reasoning")}) * 1.3::double) < 50 then 'too_short' when not regexp_matches(coalesce(generated_reasoning, ''), '\[P[1-5]\]') then 'no_citation'
+    when not coalesce(lower(generated_answer) = lower(gold_answer), false) then 'label_mismatch' end as reason from ex) select reason, count(*) as n from r where reason is not null group by reason""")
+def synthetic_filter_drops(spark, d):
+    return analysis.synthetic_filter(examples(spark, d))[1]
+
+
 @query("event_windows", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def event_windows(spark, d):
     from quillon.streaming.progress import event_counts
