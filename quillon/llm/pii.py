@@ -28,8 +28,10 @@ from quillon.llm.spans import joined, of_kind, span_rows
 from quillon.session import table
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# a match that begins inside a run of digits would begin at its start too; saying so keeps long runs linear
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -48,10 +50,18 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the base, by kind and then start."""
     out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+    at, free = text.find("@"), 0
+    while at >= 0:  # from sign to sign, so that a long run of letters is read once
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append(("email", start, m.end()))
+            free = m.end()
+        at = text.find("@", max(at + 1, free))
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m.group().replace(" ", "").replace("-", "")
