@@ -49,3 +49,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the scratch folder; call it when its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
