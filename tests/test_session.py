@@ -4,7 +4,7 @@ from quillon.session import clear_scratch, materialise, scratch_dir
 def test_materialise_and_clear(spark):
     df = materialise(spark.range(5).selectExpr("id", "cast(null as string) as s"), "t")
     assert df.count() == 5 and df.schema["s"].dataType.simpleString() == "string"
-    assert scratch_dir(spark).startswith("file:")
+    assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir", "file:"))
     empty = materialise(spark.createDataFrame([], "a int"), "e")
     assert empty.count() == 0
     clear_scratch(spark)
