@@ -75,18 +75,38 @@ def with_text(retrieved: DataFrame, corpus: DataFrame) -> DataFrame:
     return retrieved.join(c, "pid", "left").withColumns({x: F.coalesce(x, F.lit("")) for x in ("text", "source")})
 
 
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(words(F.lower(text)))
+
+
+def word_share(query: Column, passage: Column) -> Column:
+    """The share of the query's distinct words that the passage has; both are arrays of distinct words."""
+    return F.round(F.size(F.array_intersect(query, passage)) / F.greatest(F.size(query), F.lit(1)), DIGITS)
+
+
 def lexical_score(query: Column, text: Column) -> Column:
-    """The share of the query's distinct words that the passage has: the scorer where no model is given."""
-    q, t = F.array_distinct(words(F.lower(query))), F.array_distinct(words(F.lower(text)))
-    return F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)), DIGITS)
+    """The scorer of two texts where no model is given."""
+    return word_share(distinct_words(query), distinct_words(text))
 
 
 def rerank(retrieved: DataFrame, queries: DataFrame, k: int = 5, score=lexical_score) -> DataFrame:
     """Scores (qid, pid, rank, score, text) against ``queries`` (qid, question), best k; ties keep the dense order."""
     rows = retrieved.join(queries.select("qid", "question"), "qid").withColumn("rerank_score", score(F.col("question"), F.col("text")))
+    return _by_rerank_score(rows.drop("question"), k)
+
+
+def _by_rerank_score(rows: DataFrame, k: int) -> DataFrame:
     rows = rows.withColumnsRenamed({"score": "dense_score", "rank": "dense_rank"})
     w = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "dense_rank")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("question")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def lexical_rerank(retrieved: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """``rerank`` by ``lexical_score``, with the words of each text taken once and not once a pair."""
+    q = queries.select("qid", distinct_words(F.col("question")).alias("__q"))
+    p = corpus.select(F.col("id").alias("pid"), distinct_words(F.col("text")).alias("__p"))
+    rows = retrieved.join(p, "pid", "left").join(q, "qid").withColumn("rerank_score", word_share(F.col("__q"), F.coalesce("__p", F.array().cast("array<string>"))))
+    return _by_rerank_score(rows.drop("__q", "__p"), k)
 
 
 def oracle(gold: DataFrame, corpus_ids: DataFrame, retrieved: DataFrame, k: int = 5, compat: bool = False) -> DataFrame:

@@ -52,7 +52,7 @@ RERANK = f"""{Q_SQL}, {KNN}, rr as (select *, row_number() over (partition by qi
 
 
 def _reranked(spark, d, k=5):
-    return retrieval.rerank(retrieved_text(spark, d), queries(spark, d), k)
+    return retrieval.lexical_rerank(retrieved(spark, d), queries(spark, d), passages(spark, d), k)
 
 
 @query("rerank_top5", f"with {RERANK} select qid, pid, rank, dense_rank, dense_score, rerank_score from rr where rank <= 5")

@@ -53,6 +53,8 @@ def test_rerank_keeps_order_in_ties(spark):
     rows = spark.createDataFrame([(1, f"p{i}", i + 1, 1.0 - i / 10, t) for i, t in enumerate(["none", "alpha beta", "none", "alpha", "alpha beta x"])], "qid int, pid string, rank int, score double, text string")
     got = retrieval.rerank(rows, spark.createDataFrame([(1, "Alpha beta")], "qid int, question string"), 4).orderBy("rank").collect()
     assert [r["pid"] for r in got] == ["p1", "p4", "p3", "p0"]
+    once = retrieval.lexical_rerank(rows.drop("text"), spark.createDataFrame([(1, "Alpha beta")], "qid int, question string"), rows.select(F.col("pid").alias("id"), "text"), 4).orderBy("rank").collect()
+    assert [r["pid"] for r in once] == ["p1", "p4", "p3", "p0"]
 
 
 def test_oracle(spark):
