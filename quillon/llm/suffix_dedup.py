@@ -4,8 +4,9 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 it fifty times over, so, as in prefix-doubling string sorting, a first exchange of hashes finds the suffixes that have no partner:
 
 1. Each 50-byte window is represented by its anchor, the 16-byte string in it with the least hash (leftmost of equals). Equal windows
-   have equal anchors at equal places, so only windows can be equal of which the anchor occurs in two different texts. The anchors'
-   hashes are dealt by hash and sorted; an anchor that is known as repeated inside a batch goes as one row a batch, so hot ones stay small.
+   have equal anchors at equal places, and 17 equal bytes before the anchor or behind it, so only windows can be equal of which the anchor
+   with one of its sides occurs in two different texts. The anchors' hashes are dealt by hash and sorted; of equal ones in a batch
+   the first goes, so hot ones stay small.
 2. The suffixes at repeated anchors are cut behind their last window, sorted within a batch and front-coded (length of the prefix
    shared with the suffix before, and the rest), as one run a batch and partition. Of equal pieces in a batch only those of the least
    doc_id travel; the others are decided there.
@@ -39,6 +40,7 @@ from quillon.session import materialise, table
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # anchors that a window may have
+SIDE = (LENGTH - GRAM) // 2  # a window has so many bytes before its anchor, or behind it
 ID = ["id", "th"]
 
 
@@ -67,11 +69,38 @@ def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
+def _beside(h: np.ndarray, at: np.ndarray, th: int) -> np.ndarray:
+    """For each anchor two 32-bit hashes in one number: of the SIDE bytes before it and of those behind it.
+
+    A window holds LENGTH - GRAM bytes beside its anchor, so all SIDE bytes of one side at least; a side that the text cuts short
+    can't be whole in a window, and gets a number of its own."""
+    factor, own = np.uint64(0x9E3779B97F4A7C15), mixed(at.astype(np.uint64) * np.uint64(2) + np.uint64(th & 0xFFFFFFFFFFFFFFFF))
+    left, right = np.maximum(at - SIDE, 0), np.minimum(at + SIDE, len(h) - 1)
+    l = np.where(at >= SIDE, mixed(h[left] * factor + h[np.minimum(left + SIDE - GRAM, len(h) - 1)]), own)
+    r = np.where(at + SIDE < len(h), mixed(h[right - SIDE + GRAM] * factor + h[right]), own + np.uint64(1))
+    return ((l >> np.uint64(32)) << np.uint64(32) | r >> np.uint64(32)).view(np.int64)
+
+
+def _shared(h: np.ndarray, side: np.ndarray, th: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a row shares (h, side) with another text, or with a row of which that is ``known``; whether it is the first of its (h, side))."""
+    order = np.lexsort((th, side, h))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (side[order][1:] != side[order][:-1])]
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, len(h)])
+    t = th[order]
+    many = (t[start] != t[start + size - 1]) | (np.maximum.reduceat(known[order], start) > 0)
+    out, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    out[order], first[order] = np.repeat(many, size), new
+    return out, first
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], local: bool) -> Iterator[pa.RecordBatch]:
-    """(h, th, pos, flag) of the distinct anchors of each text. ``local``: those that two texts of the batch have; else
-    the others (flag 0) and one row for each of the former (flag 1)."""
+    """(h, sides, th, pos * 4 + flags) of the distinct anchors of each text; the flags say on which sides another text of the batch is equal.
+
+    ``local``: the rows with a flag, which are decided. Else, for the exchange, the rows without a flag, and of those with one the first of
+    each anchor with its left and with its right side: the inside of a hot passage gives a few rows a batch."""
     for b in batches:
-        hashes, texts, places, seen = [], [], [], set()
+        hashes, besides, texts, places, seen = [], [], [], [], set()
         for th, value in zip(b.column(0).to_pylist(), b.column(1)):
             if th in seen:
                 continue
@@ -80,41 +109,36 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], local: bool) -> Iterator[pa.
             if len(at):
                 at = np.unique(at)
                 hashes.append(h[at].view(np.int64))
+                besides.append(_beside(h, at, th))
                 places.append(at)
                 texts.append(np.full(len(at), th, np.int64))
         if not hashes:
             continue
-        h, th, pos = np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
-        order = np.lexsort((th, h))
-        h, th, pos = h[order], th[order], pos[order]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        many = th[start] != th[np.r_[start[1:], len(h)] - 1]
-        inside = np.repeat(many, np.diff(np.r_[start, len(h)]))
-        if local:
-            keep, flag = np.flatnonzero(inside), 1
-        else:
-            keep = np.sort(np.concatenate([np.flatnonzero(~inside), start[many]]))
-            flag = inside[keep].astype(np.int32)
-        flags = np.full(len(keep), flag, np.int32) if local else flag
+        h, side, th, pos = (np.concatenate(x) for x in (hashes, besides, texts, places))
+        none = np.zeros(len(h), np.int64)
+        left, first_left = _shared(h, side >> 32, th, none)
+        right, first_right = _shared(h, side & 0xFFFFFFFF, th, none)
+        flags = left + 2 * right
+        keep = np.flatnonzero(flags) if local else np.flatnonzero((flags == 0) | first_left | first_right)
         for a in range(0, len(keep), 65536):
             k = keep[a : a + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(th[k]), pa.array(pos[k].astype(np.int32)), pa.array(flags[a : a + 65536])], names=["h", "th", "pos", "flag"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(side[k]), pa.array(th[k]), pa.array(pos[k].astype(np.int64) * 4 + flags[k])], names=["h", "sides", "th", "place"])
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(th, pos): the anchors of each text that another text has too."""
-    schema, bare = "h long, th long, pos int, flag int", rows.select("th", "data")
+    """(th, pos): the anchors of each text that another text has too, with the same bytes before or behind them."""
+    schema, bare = "h long, sides long, th long, place long", rows.select("th", "data")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 65536):
-            h, th, flag = (t.column(k).to_numpy() for k in (0, 1, 3))
-            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            twice = (np.minimum.reduceat(th, start) != np.maximum.reduceat(th, start)) | (np.maximum.reduceat(flag, start) > 0)
-            keep = np.flatnonzero(np.repeat(twice, np.diff(np.r_[start, len(h)])) & (flag == 0))
-            yield pa.RecordBatch.from_arrays([t.column(1).combine_chunks().take(pa.array(keep)), t.column(2).combine_chunks().take(pa.array(keep))], names=["th", "pos"])
+            h, side, th, place = (t.column(k).to_numpy() for k in range(4))
+            left, _ = _shared(h, side >> 32, th, place & 1)
+            right, _ = _shared(h, side & 0xFFFFFFFF, th, place & 2)
+            keep = np.flatnonzero((left | right) & (place & 3 == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(th[keep]), pa.array((place[keep] >> 2).astype(np.int32))], names=["th", "pos"])
 
     apart = bare.mapInArrow(lambda x: _anchor_rows(x, False), schema).repartition("h").sortWithinPartitions("h")
-    near = bare.mapInArrow(lambda x: _anchor_rows(x, True), schema).select("th", "pos")
+    near = bare.mapInArrow(lambda x: _anchor_rows(x, True), schema).select("th", F.shiftright("place", 2).cast("int").alias("pos"))
     return apart.mapInArrow(met, "th long, pos int").unionByName(near)
 
 

@@ -176,6 +176,16 @@ def test_suffix_dedup(make, near_rows):
     assert suffix_dedup.dedup(make([])).count() == 0
 
 
+def test_suffix_dedup_across_batches(make):
+    """Each document in a batch of its own: all that is shared is found by the exchange."""
+    rng = random.Random(16)
+    passage, other = prose(rng, 30), prose(rng, 14)
+    rows = [(i, prose(rng, 15) + " " + passage[: 60 + 9 * i] + " " + prose(rng, 9) + (" " + other + " x " + other if i % 3 == 0 else "") + " " + prose(rng, 8)) for i in range(9)]
+    rows += [(20, other + " y " + other + " z " + passage), (21, passage), (22, passage)]
+    got = Counter((r["doc_id"], bytes(r["kept"]), len(r["spans"])) for r in suffix_dedup.dedup(make(rows).repartition(len(rows), "doc_id")).collect())
+    assert got == plain_suffix(rows)
+
+
 def test_loser_tree():
     rng = random.Random(2)
     runs = [sorted("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))).encode() for _ in range(rng.randint(0, 40))) for _ in range(7)]
