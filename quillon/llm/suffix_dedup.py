@@ -26,6 +26,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import struct
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -336,8 +337,10 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _let_go(spark) -> None:
     """Lets Spark delete the shuffle files of the phases that are over; it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finds unused holds references that the second can follow
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def removed_ranges(rows: DataFrame) -> DataFrame:
