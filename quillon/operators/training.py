@@ -60,8 +60,8 @@ def recipe_stats(records: DataFrame) -> DataFrame:
 
 
 def misaligned(records: DataFrame) -> DataFrame:
-    """Example ids that lack a recipe, or whose grounded prompts differ."""
-    rows = records.groupBy("example_id").agg(F.countDistinct("recipe").alias("n"), F.countDistinct(F.when(F.col("recipe") != "a", F.col("prompt"))).alias("prompts"))
+    """Example ids that lack a recipe, or whose grounded prompts differ; the prompts are compared by SHA-256, so that no text is shuffled."""
+    rows = records.groupBy("example_id").agg(F.countDistinct("recipe").alias("n"), F.countDistinct(F.when(F.col("recipe") != "a", F.sha2("prompt", 256))).alias("prompts"))
     return rows.where((F.col("n") != len(RECIPES)) | (F.col("prompts") != 1))
 
 

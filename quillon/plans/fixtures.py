@@ -11,6 +11,8 @@ from quillon.operators.statistics import MODELS, RETRIEVALS, SEEDS
 from quillon.session import table
 
 GOLD_REACH = 40
+#: Ids of a block of ``with_passages``.
+BLOCK = 32
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -71,12 +73,20 @@ def examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_passages(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """``examples`` with five passages: the documents from the example's own id on, round the end of the table."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("text"))
-    n = docs.count()
-    want = rows.select("question_id", "mode", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("position")).withColumn("id", (F.col("question_id") + F.col("position") - 1) % n)
-    packed = want.join(docs, "id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "text", ((F.col("mode") == "easy") & (F.col("position") == 1)).alias("is_gold")))).alias("passages"))
-    return rows.join(packed, "question_id")
+    """``examples`` with five passages: the whole documents from the example's own id on, round the end of the table.
+
+    Examples and documents meet by blocks of ids, and a block also has the first documents of the next, so a text is shuffled about once
+    and not once for each prompt that holds it. ``at`` is a document's place, again behind the end for the least ids."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    n = max(docs.count(), 1)
+    at = f"filter(transform(sequence(0, {(n + 3) // n}), k -> if(k = 0 or id >= 0, id + k * {n}, null)), a -> a < {n + 4})"
+    places = f"filter(flatten(transform({at}, a -> array(struct(a as at, a div {BLOCK} as block), struct(a as at, a div {BLOCK} - 1 as block)))), x -> x.at < (x.block + 1) * {BLOCK} + 4)"
+    docs = docs.where(F.col("id") < n).select("id", "text", F.expr(f"inline({places})"))
+    own = rows.withColumn("__at", F.col("question_id") % n).withColumn("block", F.expr(f"__at div {BLOCK}"))
+    position = (F.col("at") - F.col("__at") + 1).cast("int")
+    passage = F.struct(position.alias("position"), "id", "text", ((F.col("mode") == "easy") & (position == 1)).alias("is_gold"))
+    packed = own.join(docs, "block").where(position.between(1, 5)).groupBy("block", *rows.columns).agg(F.array_sort(F.collect_list(passage)).alias("passages"))
+    return packed.drop("block")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
