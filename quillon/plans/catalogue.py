@@ -443,7 +443,7 @@ def cohens_h(spark, d):
 SEEDED = f"sd as (select {CELL}, avg({OK}) as acc from pred group by {CELL})"
 query("seed_mean_std", f"with {PRED}, {SEEDED} select model, retrieval, count(*) as n_seeds, round(avg(acc), 6) as mean, round(coalesce(stddev_samp(acc), 0), 6) as std from sd group by model, retrieval")(lambda spark, d: statistics.across_seeds(predictions(spark, d).groupBy(*statistics.CELL).agg(F.avg((F.col("predicted") == F.col("gold")).cast("int")).alias("acc")), "acc", "model", "retrieval"))
 query("gain", f"with {PRED}, {SEEDED}, b as (select retrieval, avg(acc) as base from sd where model = 'base' group by retrieval) select model, retrieval, count(*) as n_seeds, round(avg(acc - base), 6) as mean, round(coalesce(stddev_samp(acc - base), 0), 6) as std from sd join b using (retrieval) where model <> 'base' group by model, retrieval")(lambda spark, d: statistics.gains(predictions(spark, d)))
-RESAMPLES = 50
+RESAMPLES = 1000
 
 
 def _bootstrap_sql(pairs: str) -> str:
@@ -473,7 +473,7 @@ query(
     "lexical_overlap",
     f"with {EX}, x as (select question_id, {sql_words('lower(generated_reasoning)')} as r, list_distinct({sql_words('lower(text)')}) as p from ex join documents on doc_id = question_id where generated_reasoning is not null) select question_id, round(len(list_filter(r, lambda w: list_contains(p, w))) / greatest(len(r), 1)::double, 6) as overlap from x",
 )(lambda spark, d: examples(spark, d).where("generated_reasoning is not null").join(table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), "text"), "question_id").select("question_id", statistics.lexical_overlap(F.col("generated_reasoning"), F.col("text")).alias("overlap")))
-query("power_simulation")(lambda spark, d: statistics.power(spark, simulations=50))
+query("power_simulation")(lambda spark, d: statistics.power(spark))
 query("cell_grid", "select model, retrieval, s.seed, model || '_' || retrieval || coalesce('_seed' || s.seed, '') as cell from (values ('base'), ('lora_a'), ('lora_a_prime'), ('lora_b')) m(model), (values ('none'), ('strong'), ('oracle')) r(retrieval), (values (42), (123), (456), (null)) s(seed) where (model = 'base') = (s.seed is null)")(lambda spark, d: statistics.cells(spark))
 
 

@@ -1,12 +1,13 @@
 """The catalogue's queries do the whole job: whole passages and the full number of resamples."""
 
+import hashlib
 import re
 
 import pytest
 
-from quillon.operators import analysis
+from quillon.operators import analysis, statistics
 from quillon.plans import catalogue
-from quillon.plans.fixtures import examples, with_passages
+from quillon.plans.fixtures import examples, predictions, with_passages
 from quillon.session import table
 
 
@@ -49,3 +50,16 @@ def test_passages_go_round_the_table(spark, tmp_path, n):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["question_id"]: [(p["position"], p["id"], p["text"]) for p in r["passages"]] for r in with_passages(examples(spark, str(tmp_path)), spark, str(tmp_path)).collect()}
     assert got == {i: [(k + 1, (i + k) % n, f"text {(i + k) % n}") for k in range(5)] for i in range(n)}
+
+
+def test_resamples(spark, sf):
+    """The registered intervals against 1000 resamples in plain Python, and the registered power against 1000 simulations."""
+    p = predictions(spark, sf)
+    for name, pairs in (("bootstrap_ci", statistics.paired(p, ("lora_b", "oracle", 42), ("base", "oracle", 42))), ("interaction", statistics.interaction_pairs(p))):
+        v = [float(r["diff"]) for r in pairs.orderBy("example_id").collect()]
+        draw = lambda b, i: v[int(hashlib.md5(f"42|{b}|{i}".encode()).hexdigest()[:8], 16) % len(v)]
+        means = sorted(round(sum(draw(b, i) for i in range(len(v))) / len(v), 9) for b in range(1000))
+        least = min(sum(m <= 0 for m in means), sum(m >= 0 for m in means))
+        got = catalogue.QUERIES[name](spark, sf).first()
+        assert tuple(got) == pytest.approx((sum(v) / len(v), means[25], means[975], min(1, 2 * least / 1000)), abs=2e-6)
+    assert sorted(catalogue.QUERIES["power_simulation"](spark, sf).collect()) == sorted(statistics.power(spark, simulations=1000).collect())
