@@ -3,7 +3,7 @@
 The base counts words, symbols, repeated lines and repeated 8-word windows of each whole text, in higher-order functions
 that need no more than a sort of a document's own windows. The method then hashes each normalised line, counts the distinct
 documents that hold it within each host (the column ``source``), removes the lines above the host's limit, and
-rejects a document of whose words too small a share is left. The limit is a share of the host's documents, so it
+rejects a document of whose words too small a share is left. The limit is a share of the host's documents, with three as the least evidence, so it
 means the same at every size of the input.
 
 Hot lines and hot hosts are summed before the shuffle. Lines above the limit are few: with a share s and k lines in a mean
@@ -25,8 +25,8 @@ from quillon.llm.columns import ROW, let, line_key, lines, with_row_key, words
 from quillon.session import materialise, table
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-#: A line is above the limit if more than this share of its host's documents hold it, and at least so many.
-HOST_SHARE, HOST_DOCS = 0.1, 20
+#: A line is above the limit if more than this share of its host's documents hold it, and at least so many: two copies of a line are no evidence.
+HOST_SHARE, HOST_DOCS = 0.1, 3
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
 
