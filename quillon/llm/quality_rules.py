@@ -29,6 +29,8 @@ MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 HOST_SHARE, HOST_DOCS = 0.1, 3
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
+#: A row's key with its host: what a verdict is for.
+KEY = [*ROW, "__q_host"]
 
 
 def repeat_words(w: Column, size: int = WINDOW) -> Column:
@@ -60,13 +62,17 @@ def repeat_words(w: Column, size: int = WINDOW) -> Column:
     return F.when(F.size(w) <= size, F.lit(0)).otherwise(some).cast("long")
 
 
+def _with_host(docs: DataFrame) -> DataFrame:
+    return with_row_key(docs).withColumn("__q_host", F.xxhash64(docs["source"]))
+
+
 def base(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text, source): the row key, the counts of the base and its verdict."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = with_row_key(docs.select("doc_id", "text")).withColumn("w", words(text))
+    d = _with_host(docs.select("doc_id", "text", "source")).withColumn("w", words(text))
     worded = F.filter(lines(text), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     d = d.select(
-        *ROW,
+        *KEY,
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -78,30 +84,30 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def line_verdicts(docs: DataFrame, share: float, least: int) -> DataFrame:
-    """(__q_id, __q_row, lost_words): words in lines above their host's limit; rows without such lines are absent."""
-    own = with_row_key(docs.select("doc_id", "text", "source"))
+    """(__q_id, __q_row, __q_host, lost_words): words in lines above their host's limit, of one of equal rows; rows without such lines are absent."""
+    own = _with_host(docs.select("doc_id", "text", "source")).withColumn("host", F.col("__q_host"))
     keyed = F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_key), lambda k: k != ""))
-    sizes = own.groupBy(F.xxhash64("source").alias("host")).agg(F.count("*").alias("host_docs"))
-    held = own.select(F.xxhash64("source").alias("host"), F.explode(keyed).alias("line"))
+    sizes = own.groupBy("host").agg(F.count("*").alias("host_docs"))
+    held = own.select("host", F.explode(keyed).alias("line"))
     counts = held.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
     above = materialise(counts.join(sizes, "host").where(F.col("n_docs") > F.col("host_docs") * share).select("host", "h"), "host-lines")
-    each = own.select(*ROW, F.xxhash64("source").alias("host"), F.explode(lines(F.col("text"))).alias("line"))
-    each = each.select(*ROW, "host", F.xxhash64(line_key(F.col("line"))).alias("h"), "line")
-    lost = each.join(above, ["host", "h"]).select(*ROW, F.size(words(F.col("line"))).cast("long").alias("n"))
-    return lost.groupBy(*ROW).agg(F.sum("n").alias("lost_words"))
+    each = own.select(*KEY, "host", F.posexplode(lines(F.col("text"))).alias("at", "line"))
+    each = each.select(*KEY, "host", "at", F.xxhash64(line_key(F.col("line"))).alias("h"), "line")
+    lost = each.join(above, ["host", "h"]).select(*KEY, "at", F.size(words(F.col("line"))).cast("long").alias("n"))
+    return lost.distinct().groupBy(*KEY).agg(F.sum("n").alias("lost_words"))
 
 
 def verdicts(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCS, left: float = LEFT_SHARE) -> DataFrame:
     """Per row: the row key, doc_id, the base's counts, base_failed, left_words and kept."""
-    judged = base(docs).join(line_verdicts(docs, share, least), ROW, "left")
+    judged = base(docs).join(line_verdicts(docs, share, least), KEY, "left")
     judged = judged.withColumn("left_words", F.col("n_words") - F.coalesce("lost_words", F.lit(0)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("left_words") >= left * F.col("n_words"))).drop("lost_words")
 
 
 def keep_good(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns as they are."""
-    good = verdicts(docs, **parameters).where("kept").select(*ROW).distinct()
-    return with_row_key(docs).join(good, ROW, "left_semi").select(*docs.columns)
+    good = verdicts(docs, **parameters).where("kept").select(*KEY).distinct()
+    return _with_host(docs).join(good, KEY, "left_semi").select(*docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir):
