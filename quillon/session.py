@@ -43,15 +43,38 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/quillon/{spark.sparkContext.applicationId}"
 
 
+#: Lets Spark delete the shuffle files of a write when it is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared scratch folder and read it back: cuts the lineage and survives lost executors.
+
+    What has been written needs its shuffles no more, so their files go with the end of the write."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` has written for these frames, which no later plan may read."""
+    for df in frames:
+        _delete(df.sparkSession, df._scratch_path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has written to the scratch folder; call it when its results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
