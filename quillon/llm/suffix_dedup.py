@@ -3,31 +3,35 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. Sorting every suffix of a corpus would move
 it fifty times over, so, as in prefix-doubling string sorting, a first exchange of hashes finds the suffixes that have no partner:
 
-1. Each 50-byte window is represented by its anchor, the 16-byte string in it with the least hash (leftmost of equals). Equal windows
-   have equal anchors at equal places, and 17 equal bytes before the anchor or behind it, so only windows can be equal of which the anchor
-   with one of its sides occurs in two different texts. The anchors' hashes are dealt by hash and sorted; of equal ones in a batch
-   the first goes, so hot ones stay small.
-2. The suffixes at repeated anchors are cut behind their last window, sorted within a batch and front-coded (length of the prefix
-   shared with the suffix before, and the rest), as one run a batch and partition. Of equal pieces in a batch only those of the least
-   doc_id travel; the others are decided there.
-3. A partition merges its runs by a loser tree over (shared prefix, rest): of two suffixes the one that shares more with the last one put out is the
+1. Each 50-byte window is represented by one 32-byte string in it, its anchor, that depends on the window's bytes alone (mod-sampling: the
+   least of its 38 hashed 13-byte strings, taken modulo the 19 places that an anchor may have, so that few places are
+   anchors). Equal windows have equal anchors, so a window whose anchor no other text holds is unique. The anchors' hashes are dealt by hash and sorted; of
+   equal ones in a slice of a batch the first goes, so a hot passage sends one row a slice.
+2. The windows with repeated anchors are cut into pieces, one for each 16-byte string that is the least in its windows. The suffix at
+   that string, up to the end of its last window, is sorted within a slice and front-coded (length of the prefix
+   shared with the suffix before, and the rest), as one run a slice and part. Of equal pieces in a slice only those of the least
+   doc_id travel; the others are decided there. The number of parts follows from the number of repeated anchors.
+3. A part merges its runs by a loser tree over (shared prefix, rest): of two suffixes the one that shares more with the last one put out is the
    less, without a look at its bytes, and only bytes beyond the known prefix are ever compared. The shared prefixes that come
-   out bound the groups of one anchor, in which every window gets the least doc_id that holds it.
+   out bound the groups of one 16-byte string, in which every window gets the least doc_id that holds it.
 
-Copies of a whole text take no part: the one with the least doc_id stands for all, and the others lose all their bytes.
+Anchors found more than ``Limits.hot`` times, such as those at the edges of a passage that a third of all documents hold, would make
+one group of a part as large as the corpus. Their windows take another exact way: each by itself, summed to its least doc_id before the shuffle.
+
+Copies of a whole text take no part: the one with the least doc_id stands for all, and the others lose all their bytes. Texts count
+as copies if 128 bits of hash and their lengths agree; all other decisions compare bytes.
 
 Cases: a null text is empty; a text under 50 bytes never loses anything; documents with the same doc_id do not count against each other, as neither is
-smaller; a null doc_id counts as smaller than any other; strings that repeat within one document stay; an empty table gives an
+smaller; a null doc_id counts as smaller than any other; strings that repeat within one document stay; rows given twice
+get the same result twice; a text of any length is read whole, in segments of bounded length; an empty table gives an
 empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
-import hashlib
 import struct
-import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,110 +41,189 @@ from pyspark.sql import functions as F
 from quillon.llm.columns import NO_ID
 from quillon.llm.components import whole_groups
 from quillon.llm.decontamination import mixed
-from quillon.session import materialise, table
+from quillon.session import discard, materialise, table
 
-LENGTH, GRAM = 50, 16
-SPAN = LENGTH - GRAM + 1  # anchors that a window may have
-SIDE = (LENGTH - GRAM) // 2  # a window has so many bytes before its anchor, or behind it
+#: Bytes of a window, of an anchor, of the strings that choose it, and of those that group suffixes.
+LENGTH, ANCHOR, CHOICE, GRAM = 50, 32, 13, 16
+PLACES = LENGTH - ANCHOR + 1  # where an anchor may lie in its window
+_FACTOR = 0x9E3779B97F4A7C15
 ID = ["id", "th"]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What is held at once; no result depends on them. ``segment``: windows of a text; ``chunk``: bytes that are hashed together; ``slice``: bytes of
+    texts that share a run; ``hot``: occurrences beyond which an anchor is hot; ``part``: bytes of suffixes that one task merges."""
+
+    segment: int = 1 << 20
+    chunk: int = 1 << 18
+    slice: int = 16 << 20
+    hot: int = 4096
+    part: int = 16 << 20
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(id, th, text as bytes): the doc_id with a number for null, and the hash of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("data"))
 
 
-def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each GRAM-byte string, anchor of each LENGTH-byte window) of a text's bytes."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    h, factor, width = data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, 1
-    while width < GRAM:
+# -- anchors -------------------------------------------------------------------------------------------------------------
+def _hashes(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size the hash of every string of so many bytes, shorter by the strings that the end cuts off."""
+    h, factor, width = data.astype(np.uint64) + np.uint64(1), _FACTOR, 1
+    powers = [(1, h)]
+    while 2 * width <= max(sizes):
         h = h[:-width] * np.uint64(factor) + h[width:]
         factor, width = factor * factor % (1 << 64), 2 * width
-    h = mixed(h)
-    least, at, width = h, np.arange(len(h), dtype=np.int32), 1
-    while width < SPAN:
-        step = min(width, SPAN - width)
-        later = least[step:] < least[:-step]
-        at = np.where(later, at[step:], at[:-step])
-        least = np.where(later, least[step:], least[:-step])
-        width += step
-    return h, at
-
-
-def _beside(h: np.ndarray, at: np.ndarray, th: int) -> np.ndarray:
-    """For each anchor two 32-bit hashes in one number: of the SIDE bytes before it and of those behind it.
-
-    A window holds LENGTH - GRAM bytes beside its anchor, so all SIDE bytes of one side at least; a side that the text cuts short
-    can't be whole in a window, and gets a number of its own."""
-    factor, own = np.uint64(0x9E3779B97F4A7C15), mixed(at.astype(np.uint64) * np.uint64(2) + np.uint64(th & 0xFFFFFFFFFFFFFFFF))
-    left, right = np.maximum(at - SIDE, 0), np.minimum(at + SIDE, len(h) - 1)
-    l = np.where(at >= SIDE, mixed(h[left] * factor + h[np.minimum(left + SIDE - GRAM, len(h) - 1)]), own)
-    r = np.where(at + SIDE < len(h), mixed(h[right - SIDE + GRAM] * factor + h[right]), own + np.uint64(1))
-    return ((l >> np.uint64(32)) << np.uint64(32) | r >> np.uint64(32)).view(np.int64)
-
-
-def _shared(h: np.ndarray, side: np.ndarray, th: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a row shares (h, side) with another text, or with a row of which that is ``known``; whether it is the first of its (h, side))."""
-    order = np.lexsort((th, side, h))
-    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (side[order][1:] != side[order][:-1])]
-    start = np.flatnonzero(new)
-    size = np.diff(np.r_[start, len(h)])
-    t = th[order]
-    many = (t[start] != t[start + size - 1]) | (np.maximum.reduceat(known[order], start) > 0)
-    out, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    out[order], first[order] = np.repeat(many, size), new
-    return out, first
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch], local: bool) -> Iterator[pa.RecordBatch]:
-    """(h, sides, th, pos * 4 + flags) of the distinct anchors of each text; the flags say on which sides another text of the batch is equal.
-
-    ``local``: the rows with a flag, which are decided. Else, for the exchange, the rows without a flag, and of those with one the first of
-    each anchor with its left and with its right side: the inside of a hot passage gives a few rows a batch."""
+        powers.append((width, h))
+    out = []
+    for size in sizes:
+        left, total = size, None
+        for width, h in reversed(powers):
+            if left >= width:
+                part = h[size - left :]
+                total = part if total is None else total[: len(part)] * np.uint64(pow(_FACTOR, width, 1 << 64)) + part
+                left -= width
+        out.append(mixed(total))
+    return out
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each place that of the least hash, leftmost of equals, among the ``width`` places that begin with it."""
+    low = np.uint64(0xFFFFFFFF)
+    least, have = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[step:], least[:-step])
+        have += step
+    return (least & low).astype(np.int64)
+
+
+def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each ANCHOR-byte string, place of the anchor of each LENGTH-byte window) of at least LENGTH bytes."""
+    choice, anchor = _hashes(data, CHOICE, ANCHOR)
+    at = _least(choice, LENGTH - CHOICE + 1)
+    start = np.arange(len(at))
+    return anchor, start + (at - start) % PLACES
+
+
+def window_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each GRAM-byte string, place of the least one in each LENGTH-byte window) of at least LENGTH bytes."""
+    (gram,) = _hashes(data, GRAM)
+    return gram, _least(gram, LENGTH - GRAM + 1)
+
+
+def _chunks(texts: list[bytes], limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of all texts, in chunks that are hashed at once: (bytes; of each window whether it lies in one text; its text; what its
+    place in the chunk exceeds its place in the text by)."""
+    held, size = [], 0
+
+    def joined():
+        data = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
+        sizes = np.array([len(p) for _, _, p in held])
+        starts = np.cumsum(sizes) - sizes
+        windows = len(data) - LENGTH + 1
+        own = np.repeat(np.arange(len(held)), sizes)[:windows]
+        inside = np.arange(windows) + LENGTH <= (starts + sizes)[own]
+        return data, inside, np.array([i for i, _, _ in held])[own], (starts - np.array([a for _, a, _ in held]))[own]
+
+    for i, text in enumerate(texts):
+        for a in range(0, len(text) - LENGTH + 1, limits.segment):
+            part = text[a : a + limits.segment + LENGTH - 1]
+            if held and size + len(part) > limits.chunk:
+                yield joined()
+                held, size = [], 0
+            held.append((i, a, part))
+            size += len(part)
+    if held:
+        yield joined()
+
+
+def _starts(inside: np.ndarray, *marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) windows of the runs of windows that count and agree in all marks."""
+    new = np.ones(len(inside), bool)
+    new[1:] = ~inside[:-1]
+    for m in marks:
+        new[1:] |= m[1:] != m[:-1]
+    first = np.flatnonzero(new & inside)
+    ends = np.ones(len(inside), bool)
+    ends[:-1] = new[1:] | ~inside[1:]
+    return first, np.flatnonzero(ends & inside)
+
+
+def _slices(columns: list[list], texts: int, size_limit: int) -> Iterator[list[list]]:
+    """The rows of parallel lists in slices of about ``size_limit`` bytes of text; a longer text is a slice of its own."""
+    start = size = 0
+    for i, t in enumerate(columns[texts]):
+        if i > start and size + len(t) > size_limit:
+            yield [c[start:i] for c in columns]
+            start, size = i, 0
+        size += len(t)
+    if columns[texts][start:]:
+        yield [c[start:] for c in columns]
+
+
+#: An anchor's row: place = ((number of occurrences that the row stands for << 31 | place in the text) << 12 | bytes from the first window to the anchor
+#: << 6 | bytes from the last one) << 1 | whether another text in the slice holds it.
+ANCHOR_ROW = "h long, th long, place long"
+_COUNT, _MOST = 44, (1 << 19) - 1
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], local: bool, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """The anchors of each distinct text. ``local``: the rows that another text of the slice shares, but for the first of each anchor, which are
+    decided. Else, for the exchange, the rows that are not shared, and the first of those that are, with their number."""
     for b in batches:
-        hashes, besides, texts, places, seen = [], [], [], [], set()
-        for th, value in zip(b.column(0).to_pylist(), b.column(1)):
-            if th in seen:
+        for hashes, texts in _slices([b.column(0).to_pylist(), b.column(1).to_pylist()], 1, limits.slice):
+            firsts = dict(zip(reversed(hashes), reversed(texts)))
+            th, found = np.array(list(firsts), np.int64), ([], [], [])
+            for data, inside, text, shift in _chunks(list(firsts.values()), limits):
+                anchor, at = window_anchors(data)
+                first, last = _starts(inside, at, text)
+                q = at[first]
+                for x, values in zip(found, (anchor[q], text[first], (q - shift[first]) << 12 | (q - first) << 6 | (q - last))):
+                    x.append(values)
+            if not found[0]:
                 continue
-            seen.add(th)
-            h, at = window_anchors(np.frombuffer(value.as_buffer(), np.uint8))
-            if len(at):
-                at = np.unique(at)
-                hashes.append(h[at].view(np.int64))
-                besides.append(_beside(h, at, th))
-                places.append(at)
-                texts.append(np.full(len(at), th, np.int64))
-        if not hashes:
-            continue
-        h, side, th, pos = (np.concatenate(x) for x in (hashes, besides, texts, places))
-        none = np.zeros(len(h), np.int64)
-        left, first_left = _shared(h, side >> 32, th, none)
-        right, first_right = _shared(h, side & 0xFFFFFFFF, th, none)
-        flags = left + 2 * right
-        keep = np.flatnonzero(flags) if local else np.flatnonzero((flags == 0) | first_left | first_right)
-        for a in range(0, len(keep), 65536):
-            k = keep[a : a + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(side[k]), pa.array(th[k]), pa.array(pos[k].astype(np.int64) * 4 + flags[k])], names=["h", "sides", "th", "place"])
-
-
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(th, pos): the anchors of each text that another text has too, with the same bytes before or behind them."""
-    schema, bare = "h long, sides long, th long, place long", rows.select("th", "data")
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, 65536):
-            h, side, th, place = (t.column(k).to_numpy() for k in range(4))
-            left, _ = _shared(h, side >> 32, th, place & 1)
-            right, _ = _shared(h, side & 0xFFFFFFFF, th, place & 2)
-            keep = np.flatnonzero((left | right) & (place & 3 == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(th[keep]), pa.array((place[keep] >> 2).astype(np.int32))], names=["th", "pos"])
-
-    apart = bare.mapInArrow(lambda x: _anchor_rows(x, False), schema).repartition("h").sortWithinPartitions("h")
-    near = bare.mapInArrow(lambda x: _anchor_rows(x, True), schema).select("th", F.shiftright("place", 2).cast("int").alias("pos"))
-    return apart.mapInArrow(met, "th long, pos int").unionByName(near)
+            h, text, place = (np.concatenate(x) for x in found)
+            order = np.argsort(h, kind="stable")
+            h, text, place = h[order], text[order], place[order]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            count = np.diff(np.r_[start, len(h)])
+            shared = np.minimum.reduceat(text, start) != np.maximum.reduceat(text, start)
+            each = np.repeat(shared, count)
+            top = np.zeros(len(h), bool)
+            top[start] = True
+            stands = np.ones(len(h), np.int64)
+            stands[start[shared]] = np.minimum(count[shared], _MOST)
+            row = np.flatnonzero(each & ~top) if local else np.flatnonzero(~each | top)
+            packed = stands << _COUNT | place << 1 | each
+            for a in range(0, len(row), 65536):
+                k = row[a : a + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(th[text[k]]), pa.array(packed[k])], names=["h", "th", "place"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h those whose anchor two texts hold at least; an anchor that is hot adds a row with the place -1. A group has at most a row a
+    slice of the corpus, and the rows of one text."""
+    for t in whole_groups(batches, 65536):
+        h, th, place = (t.column(k).to_numpy() for k in range(3))
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        count = np.diff(np.r_[start, len(h)])
+        many = (np.minimum.reduceat(th, start) != np.maximum.reduceat(th, start)) | (np.maximum.reduceat(place & 1, start) > 0)
+        hot = start[many & (np.add.reduceat(place >> _COUNT, start) > most)]
+        keep = np.r_[np.flatnonzero(np.repeat(many, count)), hot]
+        out = place[keep]
+        out[len(keep) - len(hot) :] = -1
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(th[keep]), pa.array(out)], names=["h", "th", "place"])
+
+
+def repeated_anchors(rows: DataFrame, limits: Limits) -> DataFrame:
+    """(h, th, place): the anchors of each text that another text has too, and a row with the place -1 for each hot one."""
+    bare = rows.select("th", "data")
+    apart = bare.mapInArrow(lambda x: _anchor_rows(x, False, limits), ANCHOR_ROW).repartition("h").sortWithinPartitions("h")
+    near = bare.mapInArrow(lambda x: _anchor_rows(x, True, limits), ANCHOR_ROW)
+    return apart.mapInArrow(lambda x: _met(x, limits.hot), ANCHOR_ROW).unionByName(near)
 
 
 # -- runs ----------------------------------------------------------------------------------------------------------------
@@ -253,122 +336,168 @@ def unpack(run: bytes) -> Iterator[tuple[int, bytes, tuple]]:
 
 
 RUN = "part int, run binary, id long, th long, start int, end int"
+#: Values of ``part`` in rows that are no run: a range that goes, and a piece of a hot anchor (its bytes in ``run``).
+RANGE, OPEN = -1, -2
 
 
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _make_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Runs of a batch of (id, th, data, pos), and the ranges that the batch can decide itself (part -1)."""
+def _pieces(texts: list[bytes], places: list[np.ndarray], limits: Limits) -> Iterator[tuple[int, int, bytes, int, int, bool]]:
+    """(text, first window, bytes from there to the end of the last window, bytes before the suffix, hash of its first GRAM bytes, whether it is hot)
+    of each piece; ``places`` are the texts' repeated anchors as (place << 1 | hot)."""
+    for data, inside, text, shift in _chunks(texts, limits):
+        begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (shift[1:] != shift[:-1])]).tolist()
+        marks = [np.zeros(len(text) + 1, np.int32) for _ in range(2)]
+        for k, end in zip(begin, [*begin[1:], len(text)]):
+            i, by = int(text[k]), int(shift[k])
+            p = places[i]
+            q = (p >> 13 & 0x7FFFFFFF) + by
+            first, last = q - (p >> 7 & 63), q - (p >> 1 & 63)
+            mine = (first >= k) & (last < end)  # another segment of a long text has the others
+            for m, some in zip(marks, (mine, mine & (p & 1 == 1))):
+                np.add.at(m, first[some], 1)
+                np.add.at(m, last[some] + 1, -1)
+        repeated, hot = (np.cumsum(m[:-1]) > 0 for m in marks)
+        gram, at = window_grams(data)
+        first, last = _starts(inside & repeated, at, text, hot)
+        q, whole = at[first], data.tobytes()
+        for i, a, b, left, h, hot_one, by in zip(text[first].tolist(), first.tolist(), (last + LENGTH).tolist(), (q - first).tolist(), gram[q].tolist(), hot[first].tolist(), shift[first].tolist()):
+            yield i, a - by, whole[a:b], left, h, hot_one
+
+
+def _make_runs(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Runs of slices of (id, th, data, places), and the rows that are no runs."""
     for b in batches:
-        found: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
-        for i, th, value, pos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-            data = value.as_py()
-            _, at = window_anchors(np.frombuffer(data, np.uint8))
-            if not len(at):
-                continue
-            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # the windows of an anchor stand in a row
-            stop = np.r_[start[1:], len(at)] - 1
-            anchor = at[start]
-            use = np.isin(anchor, pos.values.to_numpy())
-            for q, first, last in zip(anchor[use].tolist(), start[use].tolist(), stop[use].tolist()):
-                found.setdefault((data[q : last + LENGTH], data[first:q]), []).append((i, th, first))
-        runs: dict[int, list] = {}
-        ranges: list[tuple[int, int, int, int]] = []
-        for (suffix, left), places in found.items():
-            least = min(p[0] for p in places)
-            for i, th, first in places:
-                if i > least:
-                    ranges.append((i, th, first, first + len(left) + len(suffix)))
+        places = [x.values.to_numpy() for x in b.column(3)]
+        for ids, ths, texts, marks in _slices([b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), places], 2, limits.slice):
+            found: dict[bytes, list] = {}  # equal pieces have their suffix at the same place, as it depends on their bytes alone
+            for i, first, piece, left, h, hot in _pieces(texts, marks, limits):
+                rest = found.get(piece)
+                if rest is None:
+                    found[piece] = [left, h, hot, ids[i], ths[i], first]
                 else:
-                    part = int.from_bytes(hashlib.blake2b(suffix[:GRAM], digest_size=4).digest(), "little") % parts
-                    runs.setdefault(part, []).append((suffix, left, i, th, first))
-        rows = [(p, pack(sorted(r)), None, None, None, None) for p, r in sorted(runs.items())] + [(-1, None, *r) for r in ranges]
-        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_names(RUN))
+                    rest += (ids[i], ths[i], first)
+            runs: dict[int, list] = {}
+            rows: list[tuple] = []
+            for piece, (left, h, hot, *held) in found.items():
+                least = min(held[::3])
+                for k in range(0, len(held), 3):
+                    i, th, first = held[k : k + 3]
+                    if i > least:
+                        rows.append((RANGE, None, i, th, first, first + len(piece)))
+                    elif hot:
+                        rows.append((OPEN, piece, i, th, first, None))
+                    else:
+                        runs.setdefault(h % parts, []).append((piece[left:], piece[:left], i, th, first))
+            rows += [(p, pack(sorted(r)), None, None, None, None) for p, r in sorted(runs.items())]
+            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_names(RUN))
+
+
+def _common_end(a: bytes, b: bytes) -> int:
+    n, end = 0, min(len(a), len(b))
+    while n < end and a[-1 - n] == b[-1 - n]:
+        n += 1
+    return n
 
 
 def _decide(group: list[tuple[bytes, tuple]]) -> Iterator[tuple[int, int, int, int]]:
-    """(id, th, start, end) of the windows in a group of one anchor that a smaller id holds, joined where they follow on."""
-    least: dict[bytes, int] = {}
+    """(id, th, start, end) of the bytes in a group of one string that windows of a smaller id cover."""
+    held: dict[tuple[bytes, bytes], int] = {}
+    for suffix, (left, i, _, _) in group:
+        old = held.get((left, suffix))
+        if old is None or i < old:
+            held[left, suffix] = i
     pieces = []
     for suffix, (left, i, th, first) in group:
-        text = left + suffix
-        windows = [text[k : k + LENGTH] for k in range(len(text) - LENGTH + 1)]
-        for w in windows:
+        if held[left, suffix] < i:
+            yield i, th, first, first + len(left) + len(suffix)
+        else:
+            pieces.append((suffix, left, i, th, first))
+    if len(held) == 1:
+        return
+    if len(pieces) <= 6:  # the bytes that two pieces share around the string make windows if there are enough of them
+        for suffix, left, i, th, first in pieces:
+            for other, before, j, _, _ in pieces:
+                if j < i:
+                    l, r = _common_end(left, before), common(suffix, other, GRAM)
+                    if l + r >= LENGTH:
+                        yield i, th, first + len(left) - l, first + len(left) + r
+        return
+    for before in range(max(len(p[1]) for p in pieces) + 1):  # windows with equal bytes have the string at the same place
+        least: dict[bytes, int] = {}
+        some = [(left[len(left) - before :] + suffix[: LENGTH - before], i, th, first + len(left) - before) for suffix, left, i, th, first in pieces if len(left) >= before and len(suffix) >= LENGTH - before]
+        for w, i, _, _ in some:
             if i < least.get(w, i + 1):
                 least[w] = i
-        pieces.append((windows, i, th, first))
-    for windows, i, th, first in pieces:
-        begin = None
-        for k, w in enumerate(windows):
+        for w, i, th, start in some:
             if least[w] < i:
-                if begin is None:
-                    begin = k
-            elif begin is not None:
-                yield i, th, first + begin, first + k - 1 + LENGTH
-                begin = None
-        if begin is not None:
-            yield i, th, first + begin, first + len(windows) - 1 + LENGTH
+                yield i, th, start, start + LENGTH
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges that go, from all runs of one part."""
     schema = "id long, th long, start int, end int"
-    for t in whole_groups(batches, 1):
-        part, runs = t.column(0).to_numpy(), t.column(1)
-        for p in np.unique(part):
-            tree = LoserTree([unpack(runs[int(k)].as_py()) for k in np.flatnonzero(part == p)])
-            rows: list[tuple[int, int, int, int]] = []
-            group: list[tuple[bytes, tuple]] = []
-            for shared, suffix, load in tree:
-                if shared < GRAM and group:
-                    if len(group) > 1:
-                        rows.extend(_decide(group))
-                    group = []
-                group.append((suffix, load))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    tree = LoserTree([unpack(run.as_py()) for b in batches for run in b.column(0)])
+    rows: list[tuple[int, int, int, int]] = []
+    group: list[tuple[bytes, tuple]] = []
+    for shared, suffix, load in tree:
+        if shared < GRAM:
             if len(group) > 1:
                 rows.extend(_decide(group))
-            for a in range(0, len(rows), 65536):
-                some = rows[a : a + 65536]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, t in enumerate(kinds)], names=_names(schema))
+            group = []
+            if len(rows) >= 65536:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_names(schema))
+                rows = []
+        group.append((suffix, load))
+    if len(group) > 1:
+        rows.extend(_decide(group))
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_names(schema))
 
 
-def _let_go(spark) -> None:
-    """Lets Spark delete the shuffle files of the phases that are over; it does so when the driver's JVM collects its garbage."""
-    for _ in range(2):  # what the first round finds unused holds references that the second can follow
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def _open_ranges(runs: DataFrame) -> DataFrame:
+    """The ranges that go of the pieces of hot anchors: each window by itself, so that no group is held anywhere."""
+    each = runs.where(F.col("part") == OPEN).select(*ID, "start", "run", F.explode(F.sequence(F.lit(0), F.octet_length("run") - LENGTH)).alias("at"))
+    each = each.select(*ID, (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("run"), F.col("at") + 1, F.lit(LENGTH)).alias("window"))
+    least = each.groupBy("window").agg(F.min("id").alias("least"))
+    return each.join(least.hint("merge"), "window").where(F.col("id") > F.col("least")).select(*ID, "start", (F.col("start") + LENGTH).alias("end"))
 
 
-def removed_ranges(rows: DataFrame) -> DataFrame:
+def removed_ranges(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(id, th, ranges): the byte ranges (start, end) that go, sorted; rows of ``keyed`` that lose nothing are absent."""
-    spark = rows.sparkSession
-    texts = materialise(rows.select(*ID, F.octet_length("data").alias("n")).groupBy(*ID, "n").agg(F.count("*").alias("rows")), "texts")
-    firsts = texts.groupBy("th", "n").agg(F.min("id").alias("first"))
-    copies = texts.join(firsts, ["th", "n"]).where((F.col("id") > F.col("first")) & (F.col("n") >= LENGTH)).select(*ID, F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
-    places = materialise(repeated_anchors(rows), "anchors")
-    _let_go(spark)
-    places = places.groupBy("th").agg(F.collect_set("pos").alias("pos"))
-    wanted = materialise(places.join(firsts.select("th", F.col("first").alias("id")), "th"), "places")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = rows.join(wanted.hint("merge"), ID).select(*ID, "data", "pos")
-    runs = materialise(joined.mapInArrow(lambda x: _make_runs(x, parts), RUN), "suffix-runs")
-    _let_go(spark)
-    dealt = runs.where("part >= 0").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
+    second = F.xxhash64(F.lit(1), "data").alias("check")
+    texts = materialise(rows.select(*ID, second, F.octet_length("data").alias("n")), "texts")
+    firsts = texts.groupBy("th", "check", "n").agg(F.min("id").alias("first"))
+    copies = texts.join(firsts, ["th", "check", "n"]).where((F.col("id") > F.col("first")) & (F.col("n") >= LENGTH)).select(*ID, F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
+    anchors = materialise(repeated_anchors(rows, limits), "anchors")
+    hot = anchors.where("place = -1").select("h", F.lit(1).cast("long").alias("hot"))
+    any_hot = not hot.isEmpty()
+    places = anchors.where("place >= 0").join(hot, "h", "left") if any_hot else anchors.withColumn("hot", F.lit(0).cast("long"))
+    places = places.select("th", F.col("place").bitwiseAND((1 << _COUNT) - 2).bitwiseOR(F.coalesce("hot", F.lit(0).cast("long"))).alias("place"))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-anchors.count() * 2 * LENGTH // limits.part))
+    by_text = places.groupBy("th").agg(F.collect_list("place").alias("places"))
+    wanted = materialise(by_text.join(firsts.select("th", F.col("first").alias("id")), "th"), "places")
+    discard(anchors)
+    pieces = rows.join(wanted.hint("merge"), ID).select(*ID, "data", "places")
+    runs = materialise(pieces.mapInArrow(lambda x: _make_runs(x, parts, limits), RUN), "suffix-runs")
+    discard(wanted)
+    dealt = runs.where("part >= 0").repartitionById(parts, "part").select("run")
     ranges = dealt.mapInArrow(_merge_runs, "id long, th long, start int, end int")
-    ranges = ranges.unionByName(runs.where("part < 0").select(*ID, "start", "end")).unionByName(copies)
+    ranges = ranges.unionByName(runs.where(F.col("part") == RANGE).select(*ID, "start", "end")).unionByName(copies)
+    if any_hot:
+        ranges = ranges.unionByName(_open_ranges(runs))
     out = materialise(ranges.groupBy(*ID).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges")), "ranges")
-    _let_go(spark)
+    discard(runs, texts)
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): for each row its size, the maximal removed runs (start, end) and the bytes left."""
     rows = keyed(docs)
-    joined = rows.join(removed_ranges(rows).hint("merge"), ID, "left").select("id", "data", F.col("ranges.start").alias("start"), F.col("ranges.end").alias("end"))
+    joined = rows.join(removed_ranges(rows, limits).hint("merge"), ID, "left").select("id", "data", F.col("ranges.start").alias("start"), F.col("ranges.end").alias("end"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

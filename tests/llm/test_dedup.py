@@ -168,9 +168,7 @@ def plain_suffix(rows):
 
 
 def test_suffix_dedup(make, near_rows):
-    rng = random.Random(6)
-    passage = prose(rng, 30)
-    rows = [*near_rows, *[(7000 + i, prose(rng, 20) + " " + passage + " " + prose(rng, 20)) for i in range(12)], (7100, "ab" * 300), (7101, "ab" * 90 + "x"), (7102, "é" * 60), (7103, "ü" + "é" * 30), (7104, passage + passage)]
+    rows = suffix_rows(near_rows)
     got = Counter((r["doc_id"], bytes(r["kept"]), len(r["spans"])) for r in suffix_dedup.dedup(make(rows)).collect())
     assert got == plain_suffix(rows)
     assert suffix_dedup.dedup(make([])).count() == 0
@@ -202,13 +200,46 @@ def test_loser_tree():
         last = s
 
 
-def test_windows_have_equal_anchors():
+@pytest.mark.parametrize("anchors", [suffix_dedup.window_anchors, suffix_dedup.window_grams])
+def test_windows_have_equal_anchors(anchors):
     rng = random.Random(3)
     w = bytes(rng.randrange(97, 105) for _ in range(50))
     offsets = set()
     for _ in range(50):
         pre = bytes(rng.randrange(97, 105) for _ in range(rng.randint(0, 60)))
         data = pre + w + bytes(rng.randrange(97, 105) for _ in range(rng.randint(0, 60)))
-        _, at = suffix_dedup.window_anchors(np.frombuffer(data, np.uint8))
+        _, at = anchors(np.frombuffer(data, np.uint8))
         offsets.add(int(at[len(pre)]) - len(pre))
     assert len(offsets) == 1
+
+
+def suffix_rows(near_rows):
+    rng = random.Random(6)
+    passage = prose(rng, 30)
+    return [*near_rows, *[(7000 + i, prose(rng, 20) + " " + passage + " " + prose(rng, 20)) for i in range(12)], (7100, "ab" * 300), (7101, "ab" * 90 + "x"), (7102, "é" * 60), (7103, "ü" + "é" * 30), (7104, passage + passage)]
+
+
+@pytest.mark.parametrize("limits", [{"hot": 2}, {"segment": 70, "chunk": 300}, {"slice": 900, "part": 2000}, {"hot": 5, "slice": 2000, "segment": 64}])
+def test_suffix_dedup_limits(make, near_rows, limits):
+    """Hot anchors, segments of long texts, small slices and many parts give the same bytes."""
+    rows = suffix_rows(near_rows)
+    got = Counter((r["doc_id"], bytes(r["kept"]), len(r["spans"])) for r in suffix_dedup.dedup(make(rows), suffix_dedup.Limits(**limits)).collect())
+    assert got == plain_suffix(rows)
+
+
+def test_suffix_query(spark, make, near_rows, tmp_path):
+    """The columns of the query, not its helpers alone."""
+    import hashlib
+
+    rows = suffix_rows(near_rows)
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    sizes = Counter((BIG if i is None else i, len((t or "").encode())) for i, t, *_ in rows)
+    for (i, kept, spans), n in plain_suffix(rows).items():
+        want[i, hashlib.sha256(kept).hexdigest(), spans] += n
+    out = suffix_dedup.op7_suffix_dedup(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["kept_sha256"], r["n_spans"]) for r in out) == want
+    assert Counter((BIG if r["doc_id"] is None else r["doc_id"], r["n_bytes"]) for r in out) == sizes
+    texts = {i: len((t or "").encode()) for i, t, *_ in rows}
+    assert all(0 <= r["n_removed"] <= r["n_bytes"] == texts[r["doc_id"]] for r in out)
+    assert all((r["n_removed"] == 0) == (r["n_spans"] == 0) for r in out)
