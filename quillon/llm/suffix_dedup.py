@@ -3,8 +3,8 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. Sorting every suffix of a corpus would move
 it fifty times over, so, as in prefix-doubling string sorting, a first exchange of hashes finds the suffixes that have no partner:
 
-1. Each 50-byte window is represented by one 32-byte string in it, its anchor, that depends on the window's bytes alone (mod-sampling: the
-   least of its 38 hashed 13-byte strings, taken modulo the 19 places that an anchor may have, so that few places are
+1. Each 50-byte window is represented by one 28-byte string in it, its anchor, that depends on the window's bytes alone (mod-sampling: the
+   least of its 46 hashed 5-byte strings, taken modulo the 23 places that an anchor may have, so that few places are
    anchors). Equal windows have equal anchors, so a window whose anchor no other text holds is unique. The anchors' hashes are dealt by hash and sorted; of
    equal ones in a slice of a batch the first goes, so a hot passage sends one row a slice.
 2. The windows with repeated anchors are cut into pieces, one for each 16-byte string that is the least in its windows. The suffix at
@@ -44,7 +44,7 @@ from quillon.llm.decontamination import mixed
 from quillon.session import discard, materialise, table
 
 #: Bytes of a window, of an anchor, of the strings that choose it, and of those that group suffixes.
-LENGTH, ANCHOR, CHOICE, GRAM = 50, 32, 13, 16
+LENGTH, ANCHOR, CHOICE, GRAM = 50, 28, 5, 16
 PLACES = LENGTH - ANCHOR + 1  # where an anchor may lie in its window
 _FACTOR = 0x9E3779B97F4A7C15
 ID = ["id", "th"]
@@ -56,7 +56,7 @@ class Limits:
     texts that share a run; ``hot``: occurrences beyond which an anchor is hot; ``part``: bytes of suffixes that one task merges."""
 
     segment: int = 1 << 20
-    chunk: int = 1 << 18
+    chunk: int = 1 << 17
     slice: int = 16 << 20
     hot: int = 4096
     part: int = 16 << 20
@@ -165,14 +165,15 @@ def _slices(columns: list[list], texts: int, size_limit: int) -> Iterator[list[l
 
 
 #: An anchor's row: place = ((number of occurrences that the row stands for << 31 | place in the text) << 12 | bytes from the first window to the anchor
-#: << 6 | bytes from the last one) << 1 | whether another text in the slice holds it.
-ANCHOR_ROW = "h long, th long, place long"
+#: << 6 | bytes from the last one) << 1 | whether another text in the slice holds it. A row with ``near`` is a text's: pairs of h and place, as bytes.
+ANCHOR_ROW = "h long, th long, place long, near binary"
+FOUND = "h long, th long, place long"
 _COUNT, _MOST = 44, (1 << 19) - 1
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], local: bool, limits: Limits) -> Iterator[pa.RecordBatch]:
-    """The anchors of each distinct text. ``local``: the rows that another text of the slice shares, but for the first of each anchor, which are
-    decided. Else, for the exchange, the rows that are not shared, and the first of those that are, with their number."""
+def _anchor_rows(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """The anchors of each distinct text for the exchange. Of those that texts of the slice share the first goes, with their number; the others are
+    decided, and take one row a text through it, dealt by text."""
     for b in batches:
         for hashes, texts in _slices([b.column(0).to_pylist(), b.column(1).to_pylist()], 1, limits.slice):
             firsts = dict(zip(reversed(hashes), reversed(texts)))
@@ -187,55 +188,70 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], local: bool, limits: Limits)
                 continue
             h, text, place = (np.concatenate(x) for x in found)
             order = np.argsort(h, kind="stable")
-            h, text, place = h[order], text[order], place[order]
+            h, text, place = h[order].view(np.int64), text[order], place[order]
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             count = np.diff(np.r_[start, len(h)])
             shared = np.minimum.reduceat(text, start) != np.maximum.reduceat(text, start)
-            each = np.repeat(shared, count)
-            top = np.zeros(len(h), bool)
-            top[start] = True
+            decided = np.repeat(shared, count)
             stands = np.ones(len(h), np.int64)
             stands[start[shared]] = np.minimum(count[shared], _MOST)
-            row = np.flatnonzero(each & ~top) if local else np.flatnonzero(~each | top)
-            packed = stands << _COUNT | place << 1 | each
-            for a in range(0, len(row), 65536):
-                k = row[a : a + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(th[text[k]]), pa.array(packed[k])], names=["h", "th", "place"])
+            packed = stands << _COUNT | place << 1 | decided
+            decided[start] = False
+            names = [x.split()[0] for x in ANCHOR_ROW.split(", ")]
+            for k in np.array_split(np.flatnonzero(~decided), len(h) // 65536 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(th[text[k]]), pa.array(packed[k]), pa.nulls(len(k), pa.binary())], names=names)
+            rest = np.flatnonzero(decided)
+            rest = rest[np.argsort(text[rest], kind="stable")]
+            if len(rest):
+                begin = np.flatnonzero(np.r_[True, text[rest][1:] != text[rest][:-1]])
+                pairs = np.column_stack([h[rest], packed[rest]])
+                own = th[text[rest[begin]]]
+                near = [pairs[a:z].tobytes() for a, z in zip(begin, [*begin[1:], len(rest)])]
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(own.view(np.uint64)).view(np.int64)), pa.array(own), pa.array(np.zeros(len(own), np.int64)), pa.array(near, pa.binary())], names=names)
 
 
 def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by h those whose anchor two texts hold at least; an anchor that is hot adds a row with the place -1. A group has at most a row a
     slice of the corpus, and the rows of one text."""
     for t in whole_groups(batches, 65536):
-        h, th, place = (t.column(k).to_numpy() for k in range(3))
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        count = np.diff(np.r_[start, len(h)])
-        many = (np.minimum.reduceat(th, start) != np.maximum.reduceat(th, start)) | (np.maximum.reduceat(place & 1, start) > 0)
-        hot = start[many & (np.add.reduceat(place >> _COUNT, start) > most)]
-        keep = np.r_[np.flatnonzero(np.repeat(many, count)), hot]
-        out = place[keep]
-        out[len(keep) - len(hot) :] = -1
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(th[keep]), pa.array(out)], names=["h", "th", "place"])
+        near = t.column(3).is_valid().to_numpy().astype(bool)
+        h, th, place = (t.column(k).to_numpy()[~near] for k in range(3))
+        out = []
+        if len(h):
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            count = np.diff(np.r_[start, len(h)])
+            many = (np.minimum.reduceat(th, start) != np.maximum.reduceat(th, start)) | (np.maximum.reduceat(place & 1, start) > 0)
+            hot = start[many & (np.add.reduceat(place >> _COUNT, start) > most)]
+            keep = np.flatnonzero(np.repeat(many, count))
+            out = [(h[keep], th[keep], place[keep]), (h[hot], th[hot], np.full(len(hot), -1))]
+        some = np.flatnonzero(near)
+        if len(some):
+            pairs = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for x in t.column(3).take(pa.array(some))]
+            both = np.concatenate(pairs)
+            out.append((both[:, 0], np.repeat(t.column(1).to_numpy()[some], [len(x) for x in pairs]), both[:, 1]))
+        for a, b_, c in out:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b_), pa.array(c)], names=["h", "th", "place"])
 
 
 def repeated_anchors(rows: DataFrame, limits: Limits) -> DataFrame:
     """(h, th, place): the anchors of each text that another text has too, and a row with the place -1 for each hot one."""
-    bare = rows.select("th", "data")
-    apart = bare.mapInArrow(lambda x: _anchor_rows(x, False, limits), ANCHOR_ROW).repartition("h").sortWithinPartitions("h")
-    near = bare.mapInArrow(lambda x: _anchor_rows(x, True, limits), ANCHOR_ROW)
-    return apart.mapInArrow(lambda x: _met(x, limits.hot), ANCHOR_ROW).unionByName(near)
+    apart = rows.select("th", "data").mapInArrow(lambda x: _anchor_rows(x, limits), ANCHOR_ROW).repartition("h").sortWithinPartitions("h")
+    return apart.mapInArrow(lambda x: _met(x, limits.hot), FOUND)
 
 
 # -- runs ----------------------------------------------------------------------------------------------------------------
 def front_coded(suffixes: list[bytes]) -> tuple[list[int], list[bytes]]:
     """Of sorted suffixes the lengths shared with the one before, and the rests."""
-    shared, rests, last = [], [], b""
-    for s in suffixes:
-        n = common(last, s, 0)
-        shared.append(n)
-        rests.append(s[n:])
-        last = s
-    return shared, rests
+    shared: list[int] = []
+    for k in range(0, len(suffixes), 8192):
+        some = suffixes[max(k - 1, 0) : k + 8192]
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        width = int(sizes.max()) + 1
+        padded = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in some), np.uint8).reshape(-1, width)
+        differ = padded[1:] != padded[:-1]
+        differ[:, -1] = True
+        shared += ([] if k else [0]) + np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1])).tolist()
+    return shared, [x[n:] for n, x in zip(shared, suffixes)]
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -315,12 +331,11 @@ class LoserTree:
             self.winner = w
 
 
-def pack(pieces: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """A run of (suffix, left context, id, th, place of the first window), sorted by suffix, as bytes."""
-    shared, rests = front_coded([p[0] for p in pieces])
-    heads = np.array([(p[2], p[3], p[4]) for p in pieces], np.int64).tobytes()
-    sizes = np.array([(n, len(r), len(p[1])) for n, r, p in zip(shared, rests, pieces)], np.int32).tobytes()
-    return struct.pack("<I", len(pieces)) + heads + sizes + b"".join(rests) + b"".join(p[1] for p in pieces)
+def pack(suffixes: list[bytes], lefts: list[bytes], heads: np.ndarray) -> bytes:
+    """A run of sorted suffixes with the bytes before them and (id, th, place of the first window), as bytes."""
+    shared, rests = front_coded(suffixes)
+    sizes = np.array([shared, list(map(len, rests)), list(map(len, lefts))], np.int32).T
+    return struct.pack("<I", len(suffixes)) + np.ascontiguousarray(heads, np.int64).tobytes() + sizes.tobytes() + b"".join(rests) + b"".join(lefts)
 
 
 def unpack(run: bytes) -> Iterator[tuple[int, bytes, tuple]]:
@@ -344,16 +359,17 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _pieces(texts: list[bytes], places: list[np.ndarray], limits: Limits) -> Iterator[tuple[int, int, bytes, int, int, bool]]:
-    """(text, first window, bytes from there to the end of the last window, bytes before the suffix, hash of its first GRAM bytes, whether it is hot)
-    of each piece; ``places`` are the texts' repeated anchors as (place << 1 | hot)."""
+def _pieces(texts: list[bytes], places: list[np.ndarray], limits: Limits) -> tuple[list[bytes], np.ndarray]:
+    """The pieces, each from its first window to the end of its last, and of each a row (text, place of the first window, bytes before the suffix, hash of the
+    suffix's first GRAM bytes, whether it is hot); ``places`` are the texts' repeated anchors as (place << 1 | hot)."""
+    pieces: list[bytes] = []
+    rows = [np.zeros((0, 5), np.int64)]
     for data, inside, text, shift in _chunks(texts, limits):
         begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (shift[1:] != shift[:-1])]).tolist()
         marks = [np.zeros(len(text) + 1, np.int32) for _ in range(2)]
         for k, end in zip(begin, [*begin[1:], len(text)]):
-            i, by = int(text[k]), int(shift[k])
-            p = places[i]
-            q = (p >> 13 & 0x7FFFFFFF) + by
+            p = places[text[k]]
+            q = (p >> 13 & 0x7FFFFFFF) + shift[k]
             first, last = q - (p >> 7 & 63), q - (p >> 1 & 63)
             mine = (first >= k) & (last < end)  # another segment of a long text has the others
             for m, some in zip(marks, (mine, mine & (p & 1 == 1))):
@@ -363,37 +379,51 @@ def _pieces(texts: list[bytes], places: list[np.ndarray], limits: Limits) -> Ite
         gram, at = window_grams(data)
         first, last = _starts(inside & repeated, at, text, hot)
         q, whole = at[first], data.tobytes()
-        for i, a, b, left, h, hot_one, by in zip(text[first].tolist(), first.tolist(), (last + LENGTH).tolist(), (q - first).tolist(), gram[q].tolist(), hot[first].tolist(), shift[first].tolist()):
-            yield i, a - by, whole[a:b], left, h, hot_one
+        pieces += [whole[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist())]
+        rows.append(np.column_stack([text[first], first - shift[first], q - first, (gram[q] >> np.uint64(1)).view(np.int64), hot[first]]))
+    return pieces, np.concatenate(rows)
 
 
 def _make_runs(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """Runs of slices of (id, th, data, places), and the rows that are no runs."""
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def batch(*columns) -> pa.RecordBatch:
+        n = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds)], names=_names(RUN))
+
     for b in batches:
         places = [x.values.to_numpy() for x in b.column(3)]
         for ids, ths, texts, marks in _slices([b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), places], 2, limits.slice):
-            found: dict[bytes, list] = {}  # equal pieces have their suffix at the same place, as it depends on their bytes alone
-            for i, first, piece, left, h, hot in _pieces(texts, marks, limits):
-                rest = found.get(piece)
-                if rest is None:
-                    found[piece] = [left, h, hot, ids[i], ths[i], first]
-                else:
-                    rest += (ids[i], ths[i], first)
-            runs: dict[int, list] = {}
-            rows: list[tuple] = []
-            for piece, (left, h, hot, *held) in found.items():
-                least = min(held[::3])
-                for k in range(0, len(held), 3):
-                    i, th, first = held[k : k + 3]
-                    if i > least:
-                        rows.append((RANGE, None, i, th, first, first + len(piece)))
-                    elif hot:
-                        rows.append((OPEN, piece, i, th, first, None))
-                    else:
-                        runs.setdefault(h % parts, []).append((piece[left:], piece[:left], i, th, first))
-            rows += [(p, pack(sorted(r)), None, None, None, None) for p, r in sorted(runs.items())]
-            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_names(RUN))
+            pieces, rows = _pieces(texts, marks, limits)
+            if not pieces:
+                continue
+            known: dict[bytes, int] = {}  # equal pieces have their suffix at the same place, as it depends on their bytes alone
+            same = np.array([known.setdefault(p, k) for k, p in enumerate(pieces)])
+            text, first, left, gram, hot = rows.T
+            i, th = np.array(ids, np.int64)[text], np.array(ths, np.int64)[text]
+            least = i.copy()
+            np.minimum.at(least, same, i)
+            gone = np.flatnonzero(i > least[same])
+            if len(gone):
+                size = np.fromiter((len(pieces[k]) for k in gone.tolist()), np.int64, len(gone))
+                yield batch(np.full(len(gone), RANGE), None, i[gone], th[gone], first[gone], first[gone] + size)
+            stay = i == least[same]
+            some = np.flatnonzero(stay & (hot > 0))
+            if len(some):
+                yield batch(np.full(len(some), OPEN), [pieces[k] for k in some.tolist()], i[some], th[some], first[some], None)
+            some = np.flatnonzero(stay & (hot == 0))
+            part = gram[some] % parts
+            some = some[np.argsort(part, kind="stable")]
+            numbers, begin = np.unique(np.sort(part), return_index=True)
+            runs = []
+            heads = np.column_stack([i, th, first])
+            for k, z in zip(begin.tolist(), [*begin[1:].tolist(), len(some)]):
+                run = sorted((pieces[x][l:], x) for x, l in zip(some[k:z].tolist(), left[some[k:z]].tolist()))
+                order = [x for _, x in run]
+                runs.append(pack([x for x, _ in run], [pieces[x][:l] for x, l in zip(order, left[order].tolist())], heads[order]))
+            if runs:
+                yield batch(numbers, runs, None, None, None, None)
 
 
 def _common_end(a: bytes, b: bytes) -> int:
