@@ -57,7 +57,7 @@ class Limits:
 
     segment: int = 1 << 20
     chunk: int = 1 << 17
-    slice: int = 16 << 20
+    slice: int = 6 << 20
     hot: int = 1 << 16
     part: int = 16 << 20
 
