@@ -1,10 +1,13 @@
 """Rule regexes over bytes compiled into one deterministic automaton.
 
-A small regex syntax (literals, \\xHH and \\c escapes, classes, groups, |, ?, *, +, {m}, {m,}) is parsed into a
+A small regex syntax (literals, \\xHH and \\c escapes, classes, groups, |, ?, *, +, {m}, {m,}, {m,n}) is parsed into a
 nondeterministic automaton with one labelled end for each rule. Bytes that no rule tells apart share a class. Subset
-construction with every start state kept alive gives the automaton of which a state has the set of rules that a match ends
-for there; of counters of the same class only the one ahead is kept, as the question is whether a rule matches. Moore's partition refinement minimises it. The result is three arrays: class of a byte, transitions and
-rule mask of a state.
+construction gives the deterministic automaton, of which a state knows the rules that end there, and Moore's partition
+refinement minimises it. The result is three arrays: class of a byte, transitions, and the set of rules of a state, by its number in a list
+of sets; there may be any number of rules.
+
+Two kinds are built: ``Starts`` reads texts from their end and keeps every start state alive, so that it says of every place which rules have a match that begins there;
+``Ends`` begins at one place and says where the longest match of each rule ends.
 """
 
 from __future__ import annotations
@@ -85,13 +88,24 @@ class _Parser:
         return frozenset(out)
 
 
+def reversed_tree(node):
+    """The expression of the reversed strings."""
+    kind = node[0]
+    if kind == "seq":
+        return ("seq", [reversed_tree(x) for x in reversed(node[1])])
+    if kind == "or":
+        return ("or", [reversed_tree(x) for x in node[1]])
+    if kind == "rep":
+        return ("rep", reversed_tree(node[1]), *node[2:])
+    return node
+
+
 class _Nfa:
     """Thompson's construction; state -> (set of bytes, next) and state -> empty moves."""
 
     def __init__(self):
         self.moves: list[list[tuple[frozenset[int], int]]] = []
         self.empty: list[list[int]] = []
-        self.chain: dict[int, tuple[int, int]] = {}
 
     def state(self) -> int:
         self.moves.append([])
@@ -114,11 +128,8 @@ class _Nfa:
                 self.empty[self.add(x, self.fork(start))].append(end)
             return end
         _, inner, low, high = node
-        chain = len(self.moves)
-        for k in range(low):
+        for _ in range(low):
             start = self.add(inner, start)
-            if inner[0] == "set" and low > 1:
-                self.chain[start] = (chain, k)
         if high is None:
             loop, end = self.fork(start), self.state()
             self.empty[self.add(inner, loop)].append(loop)
@@ -136,17 +147,6 @@ class _Nfa:
         self.empty[start].append(s)
         return s
 
-    def ahead(self, found) -> frozenset[int]:
-        """``states`` without those that count the same class in the same place, but have counted less: the one that is
-        ahead matches wherever they do, and sooner."""
-        states = list(found)
-        best: dict[int, int] = {}
-        for s in states:
-            if s in self.chain:
-                c, k = self.chain[s]
-                best[c] = max(best.get(c, 0), k)
-        return frozenset(s for s in states if s not in self.chain or best[self.chain[s][0]] == self.chain[s][1])
-
     def closure(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)
         while todo:
@@ -158,88 +158,128 @@ class _Nfa:
 
 
 class Automaton:
-    """``klass`` (256 bytes -> class), ``step`` (state x class -> state) and ``mask`` (state -> bits of rules)."""
+    """``klass`` (256 bytes -> class), ``step`` (state x class -> state), ``mark`` (state -> number in ``sets``) and ``sets`` (tuples of rules; the first is
+    empty). ``start`` is the state to begin with; the states with a rule come last, from ``first`` on."""
 
-    def __init__(self, patterns: list[str]):
+    def __init__(self, patterns: list[str], anywhere: bool, backwards: bool):
         nfa, ends = _Nfa(), {}
         root = nfa.state()
         for k, p in enumerate(patterns):
-            ends[nfa.add(_Parser(p).alternatives(), nfa.fork(root))] = 1 << k
-        sets = sorted({s for m in nfa.moves for s, _ in m}, key=sorted)
-        signature = [tuple(b in s for s in sets) for b in range(256)]
+            tree = _Parser(p).alternatives()
+            ends[nfa.add(reversed_tree(tree) if backwards else tree, nfa.fork(root))] = k
+        kinds = sorted({s for m in nfa.moves for s, _ in m}, key=sorted)
+        signature = [tuple(b in s for s in kinds) for b in range(256)]
         order = {x: i for i, x in enumerate(dict.fromkeys(signature))}
         self.klass = np.array([order[x] for x in signature], np.uint8)
         byte_of = [signature.index(x) for x in order]
         closures = [nfa.closure([s]) for s in range(len(nfa.moves))]
         by_class = [[[t for s, t in m if b in s] for b in byte_of] for m in nfa.moves]
-        first = closures[root]
         busy = [bool(m) or s in ends for s, m in enumerate(nfa.moves)]
-        number = {frozenset(s for s in first if busy[s]): 0}
-        todo, step = list(number), []
+        begin = frozenset(s for s in closures[root] if busy[s])
+        always = begin if anywhere else frozenset()
+        after = [[frozenset(u for t in by_class[s][c] for u in closures[t] if busy[u]) for c in range(len(byte_of))] for s in range(len(nfa.moves))]
+        number = {begin: 0}
+        todo, step = [begin], []
         while len(step) < len(number):
             now, row = todo[len(step)], []
             for c in range(len(byte_of)):
-                nxt = set(first)
-                for s in now:
-                    for t in by_class[s][c]:
-                        nxt |= closures[t]
-                key = nfa.ahead(s for s in nxt if busy[s])
+                key = always.union(*(after[s][c] for s in now))
                 if key not in number:
                     number[key] = len(number)
                     todo.append(key)
                 row.append(number[key])
             step.append(row)
-        mask = np.array([sum({ends[s] for s in states if s in ends}) for states in todo], np.int64)
+        found = [tuple(sorted(ends[s] for s in states if s in ends)) for states in todo]
+        self.sets = sorted(set(found) | {()})
+        place = {x: i for i, x in enumerate(self.sets)}
         self.unminimised = len(step)
-        self._minimise(np.array(step, np.int64), mask)
+        self._minimise(np.array(step, np.int64), np.array([place[x] for x in found], np.int32))
 
-    def _minimise(self, step: np.ndarray, mask: np.ndarray) -> None:
-        group = np.unique(mask, return_inverse=True)[1]
+    def _minimise(self, step: np.ndarray, mark: np.ndarray) -> None:
+        group = np.unique(mark, return_inverse=True)[1]
         while True:
             finer = np.unique(np.column_stack([group, group[step]]), axis=0, return_inverse=True)[1].ravel()
             if finer.max() == group.max():
                 break
             group = finer
-        # the start comes first, and the states that have a mask last
         sample = np.unique(group, return_index=True)[1]
-        order = np.lexsort((np.arange(len(sample)) != group[0], mask[sample] != 0))
+        order = np.argsort(mark[sample] != 0, kind="stable")  # the states that have a rule come last
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         sample = sample[order]
         self.step = np.ascontiguousarray(rank[group[step[sample]]].astype(np.int32))
-        self.mask = mask[sample].astype(np.uint32)
+        self.mark = mark[sample]
+        self.start, self.first = int(rank[group[0]]), int(np.count_nonzero(self.mark == 0))
+
 
-    def scan(self, texts: list[bytes]) -> np.ndarray:
-        """The mask of the rules that match somewhere, for each text: all texts advance together, a byte a step."""
+class Starts(Automaton):
+    """Of every byte of a text the rules with a match that begins there, in one pass from the text's end."""
+
+    def __init__(self, patterns: list[str]):
+        super().__init__(patterns, True, True)
+
+    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, number in ``sets``) of the places with a rule, sorted: all texts advance together, a byte a step."""
         n = len(texts)
         sizes = np.fromiter(map(len, texts), np.int64, n)
         order = np.argsort(-sizes, kind="stable")
         data = self.klass[np.frombuffer(b"".join(texts), np.uint8)] if n else np.zeros(0, np.uint8)
-        at = (np.cumsum(sizes) - sizes)[order]
+        ends = np.cumsum(sizes)[order] - 1
         sizes = sizes[order]
-        found = np.zeros(n, np.uint32)
         width = self.step.shape[1]
         # states are kept multiplied by the number of classes, so that a step is one addition and one lookup
         flat = (self.step * width).ravel()
-        accepting = int(np.count_nonzero(self.mask == 0)) * width
-        state = np.zeros(n, np.int32)
+        accepting = self.first * width
+        state = np.full(n, self.start * width, np.int32)
         lengths = -sizes
+        which, where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         t, active = 0, int(np.searchsorted(lengths, 0, side="left"))
         while active >= FEW:
             now = state[:active]
-            np.take(flat, now + data[at[:active] + t], out=now)
+            np.take(flat, now + data[ends[:active] - t], out=now)
             if now.max() >= accepting:
-                found[:active] |= self.mask[now // width]
+                hit = np.flatnonzero(now >= accepting)
+                which.append(hit)
+                where.append(sizes[hit] - 1 - t)
+                what.append(now[hit] // width)
             t += 1
             active = int(np.searchsorted(lengths, -t, side="left"))
-        rows, masks, first = self.step.tolist(), self.mask.tolist(), accepting // width
+        rows = self.step.tolist()
         for i in range(active):
-            s, got = int(state[i]) // width, 0
-            for c in data[at[i] + t : at[i] + sizes[i]].tobytes():
+            s, places, states = int(state[i]) // width, [], []
+            last = int(sizes[i]) - 1 - t
+            for back, c in enumerate(data[ends[i] - t - last : ends[i] - t + 1][::-1].tobytes()):
                 s = rows[s][c]
-                if s >= first:
-                    got |= masks[s]
-            found[i] |= got
-        out = np.empty(n, np.uint32)
-        out[order] = found
+                if s >= self.first:
+                    places.append(last - back)
+                    states.append(s)
+            which.append(np.full(len(places), i))
+            where.append(np.array(places, np.int64))
+            what.append(np.array(states, np.int64))
+        text, place, found = order[np.concatenate(which)], np.concatenate(where), np.concatenate(what)
+        by = np.lexsort((place, text))
+        return text[by], place[by], self.mark[found[by]]
+
+
+class Ends(Automaton):
+    """Where the longest match of each rule ends that begins at a given place."""
+
+    def __init__(self, patterns: list[str]):
+        super().__init__(patterns, False, False)
+        self.rows, self.of_byte, self.marks = self.step.tolist(), self.klass.tolist(), self.mark.tolist()
+        self.dead = [self.mark[s] == 0 and set(r) == {s} for s, r in enumerate(self.rows)]
+
+    def walk(self, text: bytes, start: int) -> dict[int, int]:
+        """rule -> end; rules without a match are absent."""
+        s, last, rows, of_byte = self.start, {}, self.rows, self.of_byte
+        for at in range(start, len(text)):
+            s = rows[s][of_byte[text[at]]]
+            if s >= self.first:
+                last[self.marks[s]] = at + 1
+            elif self.dead[s]:
+                break
+        out: dict[int, int] = {}
+        for mark, end in sorted(last.items(), key=lambda x: x[1]):
+            for rule in self.sets[mark]:
+                out[rule] = end
         return out

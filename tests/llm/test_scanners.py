@@ -1,5 +1,6 @@
 """Secret scans, personal data, languages and quality scores."""
 
+import hashlib
 import random
 import re
 
@@ -7,35 +8,80 @@ import numpy as np
 import pytest
 
 from quillon.llm import language_id, pii, quality_classifier, secret_scan
-from quillon.llm.automaton import Automaton
+from quillon.llm.automaton import Ends, Starts
 from quillon.llm.lstm_crf import Tagger
 
 
+# the base as the contract words it: (kind, expression, group that is counted, least length)
+CONTRACT = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+]
+
+
 def plain_secrets(text):
     out = []
-    for k, r in enumerate(secret_scan.BASE):
-        out += [(m.start(), k, m.end()) for m in re.finditer(r.exact, text) if len(m.group(r.group)) >= r.least]
-    return [(secret_scan.BASE[k].kind, a, b) for a, k, b in sorted(out)]
+    for k, (_, pattern, group, least) in enumerate(CONTRACT):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m.group(group)) >= least]
+    return [(CONTRACT[k][0], a, b) for a, k, b in sorted(out)]
 
 
 def test_automaton_against_re():
     rng = random.Random(1)
-    patterns = ["a(b|c)+d", "[a-c]{3}x?", "ab*[:=]c{2,}", "aab|ba"]
-    auto = Automaton(patterns)
-    texts = ["".join(rng.choice("abcdx:=") for _ in range(rng.randint(0, 30))).encode() for _ in range(500)]
-    for text, mask in zip(texts, auto.scan(texts)):
-        assert [bool(mask >> k & 1) for k in range(4)] == [bool(re.search(p.encode(), text)) for p in patterns]
+    patterns = ["a(b|c)+d", "[a-c]{3}x?", "ab*[:=]c{2,}", "aab|ba", "a{2,3}"]
+    starts, ends = Starts(patterns), Ends(patterns)
+    texts = ["".join(rng.choice("abcdx:=") for _ in range(rng.randint(0, 30))).encode() for _ in range(500)] + [b"", b"ab" * 3000 + b"d"]
+    found = {}
+    for text, place, mark in zip(*(x.tolist() for x in starts.scan(texts))):
+        found[text, place] = set(starts.sets[mark])
+    for i, text in enumerate(texts):
+        for at in range(len(text)):
+            want = {k: max(e for e in range(at, len(text) + 1) if re.fullmatch(p.encode(), text[at:e])) for k, p in enumerate(patterns) if re.compile(p.encode()).match(text, at)} if len(text) < 100 else None
+            if want is not None:
+                assert found.get((i, at), set()) == set(want) and ends.walk(text, at) == want
+    assert all(found[len(texts) - 1, at] for at in (0, 2, 5998))
+
+
+def test_any_number_of_rules():
+    """None of 70 rules is lost, alone or together."""
+    words = [f"key{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(70)]
+    rules = tuple(secret_scan.Rule(f"k{k}", w + "[0-9]+", 2 + len(w)) for k, w in enumerate(words))
+    scan = secret_scan.scanner(rules)
+    texts = [f"x {w}12 {w}3 {w}456" for w in words] + [" ".join(w + "77" for w in words)]
+    got = scan(texts)
+    assert [[(k, t[a:b]) for k, a, b in spans] for t, spans in zip(texts[:-1], got)] == [[(f"k{k}", w + "12"), (f"k{k}", w + "456")] for k, w in enumerate(words)]
+    assert [k for k, _, _ in got[-1]] == [f"k{k}" for k in range(70)]
 
 
 def test_secrets_random():
     rng = random.Random(2)
     parts = ["token", "Password", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "abc", "XYZ12", "AKIA", "0123456789ab", "deadbeef", "A1B2C3D4E5", "ghp_", "é", "\n", "ſecret", "toKen"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "AKIA" * 400, "0" * 5000]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "AKIA" * 400, "0" * 5000, "token=" * 3000, "token=token: abcdef", 'passwd" : =x=abcde']
     base = {r.kind for r in secret_scan.BASE}
     for text, spans in zip(texts, secret_scan.scanner()(texts)):
         assert [s for s in spans if s[0] in base] == plain_secrets(text)
 
 
+def test_secrets_query(spark, tmp_path):
+    """All columns of the query against plain Python."""
+    rng = random.Random(21)
+    parts = ["token", "=", ":", " ", "'", "abcdef12", "AKIA", "0123456789ab", "A1B2C3D4E5F6", "ghp_" + "a1" * 20, "é", "\n"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(40)), "en", "s", 1) for i in range(300)] + [(900, None, "en", "s", 0), (901, "", None, None, None), (None, "token=abcdef", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secret_scan.op10_secret_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, text, *_ in rows:
+        spans = plain_secrets(text or "")
+        forge = [("forge", *m.span()) for m in re.finditer("gh[pousr]_[A-Za-z0-9]{36,}", text or "")]
+        order = ["assign", "access", "hex", "forge"]
+        every = sorted(spans + forge, key=lambda s: (s[1], order.index(s[0])))
+        r = got[i]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in spans) for k in order[:3])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in every)
+
+
 def test_secrets_added():
     text = "x ghp_" + "a1B2" * 9 + " -----BEGIN RSA PRIVATE KEY----- xoxb-123456789012"
     assert [s[0] for s in secret_scan.scanner()([text])[0]] == ["forge", "pem", "chat"]
