@@ -10,29 +10,30 @@ verified by the exact similarity.
 A window can only be similar to an item with which it shares a shingle. The windows that share none with any item are left
 out before their fingerprint is made; this loses nothing, and of ordinary text it leaves next to nothing.
 
-The benchmark is a stated query set, taken against all documents in blocks of ``BLOCK_ITEMS`` items of at most ``BLOCK_TOKENS``
-tokens together; each block is a broadcast of that bounded size, and documents are never shuffled for the search.
+The benchmark is a stated query set, taken against the documents in blocks of ``BLOCK_ITEMS`` items of at most ``BLOCK_TOKENS``
+tokens together: at most 34 MB of tables and 2 MB of shingles a block, and 32 MB of filter. Documents are never shuffled for the search.
 
 Cases: an item or document that is null or has no token matches nothing; an item of fewer than five tokens has one shingle, its
-whole token list; a document shorter than an item has no window for it; items given twice are both reported; rows of
-documents given twice are reported once each pair; null ids are reported as null; an empty table gives no pair; other columns are
-passed through by ``drop_contaminated``.
+whole token list; of a document shorter than an item the whole is the one window; a document of any length is searched whole; items given twice are both reported; rows of
+documents given twice are reported once each pair; null ids are reported as null; similarities are rounded to six digits, and of equal ones there is nothing to choose; an
+empty table gives no pair; other columns, whatever their names, are passed through by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import ROW, token_hashes, with_row_key
-from quillon.session import table
+from quillon.llm.columns import ROW, packed, token_hashes, unpacked, with_row_key
+from quillon.session import discard, materialise, table
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-BLOCK_ITEMS, BLOCK_TOKENS = 1024, 262_144
+BLOCK_ITEMS, BLOCK_TOKENS, FILTER_BITS = 1024, 262_144, 28
 BLOCKS, BLOCK_BITS = 4, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,60 +71,64 @@ def near_values(bits: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """A block of items by length, with the multi-index tables of their fingerprints."""
+    """A block of items with the multi-index tables of their fingerprints: 32 KB an item, whatever the lengths."""
 
     def __init__(self, ids: list, tokens: list[np.ndarray], radius: int = RADIUS):
-        self.radius, self.lengths = radius, {}
+        self.radius, self.ids, self.lengths = radius, ids, {}
         near = near_values(radius // BLOCKS)
+        self.tables = np.zeros((BLOCKS, 1 << BLOCK_BITS, -(-len(ids) // 8)), np.uint8)
+        self.prints = np.zeros(len(ids), np.uint64)
+        self.shingles: list[np.ndarray] = []
         by_length: dict[int, list[int]] = {}
         for i, t in enumerate(tokens):
             by_length.setdefault(len(t), []).append(i)
+            self.shingles.append(np.sort(shingle_hashes(t, min(SHINGLE, len(t)))))
+            self.prints[i] = simhash(self.shingles[i][None, :])[0]
+            for b, value in enumerate(self.prints[i : i + 1].view(np.uint16)):
+                self.tables[b, near ^ value, i >> 3] |= np.uint8(128 >> (i & 7))
         for n, rows in sorted(by_length.items()):
-            size = min(SHINGLE, n)
-            shingles = np.array([np.sort(shingle_hashes(tokens[i], size)) for i in rows])
-            prints = simhash(shingles)
-            blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-            tables = np.zeros((BLOCKS, 1 << BLOCK_BITS, -(-len(rows) // 8)), np.uint8)
-            for k in range(len(rows)):
-                for b in range(BLOCKS):
-                    tables[b, near ^ blocks[k, b], k >> 3] |= np.uint8(128 >> (k & 7))
-            self.lengths[n] = (size, [ids[i] for i in rows], shingles, prints, tables, np.unique(shingles))
-        self.known = {size: np.unique(np.concatenate([x[5] for x in self.lengths.values() if x[0] == size])) for size in {x[0] for x in self.lengths.values()}}
+            mask = np.zeros(self.tables.shape[2], np.uint8)
+            for i in rows:
+                mask[i >> 3] |= np.uint8(128 >> (i & 7))
+            self.lengths[n] = (min(SHINGLE, n), mask, np.unique(np.concatenate([self.shingles[i] for i in rows])))
+        self.known = {size: np.unique(np.concatenate([x[2] for x in self.lengths.values() if x[0] == size])) for size in {x[0] for x in self.lengths.values()}}
 
     def search(self, tokens: np.ndarray) -> Iterator[tuple[object, float, int]]:
         """(item id, similarity, start in tokens) of every window of a document's tokens that is similar to an item."""
         for size, known in self.known.items():
             shingles = shingle_hashes(tokens, size)
+            if not len(shingles):
+                continue
             at = np.searchsorted(known, shingles)
             hit = known[np.minimum(at, len(known) - 1)] == shingles
             if not hit.any():
                 continue
-            for n, (k, ids, items, prints, tables, own) in self.lengths.items():
-                if k != size or len(tokens) < n:
+            for n, (k, mask, own) in self.lengths.items():
+                width = min(n - size + 1, len(shingles))  # of a shorter document the whole is the window
+                if k != size or width < SIMILARITY * (n - size + 1):
                     continue
-                width = n - size + 1
                 shared = hit & np.isin(shingles, own) if len(own) < len(known) else hit
                 running = np.concatenate([[0], np.cumsum(shared)])
                 starts = np.flatnonzero(running[width:] > running[:-width])
                 if len(starts):
-                    yield from self._windows(shingles, starts, width, ids, items, prints, tables)
+                    yield from self._windows(shingles, starts, width, mask)
 
-    def _windows(self, shingles, starts, width, ids, items, prints, tables):
+    def _windows(self, shingles, starts, width, mask):
         step = max(1, min(4096, (1 << 18) // width))  # bounds the bits unpacked at once, also for very long items
         for a in range(0, len(starts), step):
             some = starts[a : a + step]
             windows = np.lib.stride_tricks.sliding_window_view(shingles, width)[some]
             found = simhash(windows)
             block = found.view(np.uint16).reshape(-1, BLOCKS)
-            near = tables[0][block[:, 0]]
+            near = self.tables[0][block[:, 0]]
             for b in range(1, BLOCKS):
-                near = near | tables[b][block[:, b]]
-            row, item = np.nonzero(np.unpackbits(near, axis=1)[:, : len(ids)])
-            close = np.bitwise_count(found[row] ^ prints[item]) <= self.radius
+                near |= self.tables[b][block[:, b]]
+            row, item = np.nonzero(np.unpackbits(near & mask, axis=1)[:, : len(self.ids)])
+            close = np.bitwise_count(found[row] ^ self.prints[item]) <= self.radius
             for r, i in zip(row[close], item[close]):
-                s = weighted_jaccard(np.sort(windows[r]), items[i])
+                s = weighted_jaccard(np.sort(windows[r]), self.shingles[i])
                 if s >= SIMILARITY:
-                    yield ids[i], s, int(some[r])
+                    yield self.ids[i], s, int(some[r])
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -150,24 +155,68 @@ def item_blocks(items: DataFrame) -> Iterator[list]:
         yield block
 
 
+def _places(shingles: np.ndarray, size: int, bits: int) -> np.ndarray:
+    return mixed(shingles ^ np.uint64(size)) >> np.uint64(64 - bits)
+
+
+def shingle_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """(a bit for each hash of an item's shingles, at most 2^FILTER_BITS; the sizes of shingles): what meets no bit shares no shingle with any item."""
+    counted = items.select(F.size(token_hashes(F.col("text"))).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    bits = min(FILTER_BITS, max(16, int(64 * counted).bit_length()))
+    out, sizes = np.zeros(1 << bits >> 3, np.uint8), set()
+    for block in item_blocks(items):
+        for _, t in block:
+            size = min(SHINGLE, len(t))
+            sizes.add(size)
+            at = _places(shingle_hashes(t, size), size, bits)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return out, sorted(sizes)
+
+
+def _token_rows(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    lists = b.column(3)
+    flat, end = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), 0
+    for n in lists.value_lengths().to_numpy(zero_copy_only=False).tolist():
+        yield flat[end : end + n]
+        end += n
+
+
 def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(__q_id, __q_row, doc_id, item_id, similarity, n_windows): the best similarity and the number of similar windows of each pair."""
+    """(__q_id, __q_row, doc_id, item_id, similarity, n_windows): the best similarity and the number of similar windows of each pair.
+
+    One pass over all documents keeps those that share a shingle with any item; only these are read again, once for each block of items. The driver and the
+    executors hold the filter or one block at a time."""
     spark = docs.sparkSession
     schema = "__q_id long, __q_row long, doc_id long, item_id long, similarity double, n_windows long"
     bare = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     bare = bare.select(*ROW, "doc_id", token_hashes(F.col("text")).alias("t"))
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    wanted = spark.sparkContext.broadcast(shingle_filter(items))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes = wanted.value
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, tokens in enumerate(_token_rows(b)):
+                for size in sizes:
+                    at = _places(shingle_hashes(tokens, size), size, len(bits).bit_length() + 2)
+                    if (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).any():
+                        keep[i] = True
+                        break
+            yield b.filter(pa.array(keep))
+
+    sifted = materialise(bare.mapInArrow(sift, bare.schema), "sharing")
+    wanted.unpersist()
+    parts = [spark.createDataFrame([], schema)]
+    for block in item_blocks(items):
         shared = spark.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block], radius))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                lists = b.column(3)
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
                 rows, found = [], []
-                for i, end in enumerate(ends.tolist()):
+                for i, tokens in enumerate(_token_rows(b)):
                     best: dict = {}
-                    for item, s, _ in shared.value.search(flat[(ends[i - 1] if i else 0) : end]):
+                    for item, s, _ in shared.value.search(tokens):
                         old = best.get(item, (0.0, 0))
                         best[item] = max(old[0], s), old[1] + 1
                     rows += [i] * len(best)
@@ -176,14 +225,16 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
                 more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*kept, *more], names=[x.split()[0] for x in schema.split(", ")])
 
-        out = out.unionByName(bare.mapInArrow(run, schema))
-    return out.distinct()
+        parts.append(materialise(sifted.mapInArrow(run, schema), "leaks"))
+        shared.unpersist()
+    discard(sifted)
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a similar window, with all their columns as they are."""
     found = leaks(docs, items).select(*ROW).distinct()
-    return with_row_key(docs).join(found, ROW, "left_anti").select(*docs.columns)
+    return unpacked(packed(docs).join(found, ROW, "left_anti"))
 
 
 def op2_decontamination(spark, sf_dir):
