@@ -11,9 +11,9 @@ Everything is DataFrame code: hot lines are summed before the shuffle, and joine
 exchange on either side, which Spark splits where a key is hot (or a broadcast where the repeated lines are few
 by Spark's own size check).
 
-Cases: a null or empty text is one empty line, and never changes; each row counts as a document, so a
-row given twice counts twice; of rows that share the largest doc_id each keeps the line; a null doc_id counts as smaller
-than any other; an empty table gives an empty table; other columns are passed through by ``drop_repeated_lines``.
+Cases: a null or empty text is one empty line, and never changes; rows with the same doc_id count as one document, so a
+row given twice counts once; of rows that share the largest doc_id each keeps the line; rows with a null doc_id are one document that counts as smaller
+than any other; a text of any length is split whole; an empty table gives an empty table; other columns, whatever their names, are passed through by ``drop_repeated_lines``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import NO_ID, ROW, let, line_key, lines, with_row_key
+from quillon.llm.columns import DOC, NO_ID, ROW, kept_lines, line_key, lines, packed, with_row_key, without_lines
 from quillon.session import materialise, table
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN_IN = 20, 3, 4, 2
@@ -35,10 +35,10 @@ class LineRuns:
         self.min_docs, self.fan_in, self.levels = min_docs, fan_in, []
 
     def add(self, batch: DataFrame, min_chars: int = MIN_CHARS) -> None:
-        """Merge-anti-join a batch of (doc_id, text) with the runs, and keep the rest as a run of its own."""
+        """Merge-anti-join a batch of (doc_id, text) with the runs, and keep the rest as a run of its own. All rows of a doc_id must be in one batch."""
         held = F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_key), lambda k: F.length(k) >= min_chars))
         rows = batch.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.explode(held).alias("line"))
-        own = rows.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
+        own = rows.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc"))
         if self.levels:
             full = self._union([r for level in self.levels for r in level]).where(F.col("n_docs") >= self.min_docs).select("h1", "h2", F.col("last_doc").alias("run_doc"))
             own = own.join(full, (own.h1 == full.h1) & (own.h2 == full.h2) & (full.run_doc >= own.last_doc), "left_anti")
@@ -95,44 +95,23 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int, batches: i
     return lost.groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("__q_drop"))
 
 
-def kept_lines(text, drop):
-    """The array of lines left when the sorted positions ``drop`` go: slices between them, in one pass."""
-
-    def cut(every, gone):
-        n = F.size(gone)
-
-        def between(i):
-            start = F.when(i == 0, F.lit(0)).otherwise(F.get(gone, i - 1) + 1)
-            stop = F.when(i == n, F.size(every)).otherwise(F.get(gone, i))
-            return F.slice(every, start + 1, stop - start)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), n), between))
-
-    return let(lines(text), lambda every: F.when(drop.isNull(), every).otherwise(let(drop, lambda gone: cut(every, gone))))
-
-
 def with_kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
-    """``docs`` with __q_drop (null where nothing goes) beside all its columns."""
-    lost = dropped_positions(docs, min_chars, min_docs, batches, fan_in)
-    return with_row_key(docs).join(lost, ROW, "left").drop(*ROW)
+    """``packed`` documents with __q_drop, null where nothing goes."""
+    return packed(docs).join(dropped_positions(docs, min_chars, min_docs, batches, fan_in), ROW, "left")
 
 
 def drop_repeated_lines(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with every column; ``text`` has lost its repeated lines, and ``n_chars``, if there, is counted anew.
     A text that keeps all its lines, or is null, stays as it is."""
-    out = with_kept_lines(docs, **parameters)
-    changed = F.col("__q_drop").isNotNull()
-    out = out.withColumn("text", F.when(changed, F.array_join(kept_lines(F.col("text"), F.col("__q_drop")), "\n")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return without_lines(with_kept_lines(docs, **parameters), F.col("__q_drop"))
 
 
 def op3_line_dedup(spark, sf_dir):
     """doc_id, n_lines, n_dropped and kept_sha256 for each document."""
     out = with_kept_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.array_join(kept_lines(F.col("text"), F.col("__q_drop")), "\n")
-    return out.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce(F.size("__q_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
+    doc_id, text = F.col(DOC)["doc_id"], F.col(DOC)["text"]
+    kept = F.array_join(kept_lines(text, F.col("__q_drop")), "\n")
+    return out.select(doc_id.alias("doc_id"), F.size(lines(text)).cast("long").alias("n_lines"), F.coalesce(F.size("__q_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""

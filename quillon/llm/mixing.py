@@ -10,7 +10,7 @@ that comes nearer to the target. The histogram has 2^bits rows a source at most,
 
 Cases: a null text has no words and is taken 0 times; a null source is the last one; rows with the same doc_id share
 a hash and go together; a null doc_id has a hash of its own; a source without words gets the target 0; an empty
-table gives an empty table; other columns are passed through by ``mix``, which repeats rows as often as taken.
+table gives an empty table; other columns, whatever their names, are passed through by ``mix``, which repeats rows as often as taken.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import ROW, with_row_key
+from quillon.llm.columns import ROW, packed, unpacked, with_row_key
 from quillon.session import materialise, table
 
 #: Bits of the hash, bits that one level of the histogram resolves, the largest multiple of a source, the weights.
@@ -96,8 +96,8 @@ def taken(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns as they are."""
     often = taken(docs).where("times > 0").groupBy(*ROW).agg(F.max("times").cast("int").alias("__q_times"))
-    out = with_row_key(docs).join(often, ROW)
-    return out.withColumn("__q_copy", F.explode(F.sequence(F.lit(1), F.col("__q_times")))).select(*docs.columns)
+    out = packed(docs).join(often, ROW)
+    return unpacked(out.withColumn("__q_copy", F.explode(F.sequence(F.lit(1), F.col("__q_times")))))
 
 
 def op6_mixing(spark, sf_dir):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import NO_ID, ROW, token_hashes, with_row_key
+from quillon.llm.columns import NO_ID, ROW, packed, token_hashes, unpacked, with_row_key
 from quillon.llm.components import Forest, components, whole_groups
 from quillon.llm.decontamination import mixed, shingle_hashes
 from quillon.session import materialise, table
@@ -230,7 +230,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """Of each class the row with the least doc_id, with all its columns as it is; of equal rows one."""
     tops = classes(docs, **parameters).select(F.col("class_id").alias("__q_id"), F.col("class_row").alias("__q_row")).distinct()
-    return with_row_key(docs).join(tops, ROW, "left_semi").dropDuplicates(ROW).select(*docs.columns)
+    return unpacked(packed(docs).join(tops, ROW, "left_semi").dropDuplicates(ROW))
 
 
 def op8_ngram_join(spark, sf_dir):

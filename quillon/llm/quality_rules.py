@@ -11,8 +11,8 @@ document of a host there are at most k/s of them; Spark broadcasts them only whe
 splits a hot key of the sort-merge join otherwise. 64-bit hashes of (host, line) do here: a wrong verdict needs
 a line that falls on one of the few frequent hashes.
 
-Cases: a null or empty text has no words and fails the base; a null source is a host of its own; each row counts as a
-document; rows given twice get the same verdict twice; an empty table gives an empty table; other columns are
+Cases: a null or empty text has no words and fails the base; a null source is a host of its own; rows with the same doc_id count as one
+document of a host, also those with a null one; rows given twice get the same verdict twice; a text of any length is read whole; an empty table gives an empty table; other columns, whatever their names, are
 passed through by ``keep_good``.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import ROW, let, line_key, lines, with_row_key, words
+from quillon.llm.columns import DOC, ROW, let, line_key, lines, packed, with_row_key, without_lines, words
 from quillon.session import materialise, table
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
@@ -84,30 +84,32 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def line_verdicts(docs: DataFrame, share: float, least: int) -> DataFrame:
-    """(__q_id, __q_row, __q_host, lost_words): words in lines above their host's limit, of one of equal rows; rows without such lines are absent."""
+    """(__q_id, __q_row, __q_host, lost_words, drop): words in lines above their host's limit, and the sorted positions of these, of one of equal rows; rows
+    without such lines are absent."""
     own = _with_host(docs.select("doc_id", "text", "source")).withColumn("host", F.col("__q_host"))
     keyed = F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_key), lambda k: k != ""))
-    sizes = own.groupBy("host").agg(F.count("*").alias("host_docs"))
-    held = own.select("host", F.explode(keyed).alias("line"))
-    counts = held.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
+    sizes = own.groupBy("host").agg(F.count_distinct("__q_id").alias("host_docs"))
+    held = own.select("host", "__q_id", F.explode(keyed).alias("line"))
+    counts = held.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count_distinct("__q_id").alias("n_docs")).where(F.col("n_docs") >= least)
     above = materialise(counts.join(sizes, "host").where(F.col("n_docs") > F.col("host_docs") * share).select("host", "h"), "host-lines")
     each = own.select(*KEY, "host", F.posexplode(lines(F.col("text"))).alias("at", "line"))
     each = each.select(*KEY, "host", "at", F.xxhash64(line_key(F.col("line"))).alias("h"), "line")
     lost = each.join(above, ["host", "h"]).select(*KEY, "at", F.size(words(F.col("line"))).cast("long").alias("n"))
-    return lost.distinct().groupBy(*KEY).agg(F.sum("n").alias("lost_words"))
+    return lost.distinct().groupBy(*KEY).agg(F.sum("n").alias("lost_words"), F.sort_array(F.collect_set("at")).alias("drop"))
 
 
 def verdicts(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCS, left: float = LEFT_SHARE) -> DataFrame:
-    """Per row: the row key, doc_id, the base's counts, base_failed, left_words and kept."""
+    """Per row: the row key, doc_id, the base's counts, base_failed, left_words, kept, and the positions of the lines that go."""
     judged = base(docs).join(line_verdicts(docs, share, least), KEY, "left")
     judged = judged.withColumn("left_words", F.col("n_words") - F.coalesce("lost_words", F.lit(0)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("left_words") >= left * F.col("n_words"))).drop("lost_words")
 
 
 def keep_good(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns as they are."""
-    good = verdicts(docs, **parameters).where("kept").select(*KEY).distinct()
-    return _with_host(docs).join(good, KEY, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that pass, with all their columns; ``text`` has lost the lines above its host's limit, and ``n_chars``, if there, is counted anew."""
+    good = verdicts(docs, **parameters).where("kept").select(*KEY, "drop").dropDuplicates(KEY)
+    rows = packed(docs).withColumn("__q_host", F.xxhash64(F.col(DOC)["source"]))
+    return without_lines(rows.join(good, KEY), F.col("drop"))
 
 
 def op5_quality_rules(spark, sf_dir):

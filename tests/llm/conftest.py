@@ -3,12 +3,12 @@ import random
 import pytest
 from helpers import prose
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h long, line string, words string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h long, line string, words string, __q_id long, __q_row string, __q_doc int, __q_host int, `a.b` string, n int"
 
 
 def row(i, text, lang="en", source="s1"):
     """A document with extra columns whose names operators use inside."""
-    return (i, text, lang, source, None if text is None else len(text), "x", 7, "y", "z")
+    return (i, text, lang, source, None if text is None else len(text), "x", 7, "y", "z", 5, "r", 6, 8, "dot", 9)
 
 
 @pytest.fixture(scope="session")

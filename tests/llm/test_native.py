@@ -26,12 +26,14 @@ def words(text):
 
 
 def test_line_dedup(make, odd_rows):
+    twice = "a line that one document holds, given three times\nx"
+    odd_rows = [*odd_rows, (60, twice), (60, twice), (60, twice), (61, twice)]
     docs = make(odd_rows)
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for i, t, *_ in odd_rows:
         for k in {key(x) for x in lines(t)}:
             if len(k) >= 20:
-                holders[k].append(BIG if i is None else i)
+                holders[k].add(BIG if i is None else i)
     want = Counter()
     for i, t, *_ in odd_rows:
         me = BIG if i is None else i
@@ -117,6 +119,25 @@ def test_mixing(make):
     assert mixed == Counter({r["doc_id"]: r["times"] for r in out if r["times"]})
 
 
+def test_quality_counts_documents(make):
+    """25 copies of one row are one document: its lines are held by one, and nothing goes."""
+    text = " ".join(f"w{j}" for j in range(40)) + "\n" + " ".join(f"v{j}" for j in range(30))
+    rows = [(1, text)] * 25 + [(2 + i, " ".join(f"x{i}y{j}" for j in range(40))) for i in range(9)]
+    out = quality_rules.keep_good(make(rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((i, t) for i, t in rows)
+
+
+def test_quality_removes_lines(make, odd_rows):
+    """Lines above the host's limit are gone from what is passed on; all other columns are as they were."""
+    line = "Subscribe to our letter"
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + ("\n" + line.upper() + " \nend" if i < 4 else "")) for i in range(12)]
+    docs = make(rows)
+    out = {r["doc_id"]: r for r in quality_rules.keep_good(docs).collect()}
+    for i, t in rows:
+        want = t.replace(line.upper() + " \n", "").replace("\nend", "") if i < 4 else t
+        assert out[i]["text"] == want and out[i]["n_chars"] == len(want) and out[i]["__q_row"] == "r" and out[i]["a.b"] == "dot"
+
+
 @pytest.mark.parametrize("run", [line_dedup.drop_repeated_lines, quality_rules.keep_good, mixing.mix])
 def test_empty(make, run):
     docs = make([])
