@@ -2,19 +2,19 @@
 
 Documents are sets of 5-token shingles. Documents with the same set are one node, kept with the number of its copies, so no
 group of copies is ever expanded. Each node has TREES x DEPTH MinHash values; a tree of the forest is the trie of the nodes'
-DEPTH values, of which the sorted prefixes of one length are the buckets. The matched prefix starts at DEPTH and is shortened until the
-chance that two nodes of the least similarity share a prefix in some tree reaches the target recall; all nodes in a bucket of that
-length are then candidates of each other.
-
-In a bucket, nodes whose signatures agree often enough (RELAX standard deviations below the least similarity) are linked to a
-local root, so a bucket gives at most one row a node. The components of these rows hold every true link; within each component the
-shingle sets of all nodes are compared exactly, which gives the links and, as their components, the classes. A bucket or
-component of more than its limit is dealt out as pairs of chunks, so that no task ever holds more than two chunks, and
+DEPTH values, with its leaves in sorted order. Nodes match that share a prefix in some tree: at first all DEPTH values, and then, level by level, fewer, until the
+recall measured on the links found so far reaches the target. Nodes whose signatures agree often enough (RELAX standard deviations below
+the least similarity) are linked. A bucket, which is a subtree, gives at most one row a node and level, and only subtrees with
+nodes that are not yet connected are looked at again.
+
+The components of these links hold every true link; within each component all nodes are compared exactly, by how their shingles differ from those of the
+component's root, which gives the links and, as their components, the classes. A bucket or component beyond what a task may hold is dealt out as pairs of chunks, and
 nothing is dropped.
 
 Cases: a null or empty text, or one without letters and digits, has no shingle, no link and a class of its own; a text of
-one to four tokens has one shingle, all its tokens; rows given twice are copies of each other, and links; a null doc_id is
-a document like others and, as a class id, null; an empty table gives an empty table; other columns are passed through by ``keep_one``.
+one to four tokens has one shingle, all its tokens; a text of any length is read whole; rows given twice are copies of each other, and links; a null doc_id is
+a document like others and, as a class id, null; of rows that tie for a class's least doc_id ``keep_one`` keeps the one with the least hash of its text; an
+empty table gives an empty table; other columns, whatever their names, are passed through by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ from quillon.session import materialise, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.9999
-#: Standard deviations of the signature estimate below the least similarity; nodes of a chunk in a bucket and in a component.
-RELAX, BUCKET_CHUNK, CHUNK = 4.5, 1024, 256
+#: Standard deviations of the signature estimate below the least similarity.
+RELAX = 4.5
+#: What a task holds at most of one group: nodes of a bucket; nodes and values of the differences in a component. Nodes that share one copy of the root's text.
+BUCKET_CHUNK, CHUNK, CHUNK_VALUES, SALT = 8192, 8192, 1 << 22, 1024
 HASHES = TREES * DEPTH
 
 
@@ -100,108 +102,205 @@ def signed(docs: DataFrame) -> DataFrame:
     return materialise(bare.mapInArrow(run, schema), "signatures")
 
 
-def _dealt(rows: DataFrame, group: str, size: str, chunk: int) -> DataFrame:
-    """``rows`` sorted by __g: a group of up to ``chunk`` rows is one, a larger one each pair of its chunks; side tells the chunks apart."""
-    n = F.ceil(F.col(size) / chunk).cast("int")
+def _dealt(rows: DataFrame, group: str, chunks: str) -> DataFrame:
+    """``rows`` with __g: a group of one chunk is one, a larger one each pair of its chunks; side tells the chunks apart."""
+    n = F.col(chunks).cast("int")
     mine = F.pmod(F.xxhash64("node"), n).cast("int")
     out = rows.withColumn("__n", n).withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     low, high = F.least("__mine", "__other"), F.greatest("__mine", "__other")
     out = out.withColumn("__g", F.xxhash64(group, low, high)).withColumn("side", (F.col("__mine") > F.col("__other")).cast("int")).withColumn("same", F.col("__mine") == F.col("__other"))
-    return out.drop("__n", "__mine", "__other", size, group)
-
-
-def candidate_links(nodes: DataFrame, similarity: float, depth: int) -> DataFrame:
-    """(a, b): nodes and the local root of nodes with a like signature in a shared bucket."""
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * depth))))
-    rows = nodes.where("n_shingles > 0").select("node", F.explode(prefixes).alias("bucket"))
-    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = _dealt(rows.join(shared, "bucket").join(nodes.select("node", "sig"), "node"), "bucket", "n", BUCKET_CHUNK)
-    members = members.select("__g", "node", "sig").repartition("__g").sortWithinPartitions("__g")
+    return out.drop("__n", "__mine", "__other", chunks, group)
+
+
+# -- the forest ----------------------------------------------------------------------------------------------------------
+def leaves(nodes: DataFrame, depth: int) -> DataFrame:
+    """(bucket, key, node, root): a leaf for each node and tree; key has the tree's values, and leaves with the first ``depth`` of them in common share a bucket."""
+    tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("key")))
+    rows = nodes.select("node", "root", F.explode(tree).alias("leaf"))
+    return rows.select(F.xxhash64("leaf.tree", F.substring("leaf.key", 1, 2 * depth)).alias("bucket"), "leaf.key", "node", "root")
+
+
+def _like(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (sig[a] == sig[b]).mean(axis=1)
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+
+
+LINK = "a long, b long, s double"
+
+
+def _to_first(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links of each row's node to ``first``, of rows (node, sig, first, first_sig)."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        sig = np.concatenate([_signatures(t.column(1)), _signatures(t.column(3))])
+        s = _like(sig, np.arange(len(t)), np.arange(len(t)) + len(t))
+        k = np.flatnonzero(s >= least)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), b.column(2).take(pa.array(k)), pa.array(s[k])], names=["a", "b", "s"])
+
+
+def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links between nodes of different roots in a bucket, of rows (__g, key, node, root, sig) sorted by __g and key. Neighbours in the trie come first; what
+    is linked is compared no more."""
+    for t in whole_groups(batches):
+        g, node, root = (t.column(k).to_numpy() for k in (0, 2, 3))
+        sig, n = _signatures(t.column(4)), len(t)
+        forest, ends = Forest(n), np.searchsorted(g, g, side="right")
+        order = np.lexsort((root, g))
+        known = order[:-1][(root[order[1:]] == root[order[:-1]]) & (g[order[1:]] == g[order[:-1]])]
+        after = order[1:][(root[order[1:]] == root[order[:-1]]) & (g[order[1:]] == g[order[:-1]])]
+        forest.union(known, after)
+        found: list[tuple] = []
+        at, lag = np.arange(n), 1
+        while len(at := at[at + lag < ends[at]]):
+            apart = at[forest.root[at] != forest.root[at + lag]]
+            for i in range(0, len(apart), 8192):
+                x = apart[i : i + 8192]
+                s = _like(sig, x, x + lag)
+                like = s >= least
+                found.append((node[x[like]], node[x[like] + lag], s[like]))
+                forest.union(x[like], x[like] + lag)
+            lag += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)) for k, kind in enumerate((np.int64, np.int64, float))], names=["a", "b", "s"])
+
+
+def estimated_recall(links: DataFrame, similarity: float, depth: int) -> float:
+    """The least share of the links of a band of similarities that prefixes of ``depth`` values find: a link of similarity s is found with the chance
+    p = 1 - (1 - s^depth)^TREES, so the n links found stand for the sum of 1 / p; 1 without any link."""
+    s = F.least(F.lit(1.0), F.greatest(F.lit(similarity), F.col("s")))
+    p = 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(TREES))
+    bands = links.groupBy(F.floor((s - similarity) * 20).alias("band")).agg((F.count("*") / F.sum(1 / p)).alias("share"))
+    return bands.agg(F.coalesce(F.min("share"), F.lit(1.0))).first()[0]
+
+
+def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(node, root): the components of nodes with a like signature that share a prefix in some tree.
+
+    The prefixes begin at DEPTH values and get shorter until the measured recall reaches the target; at ``prefix_length`` it is reached for the least
+    similarity, so they never get shorter. Each level looks only at buckets with nodes of different components: first each node meets
+    the first of its bucket, which a large group of near copies needs no more than, and then what is still apart is compared pair by pair."""
     least = similarity - RELAX * math.sqrt(similarity * (1 - similarity) / HASHES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
-            g, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint16).reshape(len(g), HASHES)
-            order = np.lexsort((node, g))
-            g, node, sig = g[order], node[order], sig[order]
-            ends = np.searchsorted(g, g, side="right")
-            forest, at, lag = Forest(len(g)), np.arange(len(g)), 1
-            while len(at := at[at + lag < ends[at]]):
-                apart = at[forest.root[at] != forest.root[at + lag]]
-                for i in range(0, len(apart), 8192):
-                    x = apart[i : i + 8192]
-                    like = x[(sig[x] == sig[x + lag]).mean(axis=1) >= least]
-                    forest.union(like, like + lag)
-                lag += 1
-            own = np.flatnonzero(forest.root != np.arange(len(g)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[forest.root[own]])], names=["a", "b"])
-
-    return members.mapInArrow(run, "a long, b long").where("a <> b")
-
-
-def _bits(sets: list[np.ndarray]) -> np.ndarray:
-    """Each set as a row of bits over the values that two sets at least hold."""
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows, kept = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), counts > 1
-    place, use = np.cumsum(kept) - 1, kept[inverse]
-    words = -(-int(kept.sum()) // 64) or 1
-    out = np.zeros((len(sets), words * 64), bool)
-    out[rows[use], place[inverse[use]]] = True
-    return np.packbits(out, axis=1).view(np.uint64)
-
-
-def _links(sets: list[np.ndarray], side: np.ndarray, same: bool, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set the later ones that are similar to it; of a pair of chunks only sets of different chunks are compared."""
-    sizes = np.array([len(s) for s in sets])
-    many = len(sets) > 12
-    bits = _bits(sets) if many else None
-    for i in range(len(sets) - 1):
-        rest = np.arange(i + 1, len(sets))
+    some = nodes.where("n_shingles > 0").select("node", "sig")
+    links, roots, floor = None, None, prefix_length(similarity, recall=recall)
+
+    def rooted() -> DataFrame:
+        return some.withColumn("root", F.col("node")) if roots is None else some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed_buckets(depth: int, name: str) -> DataFrame:
+        groups = leaves(rooted(), depth).groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "node")).alias("first"))
+        return materialise(groups.where("low <> high").select("bucket", "n", F.col("first.node").alias("first")), name)
+
+    def add(found: DataFrame) -> None:
+        nonlocal links, roots
+        links = found if links is None else links.unionByName(found)
+        roots = materialise(components(links.select("a", "b")), "roots")
+
+    for depth in range(DEPTH, floor - 1, -1):
+        buckets = mixed_buckets(depth, "buckets")
+        pairs = leaves(rooted(), depth).join(buckets, "bucket").where("node <> first").select("node", "first").distinct()
+        stars = pairs.join(some, "node").join(some.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")), "first").select("node", "sig", "first", "first_sig")
+        add(materialise(stars.mapInArrow(lambda x: _to_first(x, least), LINK), "stars"))
+        buckets = mixed_buckets(depth, "buckets").withColumn("chunks", F.ceil(F.col("n") / BUCKET_CHUNK))
+        members = _dealt(leaves(rooted(), depth).join(buckets.select("bucket", "chunks"), "bucket").join(some, "node"), "bucket", "chunks")
+        members = members.select("__g", "key", "node", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
+        add(materialise(members.mapInArrow(lambda x: _within(x, least), LINK), "near"))
+        if estimated_recall(links, similarity, depth) >= recall:
+            break
+    return roots
+
+
+# -- exact links ---------------------------------------------------------------------------------------------------------
+DIFFERENCE = "root long, node long, copies long, size int, base_size int, diff array<bigint>"
+_MORE = np.uint64(0xA0761D6478BD642F)
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (root, salt, member, node, copies, tokens) in this order, the root's own first: how a node's shingles differ from the root's, as the values of
+    the root that it lacks and, marked, those that it adds."""
+    last, base = None, np.zeros(0, np.uint64)
+    for b in batches:
+        root, salt, member, node, copies = (b.column(k).to_pylist() for k in range(5))
+        out: list[tuple] = []
+        for k, tokens in enumerate(_token_lists(b.column(5))):
+            if last == (root[k], salt[k], node[k]):
+                continue  # a row given twice is one node
+            last, s = (root[k], salt[k], node[k]), shingle_set(tokens)
+            if not member[k]:
+                base = s
+                if salt[k]:
+                    continue
+            diff = np.concatenate([np.setdiff1d(base, s, True), np.setdiff1d(s, base, True) ^ _MORE])
+            out.append((root[k], node[k], copies[k], len(s), len(base), diff.view(np.int64)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in DIFFERENCE.split(", ")])
+
+
+def _pairs(diffs: list[np.ndarray], size: np.ndarray, base: int, side: np.ndarray, same: bool, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set the later ones that are similar to it; of a pair of chunks only sets of different chunks are compared.
+
+    Two sets share what neither lacks of the root's, and what both add: common = base - lacked by a - lacked by b + equal differences. Equal differences are counted
+    through an inverted index, which has a list for each value that two sets have."""
+    n = len(diffs)
+    values, inverse, counts = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(d) for d in diffs])
+    often = counts[inverse] > 1
+    inverse, owner = inverse[often], owner[often]
+    by_value = np.argsort(inverse, kind="stable")
+    holders, begin = owner[by_value], np.searchsorted(inverse[by_value], np.arange(len(values) + 1))
+    mine = np.searchsorted(owner, np.arange(n + 1))
+    # size = base - lacked + added, and lacked + added = the number of differences
+    lacked = (base - size + np.array([len(d) for d in diffs])) // 2
+    for i in range(n - 1):
+        lists = [holders[begin[v] : begin[v + 1]] for v in inverse[mine[i] : mine[i + 1]].tolist()]
+        equal = np.bincount(np.concatenate(lists), minlength=n)[i + 1 :] if lists else 0
+        both = base - lacked[i] - lacked[i + 1 :] + equal
+        like = both >= similarity * (size[i] + size[i + 1 :] - both) - 1e-9
         if not same:
-            rest = rest[side[rest] != side[i]]
-        ratio = np.minimum(sizes[rest], sizes[i]) / np.maximum(sizes[rest], sizes[i])
-        rest = rest[ratio >= similarity]  # no pair with less can be similar enough
-        if many:
-            both = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64)
-        else:
-            both = np.array([_common(sets[i], sets[j]) for j in rest], np.int64)
-        yield i, rest[both >= similarity * (sizes[i] + sizes[rest] - both) - 1e-9]
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+            like &= side[i + 1 :] != side[i]
+        yield i, i + 1 + np.flatnonzero(like)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(node, root, links) of rows (__g, node, copies, size, base_size, side, same, diff) sorted by __g."""
+    for t in whole_groups(batches, 512):
+        g, node, copies, size, base, side = (t.column(k).to_numpy() for k in range(6))
+        same, diffs = t.column(6).to_pylist(), [d for c in t.column(7).chunks for d in _token_lists(c)]
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        out: tuple[list, list, list] = ([], [], [])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(g)]):
+            forest, links = Forest(b - a), np.zeros(b - a, np.int64)
+            for i, others in _pairs(diffs[a:b], size[a:b].astype(np.int64), int(base[a]), side[a:b], same[a], similarity):
+                links[i] += copies[a:b][others].sum()
+                links[others] += copies[a + i]
+                apart = others[forest.root[others] != forest.root[i]]
+                if len(apart):
+                    forest.union(np.full(len(apart), i), apart)
+            own = np.flatnonzero(links)
+            for x, values in zip(out, (node[a:b][own], node[a:b][forest.root[own]], links[own])):
+                x.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], names=["node", "root", "links"])
 
 
 def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(node, root, links): of each task's nodes the local root and the number of documents linked there."""
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    """(node, root, links): of each task's nodes the local root and the number of documents linked there.
+
+    Every text of a component is sent once, to one of the places to which the root's text goes, and leaves its difference from that; only the differences
+    of a component meet each other, so a large group of near copies, which differ little, is small."""
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     some = roots.join(sizes, "root").join(nodes.select("node", "copies", *ROW), "node")
     some = materialise(some, "candidates")  # as many as the corpus has near copies: no bound, so no broadcast at any size
     texts = with_row_key(docs.select("doc_id", "text"))
-    rows = texts.join(some.hint("merge"), ROW).select("root", "n", "node", "copies", token_hashes(F.col("text")).alias("t"))
-    rows = _dealt(rows, "root", "n", CHUNK).select("__g", "node", "copies", "side", "same", "t").repartition("__g").sortWithinPartitions("__g")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, 512):
-            g, node, copies, side = (t.column(k).to_numpy() for k in range(4))
-            same, sets = t.column(4).to_pylist(), [shingle_set(x) for c in t.column(5).chunks for x in _token_lists(c)]
-            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            out: tuple[list, list, list] = ([], [], [])
-            for a, b in zip(starts, [*starts[1:], len(g)]):
-                first = a + np.unique(node[a:b], return_index=True)[1]  # a row given twice is one node
-                forest, links = Forest(len(first)), np.zeros(len(first), np.int64)
-                for i, others in _links([sets[k] for k in first], side[first], same[a], similarity):
-                    links[i] += copies[first[others]].sum()
-                    links[others] += copies[first[i]]
-                    forest.union(np.full(len(others), i), others)
-                own = np.flatnonzero(links)
-                for x, values in zip(out, (node[first[own]], node[first[forest.root[own]]], links[own])):
-                    x.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], names=["node", "root", "links"])
-
-    return rows.mapInArrow(run, "node long, root long, links long")
+    rows = texts.join(some.hint("merge"), ROW).withColumn("member", F.col("node") != F.col("root"))
+    places = F.when(F.col("member"), F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    rows = rows.select("root", F.explode(places).alias("salt"), "member", "node", "copies", token_hashes(F.col("text")).alias("t"))
+    order = ("root", "salt", "member", "node")
+    diffs = materialise(rows.repartition("root", "salt").sortWithinPartitions(*order).select(*order, "copies", "t").mapInArrow(_differences, DIFFERENCE), "differences")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.size("diff")) / CHUNK_VALUES))
+    dealt = _dealt(diffs.join(diffs.groupBy("root").agg(chunks.cast("int").alias("chunks")), "root"), "root", "chunks")
+    dealt = dealt.select("__g", "node", "copies", "size", "base_size", "side", "same", "diff").repartition("__g").sortWithinPartitions("__g")
+    return dealt.mapInArrow(lambda x: _counted(x, similarity), "node long, root long, links long")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -210,8 +309,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     rows = signed(docs)
     nodes = rows.groupBy("node", "check").agg(F.min(F.struct(*ROW)).alias("top"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     nodes = materialise(nodes.select("node", "top.*", "copies", "sig", "n_shingles"), "nodes")
-    near = candidate_links(nodes, similarity, prefix_length(similarity, recall=recall))
-    found = materialise(exact_links(docs, nodes, components(near), similarity), "links")
+    found = materialise(exact_links(docs, nodes, candidate_links(nodes, similarity, recall), similarity), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     full = nodes.select("node", *ROW, "copies", "n_shingles").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -123,8 +123,8 @@ def test_join(make, near_rows):
 
 def test_join_in_chunks(make, near_rows, monkeypatch):
     """Groups above the chunk limits give the same links, each counted once."""
-    monkeypatch.setattr(ngram_join, "CHUNK", 7)
-    monkeypatch.setattr(ngram_join, "BUCKET_CHUNK", 5)
+    for name, value in (("CHUNK", 7), ("BUCKET_CHUNK", 5), ("SALT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
     got = Counter((r["__q_id"], r["class_id"], r["n_links"]) for r in ngram_join.classes(make(near_rows)).collect())
     assert got == plain_classes(near_rows)
 
@@ -138,6 +138,43 @@ def test_keep_one(make, near_rows):
     assert ngram_join.keep_one(make([])).count() == 0
 
 
+def test_recall_on_planted_pairs(make):
+    """Of 1000 pairs with a similarity of just above 0.8 and 200 of more, all are linked."""
+    rng = random.Random(31)
+    rows, links = [], set()
+    for k in range(1200):
+        w = prose(rng, 60).split()
+        while True:  # of 56 shingles 6 change, so the similarity is 50 / 62
+            v = list(w)
+            n = 6 if k < 1000 else 1
+            v[60 - n :] = prose(rng, n).split()
+            a, b = set(shingles(" ".join(w))), set(shingles(" ".join(v)))
+            if len(a & b) >= 0.8 * len(a | b):
+                break
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got = {(r["__q_id"], r["class_id"]) for r in ngram_join.classes(make(rows)).collect()}
+    assert got == {(i, i - i % 2) for i in range(2400)}
+
+
+def test_prefix_stops_at_the_target(spark):
+    """Links that are all alike need no short prefixes; links at the limit need the shortest."""
+    near = spark.createDataFrame([(1, 2, 0.99)] * 50, ngram_join.LINK)
+    edge = near.unionByName(spark.createDataFrame([(3, 4, 0.8)], ngram_join.LINK))
+    assert ngram_join.estimated_recall(near, 0.8, 8) > 0.9999 > ngram_join.estimated_recall(edge, 0.8, 5) and ngram_join.estimated_recall(edge, 0.8, 4) > 0.9999
+    assert ngram_join.estimated_recall(near.limit(0), 0.8, 8) == 1
+
+
+def test_differences_count_common_shingles():
+    """Similarities from differences to a root are those of the whole sets."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))
+    sets = [base] + [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 61), False), rng.integers(0, 40, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(40)]
+    diffs = [np.concatenate([np.setdiff1d(base, s), np.setdiff1d(s, base) ^ ngram_join._MORE]) for s in sets]
+    got = {(i, j) for i, others in ngram_join._pairs(diffs, np.array([len(s) for s in sets]), len(base), np.zeros(len(sets), int), True, 0.8) for j in others.tolist()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    assert got == want and want
+
+
 def test_prefix_is_shortened():
     assert ngram_join.prefix_length() == 4
     assert ngram_join.prefix_length(similarity=0.99) == 8 and ngram_join.prefix_length(similarity=0.1) == 1
