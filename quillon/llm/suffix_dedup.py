@@ -351,7 +351,7 @@ def unpack(run: bytes) -> Iterator[tuple[int, bytes, tuple]]:
 
 
 RUN = "part int, run binary, id long, th long, start int, end int"
-#: Values of ``part`` in rows that are no run: a range that goes, and a piece of a hot anchor (its bytes in ``run``).
+#: Values of ``part`` in rows that are no run: a range that goes, and a window of a hot anchor (its bytes in ``run``).
 RANGE, OPEN = -1, -2
 
 
@@ -384,6 +384,20 @@ def _pieces(texts: list[bytes], places: list[np.ndarray], limits: Limits) -> tup
     return pieces, np.concatenate(rows)
 
 
+def _open_windows(pieces: list[tuple[bytes, int, int, int]], batch) -> Iterator[pa.RecordBatch]:
+    """The windows of hot pieces (bytes, id, th, place): of equal ones those of the least id, and the ranges of the others."""
+    least: dict[bytes, int] = {}
+    windows = [(piece[k : k + LENGTH], i, th, first + k) for piece, i, th, first in pieces for k in range(len(piece) - LENGTH + 1)]
+    for w, i, _, _ in windows:
+        if i < least.get(w, i + 1):
+            least[w] = i
+    for kind in (OPEN, RANGE):
+        rows = [x for x in windows if (x[1] > least[x[0]]) == (kind == RANGE)]
+        if rows:
+            w, i, th, start = zip(*rows)
+            yield batch([kind] * len(rows), w if kind == OPEN else None, i, th, start, [x + LENGTH for x in start])
+
+
 def _make_runs(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """Runs of slices of (id, th, data, places), and the rows that are no runs."""
     kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -409,9 +423,9 @@ def _make_runs(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) ->
                 size = np.fromiter((len(pieces[k]) for k in gone.tolist()), np.int64, len(gone))
                 yield batch(np.full(len(gone), RANGE), None, i[gone], th[gone], first[gone], first[gone] + size)
             stay = i == least[same]
-            some = np.flatnonzero(stay & (hot > 0))
-            if len(some):
-                yield batch(np.full(len(some), OPEN), [pieces[k] for k in some.tolist()], i[some], th[some], first[some], None)
+            some = np.flatnonzero(stay & (hot > 0)).tolist()
+            if some:
+                yield from _open_windows([(pieces[k], int(i[k]), int(th[k]), int(first[k])) for k in some], batch)
             some = np.flatnonzero(stay & (hot == 0))
             part = gram[some] % parts
             some = some[np.argsort(part, kind="stable")]
@@ -489,11 +503,10 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_ranges(runs: DataFrame) -> DataFrame:
-    """The ranges that go of the pieces of hot anchors: each window by itself, so that no group is held anywhere."""
-    each = runs.where(F.col("part") == OPEN).select(*ID, "start", "run", F.explode(F.sequence(F.lit(0), F.octet_length("run") - LENGTH)).alias("at"))
-    each = each.select(*ID, (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("run"), F.col("at") + 1, F.lit(LENGTH)).alias("window"))
+    """The ranges that go of the windows of hot anchors: each by itself, so that no group is held anywhere; a window has a row a slice at most for each least id."""
+    each = runs.where(F.col("part") == OPEN).select(F.col("run").alias("window"), *ID, "start", "end")
     least = each.groupBy("window").agg(F.min("id").alias("least"))
-    return each.join(least.hint("merge"), "window").where(F.col("id") > F.col("least")).select(*ID, "start", (F.col("start") + LENGTH).alias("end"))
+    return each.join(least.hint("merge"), "window").where(F.col("id") > F.col("least")).select(*ID, "start", "end")
 
 
 def removed_ranges(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
