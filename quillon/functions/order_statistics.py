@@ -1,35 +1,53 @@
-"""Order statistics that pick an element of the sorted values, as a list index would."""
+"""Ranks and order statistics that hold for tables of any size: no task sorts more than a range of the values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def element(values: Column, numerator: int, denominator: int) -> Column:
-    """The value at index floor(numerator * n / denominator) of the sorted values, 0 without any.
-
-    Meant for groups of statistics tables. For a column of any size use ``exact_rank``, which needs no array."""
-    n = F.count(values)
-    at = F.floor(F.lit(numerator) * n / F.lit(denominator))
-    return F.coalesce(F.get(F.array_sort(F.collect_list(values)), at.cast("int")), F.lit(0))
-
-
-def upper_median(values: Column) -> Column:
-    return element(values, 1, 2)
-
-
-def lower_quarter(values: Column) -> Column:
-    return element(values, 1, 4)
-
-
-def upper_quarter(values: Column) -> Column:
-    return element(values, 3, 4)
+from quillon.session import materialise
 
 
 def exact_rank(df: DataFrame, values: str, numerator: int, denominator: int) -> DataFrame:
-    """(value): the same element for a column of any size: counts by value, and a running sum over the distinct values."""
+    """(value): the value at index floor(numerator * n / denominator) of the sorted values: counts by value, and a running sum over the distinct values."""
     counts = df.where(F.col(values).isNotNull()).groupBy(F.col(values).alias("value")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("value"))
     total = counts.agg(F.floor(F.lit(numerator) * F.sum("n") / F.lit(denominator)).alias("at"))
     return counts.withColumn("upto", upto).join(F.broadcast(total)).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select("value")
+
+
+def with_rank(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their place, from 0, in the order of the columns: range partitions, a running sum of their sizes, and a rank within each."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    placed = materialise(placed, "ranges")
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.join(F.broadcast(sizes), "__part").withColumn(name, (inside + F.col("__ahead") - 1).cast("long")).drop("__part", "__ahead")  # a row a partition
+
+
+def first_ranks(rows: DataFrame, stratum: str, order: Column, key: str, cuts: DataFrame, names: list[str], rest: str) -> DataFrame:
+    """``rows`` with ``split``: in each stratum the first rows by the hex text ``order``, then by ``key``, in parts that end at the columns ``names`` of ``cuts``
+    (stratum, running totals), and the ``rest``.
+
+    Rows are counted by the first three digits of their hash. Most of these buckets lie on one side of every cut; only the rows of buckets that a cut goes through are ranked."""
+    keyed = rows.withColumn("__h", order).withColumn("__b", F.substring("__h", 1, 3))
+    upto = F.sum("__c").over(Window.partitionBy(stratum).orderBy("__b"))
+    edges = keyed.groupBy(stratum, "__b").agg(F.count("*").alias("__c")).withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__c"))
+    edges = edges.join(cuts, edges[stratum].eqNullSafe(cuts[stratum])).drop(cuts[stratum])
+    cut = F.lit(False)
+    for n in names:
+        cut = cut | ((F.col("__from") < F.col(n)) & (F.col(n) < F.col("__to")))
+    edges = materialise(edges.withColumn("__cut", cut), "buckets")
+    found = keyed.join(edges, keyed[stratum].eqNullSafe(edges[stratum]) & (keyed["__b"] == edges["__b"])).select(*(keyed[c] for c in rows.columns), keyed["__h"], edges["__b"], "__from", "__cut", *names)
+
+    def named(rank: Column) -> Column:
+        out = F.lit(rest)
+        for n in reversed(names):
+            out = F.when(rank < F.col(n), n).otherwise(out)
+        return out
+
+    whole = found.where(~F.col("__cut")).withColumn("split", named(F.col("__from")))
+    nth = F.row_number().over(Window.partitionBy(stratum, "__b").orderBy("__h", key)) - 1
+    ranked = found.where("__cut").withColumn("split", named(F.col("__from") + nth))
+    return whole.unionByName(ranked).select(*rows.columns, "split")

@@ -26,7 +26,10 @@ NUMBER_WORDS = {
 }
 #: End of fixed values.
 
+# The forms of citations that results depend on.
 CITED_PREFIX, CITED_BARE = "\\[P[1-5]", "(?U)\\bP[1-5]\\b"
+CITED_ROUND, CITED_GROUP, CITED_NAMED = "\\(P[1-5]\\)", "\\[P[1-5](?:, ?P[1-5])+\\]", "(?i)passage [1-5]"
+#: End of fixed values.
 
 
 def words(text: Column) -> Column:
@@ -77,6 +80,12 @@ def citation_count(text: Column, digits: str = "[1-5]") -> Column:
     return F.regexp_count(text, F.lit(f"\\[P{digits}\\]"))
 
 
+def citation_forms(text: Column) -> dict[str, Column]:
+    """How often each form of a citation occurs: [P1], (P1), a group such as [P1, P2], and "passage 1" in any case."""
+    forms = {"square": "\\[P[1-5]\\]", "round": CITED_ROUND, "group": CITED_GROUP, "named": CITED_NAMED}
+    return {name: F.regexp_count(text, F.lit(p)).cast("long") for name, p in forms.items()}
+
+
 def numbered_references(text: Column) -> Column:
     """The numbers of markers such as [3], in order."""
     return F.regexp_extract_all(text, F.lit("\\[([0-9]+)\\]"), F.lit(1)).cast("array<int>")
@@ -104,7 +113,7 @@ def extract_label(text: Column) -> Column:
     """yes, no or maybe from free text: after "Answer:", after "answer is", else the last one that stands alone."""
     label = "(yes|no|maybe)"
     low = F.lower(text)
-    found = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (f"answer:\\s*{label}\\b", f"answer is:?\\s*{label}\\b", f".*\\b{label}\\b")]
+    found = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (f"answer:\\s*{label}\\b", f"answer is:?\\s*{label}\\b", f"(?s).*\\b{label}\\b")]
     return F.coalesce(*found)
 
 
@@ -123,8 +132,9 @@ def without_marks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def factoid_tokens(text: Column, ascii_only: bool = False) -> Column:
     """The distinct tokens of an answer that count: no stopwords, number words as digits, no single letters.
 
-    ``ascii_only`` leaves out the decomposition, which changes nothing in ASCII text, and stays inside the JVM."""
-    plain = F.lower(text if ascii_only else without_marks(text))
+    The decomposition changes nothing in ASCII text, which stays inside the JVM: the Python step gets a null for it. ``ascii_only`` leaves it out for all."""
+    ascii_text = F.octet_length(text) == F.length(text)
+    plain = F.lower(text if ascii_only else F.when(ascii_text, text).otherwise(without_marks(F.when(~ascii_text, text))))
     plain = F.regexp_replace(plain, "(?U)[^\\w\\s]", " ")
     numbers = F.create_map(*(F.lit(x) for pair in NUMBER_WORDS.items() for x in pair))
     kept = F.filter(words(plain), lambda t: ~t.isin(STOPWORDS))
@@ -136,6 +146,25 @@ def factoid_overlap(a: Column, b: Column, ascii_only: bool = False) -> Column:
     return F.arrays_overlap(factoid_tokens(a, ascii_only), factoid_tokens(b, ascii_only))
 
 
+# -- JSON ----------------------------------------------------------------------------------------------------------------
+#: The short escapes of JSON, by UTF-16 unit.
+ESCAPES = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
+
+
+def json_string(text: Column) -> Column:
+    """The text as a JSON string in ASCII: all else as \\u and four lower-case digits, above 16 bits as a surrogate pair."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+
+    def escaped(u: Column) -> Column:
+        out = F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+        for unit, short in ESCAPES.items():
+            out = F.when(u == unit, short).otherwise(out)
+        return out
+
+    plain = text.rlike("^[ !#-\\[\\]-~]*\\z")
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(units, escaped), "")), F.lit('"'))
+
+
 # -- hashing -------------------------------------------------------------------------------------------------------------
 def seeded(seed: int | str, *parts: Column) -> Column:
     """An order for seeded shuffles that depends on nothing but the seed and the key."""

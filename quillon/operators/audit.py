@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.order_statistics import exact_rank
 from quillon.functions.text import word_count
 
 
@@ -23,6 +28,64 @@ def length_table(rows: DataFrame, text: str, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.coalesce(F.min(n), F.lit(0)).cast("long").alias("min_words"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_words"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 6).alias("mean_words"))
 
 
+def dataset_audit(rows: DataFrame, label: str, *texts: str) -> DataFrame:
+    """(total, train, dev, test, labels: how often each value of ``label`` occurs, and of each text the mean, upper median and largest number of words) of rows with a ``split``."""
+    counts = rows.groupBy(F.coalesce(label, F.lit("")).alias("k")).agg(F.count("*").alias("n"))
+    labels = counts.agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("labels"))  # a handful of labels
+    out = rows.agg(F.count("*").alias("total"), *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "dev", "test"))).join(F.broadcast(labels))
+    for t in texts:
+        n = rows.select(word_count(F.col(t)).cast("long").alias("n"))
+        out = out.join(F.broadcast(n.agg(F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias(f"{t}_mean"), F.coalesce(F.max("n"), F.lit(0)).alias(f"{t}_max"))))
+        out = out.join(F.broadcast(exact_rank(n, "n", 1, 2).agg(F.coalesce(F.max("value"), F.lit(0)).alias(f"{t}_median"))))  # single rows
+    return out
+
+
+def utc_now() -> Column:
+    """The time of the query as ISO-8601 text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def containing(docs: DataFrame, items: DataFrame, block: int = 4096) -> DataFrame:
+    """(doc_id, item_id): the items (item_id, text) that a document (doc_id, text) holds character for character.
+
+    Blocks of items go to the documents as one Aho-Corasick automaton each, so a text is read once a block and nothing is shuffled."""
+    schema = "doc_id long, item_id long"
+    parts = [docs.sparkSession.createDataFrame([], schema)]
+
+    def search(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            found_by, always = ahocorasick.Automaton(), []
+            for text, ids in shared.value.items():
+                if text:
+                    found_by.add_word(text, ids)
+                else:
+                    always = ids
+            found_by.make_automaton()
+            for b in batches:
+                rows = []
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if text is not None:
+                        hits = set(always)
+                        if len(found_by):
+                            hits.update(i for _, ids in found_by.iter(text) for i in ids)
+                        rows += [(doc_id, i) for i in sorted(hits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], names=["doc_id", "item_id"])
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+    held: dict[str, list] = {}
+    for n, r in enumerate(items.where("text is not null").select("item_id", "text").toLocalIterator(), 1):
+        held.setdefault(r["text"], []).append(r["item_id"])
+        if n % block == 0:
+            parts.append(search(docs.sparkSession.sparkContext.broadcast(held)))
+            held = {}
+    if held:
+        parts.append(search(docs.sparkSession.sparkContext.broadcast(held)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
     """A report of small tables; each shows ``most`` rows."""
     out = [f"# {title}"]
@@ -32,20 +95,21 @@ def markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
     return "\n".join(out) + "\n"
 
 
-#: Error taxonomy of answer annotations: (category, what it means).
+# The error taxonomy of answer annotations, as annotation files have it (category, name, description, examples).
 ERRORS = [
-    ("retrieval_miss", "the passages lack what the answer needs"),
-    ("distractor", "the answer follows a passage that is beside the point"),
-    ("misread", "the passage is right and is read wrongly"),
-    ("unsupported", "the answer says more than the passages"),
-    ("wrong_citation", "the cited passage does not say it"),
-    ("abstention", "the answer declines though the passages suffice"),
-    ("format", "the answer is not in the form asked for"),
+    ("factual_recall", "Factual recall error", "Answer contradicts a clearly stated fact in the evidence", ["Evidence says drug A is effective, model says it's ineffective", "Evidence states specific dosage, model gives wrong number"]),
+    ("statistical_misinterpretation", "Statistical misinterpretation", "Misreads effect size, confidence interval, p-value, or direction", ["Confuses relative risk with absolute risk", "Misinterprets non-significant p-value as evidence of no effect", "Gets direction of effect wrong (increase vs decrease)"]),
+    ("population_overgeneralization", "Population overgeneralization", "Applies a finding beyond the studied population", ["Study on adults, model applies to children", "Study on specific disease subtype, model generalizes to all cases"]),
+    ("stale_evidence", "Stale evidence anchoring", "Relies on outdated info despite newer evidence in context", ["Ignores more recent study that contradicts older one", "Uses superseded clinical guidelines"]),
+    ("reasoning_error", "Reasoning error", "Internally inconsistent chain of reasoning", ["Premises support one conclusion, model reaches opposite", "Logical contradiction within the response"]),
+    ("refusal", "Refusal / non-answer", "Model refuses to answer or gives non-committal response", ["'I cannot determine from the evidence'", "Excessive hedging without taking a position"]),
+    ("other", "Other", "Error that doesn't fit other categories", ["Formatting issues", "Unrelated tangent"]),
 ]
+#: End of fixed values.
 
 
 def error_categories(spark) -> DataFrame:
-    return spark.createDataFrame(ERRORS, "category string, description string")
+    return spark.createDataFrame(ERRORS, "category string, name string, description string, examples array<string>")
 
 
 def error_breakdown(annotations: DataFrame) -> DataFrame:

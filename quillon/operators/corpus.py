@@ -37,9 +37,10 @@ def snippet_passages(examples: DataFrame) -> DataFrame:
 
 
 def abstract_passages(examples: DataFrame) -> DataFrame:
-    """One passage for each example with a context."""
+    """One passage for each example with a context; of equal ids that of the least question id."""
     rows = examples.where(F.coalesce("context", F.lit("")) != "")
-    return rows.select(F.get("gold_passage_ids", 0).alias("id"), F.col("context").alias("text"), "source", F.create_map(F.lit("pmid"), F.col("id"), F.lit("question"), F.col("question")).alias("metadata"), F.struct(F.col("id").alias("question_id"), F.lit(0).alias("pos")).alias("ord")).dropDuplicates(["id"])
+    rows = rows.select(F.get("gold_passage_ids", 0).alias("id"), F.col("context").alias("text"), "source", F.create_map(F.lit("pmid"), F.col("id"), F.lit("question"), F.col("question")).alias("metadata"), F.struct(F.col("id").alias("question_id"), F.lit(0).alias("pos")).alias("ord"))
+    return first_wins(rows, "id", "ord")
 
 
 def corpus_stats(passages: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.order_statistics import with_rank
+
 METRICS = ("hit", "recall", "mrr", "ndcg")
 BUCKETS = ["low (1-5)", "medium (6-10)", "high (11+)"]
 
@@ -31,17 +33,15 @@ def query_metrics(retrieved: DataFrame, gold: DataFrame, k: int = 5) -> DataFram
 
 
 def length_terciles(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """``rows`` with ``tercile``: n div 3 rows are short, as many medium, and the rest long; ties go by key.
-
-    The cut values come from counts by value, so only rows that tie with a cut are ranked."""
-    total = rows.agg(F.floor(F.count("*") / 3).alias("__third"))
-    counts = rows.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__v")) - F.col("__n")
-    counts = counts.withColumn("__before", before)
-    tied = F.row_number().over(Window.partitionBy("__v").orderBy(key))
-    out = rows.withColumn("__v", F.col(value)).join(counts, "__v").join(F.broadcast(total)).withColumn("__rank", F.col("__before") + tied)
-    name = F.when(F.col("__rank") <= F.col("__third"), "short").when(F.col("__rank") <= 2 * F.col("__third"), "medium").otherwise("long")
-    return out.withColumn("tercile", name).drop("__v", "__n", "__before", "__third", "__rank")
+    """``rows`` with ``tercile``: n div 3 rows are short, as many medium, and the rest long; ties go by key."""
+    third = rows.count() // 3
+    name = F.when(F.col("__rank") < third, "short").when(F.col("__rank") < 2 * third, "medium").otherwise("long")
+    return with_rank(rows, "__rank", value, key).withColumn("tercile", name).drop("__rank")
+
+
+def hit_band(figures: DataFrame, low: float = 0.70, high: float = 0.95, k: int = 5) -> DataFrame:
+    """``figures`` with ``in_band``: retrieval is neither useless nor saturated if low < hit < high."""
+    return figures.withColumn("in_band", (F.col(f"hit_{k}") > low) & (F.col(f"hit_{k}") < high))
 
 
 def gold_bucket(n):

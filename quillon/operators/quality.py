@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import citation_count, factoid_overlap, first_bad_citation, is_cited, strip, word_count
 
+# Names and messages that results depend on.
 NAMES = ["format", "citations", "citation_validity", "reasoning_length", "answer_format", "gold_answer_agreement"]
 YESNO = ["yes", "no", "maybe", "insufficient evidence"]
 
@@ -75,17 +76,19 @@ def reasons(ascii_only: bool = False) -> dict[str, Column]:
     return dict(zip(NAMES, (reason_format(), reason_citations(), reason_citation_validity(), reason_reasoning_length(), reason_answer_format(), reason_agreement(ascii_only))))
 
 
-def apply_filters(examples: DataFrame, ascii_only: bool = False) -> DataFrame:
+def apply_filters(examples: DataFrame, ascii_only: bool = False, compat: bool = False) -> DataFrame:
     """``examples`` with filter_passed, filter_failed_at, filter_failure_reason and gold_disagreement; old verdicts are replaced.
 
-    Unless ``ascii_only``, the last filter needs a Python step; it then sees only rows that pass all others."""
-    verdict = ["filter_passed", "filter_failed_at", "filter_failure_reason", "gold_disagreement"]
-    out = examples.drop(*verdict)
+    Unless ``ascii_only``, the last filter needs a Python step for answers that are not ASCII; it gets a null for all others. ``compat`` keeps a gold_disagreement
+    that the rows have, where the new verdict gives none."""
+    verdict = ["filter_passed", "filter_failed_at", "filter_failure_reason"]
+    kept = F.col("__old") if compat and "gold_disagreement" in examples.columns else F.lit(None).cast("string")
+    out = examples.withColumnRenamed("gold_disagreement", "__old").drop(*verdict)
     found = reasons(ascii_only)
     failed = F.coalesce(*(F.when(r.isNotNull(), F.struct(F.lit(n).alias("at"), r.alias("why"))) for n, r in found.items()))
     out = out.withColumn("__failed", failed)
     out = out.withColumns({"filter_passed": F.col("__failed").isNull(), "filter_failed_at": F.col("__failed.at"), "filter_failure_reason": F.col("__failed.why")})
-    return out.withColumn("gold_disagreement", F.when(F.col("filter_passed"), disagreement())).drop("__failed")
+    return out.withColumn("gold_disagreement", F.coalesce(F.when(F.col("filter_passed"), disagreement()), kept)).drop("__failed", "__old")
 
 
 def rejections(filtered: DataFrame) -> DataFrame:
@@ -104,9 +107,10 @@ def pass_rates(filtered: DataFrame) -> DataFrame:
 
 
 def crosstab(rows: DataFrame) -> DataFrame:
-    """(mode, factoid, yesno, total)."""
-    out = rows.groupBy("mode").pivot("question_type", ["factoid", "yesno"]).count().na.fill(0)
-    return out.withColumn("total", F.col("factoid") + F.col("yesno"))
+    """(mode, factoid, yesno, unknown, total); a missing mode or type is unknown."""
+    kind = F.coalesce(F.nullif("question_type", F.lit("")), F.lit("unknown"))
+    counted = [F.count_if(kind == t).alias(t) for t in ("factoid", "yesno", "unknown")]
+    return rows.groupBy(F.coalesce("mode", F.lit("unknown")).alias("mode")).agg(*counted, F.count("*").alias("total"))
 
 
 def citation_histogram(filtered: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Retrieval for all queries at once: exact top-k, rerank, oracle and closed-book conditions, distractors."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -9,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import words
+from quillon.session import materialise
 
-#: Queries of one block: bounds the broadcast and the rows that a partition of passages puts out.
-QUERY_BLOCK, DIGITS = 1024, 9
+#: Queries whose products are held at once, bytes of the queries of a pass, digits of a score.
+QUERY_BLOCK, PASS_BYTES, DIGITS = 1024, 64 << 20, 9
+#: Fixed value: what the encoder expects before a query; passages are encoded as they are.
+QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 
 
 def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -25,48 +29,60 @@ def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.n
 def nearest(queries: DataFrame, passages: DataFrame, k: int = 20, exclude_same: bool = False) -> DataFrame:
     """(qid, pid, rank, score): the exact k largest inner products of each query; ties go to the lesser id.
 
-    ``queries`` (qid, embedding) go to the passages in blocks of bounded size; a partition of ``passages`` (pid, embedding) keeps its k best of
+    ``queries`` (qid, embedding) go to the passages as broadcasts of at most ``PASS_BYTES``, each with one pass over the passages; within it the products are
+    made for ``QUERY_BLOCK`` queries at a time. A partition of ``passages`` (pid, embedding) keeps its k best of
     each query, so k rows a query and partition are shuffled, not one a pair. Scores are rounded to ``DIGITS`` decimals, so that
     the order does not depend on the order of a sum. Rows without a vector take no part."""
     spark = passages.sparkSession
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, pid {passages.schema['pid'].dataType.simpleString()}, score double"
-    out = spark.createDataFrame([], schema)
-    block: list = []
-
-    def search(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)))
+    parts = [spark.createDataFrame([], schema)]
 
+    def search(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, matrix = shared.value
-            held: tuple | None = None
+            held: dict[int, tuple] = {}
             for b in batches:
                 if not b.num_rows:
                     continue
                 vectors = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-                scores = np.round(matrix @ vectors.T, DIGITS)
-                if exclude_same:
-                    scores[np.array(qids)[:, None] == b.column(0).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                n = min(k, b.num_rows)
-                least = np.partition(scores, -n, axis=1)[:, -n]
-                r, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
                 ids = np.array(b.column(0).to_pylist())
-                new = (r, scores[r, c], ids[c])
-                held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-                keep = _best(*held, k)
-                held = tuple(x[keep] for x in held)
-            if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in held[0]]), pa.array(held[2].tolist()), pa.array(held[1])], names=["qid", "pid", "score"])
+                for a in range(0, len(qids), QUERY_BLOCK):
+                    scores = np.round(matrix[a : a + QUERY_BLOCK] @ vectors.T, DIGITS)
+                    if exclude_same:
+                        scores[np.array(qids[a : a + QUERY_BLOCK])[:, None] == ids[None, :]] = -np.inf
+                    n = min(k, b.num_rows)
+                    least = np.partition(scores, -n, axis=1)[:, -n]
+                    r, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                    new = (r, scores[r, c], ids[c])
+                    both = tuple(np.concatenate(x) for x in zip(held[a], new)) if a in held else new
+                    keep = _best(*both, k)
+                    held[a] = tuple(x[keep] for x in both)
+            for a, (r, s, found) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([qids[a + i] for i in r]), pa.array(found.tolist()), pa.array(s)], names=["qid", "pid", "score"])
 
         return passages.where(F.col("embedding").isNotNull()).select("pid", "embedding").mapInArrow(run, schema)
 
-    for row in queries.where(F.col("embedding").isNotNull()).select("qid", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = out.unionByName(search(block)), []
-    if block:
-        out = out.unionByName(search(block))
+    def passes() -> Iterator[list]:
+        block, size = [], 0
+        for row in queries.where(F.col("embedding").isNotNull()).select("qid", "embedding").toLocalIterator():
+            if block and size > PASS_BYTES:
+                yield block
+                block, size = [], 0
+            block.append(row)
+            size += 8 * len(row["embedding"])
+        if block:
+            yield block
+
+    last = None
+    for block in passes():
+        if last is not None:  # more than one pass: its rows are written, and the driver holds one block
+            parts.append(materialise(search(last), "nearest"))
+            last.unpersist()
+        last = spark.sparkContext.broadcast(([r["qid"] for r in block], np.array([r["embedding"] for r in block], np.float64)))
+    if last is not None:
+        parts.append(search(last))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def with_text(retrieved: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -158,14 +174,20 @@ def seeded_distractors(gold: DataFrame, corpus: DataFrame, per_query: int, seed:
     return some.unionByName(kept).withColumn("position", F.row_number().over(w))
 
 
-def embed(rows: DataFrame, column: str, model, name: str = "embedding") -> DataFrame:
-    """``rows`` with the unit vectors that ``model()`` gives: a factory called once a worker, whose result maps a list of texts to a matrix."""
+def asked(question: Column, prefix: str = QUERY_INSTRUCTION) -> Column:
+    """A question as an asymmetric encoder takes it."""
+    return F.concat(F.lit(prefix), F.coalesce(question, F.lit("")))
+
+
+def embed(rows: DataFrame, column: str, model, name: str = "embedding", prefix: str = "") -> DataFrame:
+    """``rows`` with the unit vectors that ``model()`` gives: a factory called once a worker, whose result maps a list of texts to a matrix. ``prefix`` goes
+    before each text: ``QUERY_INSTRUCTION`` for queries, nothing for passages."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
         for s in parts:
-            m = np.asarray(encode(s.fillna("").tolist()), np.float64)
+            m = np.asarray(encode(s.tolist()), np.float64)
             norms = np.linalg.norm(m, axis=1, keepdims=True)
             yield pd.Series(list((m / np.where(norms == 0, 1, norms)).astype(np.float32)))
 
-    return rows.withColumn(name, F.pandas_udf(run, "array<float>")(F.col(column)))
+    return rows.withColumn(name, F.pandas_udf(run, "array<float>")(asked(F.col(column), prefix)))

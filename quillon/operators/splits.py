@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import seeded
+from quillon.functions.order_statistics import first_ranks, with_rank
+from quillon.functions.text import json_string, seeded
+from quillon.operators.corpus import last_wins
+from quillon.session import exists
 
+SPLITS, HELD_OUT = ("train", "dev", "test"), ("mirage",)
 CONDITIONS = {"bioasq": ["none", "strong", "oracle"], "pubmedqa": ["none", "strong", "oracle"], "mirage": ["none", "strong"]}
 
 
@@ -19,11 +25,6 @@ def conditions(dataset: str) -> list[str]:
     return CONDITIONS[dataset]
 
 
-def _ranked(rows: DataFrame, key: str, seed: int, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key)
-    return rows.withColumn("__rank", F.row_number().over(w))
-
-
 def least(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """Exactly n rows (or all) without replacement: those with the least seeded hash; a distributed top-n."""
     return rows.orderBy(seeded(seed, F.col(key)), key).limit(n)
@@ -45,20 +46,55 @@ def permutation_split(rows: DataFrame, key: str, seed: int, sizes: dict[str, int
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, first: str, seed: int, test: int, dev: int) -> DataFrame:
     """Two strata: the first gets int(size * its share) of the test and of the dev rows, the other what is left of them."""
-    share = rows.agg(F.avg((F.col(stratum) == first).cast("int")).alias("p"))
-    part = F.floor(F.lit(test) * F.col("p")).cast("int"), F.floor(F.lit(dev) * F.col("p")).cast("int")
-    t = F.when(F.col(stratum) == first, part[0]).otherwise(test - part[0])
-    d = F.when(F.col(stratum) == first, part[1]).otherwise(dev - part[1])
-    ranked = _ranked(rows, key, seed, [stratum]).join(F.broadcast(share))  # one row
-    return ranked.withColumn("split", F.when(F.col("__rank") <= t, "test").when(F.col("__rank") <= t + d, "dev").otherwise("train")).drop("__rank", "p")
+    share = rows.agg(F.avg((F.col(stratum) == first).cast("int")).alias("p")).first()["p"] or 0.0
+    part = math.floor(test * share), math.floor(dev * share)
+    is_first = F.col(stratum) == first
+    t = F.when(is_first, part[0]).otherwise(test - part[0])
+    cuts = rows.select(stratum).distinct().select(stratum, t.alias("test"), (t + F.when(is_first, part[1]).otherwise(dev - part[1])).alias("dev"))
+    return first_ranks(rows, stratum, seeded(seed, F.col(key)), key, cuts, ["test", "dev"], "train")
 
 
 def quota_subset(rows: DataFrame, key: str, group: str, seed: int, quota: int, total: int, largest: str) -> DataFrame:
-    """Up to ``quota`` rows of each group; what then misses to ``total`` comes from the group ``largest``."""
+    """Up to ``quota`` rows of each group; what then misses to ``total`` comes from the group ``largest``. ``position`` is their place in a seeded order, from 1."""
     counts = rows.groupBy(group).agg(F.least(F.count("*"), F.lit(quota)).alias("n"))
-    missing = counts.agg(F.greatest(F.lit(total) - F.coalesce(F.sum("n"), F.lit(0)), F.lit(0)).alias("missing"))
-    limit = F.lit(quota) + F.when(F.col(group) == largest, F.col("missing")).otherwise(0)
-    return _ranked(rows, key, seed, [group]).join(F.broadcast(missing)).where(F.col("__rank") <= limit).drop("__rank", "missing")
+    missing = max(total - (counts.agg(F.sum("n")).first()[0] or 0), 0)
+    cuts = counts.select(group, (F.lit(quota) + F.when(F.col(group) == largest, missing).otherwise(0)).alias("in"))
+    kept = first_ranks(rows, group, seeded(seed, F.col(key)), key, cuts, ["in"], "out").where(F.col("split") == "in").drop("split")
+    kept = with_rank(kept.withColumn("__o", seeded(f"{seed}o", F.col(key))), "position", "__o", key).drop("__o")
+    return kept.withColumn("position", F.col("position") + 1)
+
+
+def check_split(split: str) -> str:
+    if split not in SPLITS:
+        raise ValueError(f"invalid split {split!r}: must be one of {list(SPLITS)}")
+    return split
+
+
+def locked(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; where there is none, what ``make`` gives is written there first. Once written it is never made again, whatever the data."""
+    if not exists(spark, path):
+        make().write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def split_examples(ids: DataFrame, examples: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+    """The examples with the ids of a locked split; of equal ids the last by ``order``. An id without example raises KeyError."""
+    kept = last_wins(examples, key, order)
+    lost = ids.select(key).distinct().join(kept, key, "left_anti").limit(1).collect()
+    if lost:
+        raise KeyError(lost[0][key])
+    return ids.select(key).join(kept, key)
+
+
+def splits_of(dataset: str, loaders: dict[str, Callable[[str], DataFrame]]) -> dict[str, DataFrame]:
+    """train, dev and test of a dataset; one that is held out as a whole has rows in test only. ``loaders`` take the split's name."""
+    if dataset not in CONDITIONS or dataset not in loaders:
+        raise ValueError(f"unknown dataset {dataset!r}: must be one of {sorted(CONDITIONS)}")
+    out = {}
+    for s in SPLITS:
+        df = loaders[dataset]("test" if dataset in HELD_OUT else s)
+        out[s] = df.limit(0) if dataset in HELD_OUT and s != "test" else df
+    return out
 
 
 def python_permutation(n: int, seed: int) -> list[int]:
@@ -73,21 +109,16 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
 
 
-def canonical_json(key: Column, *fields: tuple[str, Column]) -> Column:
-    """{"name": "value", ...} with sorted names, as the lock hashes it; quotes, backslashes and control characters are escaped."""
-
-    def text(c: Column) -> Column:
-        out = F.to_json(F.struct(c.cast("string").alias("v")))
-        return F.substring(out, F.lit(6), F.length(out) - 6)
-
+def canonical_json(*fields: tuple[str, Column]) -> Column:
+    """{"name": "value", ...} with sorted names, as the lock hashes it: ASCII, all other characters escaped."""
     parts = []
     for name, c in sorted(fields):
-        parts += [F.lit(("{" if not parts else ", ") + f'"{name}": '), text(c)]
+        parts += [F.lit(("{" if not parts else ", ") + f'"{name}": '), json_string(F.coalesce(c.cast("string"), F.lit("")))]
     return F.concat(*parts, F.lit("}"))
 
 
 def test_hash(rows: DataFrame, key: str, *fields: str) -> DataFrame:
     """(hash, size): SHA-256 of the canonical JSON list of the rows, sorted by key; for test sets, which are small by design."""
-    each = rows.select(F.struct(F.col(key).cast("string").alias("k"), canonical_json(F.col(key), *((f, F.col(f)) for f in fields)).alias("j")).alias("r"))
+    each = rows.select(F.struct(F.col(key).cast("string").alias("k"), canonical_json(*((f, F.col(f)) for f in fields)).alias("j")).alias("r"))
     listed = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["j"]), ", "), F.lit("]"))
     return each.agg(F.sha2(listed, 256).alias("hash"), F.count("*").alias("size"))

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.order_statistics import with_rank
 from quillon.functions.text import hash_number, words
 
 CELL = ["model", "retrieval", "seed"]
@@ -82,14 +83,14 @@ def gains(pred: DataFrame, baseline: str = "base") -> DataFrame:
 def bootstrap(pairs: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(mean_diff, ci_lower, ci_upper, p_value) of the mean of ``value`` (one row a key, such as a paired difference).
 
-    Draw i of resample b is row hash(seed|b|i) mod n, so the result is the same on any cluster. A row that is drawn often is counted, not
-    repeated: draws are summed by row before they meet the values."""
+    Draw i of resample b is row hash(seed|b|i) mod n, so the result is the same on any cluster. Draws are made where they are summed: Spark
+    broadcasts the values where its own size check allows, and then only a sum a resample and task is shuffled."""
     n = pairs.count()
     spark = pairs.sparkSession
-    ranked = pairs.select(F.col(value).cast("double").alias("v"), (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"))
+    ranked = with_rank(pairs.select(key, F.col(value).cast("double").alias("v")), "i", key).select("v", "i")
     draws = spark.range(n * resamples).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.expr(f"id % {max(n, 1)}").alias("d"))
-    draws = draws.select("b", (hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string"))) % max(n, 1)).alias("i")).groupBy("b", "i").agg(F.count("*").alias("k"))
-    means = draws.join(ranked, "i").groupBy("b").agg((F.sum(F.round(F.col("v") * F.col("k"), 9)) / n).alias("m"))
+    draws = draws.select("b", (hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string"))) % max(n, 1)).alias("i"))
+    means = draws.join(ranked, "i").groupBy("b").agg((F.sum("v") / n).alias("m"))
     low, high = math.floor((1 - level) / 2 * resamples), min(resamples - 1, math.floor((1 + level) / 2 * resamples))
     ordered = means.agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("ms"), F.avg((F.round("m", 9) <= 0).cast("int")).alias("le"), F.avg((F.round("m", 9) >= 0).cast("int")).alias("ge"))
     mean = pairs.agg(F.avg(F.col(value).cast("double")).alias("mean"))
@@ -114,6 +115,32 @@ def interaction_pairs(pred: DataFrame, treated: str = "lora_b", control: str = "
     return rows.groupBy("example_id").agg((F.sum(sign * (F.col("predicted") == F.col("gold")).cast("int")) / n).alias("diff"))
 
 
+def interaction_effect(pred: DataFrame, treated: str = "lora_b", control: str = "lora_a_prime", resamples: int = 1000) -> DataFrame:
+    """One row: the interaction (gain at oracle less gain at none) of both models, their difference with its interval and p, the effect size (Cohen's h of
+    treated against control at oracle, less that at none) and what it says."""
+    acc = pred.where(F.col("model").isin(treated, control, "base") & F.col("retrieval").isin("oracle", "none"))
+    acc = acc.groupBy("model", "retrieval").agg(F.avg((F.col("predicted") == F.col("gold")).cast("int")).alias("acc"))
+
+    def at(model: str, retrieval: str) -> Column:
+        return F.max(F.when((F.col("model") == model) & (F.col("retrieval") == retrieval), F.col("acc")))
+
+    base = at("base", "oracle") - at("base", "none")
+    one = acc.agg(
+        F.round(at(treated, "oracle") - at(treated, "none") - base, 6).alias("treated_interaction"),
+        F.round(at(control, "oracle") - at(control, "none") - base, 6).alias("control_interaction"),
+        F.round(cohens_h(at(treated, "oracle"), at(control, "oracle")) - cohens_h(at(treated, "none"), at(control, "none")), 6).alias("effect_size"),
+    )
+    tested = bootstrap(interaction_pairs(pred, treated, control), "example_id", "diff", resamples).withColumnRenamed("mean_diff", "difference")
+    out = one.join(F.broadcast(tested))  # single rows
+    return out.withColumn("interpretation", F.concat(decision(F.col("p_value"), F.col("difference"), F.col("effect_size")), F.lit(", "), effect_name(F.col("effect_size")), F.lit(" effect")))
+
+
+def decision(p: Column, difference: Column, h: Column, consistent: Column | None = None) -> Column:
+    """strong, moderate or null support; ``consistent``: the share of the other sources with the same direction, where it is known."""
+    share = F.lit(1.0) if consistent is None else consistent
+    return F.when((p < 0.05) & (difference > 0) & (h > 0.3) & (share >= 1.0), "strong").when((p < 0.10) & (difference > 0) & (share >= 2 / 3), "moderate").otherwise("null")
+
+
 def four_way(pred: DataFrame, answer: str = "answer") -> Column:
     """"Insufficient evidence" counted as maybe, for accuracy over three labels."""
     return F.when(F.lower(F.col(answer)) == "insufficient evidence", "maybe").otherwise(F.lower(F.col(answer)))
@@ -152,5 +179,14 @@ def mean_std(mean: float, std: float, precision: int = 1) -> str:
     return f"${mean:.{precision}f} \\pm {std:.{precision}f}$"
 
 
+def mean_std_text(mean: Column, std: Column, precision: int = 1) -> Column:
+    return F.format_string(f"$%.{precision}f \\pm %.{precision}f$", mean, std)
+
+
+def interaction_text(difference: float, low: float, high: float, p: float) -> str:
+    """The result of the interaction test as a report prints it."""
+    return f"$\\Delta = {difference:.3f}$ (95\\% CI $[{low:.3f}, {high:.3f}]$, {p_text(p)})"
+
+
 def p_text(p: float) -> str:
     return "$p < 0.001$" if p < 0.001 else f"$p = {p:.{3 if p < 0.01 else 2}f}$"

@@ -1,6 +1,6 @@
 """Training-set construction: prompts, aligned recipes, work lists with resume and budget, generation, masking."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,28 +110,64 @@ def arrange(gold: DataFrame, distractors: DataFrame, seed: int = 42) -> DataFram
     return rows.withColumn("position", F.row_number().over(w).cast("long"))
 
 
-def generate(prompts: DataFrame, factory, workers: int = 10) -> DataFrame:
-    """``prompts`` (with column prompt) plus generated_reasoning, generated_answer, tokens, cost, status and error.
+ANSWER = "response string, input_tokens int, output_tokens int, status string, error string"
+
+
+def _answered(out: DataFrame) -> DataFrame:
+    reasoning, answer = parse_response(F.col("response"))
+    return out.withColumns({"generated_reasoning": reasoning, "generated_answer": answer, "cost_estimate": cost(F.col("input_tokens"), F.col("output_tokens"))})
 
-    ``factory()`` makes a worker's client: a function from a prompt to (text, input tokens, output tokens). A failing call gives
-    a row with status error, never a failed job. ``workers`` bounds the calls at a time."""
-    extra = "response string, input_tokens int, output_tokens int, status string, error string"
 
+def _with_answers(prompts: DataFrame, workers: int, answer: Callable[[Callable, list[str]], list[tuple]], factory) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
         for p in parts:
-            rows = []
-            for prompt in p["prompt"]:
+            rows = answer(call, p["prompt"].tolist())
+            yield pd.concat([p.reset_index(drop=True), pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])], axis=1)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", " + ANSWER
+    return _answered(prompts.repartition(workers).mapInPandas(run, schema))
+
+
+def generate(prompts: DataFrame, factory, workers: int = 10, retries: int = 2) -> DataFrame:
+    """``prompts`` (with column prompt) plus generated_reasoning, generated_answer, tokens, cost, status and error.
+
+    ``factory()`` makes a worker's client: a function from a prompt to (text, input tokens, output tokens). A connection or time fault is tried again; a call that
+    still fails gives a row with status error, never a failed job. ``workers`` bounds the calls at a time."""
+
+    def answer(call, texts: list[str]) -> list[tuple]:
+        rows = []
+        for prompt in texts:
+            for left in range(retries, -1, -1):
                 try:
                     rows.append((*call(prompt), "success", None))
+                    break
+                except (ConnectionError, TimeoutError) as e:
+                    if not left:
+                        rows.append((None, 0, 0, "error", str(e)))
                 except Exception as e:  # the row says so
                     rows.append((None, 0, 0, "error", str(e)))
-            yield pd.concat([p.reset_index(drop=True), pd.DataFrame(rows, columns=[x.split()[0] for x in extra.split(", ")])], axis=1)
+                    break
+        return rows
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", " + extra
-    out = prompts.repartition(workers).mapInPandas(run, schema)
-    reasoning, answer = parse_response(F.col("response"))
-    return out.withColumns({"generated_reasoning": reasoning, "generated_answer": answer, "cost_estimate": cost(F.col("input_tokens"), F.col("output_tokens"))})
+    return _with_answers(prompts, workers, answer, factory)
+
+
+def generate_batches(prompts: DataFrame, factory, batch: int = 8, workers: int = 10) -> DataFrame:
+    """As ``generate``, for a model that answers a list of prompts at once: ``factory()`` makes a function from at most ``batch`` prompts to as many
+    (text, input tokens, output tokens)."""
+
+    def answer(call, texts: list[str]) -> list[tuple]:
+        rows = []
+        for a in range(0, len(texts), batch):
+            some = texts[a : a + batch]
+            try:
+                rows += [(*x, "success", None) for x in call(some)]
+            except Exception as e:  # the rows say so
+                rows += [(None, 0, 0, "error", str(e))] * len(some)
+        return rows
+
+    return _with_answers(prompts, workers, answer, factory)
 
 
 def masked_labels(ids: Column, prompt_length: Column) -> Column:

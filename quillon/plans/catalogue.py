@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import analysis, audit, corpus, evaluation, quality, retrieval, splits, statistics, training
 from quillon.plans.fixtures import EX, GOLD, KNN, PRED, QUERIES as Q_SQL, corpus as passages, examples, gold, predictions, queries, retrieved, retrieved_text, sql_words, with_passages
+from quillon.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from quillon.session import materialise, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
-
-
 STRIP = r"regexp_replace(regexp_replace({x}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ''), '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '')"
 
 
@@ -81,16 +65,16 @@ def none_condition(spark, d):
 for _mode, _need in (("easy", 4), ("hard", 5)):
     query(
         f"distractors_{_mode}",
-        f"""with {GOLD}, {KNN}, r as (select qid, pid, row_number() over (partition by qid order by rank) as position from knn
-        where not exists (select 1 from gold where gold.qid = knn.qid and gold.pid = knn.pid)), t as (select *, count(*) over (partition by qid) as n from r where position <= {_need})
+        f"""with {GOLD}, {RERANK}, r as (select qid, pid, row_number() over (partition by qid order by rank) as position from rr
+        where not exists (select 1 from gold where gold.qid = rr.qid and gold.pid = rr.pid)), t as (select *, count(*) over (partition by qid) as n from r where position <= {_need})
         select distinct qid, case when n >= {_need} then pid end as pid, case when n >= {_need} then position else 0 end as position from t""",
-    )(lambda spark, d, mode=_mode: retrieval.distractors(retrieved(spark, d), gold(spark, d), mode))
+    )(lambda spark, d, mode=_mode: retrieval.distractors(_reranked(spark, d, 20), gold(spark, d), mode))
 
 
 # -- evaluation ----------------------------------------------------------------------------------------------------------
-METRICS = f"""{Q_SQL}, {GOLD}, {KNN},
+METRICS = f"""{RERANK}, {GOLD},
 n as (select qid, count(*) as n_gold from gold group by qid),
-h as (select knn.qid, count(*) as n_hit, min(rank) as first, sum(1 / log2(rank + 1)) as dcg from knn join gold on gold.qid = knn.qid and gold.pid = knn.pid where rank <= 5 group by knn.qid),
+h as (select rr.qid, count(*) as n_hit, min(rank) as first, sum(1 / log2(rank + 1)) as dcg from rr join gold on gold.qid = rr.qid and gold.pid = rr.pid where rank <= 5 group by rr.qid),
 len as (select gold.qid, avg(len({sql_words("text")})) as words from gold join documents on doc_id = gold.pid group by gold.qid),
 m0 as (select n.qid, n_gold, answer, coalesce(nullif(question_type, ''), 'unknown') as question_type, coalesce(words, 0) as words,
   case when n_hit > 0 then 1.0 else 0.0 end as hit, coalesce(n_hit, 0) / n_gold as recall, coalesce(1.0 / first, 0) as mrr,
@@ -104,7 +88,7 @@ FIGURES = "round(avg(hit), 6) as hit_5, round(avg(recall), 6) as recall_5, round
 
 def _metrics(spark, d):
     asked, wanted = queries(spark, d), gold(spark, d)
-    per = evaluation.query_metrics(retrieved(spark, d, 5), wanted)
+    per = evaluation.query_metrics(_reranked(spark, d), wanted)
     counted = wanted.join(passages(spark, d).select(F.col("id").alias("pid"), T.word_count(F.col("text")).alias("w")), "pid").groupBy("qid").agg(F.avg("w").alias("words"))
     rows = per.join(asked.select("qid", "answer", "question_type"), "qid").join(counted, "qid", "left").withColumn("words", F.coalesce("words", F.lit(0.0)))
     rows = rows.withColumn("question_type", F.coalesce(F.nullif("question_type", F.lit("")), F.lit("unknown"))).withColumn("n_gold_bucket", evaluation.gold_bucket(F.col("n_gold")))
@@ -113,7 +97,7 @@ def _metrics(spark, d):
 
 @query("retrieval_eval_overall", f"with {METRICS} select {FIGURES} from m")
 def retrieval_eval_overall(spark, d):
-    return evaluation.overall(evaluation.query_metrics(retrieved(spark, d, 5), gold(spark, d)))
+    return evaluation.overall(evaluation.query_metrics(_reranked(spark, d), gold(spark, d)))
 
 
 @query("retrieval_eval_by_answer", f"with {METRICS} select answer as stratum, {FIGURES} from m group by answer")
@@ -186,18 +170,8 @@ def length_audit(spark, d):
 
 @query("contamination_gold", "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def contamination_gold(spark, d):
-    """Benchmark items found word for word: items meet the documents that share their first five words, then the whole text decides."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), T.words(F.col("text")).alias("w"))
-    key = F.xxhash64(F.array_join(F.slice("w", 2, 4), " "))  # the first word may stand against another character in the text
-    items = items.select("item_id", "item", F.when(F.size("w") >= 6, key).alias("key"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " "))))
-    docs = table(spark, d, "documents").select("doc_id", "text", T.words(F.col("text")).alias("w"))
-    short = items.where("key is null")
-    long = docs.where(F.size("w") >= 4).select("doc_id", F.explode(grams).alias("key")).join(items.where("key is not null"), "key").select("doc_id", "item_id", "item").distinct()
-    found = long.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(short, F.contains("text", "item")).select("doc_id", "item_id"))
+    """Benchmark items found word for word."""
+    return audit.containing(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 # -- splits --------------------------------------------------------------------------------------------------------------
@@ -223,7 +197,7 @@ def stratified_split(spark, d):
 @query(
     "quota_subset",
     f"""with r as (select doc_id, lang, {RANK.format(by="lang", seed=7)} as r from documents), m as (select greatest(120 - sum(n), 0) as missing from (select least(count(*), 25) as n from documents group by lang))
-    select doc_id, lang from r, m where r <= 25 + case when lang = 'en' then missing else 0 end""",
+    select doc_id, lang, row_number() over (order by md5('7o|' || doc_id), doc_id) as position from r, m where r <= 25 + case when lang = 'en' then missing else 0 end""",
 )
 def quota_subset(spark, d):
     return splits.quota_subset(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 7, 25, 120, "en")
@@ -307,8 +281,8 @@ _NAMES_SQL = ", ".join(f"('{n}')" for n in quality.NAMES)
 query("filter_rejections", f"with {FILTERED} select filter, count(filter_failed_at) as n from (values {_NAMES_SQL}) v(filter) left join fl on filter = filter_failed_at group by filter")(lambda spark, d: quality.rejections(_filtered(spark, d)))
 _RATE = "count(*) as total, count_if(filter_passed)::bigint as passed, round(avg(filter_passed::int), 6) as rate from fl"
 query("pass_rates", f"with {FILTERED} select 'overall' as kind, 'all' as value, {_RATE} union all select 'mode', mode, {_RATE} group by mode union all select 'question_type', question_type, {_RATE} group by question_type")(lambda spark, d: quality.pass_rates(_filtered(spark, d)))
-query("insufficient_crosstab", f"with {EX} select mode, count_if(question_type = 'factoid')::bigint as factoid, count_if(question_type = 'yesno')::bigint as yesno, count(*) as total from ex where {INSUFFICIENT} group by mode")(lambda spark, d: quality.crosstab(examples(spark, d).where(F.lower("generated_answer").contains("insufficient evidence"))))
-query("type_pivot", f"with {EX} select mode, count_if(question_type = 'factoid')::bigint as factoid, count_if(question_type = 'yesno')::bigint as yesno, count(*) as total from ex group by mode")(lambda spark, d: quality.crosstab(examples(spark, d)))
+query("insufficient_crosstab", f"with {EX} select mode, count_if(question_type = 'factoid')::bigint as factoid, count_if(question_type = 'yesno')::bigint as yesno, count_if(question_type is null)::bigint as unknown, count(*) as total from ex where {INSUFFICIENT} group by mode")(lambda spark, d: quality.crosstab(examples(spark, d).where(F.lower("generated_answer").contains("insufficient evidence"))))
+query("type_pivot", f"with {EX} select mode, count_if(question_type = 'factoid')::bigint as factoid, count_if(question_type = 'yesno')::bigint as yesno, count_if(question_type is null)::bigint as unknown, count(*) as total from ex group by mode")(lambda spark, d: quality.crosstab(examples(spark, d)))
 query(
     "citation_histogram",
     rf"""with {FILTERED}, c as (select len(regexp_extract_all(generated_reasoning, '\[P[0-9]\]'))::bigint as n_citations, count(*) as n from fl where filter_passed group by 1)
@@ -363,7 +337,7 @@ def _sql_prompt(instruction: str, user: str) -> str:
 
 _LABEL = f"'Answer: ' || case when question_type = 'yesno' then lower(generated_answer) else generated_answer end || '{training.END}'"
 _BLOCK = "array_to_string(list_transform(range(0, 5), lambda i: 'Passage [P' || (i + 1) || ']: ' || x.ts[i + 1]), chr(10) || chr(10))"
-PASSAGES = "pt as (select ex.question_id, list(substr(d.text, 1, 100) order by i) as ts from ex, range(0, 5) r(i), documents d where d.doc_id = (ex.question_id + i) % (select count(*) from documents) group by ex.question_id)"
+PASSAGES = "pt as (select ex.question_id, list(d.text order by i) as ts from ex, range(0, 5) r(i), documents d where d.doc_id = (ex.question_id + i) % (select count(*) from documents) group by ex.question_id)"
 RECORDS = f"""{EX}, {PASSAGES}, rec as (select ex.question_id as example_id, n.recipe,
   case when n.recipe = 'a' then {_sql_prompt(training.DIRECT, "'Question: ' || question")} else {_sql_prompt(training.GROUNDED, f"'Question: ' || question || chr(10) || chr(10) || {_BLOCK}")} end as prompt,
   case when n.recipe = 'b' then {NORMAL} || chr(10) || chr(10) || {_LABEL} else {_LABEL} end as target

@@ -43,6 +43,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/quillon/{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's own file systems have this path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 #: Lets Spark delete the shuffle files of a write when it is done.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

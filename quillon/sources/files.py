@@ -7,6 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.schemas import ANNOTATION
+from quillon.session import exists
+
 #: Configuration keys whose mappings are merged one level deep.
 MERGED = ("model", "lora", "training", "data", "quantization", "logging")
 
@@ -18,8 +21,7 @@ def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def tolerant_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; malformed ones are skipped, and a missing path is an empty table, as when a run resumes."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
@@ -34,9 +36,7 @@ def replace_lines(df: DataFrame, path: str) -> None:
 
 def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet export, or an empty table where it is missing."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_vectors(passages: DataFrame, path: str) -> None:
@@ -54,15 +54,13 @@ def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("cell", F.regexp_extract(F.input_file_name(), "([^/]+)\\.json$", 1))
 
 
-def write_manifest(content: dict, path: str) -> None:
-    """A small driver-side manifest: split ids, hashes, subset ids."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(content, f, indent=2, sort_keys=True)
+def write_manifest(spark: SparkSession, content: dict, path: str) -> None:
+    """A small manifest, such as split ids, hashes or subset ids, as one text file in any store that Spark writes."""
+    spark.createDataFrame([(json.dumps(content, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_manifest(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def read_config(path: str, base: str | None = None) -> dict:
@@ -85,6 +83,21 @@ def write_partitioned(df: DataFrame, path: str, by: str, order: str) -> None:
     df.repartitionByRange(by, order).sortWithinPartitions(by, order).write.mode("overwrite").partitionBy(by).json(path)
 
 
+def annotation_json(df: DataFrame) -> DataFrame:
+    """(value): each annotation as JSON text."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def annotations_of(values: DataFrame) -> DataFrame:
+    """The annotations in (value), with the engine's schema."""
+    return values.select(F.from_json("value", ANNOTATION).alias("a")).select("a.*")
+
+
+def annotation_progress(df: DataFrame) -> DataFrame:
+    """(cell_name, n, n_correct): how many annotations each cell has."""
+    return df.groupBy("cell_name").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("n_correct"))
+
+
 def export_annotations(df: DataFrame, path: str) -> None:
     flat = df.withColumn("error_categories", F.array_join("error_categories", ";"))
     flat.write.mode("overwrite").option("header", True).csv(path)

@@ -6,10 +6,17 @@ and column pruning reach the scan.
 
 from __future__ import annotations
 
+import os
+import warnings
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.order_statistics import with_rank
 from quillon.schemas import QUESTION_FILE
+from quillon.session import exists
 
 INCLUDED_TYPES = ["factoid", "yesno"]
 LETTERS = ["A", "B", "C", "D"]
@@ -69,6 +76,42 @@ def choice_lists(raw: DataFrame, subject: str, ordinal: str, source: str = "mmlu
     return raw.select(F.concat(F.lit(f"mmlu_{subject}_"), F.col(ordinal).cast("string")).alias("id"), F.lit(source).alias("source_dataset"), "question", lettered([F.get("choices", i) for i in range(4)]).alias("options"), F.coalesce(_letter(F.col("answer")), F.lit("A")).alias("answer"), F.lit(subject).alias("subject"))
 
 
+def with_ordinal(raw: DataFrame, *order: str) -> DataFrame:
+    """``raw`` with ``ordinal``, the place of each row, from 0, in the order of the columns."""
+    return with_rank(raw, "ordinal", *order)
+
+
+def subjects(loaders: dict[str, Callable[[], DataFrame]], *order: str) -> DataFrame:
+    """``choice_lists`` of all subjects, with ordinals by subject; a subject that can't be loaded is left out with a warning."""
+    parts = []
+    for subject, load in loaders.items():
+        try:
+            raw = load()
+            raw.schema  # a missing path shows here
+        except Exception as e:
+            warnings.warn(f"subject {subject} was not loaded: {e}", stacklevel=2)
+            continue
+        parts.append(choice_lists(with_ordinal(raw, *order), subject, "ordinal"))
+    if not parts:
+        raise ValueError("no subject could be loaded")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def source_path(variable: str = "BIOASQ_DATA_PATH") -> str:
+    """The folder that the environment names; raises where it is not set."""
+    path = os.environ.get(variable)
+    if not path:
+        raise ValueError(f"{variable} is not set: set it to the folder of the question files")
+    return path
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """``question_files`` of a folder that must be there."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return question_files(spark, path)
+
+
 def choice_maps(raw: DataFrame, ordinal: str, source: str = "medqa_us") -> DataFrame:
     """From (question, options map of letters, answer_idx)."""
     return raw.select(F.concat(F.lit("medqa_"), F.col(ordinal).cast("string")).alias("id"), F.lit(source).alias("source_dataset"), "question", lettered([F.try_element_at("options", F.lit(x)) for x in LETTERS]).alias("options"), F.coalesce("answer_idx", F.lit("A")).alias("answer"), F.lit("usmle").alias("subject"))

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 from compare import TABLES, canonical  # noqa: E402
 
-from quillon.plans import catalogue  # noqa: E402
+from quillon.plans import catalogue, coverage  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")

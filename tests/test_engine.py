@@ -187,8 +187,8 @@ def test_audit(spark):
     df = spark.createDataFrame([("train", "yesno"), ("train", "factoid"), ("dev", "yesno")], "split string, question_type string")
     assert {tuple(r) for r in audit.split_types(df).collect()} == {("train", 1, 1), ("dev", 0, 1)}
     assert "| dev | 0 | 1 |" in audit.markdown("Audit", {"splits": audit.split_types(df)})
-    notes = spark.createDataFrame([("c", ["format", "misread"]), ("c", ["format"])], "cell_name string, error_categories array<string>")
-    assert {tuple(r) for r in audit.error_breakdown(notes).collect()} == {("c", "format", 2), ("c", "misread", 1)}
+    notes = spark.createDataFrame([("c", ["refusal", "reasoning_error"]), ("c", ["refusal"])], "cell_name string, error_categories array<string>")
+    assert {tuple(r) for r in audit.error_breakdown(notes).collect()} == {("c", "refusal", 2), ("c", "reasoning_error", 1)}
     assert audit.error_categories(spark).count() == 7
 
 
