@@ -113,11 +113,14 @@ def _dealt(rows: DataFrame, group: str, chunks: str) -> DataFrame:
 
 
 # -- the forest ----------------------------------------------------------------------------------------------------------
-def leaves(nodes: DataFrame, depth: int) -> DataFrame:
-    """(bucket, key, node, root): a leaf for each node and tree; key has the tree's values, and leaves with the first ``depth`` of them in common share a bucket."""
+def leaves(nodes: DataFrame, floor: int) -> DataFrame:
+    """(bucket, key, node): a leaf of each tree for each node that shares the first ``floor`` values with another one there. key has all the tree's values, and
+    bucket stands for the tree and the first ``floor`` of them, which no shorter prefix is ever asked for."""
     tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("key")))
-    rows = nodes.select("node", "root", F.explode(tree).alias("leaf"))
-    return rows.select(F.xxhash64("leaf.tree", F.substring("leaf.key", 1, 2 * depth)).alias("bucket"), "leaf.key", "node", "root")
+    rows = nodes.select("node", F.explode(tree).alias("leaf"))
+    rows = rows.select(F.xxhash64("leaf.tree", F.substring("leaf.key", 1, 2 * floor)).alias("bucket"), "leaf.key", "node")
+    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
+    return materialise(rows.join(shared, "bucket", "left_semi"), "leaves")
 
 
 def _like(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,11 +131,12 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
+#: A link between two components, with the agreement of the signatures that made it.
 LINK = "a long, b long, s double"
 
 
 def _to_first(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links of each row's node to ``first``, of rows (node, sig, first, first_sig)."""
+    """Links of rows (root, sig, first_root, first_sig)."""
     for b in batches:
         t = pa.Table.from_batches([b])
         sig = np.concatenate([_signatures(t.column(1)), _signatures(t.column(3))])
@@ -142,16 +146,15 @@ def _to_first(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 
 def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links between nodes of different roots in a bucket, of rows (__g, key, node, root, sig) sorted by __g and key. Neighbours in the trie come first; what
+    """Links between different components in a bucket, of rows (__g, key, root, sig) sorted by __g and key. Neighbours in the trie come first; what
     is linked is compared no more."""
     for t in whole_groups(batches):
-        g, node, root = (t.column(k).to_numpy() for k in (0, 2, 3))
-        sig, n = _signatures(t.column(4)), len(t)
+        g, root = (t.column(k).to_numpy() for k in (0, 2))
+        sig, n = _signatures(t.column(3)), len(t)
         forest, ends = Forest(n), np.searchsorted(g, g, side="right")
         order = np.lexsort((root, g))
-        known = order[:-1][(root[order[1:]] == root[order[:-1]]) & (g[order[1:]] == g[order[:-1]])]
-        after = order[1:][(root[order[1:]] == root[order[:-1]]) & (g[order[1:]] == g[order[:-1]])]
-        forest.union(known, after)
+        same = (root[order[1:]] == root[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+        forest.union(order[:-1][same], order[1:][same])
         found: list[tuple] = []
         at, lag = np.arange(n), 1
         while len(at := at[at + lag < ends[at]]):
@@ -160,7 +163,7 @@ def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
                 x = apart[i : i + 8192]
                 s = _like(sig, x, x + lag)
                 like = s >= least
-                found.append((node[x[like]], node[x[like] + lag], s[like]))
+                found.append((root[x[like]], root[x[like] + lag], s[like]))
                 forest.union(x[like], x[like] + lag)
             lag += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)) for k, kind in enumerate((np.int64, np.int64, float))], names=["a", "b", "s"])
@@ -180,32 +183,43 @@ def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataF
 
     The prefixes begin at DEPTH values and get shorter until the measured recall reaches the target; at ``prefix_length`` it is reached for the least
     similarity, so they never get shorter. Each level looks only at buckets with nodes of different components: first each node meets
-    the first of its bucket, which a large group of near copies needs no more than, and then what is still apart is compared pair by pair."""
+    the first of its largest bucket, which a large group of near copies needs no more than, and then what is still apart is compared pair by pair."""
     least = similarity - RELAX * math.sqrt(similarity * (1 - similarity) / HASHES)
     some = nodes.where("n_shingles > 0").select("node", "sig")
-    links, roots, floor = None, None, prefix_length(similarity, recall=recall)
-
-    def rooted() -> DataFrame:
-        return some.withColumn("root", F.col("node")) if roots is None else some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def mixed_buckets(depth: int, name: str) -> DataFrame:
-        groups = leaves(rooted(), depth).groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "node")).alias("first"))
-        return materialise(groups.where("low <> high").select("bucket", "n", F.col("first.node").alias("first")), name)
-
-    def add(found: DataFrame) -> None:
+    floor = prefix_length(similarity, recall=recall)
+    every = leaves(some, floor)
+    some = materialise(some.join(every.select("node").distinct(), "node", "left_semi"), "meeting")
+    roots = some.select("node", F.col("node").alias("root"))
+    links = every.sparkSession.createDataFrame([], LINK)
+
+    def level(depth: int) -> tuple[DataFrame, DataFrame]:
+        """All leaves with their component and their bucket of this depth, and the buckets with more than one component."""
+        rows = every.join(roots, "node").withColumn("bucket", F.xxhash64("bucket", F.substring("key", 1, 2 * depth)))
+        groups = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "node", "root")).alias("first"))
+        return rows, materialise(groups.where("low <> high").select("bucket", "n", F.col("first.node").alias("first"), F.col("first.root").alias("first_root")), "buckets")
+
+    def add(found: DataFrame) -> bool:
+        """Join the components that new links connect; whether there are any."""
         nonlocal links, roots
-        links = found if links is None else links.unionByName(found)
-        roots = materialise(components(links.select("a", "b")), "roots")
+        found = materialise(found, "near")
+        if found.isEmpty():
+            return False
+        links = links.unionByName(found)
+        joined = components(found.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = materialise(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        return True
 
     for depth in range(DEPTH, floor - 1, -1):
-        buckets = mixed_buckets(depth, "buckets")
-        pairs = leaves(rooted(), depth).join(buckets, "bucket").where("node <> first").select("node", "first").distinct()
-        stars = pairs.join(some, "node").join(some.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")), "first").select("node", "sig", "first", "first_sig")
-        add(materialise(stars.mapInArrow(lambda x: _to_first(x, least), LINK), "stars"))
-        buckets = mixed_buckets(depth, "buckets").withColumn("chunks", F.ceil(F.col("n") / BUCKET_CHUNK))
-        members = _dealt(leaves(rooted(), depth).join(buckets.select("bucket", "chunks"), "bucket").join(some, "node"), "bucket", "chunks")
-        members = members.select("__g", "key", "node", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
-        add(materialise(members.mapInArrow(lambda x: _within(x, least), LINK), "near"))
+        rows, buckets = level(depth)
+        if not buckets.isEmpty():
+            stars = rows.join(buckets, "bucket").where("root <> first_root").groupBy("node").agg(F.max_by(F.struct("root", "first", "first_root"), F.struct("n", "first")).alias("x")).select("node", "x.*")
+            sigs = stars.join(some, "node").select("root", "sig", "first", "first_root").join(some.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")), "first")
+            if add(sigs.select("root", "sig", "first_root", "first_sig").mapInArrow(lambda x: _to_first(x, least), LINK)):
+                rows, buckets = level(depth)
+            chunked = buckets.select("bucket", F.ceil(F.col("n") / BUCKET_CHUNK).alias("chunks"))
+            members = _dealt(rows.join(chunked, "bucket").join(some, "node"), "bucket", "chunks")
+            members = members.select("__g", "key", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
+            add(members.mapInArrow(lambda x: _within(x, least), LINK))
         if estimated_recall(links, similarity, depth) >= recall:
             break
     return roots
@@ -288,7 +302,7 @@ def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
 
     Every text of a component is sent once, to one of the places to which the root's text goes, and leaves its difference from that; only the differences
     of a component meet each other, so a large group of near copies, which differ little, is small."""
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
     some = roots.join(sizes, "root").join(nodes.select("node", "copies", *ROW), "node")
     some = materialise(some, "candidates")  # as many as the corpus has near copies: no bound, so no broadcast at any size
     texts = with_row_key(docs.select("doc_id", "text"))
