@@ -33,13 +33,20 @@ LEFT_SHARE = 0.3
 KEY = [*ROW, "__q_host"]
 
 
-def repeat_words(w: Column, size: int = WINDOW) -> Column:
-    """How many words lie in a window of ``size`` words that is found twice or more in the array ``w``."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
+def window_hashes(w: Column, size: int) -> Column:
+    """The hash of every run of ``size`` words, a power of two: runs of twice the length are hashed from the hashes of their halves."""
+
+    def longer(h: Column, width: int) -> Column:
+        if width == size:
+            return h
+        left, right = F.slice(h, 1, F.greatest(F.size(h) - width, F.lit(0))), F.slice(h, 1 + width, F.size(h))
+        return let(F.zip_with(left, right, lambda x, y: F.xxhash64(x, y)), lambda h: longer(h, 2 * width))
 
-    def repeats(ranked: Column) -> Column:
-        return F.exists(F.sequence(F.lit(1), F.size(ranked)), lambda i: F.coalesce(F.get(ranked, i) == F.get(ranked, i - 1), F.lit(False)))
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: longer(h, 1))
 
+
+def repeat_words(w: Column, size: int = WINDOW) -> Column:
+    """How many words lie in a window of ``size`` words that is found twice or more in the array ``w``."""
     def at(pairs: Column) -> Column:
         """The ascending starts of the windows that are found twice."""
 
@@ -58,7 +65,7 @@ def repeat_words(w: Column, size: int = WINDOW) -> Column:
             lambda s: s["n"],
         )
 
-    some = let(hashes, lambda h: F.when(let(F.sort_array(h), repeats), covered(h)).otherwise(F.lit(0)))
+    some = let(window_hashes(w, size), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
     return F.when(F.size(w) <= size, F.lit(0)).otherwise(some).cast("long")
 
 
