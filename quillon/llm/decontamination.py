@@ -11,7 +11,7 @@ A window can only be similar to an item with which it shares a shingle. The wind
 out before their fingerprint is made; this loses nothing, and of ordinary text it leaves next to nothing.
 
 The benchmark is a stated query set, taken against the documents in blocks of ``BLOCK_ITEMS`` items of at most ``BLOCK_TOKENS``
-tokens together: at most 34 MB of tables and 2 MB of shingles a block, and 32 MB of filter. Documents are never shuffled for the search.
+tokens together, at most 34 MB of tables and 2 MB of shingles; what shares no shingle with a group of 4 million of them (16 MB) is not read again. Documents are never shuffled for the search.
 
 Cases: an item or document that is null or has no token matches nothing; an item of fewer than five tokens has one shingle, its
 whole token list; of a document shorter than an item the whole is the one window; a document of any length is searched whole; items given twice are both reported; rows of
@@ -33,7 +33,7 @@ from quillon.llm.columns import ROW, packed, token_hashes, unpacked, with_row_ke
 from quillon.session import discard, materialise, table
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-BLOCK_ITEMS, BLOCK_TOKENS, FILTER_BITS = 1024, 262_144, 28
+BLOCK_ITEMS, BLOCK_TOKENS, GROUP_SHINGLES = 1024, 262_144, 1 << 22
 BLOCKS, BLOCK_BITS = 4, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,22 +155,25 @@ def item_blocks(items: DataFrame) -> Iterator[list]:
         yield block
 
 
-def _places(shingles: np.ndarray, size: int, bits: int) -> np.ndarray:
-    return mixed(shingles ^ np.uint64(size)) >> np.uint64(64 - bits)
+def _short(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(32)).astype(np.uint32)
 
 
-def shingle_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """(a bit for each hash of an item's shingles, at most 2^FILTER_BITS; the sizes of shingles): what meets no bit shares no shingle with any item."""
-    counted = items.select(F.size(token_hashes(F.col("text"))).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    bits = min(FILTER_BITS, max(16, int(64 * counted).bit_length()))
-    out, sizes = np.zeros(1 << bits >> 3, np.uint8), set()
+def item_groups(items: DataFrame) -> Iterator[tuple[dict[int, np.ndarray], list[list]]]:
+    """(for each size of shingles the sorted 32-bit hashes of the items' shingles, the blocks of the items), of ``GROUP_SHINGLES`` shingles at most or one block."""
+    held, found, count = [], {}, 0
     for block in item_blocks(items):
+        n = sum(len(t) for _, t in block)
+        if held and count + n > GROUP_SHINGLES:
+            yield {size: np.unique(np.concatenate(x)) for size, x in found.items()}, held
+            held, found, count = [], {}, 0
+        held.append(block)
+        count += n
         for _, t in block:
             size = min(SHINGLE, len(t))
-            sizes.add(size)
-            at = _places(shingle_hashes(t, size), size, bits)
-            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-    return out, sorted(sizes)
+            found.setdefault(size, []).append(_short(shingle_hashes(t, size)))
+    if held:
+        yield {size: np.unique(np.concatenate(x)) for size, x in found.items()}, held
 
 
 def _token_rows(b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -184,50 +187,47 @@ def _token_rows(b: pa.RecordBatch) -> Iterator[np.ndarray]:
 def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(__q_id, __q_row, doc_id, item_id, similarity, n_windows): the best similarity and the number of similar windows of each pair.
 
-    One pass over all documents keeps those that share a shingle with any item; only these are read again, once for each block of items. The driver and the
-    executors hold the filter or one block at a time."""
+    For a group of items one pass over all documents keeps those that share a shingle with any of them, by 32 bits of its hash; only these are read again, once
+    for each block of the group. The driver holds one group, the executors one block or the hashes of one group."""
     spark = docs.sparkSession
     schema = "__q_id long, __q_row long, doc_id long, item_id long, similarity double, n_windows long"
     bare = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     bare = bare.select(*ROW, "doc_id", token_hashes(F.col("text")).alias("t"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    wanted = spark.sparkContext.broadcast(shingle_filter(items))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sizes = wanted.value
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, tokens in enumerate(_token_rows(b)):
-                for size in sizes:
-                    at = _places(shingle_hashes(tokens, size), size, len(bits).bit_length() + 2)
-                    if (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).any():
-                        keep[i] = True
-                        break
-            yield b.filter(pa.array(keep))
-
-    sifted = materialise(bare.mapInArrow(sift, bare.schema), "sharing")
-    wanted.unpersist()
     parts = [spark.createDataFrame([], schema)]
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block], radius))
+    for wanted, blocks in item_groups(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
+        known = spark.sparkContext.broadcast(wanted)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def sift(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows, found = [], []
+                keep = np.zeros(b.num_rows, bool)
                 for i, tokens in enumerate(_token_rows(b)):
-                    best: dict = {}
-                    for item, s, _ in shared.value.search(tokens):
-                        old = best.get(item, (0.0, 0))
-                        best[item] = max(old[0], s), old[1] + 1
-                    rows += [i] * len(best)
-                    found += [(item, round(s, 6), n) for item, (s, n) in best.items()]
-                kept = [b.column(c).take(pa.array(rows, pa.int64())) for c in range(3)]
-                more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*kept, *more], names=[x.split()[0] for x in schema.split(", ")])
-
-        parts.append(materialise(sifted.mapInArrow(run, schema), "leaks"))
-        shared.unpersist()
-    discard(sifted)
+                    for size, hashes in known.value.items():
+                        mine = _short(shingle_hashes(tokens, size))
+                        keep[i] |= (hashes[np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)] == mine).any()
+                yield b.filter(pa.array(keep))
+
+        sifted = materialise(bare.mapInArrow(sift, bare.schema), "sharing")
+        known.unpersist()
+        for block in blocks:
+            shared = spark.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block], radius))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    rows, found = [], []
+                    for i, tokens in enumerate(_token_rows(b)):
+                        best: dict = {}
+                        for item, s, _ in shared.value.search(tokens):
+                            old = best.get(item, (0.0, 0))
+                            best[item] = max(old[0], s), old[1] + 1
+                        rows += [i] * len(best)
+                        found += [(item, round(s, 6), n) for item, (s, n) in best.items()]
+                    kept = [b.column(c).take(pa.array(rows, pa.int64())) for c in range(3)]
+                    more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*kept, *more], names=[x.split()[0] for x in schema.split(", ")])
+
+            parts.append(materialise(sifted.mapInArrow(run, schema), "leaks"))
+            shared.unpersist()
+        discard(sifted)
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

@@ -67,6 +67,7 @@ def test_multi_index_is_complete():
 def test_blocks_of_items(make, monkeypatch):
     """More items than a block holds, of many lengths, and none of the documents' shingles lost by the filter."""
     monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(decontamination, "GROUP_SHINGLES", 300)
     rng = random.Random(9)
     items = [prose(rng, 6 + k) for k in range(30)]
     rows = [(k, prose(rng, 12) + " " + t + " " + prose(rng, 8)) for k, t in enumerate(items)] + [(100 + k, prose(rng, 40)) for k in range(20)]
