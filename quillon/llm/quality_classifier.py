@@ -1,17 +1,18 @@
 """Quality classifier by co-training.
 
-Two classifiers see two views of a document: its words, hashed to ``BUCKETS`` presence features, and its page
-metadata (source, language and the shape of the page: lengths, lines, shares of kinds of characters). Both are logistic
-regressions. In each round each of them labels the unlabelled pool, and the rows it is surest of, in the proportion of
-the known labels, join the other's training rows with its label. At the end each view is calibrated on labelled rows that it did not learn
+Two classifiers see two views of a document that share no evidence: its words (hashed to ``BUCKETS`` presence features), and its page
+metadata (source, language, and the layout of the page: its length, and the number, mean, largest length and blank share of its lines). Both are logistic
+regressions. In each round each of them scores every unlabelled row of the table on the executors; of the rows with calibrated odds of 19 to 1 at least, were both labels as frequent, the ``PSEUDO`` surest, in the proportion of
+the known labels, come to the driver and join the other's training rows with its label. At the end each view is calibrated on labelled rows that it did not learn
 from (Platt scaling), and the calibrated log odds are averaged, weighted by their quality there, into the score of every document.
 
-Only the fit is bounded: at most ``LABELLED`` labelled and ``POOL`` unlabelled rows, those with the least hash of doc_id.
-The score reads every whole text.
+Features are written once and read by every round and the last scoring. Bounded are the labelled rows of the fit, at most ``LABELLED``, those with the least hash of doc_id, and the
+rows that a round brings back; the rounds look at the whole corpus, and the score reads every whole text.
 
 Cases: a null or empty text has no words and zero lengths; a null source or lang is a value of its own; a label that
-is null or has no document teaches nothing; with fewer than two labels known all scores are the known share (0.5
-without any); rows given twice get the same score twice; an empty table gives an empty table; other columns are not read.
+is null or has no document teaches nothing; of a document with two labels the better one counts; rows with a null doc_id are unlabelled; with fewer than two labels known all scores are the known share (0.5
+without any); rows of one doc_id with different texts and equally sure rows are ordered by their features, so runs agree; rows given twice get the same score
+twice; a text of any length is read whole; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,30 +22,36 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import lines, words
-from quillon.session import materialise, table
+from quillon.llm.columns import SPACE, lines, tokens
+from quillon.session import discard, materialise, table
 
-BUCKETS, LABELLED, POOL, ROUNDS, ADDED, TAIL = 1 << 14, 2500, 2500, 4, 0.05, 256
-META = ["log_chars", "log_words", "log_lines", "word_len", "line_len", "upper", "digit", "symbol", "distinct"]
+BUCKETS, LABELLED, PSEUDO, ROUNDS, TAIL = 1 << 14, 2500, 250, 4, 256
+#: Log odds from which on a view is sure: 19 to 1.
+CONFIDENT = 2.944
+META = ["log_chars", "log_lines", "line_len", "longest_line", "blank_lines", "upper", "digit", "symbol"]
+ROWS = "doc_id long, words array<int>, meta array<double>, tags array<int>, y int"
 
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, words: the distinct hash buckets of the words, meta: numbers of the page, tags: buckets of source and lang)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", text.alias("t"), words(text).alias("w"))
-    chars, n = F.greatest(F.length("t"), F.lit(1)), F.greatest(F.size("w"), F.lit(1))
-    d = d.withColumn("b", F.array_distinct(F.transform("w", lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(BUCKETS)).cast("int"))))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", text.alias("t"), F.size(lines(text)).alias("n"))
+    held = F.sort_array(F.array_distinct(F.transform(tokens(F.col("t")), lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))))
+    sizes = F.transform(lines(F.col("t")), lambda x: F.length(F.btrim(x, F.lit(SPACE))))
+    shares = [F.regexp_count("t", F.lit(p)) / F.greatest(F.length("t"), F.lit(1)) for p in ("\\p{Lu}", "[0-9]", "[#*$%&|<>!]")]
+    meta = [F.log1p(F.length("t")), F.log1p("n"), F.log1p(F.length("t") / F.col("n")), F.log1p(F.array_max(sizes)), F.size(F.filter(sizes, lambda n: n == 0)) / F.col("n"), *shares]
+    tags = F.array(*(F.pmod(F.xxhash64(F.lit(c), F.coalesce(F.col(c), F.lit("\0"))), F.lit(TAIL)).cast("int") for c in ("source", "lang")))
+    return d.select("doc_id", held.alias("words"), F.array(*(m.cast("double") for m in meta)).alias("meta"), tags.alias("tags"))
 
-    def share(pattern: str) -> Column:
-        return F.regexp_count("t", F.lit(pattern)) / chars
 
-    meta = [F.log1p(F.length("t")), F.log1p(F.size("w")), F.log1p(F.size(lines(F.col("t")))), F.length("t") / n, F.length("t") / F.size(lines(F.col("t")))]
-    meta += [share("\\p{Lu}"), share("[0-9]"), share("[#*$%&|<>!]"), F.size("b") / n]
-    tags = F.array(*(F.pmod(F.xxhash64(F.lit(c), F.coalesce(F.col(c), F.lit("\0"))), F.lit(TAIL)).cast("int") for c in ("source", "lang")))
-    return d.select("doc_id", F.col("b").alias("words"), F.array(*(m.cast("double") for m in meta)).alias("meta"), tags.alias("tags"))
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``ROWS``: the features of every row with its label, 1 or 0, or null; written once."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
+    return materialise(features(docs).join(known, "doc_id", "left").select("doc_id", "words", "meta", "tags", "y"), "features")
 
 
 def _sparse_rows(lists: list) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +127,26 @@ class MetaView:
         return self.matrix(meta, tags) @ self.weights
 
 
-def _platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _platt(odds: np.ndarray, y: np.ndarray, share: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset that turn odds into log odds; ``share``: the rows' weights, with the sum 1."""
+    share = np.full(len(y), 1 / len(y)) if share is None else share
+
     def gradient(w):
-        e = _sigmoid(w[0] * odds + w[1]) - y
-        return np.array([(e * odds).mean() + 1e-3 * (w[0] - 1), e.mean()])
+        e = share * (_sigmoid(w[0] * odds + w[1]) - y)
+        return np.array([(e * odds).sum() + 1e-3 * (w[0] - 1), e.sum()])
 
     return tuple(_fit(gradient, 2, 400, 0.05).tolist())
 
 
+def _sure(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(most odds for a sure 0, least odds for a sure 1) of a view, by rows that it has not seen: odds of 19 to 1, were both labels as frequent, and beyond all of these
+    rows that have the other label. A view that can't tell the labels apart is never sure."""
+    slope, offset = _platt(odds, y, _balance(y))
+    if slope <= 0:
+        return -np.inf, np.inf
+    return min((-CONFIDENT - offset) / slope, odds[y > 0].min()), max((CONFIDENT - offset) / slope, odds[y < 1].max())
+
+
 @dataclass
 class CoTrained:
     """Both views, their calibration (slope, offset) and their weights in the mean of the log odds."""
@@ -138,42 +157,6 @@ class CoTrained:
     weight: list[float]
     share: float | None = None
 
-    @classmethod
-    def fit(cls, words_, meta, tags, y, rounds: int = ROUNDS, added: float = ADDED) -> CoTrained:
-        """``y``: 1, 0 or nan for a pool row; each third labelled row is kept for the calibration."""
-        y = np.asarray(y, float)
-        known = np.flatnonzero(~np.isnan(y))
-        text, page = TextView(), MetaView()
-        if len(set(y[known])) < 2:
-            return cls(text, page, [(1, 0), (1, 0)], [0, 0], float(y[known].mean()) if len(known) else 0.5)
-        held, learn = known[2::3], np.delete(known, np.s_[2::3])
-        if len(set(y[held])) < 2 or len(set(y[learn])) < 2:
-            held = learn = known
-        pool = np.flatnonzero(np.isnan(y))
-        index, sizes = _sparse_rows(words_)
-        starts = np.cumsum(sizes) - sizes
-
-        def rows(of):
-            return np.concatenate([index[starts[i] : starts[i] + sizes[i]] for i in of]) if len(of) else index[:0], sizes[of]
-
-        labels = [dict(zip(learn.tolist(), y[learn])) for _ in range(2)]  # what each view learns from
-        for r in range(rounds + 1):
-            mine = [np.array(list(x), np.int64) for x in labels]
-            text.fit(*rows(mine[0]), np.array(list(labels[0].values())))
-            page.fit(meta[mine[1]], tags[mine[1]], np.array(list(labels[1].values())))
-            if r == rounds or not len(pool):
-                break
-            for view, odds in ((1, text.odds(*rows(pool))), (0, page.odds(meta[pool], tags[pool]))):
-                ranked = pool[np.argsort(odds, kind="stable")]
-                k = max(1, int(added * len(pool)))
-                low = max(1, round(k * (1 - y[learn].mean())))
-                labels[view] |= dict.fromkeys(ranked[:low].tolist(), 0.0) | dict.fromkeys(ranked[len(ranked) - max(1, k - low) :].tolist(), 1.0)
-        odds = [text.odds(*rows(held)), page.odds(meta[held], tags[held])]
-        platt = [_platt(o, y[held]) for o in odds]
-        loss = [-np.mean(np.log(np.where(y[held] > 0, p, 1 - p).clip(1e-6))) for p in (_sigmoid(a * o + b) for o, (a, b) in zip(odds, platt))]
-        weight = [1 / (x + 1e-3) for x in loss]
-        return cls(text, page, platt, [x / sum(weight) for x in weight])
-
     def score(self, words_, meta, tags) -> np.ndarray:
         """(p_text, p_meta, score) as rows."""
         if self.share is not None:
@@ -182,42 +165,120 @@ class CoTrained:
         return np.array([_sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(self.weight[0] * odds[0] + self.weight[1] * odds[1])])
 
 
-def _arrays(rows) -> tuple[list, np.ndarray, np.ndarray]:
-    return [r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), len(META)), np.array([r[2] for r in rows], np.int64).reshape(len(rows), 2)
+def _order() -> list[Column]:
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    return [hashed, F.col("doc_id"), F.xxhash64("words", "meta", "tags")]
+
 
+def _arrays(rows: list) -> tuple[list, np.ndarray, np.ndarray]:
+    return [r["words"] for r in rows], np.array([r["meta"] for r in rows], float).reshape(len(rows), len(META)), np.array([r["tags"] for r in rows], np.int64).reshape(len(rows), 2)
+
+
+def _batch_arrays(b: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
+    lists, n = b.column(1), b.num_rows
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    parts = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1]) if n else []
+    return parts, b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, len(META)), b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, 2)
 
-def training_rows(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> list:
-    """At most ``labelled`` rows with a label and ``pool`` without: the least hashes of doc_id of each kind."""
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id", "left").withColumn("h", hashed)
-    some = ids.where("y is not null").orderBy("h", "doc_id").limit(labelled).unionByName(ids.where("y is null").orderBy("h", "doc_id").limit(pool))
-    some = materialise(some, "sample")
-    picked = features(docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi"))  # at most labelled + pool rows
-    return picked.join(F.broadcast(some), "doc_id").orderBy("h", "doc_id").select("words", "meta", "tags", "y").collect()
 
+def surest(rows: DataFrame, text: TextView, page: MetaView, low: int, high: int, taken: tuple[set, set], limits: list[tuple[float, float]]) -> list[list]:
+    """For each view the ``low`` unlabelled rows with the least and the ``high`` rows with the largest odds, as (label, row); not those of the ids in ``taken``, and
+    only odds of at most the first and at least the second of the view's ``limits``.
 
-def classify(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """(doc_id, p_text, p_meta, score) for each row of ``docs``; the model is a broadcast of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    A task puts out that many rows of each kind at most, and the driver gets that many of all."""
+    shared = rows.sparkSession.sparkContext.broadcast((text, page, taken))  # the views' weights, and some hundred ids a round
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, pa.Table] = {}
+        words_, pages, done = shared.value
+        for b in batches:
+            b = b.filter(pc.is_null(b.column(4)))
+            if not b.num_rows:
+                continue
+            parts, meta, tags = _batch_arrays(b)
+            ids = b.column(0).to_pylist()
+            for view, odds in enumerate((words_.odds(*_sparse_rows(parts)), pages.odds(meta, tags))):
+                odds = odds.round(9)
+                free = np.array([i not in done[view] for i in ids])
+                for label, sign, most in ((0, 1, low), (1, -1, high)):
+                    some = np.flatnonzero(free & (sign * odds <= sign * limits[view][label]))
+                    if len(some) > most:
+                        cut = np.partition(sign * odds[some], most - 1)[most - 1]
+                        some = some[sign * odds[some] <= cut]
+                    t = pa.Table.from_batches([b.take(pa.array(some))]).append_column("odds", pa.array(sign * odds[some]))
+                    old = held.get((view, label))
+                    t = t if old is None else pa.concat_tables([old, t])
+                    if t.num_rows > 4 * most:
+                        cut = np.partition(t["odds"].to_numpy(), most - 1)[most - 1]
+                        t = t.filter(pc.less_equal(t["odds"], cut))
+                    held[view, label] = t
+        for (view, label), t in held.items():
+            for b in t.combine_chunks().to_batches():
+                fixed = [pa.array(np.full(b.num_rows, x), pa.int32()) for x in (view, label)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), b.column(5), *fixed], names=[*(x.split()[0] for x in ROWS.split(", ")), "odds", "view", "label"])
+
+    found = rows.where("y is null").mapInArrow(run, ROWS + ", odds double, view int, label int")
+    found = materialise(found, "surest")
+    out: list[list] = [[], []]
+    for view in range(2):
+        for label, most in ((0, low), (1, high)):
+            some = found.where((F.col("view") == view) & (F.col("label") == label)).orderBy("odds", *_order()).limit(most).collect()
+            out[view] += [(label, r) for r in some]
+    discard(found)
+    shared.unpersist()
+    return out
+
+
+def co_train(rows: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, pseudo: int = PSEUDO) -> CoTrained:
+    """The model learnt from ``labelled_features``; each third labelled row is kept for the calibration."""
+    known = rows.where("y is not null").orderBy(*_order()).limit(labelled).collect()
+    y = np.array([r["y"] for r in known], float)
+    text, page = TextView(), MetaView()
+    if len(set(y)) < 2:
+        return CoTrained(text, page, [(1, 0), (1, 0)], [0, 0], float(y.mean()) if len(y) else 0.5)
+    held, learn = [list(range(len(known)))[2::3], [k for k in range(len(known)) if k % 3 != 2]]
+    if len(set(y[held])) < 2 or len(set(y[learn])) < 2:
+        held = learn = list(range(len(known)))
+    low = min(pseudo - 1, max(1, round(pseudo * (1 - y[learn].mean()))))
+    mine = [[(y[k], known[k]) for k in learn] for _ in range(2)]  # what each view learns from
+    taken: tuple[set, set] = (set(), set())
+    calibration = _arrays([known[k] for k in held])
+
+    def held_odds() -> list[np.ndarray]:
+        return [text.odds(*_sparse_rows(calibration[0])), page.odds(*calibration[1:])]
+
+    for r in range(rounds + 1):
+        for view, own in zip((text, page), mine):
+            words_, meta, tags = _arrays([x for _, x in own])
+            labels = np.array([x for x, _ in own], float)
+            view.fit(*_sparse_rows(words_), labels) if view is text else view.fit(meta, tags, labels)
+        if r == rounds:
+            break
+        limits = [_sure(o, y[held]) for o in held_odds()]
+        for view, found in enumerate(surest(rows, text, page, low, pseudo - low, taken, limits)):
+            mine[1 - view] += [(float(label), x) for label, x in found]
+            taken[view].update(x["doc_id"] for _, x in found)
+    odds = held_odds()
+    platt = [_platt(o, y[held]) for o in odds]
+    loss = [-np.mean(np.log(np.where(y[held] > 0, p, 1 - p).clip(1e-6))) for p in (_sigmoid(a * o + b) for o, (a, b) in zip(odds, platt))]
+    weight = [1 / (x + 1e-3) for x in loss]
+    return CoTrained(text, page, platt, [x / sum(weight) for x in weight])
+
+
+def classify(rows: DataFrame, model: CoTrained) -> DataFrame:
+    """(doc_id, p_text, p_meta, score) for each row of ``features``; the model is a broadcast of fixed size."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat, n = lists.flatten().to_numpy(zero_copy_only=False), b.num_rows
-            parts = np.split(flat, np.cumsum(sizes)[:-1]) if n else []
-            meta = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, len(META))
-            tags = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, 2)
-            scores = shared.value.score(parts, meta, tags).round(6)
+            scores = shared.value.score(*_batch_arrays(b)).round(6)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, scores)], names=["doc_id", "p_text", "p_meta", "score"])
 
-    return features(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double")
+    return rows.select("doc_id", "words", "meta", "tags").mapInArrow(run, "doc_id long, p_text double, p_meta double, score double")
 
 
 def op9_quality_classifier(spark, sf_dir):
     """doc_id, p_text, p_meta, score (of good quality, 0 to 1) and kept (score at least 0.5) for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rows = training_rows(docs, table(spark, sf_dir, "labels"))
-    model = CoTrained.fit(*_arrays(rows), [np.nan if r["y"] is None else r["y"] for r in rows])
-    return classify(docs, model).withColumn("kept", F.col("score") >= 0.5)
+    rows = labelled_features(docs, table(spark, sf_dir, "labels"))
+    return classify(rows, co_train(rows)).withColumn("kept", F.col("score") >= 0.5)

@@ -238,19 +238,45 @@ def _auc(score, y):
 
 
 def test_quality_held_out(spark):
+    """Learnt from half of the labels, right on the other half; the rounds help, and bring rows of the whole table."""
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality_classifier.training_rows(docs, labels.where("doc_id % 2 = 0"), 150, 200)
-    model = quality_classifier.CoTrained.fit(*quality_classifier._arrays(rows), [np.nan if r["y"] is None else r["y"] for r in rows])
-    held = quality_classifier.classify(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
-    assert _auc(held.score.to_numpy(), held.quality.to_numpy()) > 0.95
+    rows = quality_classifier.labelled_features(docs, labels.where("doc_id % 2 = 0"))
+    for labelled, least in ((150, 0.88), (2500, 0.93)):
+        held = quality_classifier.classify(rows, quality_classifier.co_train(rows, labelled, pseudo=20)).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+        assert _auc(held.score.to_numpy(), held.quality.to_numpy()) > least
+
+
+def test_surest_rows(spark):
+    """What a round brings back is what sorting all unlabelled rows would."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_classifier.labelled_features(docs, labels).repartition(7)
+    rng = np.random.default_rng(3)
+    text, page = quality_classifier.TextView(rng.normal(size=quality_classifier.BUCKETS + 1)), quality_classifier.MetaView(rng.normal(size=2 * len(quality_classifier.META) + quality_classifier.TAIL + 1))
+    some = [r for r in rows.collect() if r["y"] is None]
+    words_, meta, tags = quality_classifier._arrays(some)
+    done = {some[0]["doc_id"], some[1]["doc_id"]}
+    got = quality_classifier.surest(rows, text, page, 5, 9, (done, set()), [(np.inf, -np.inf)] * 2)
+    none = quality_classifier.surest(rows, text, page, 5, 9, (done, set()), [(-np.inf, np.inf), (-np.inf, -np.inf)])
+    assert none[0] == [] and [x for x, _ in none[1]] == [1] * 9
+    for view, odds in enumerate((text.odds(*quality_classifier._sparse_rows(words_)), page.odds(meta, tags))):
+        order = [int(k) for k in np.argsort(odds.round(9), kind="stable") if view or some[k]["doc_id"] not in done]
+        limit = {0: odds[order[4]], 1: odds[order[-9]]}
+        for label, most in ((0, 5), (1, 9)):
+            ids = {r["doc_id"] for x, r in got[view] if x == label}
+            want = {some[k]["doc_id"] for k in order if (odds[k] <= limit[0] + 1e-8 if label == 0 else odds[k] >= limit[1] - 1e-8)}
+            assert ids <= want and len(ids) == most
 
 
 def test_quality_odd(spark, make, odd_rows):
     docs = make(odd_rows)
     none = spark.createDataFrame([(None, 1), (999, 0), (1, None)], "doc_id long, quality int")
-    rows = quality_classifier.training_rows(docs, none)
-    model = quality_classifier.CoTrained.fit(*quality_classifier._arrays(rows), [np.nan if r["y"] is None else r["y"] for r in rows])
-    out = quality_classifier.classify(docs, model).collect()
+    rows = quality_classifier.labelled_features(docs, none)
+    out = quality_classifier.classify(rows, quality_classifier.co_train(rows)).collect()
     assert len(out) == len(odd_rows) and {r["score"] for r in out} == {0.5}
-    assert quality_classifier.classify(make([]), model).count() == 0
+    some = quality_classifier.labelled_features(docs, spark.createDataFrame([(1, 1), (3, 0), (4, 1), (7, 0), (13, 1)], "doc_id long, quality int"))
+    first, again = (sorted((r["doc_id"] or -1, r["score"]) for r in quality_classifier.classify(some.repartition(n), quality_classifier.co_train(some.repartition(n), pseudo=4)).collect()) for n in (1, 5))
+    assert first == again
+    empty = quality_classifier.labelled_features(make([]), none)
+    assert quality_classifier.classify(empty, quality_classifier.co_train(empty)).count() == 0
