@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.columns import NO_ID, ROW, packed, token_hashes, unpacked, with_row_key
 from quillon.llm.components import Forest, components, whole_groups
 from quillon.llm.decontamination import mixed, shingle_hashes
-from quillon.session import materialise, table
+from quillon.session import discard, materialise, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.9999
@@ -119,8 +119,8 @@ def leaves(nodes: DataFrame, floor: int) -> DataFrame:
     tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("key")))
     rows = nodes.select("node", F.explode(tree).alias("leaf"))
     rows = rows.select(F.xxhash64("leaf.tree", F.substring("leaf.key", 1, 2 * floor)).alias("bucket"), "leaf.key", "node")
-    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
-    return materialise(rows.join(shared, "bucket", "left_semi"), "leaves")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return materialise(rows.join(shared.hint("merge"), "bucket", "left_semi"), "leaves")
 
 
 def _like(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,37 +187,42 @@ def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataF
     least = similarity - RELAX * math.sqrt(similarity * (1 - similarity) / HASHES)
     some = nodes.where("n_shingles > 0").select("node", "sig")
     floor = prefix_length(similarity, recall=recall)
-    every = leaves(some, floor)
-    some = materialise(some.join(every.select("node").distinct(), "node", "left_semi"), "meeting")
+    apart = leaves(some, floor).withColumn("root", F.col("node"))  # the leaves of subtrees with more than one component; all joins with it are merges at any size
+    some = materialise(some.join(apart.select("node").distinct().hint("merge"), "node", "left_semi"), "meeting")
     roots = some.select("node", F.col("node").alias("root"))
-    links = every.sparkSession.createDataFrame([], LINK)
+    links = roots.sparkSession.createDataFrame([], LINK)
 
     def level(depth: int) -> tuple[DataFrame, DataFrame]:
-        """All leaves with their component and their bucket of this depth, and the buckets with more than one component."""
-        rows = every.join(roots, "node").withColumn("bucket", F.xxhash64("bucket", F.substring("key", 1, 2 * depth)))
+        """The leaves with their bucket of this depth, and the buckets with more than one component."""
+        rows = apart.withColumn("bucket", F.xxhash64("bucket", F.substring("key", 1, 2 * depth)))
         groups = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "node", "root")).alias("first"))
         return rows, materialise(groups.where("low <> high").select("bucket", "n", F.col("first.node").alias("first"), F.col("first.root").alias("first_root")), "buckets")
 
     def add(found: DataFrame) -> bool:
-        """Join the components that new links connect; whether there are any."""
-        nonlocal links, roots
+        """Join the components that new links connect, and leave the subtrees with a single one; whether there are any links."""
+        nonlocal links, roots, apart
         found = materialise(found, "near")
         if found.isEmpty():
             return False
         links = links.unionByName(found)
-        joined = components(found.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = materialise(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        tops = materialise(components(found.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+        top = F.coalesce("top", "root").alias("root")
+        roots = materialise(roots.join(tops.hint("merge"), "root", "left").select("node", top), "roots")
+        moved = materialise(apart.join(tops.hint("merge"), "root", "left").select("bucket", "key", "node", top), "moved")
+        several = moved.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        apart = materialise(moved.join(several.hint("merge"), "bucket", "left_semi"), "apart")
+        discard(moved)
         return True
 
     for depth in range(DEPTH, floor - 1, -1):
         rows, buckets = level(depth)
         if not buckets.isEmpty():
-            stars = rows.join(buckets, "bucket").where("root <> first_root").groupBy("node").agg(F.max_by(F.struct("root", "first", "first_root"), F.struct("n", "first")).alias("x")).select("node", "x.*")
-            sigs = stars.join(some, "node").select("root", "sig", "first", "first_root").join(some.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")), "first")
+            stars = rows.join(buckets.hint("merge"), "bucket").where("root <> first_root").groupBy("node").agg(F.max_by(F.struct("root", "first", "first_root"), F.struct("n", "first")).alias("x")).select("node", "x.*")
+            sigs = stars.join(some.hint("merge"), "node").select("root", "sig", "first", "first_root").join(some.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")).hint("merge"), "first")
             if add(sigs.select("root", "sig", "first_root", "first_sig").mapInArrow(lambda x: _to_first(x, least), LINK)):
                 rows, buckets = level(depth)
             chunked = buckets.select("bucket", F.ceil(F.col("n") / BUCKET_CHUNK).alias("chunks"))
-            members = _dealt(rows.join(chunked, "bucket").join(some, "node"), "bucket", "chunks")
+            members = _dealt(rows.join(chunked.hint("merge"), "bucket").join(some.hint("merge"), "node"), "bucket", "chunks")
             members = members.select("__g", "key", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
             add(members.mapInArrow(lambda x: _within(x, least), LINK))
         if estimated_recall(links, similarity, depth) >= recall:
