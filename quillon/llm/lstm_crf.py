@@ -171,38 +171,67 @@ class Tagger:
             np.matmul(top, hid, out=score)
             out[t] += score
 
-    def decode(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, tags): the windows of which the best path leaves tag 0, and their best paths, (row, character).
+    def inside(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores): the windows of which the best path may leave tag 0, and their scores of each tag over tag 0, (row, character, tag).
 
         The best path stays outside if all gains of tags together don't make up for entering and leaving, or for holding the
-        first or last character; only the other windows need Viterbi."""
+        first or last character. A path with several spans enters and leaves for each, which costs it more than staying; a tagger that has learnt otherwise
+        gets no such shortcut."""
         w = self._prepare()
         cls = np.ascontiguousarray(windows.T)
         over = np.empty((len(cls), self.tags - 1, len(windows)), np.float32)
         over[:] = w["b"]
         self._emit("f", cls, over)
         self._emit("b", cls, over)
-        a = w["A"]
-        b = a - a[0, 0]  # what a transition adds to a path outside; a path may start or end inside at no cost
+        b = w["A"] - w["A"][0, 0]  # what a transition adds to a path outside; a path may start or end inside at no cost
         stay, enter, leave = float(b[1:, 1:].max()), float(b[0, 1:].max()), float(b[1:, 0].max())
-        gain = over.max(axis=1) + stay
-        most = np.maximum(gain, 0).sum(axis=0)
-        first, last = np.minimum(gain[0], 0), np.minimum(gain[-1], 0)
-        inside = np.maximum(enter + leave, np.maximum(first + leave, last + enter))
-        rows = np.flatnonzero(most - stay + np.maximum(inside, first + last) > 0)
-        if not len(rows):
-            return rows, np.zeros((0, len(cls)), np.uint8)
-        e = np.zeros((len(cls), self.tags, len(rows)), np.float32)
-        e[:, 1:] = over[:, :, rows]
-        score, back = e[0], np.zeros((len(cls), self.tags, len(rows)), np.uint8)
-        for t in range(1, len(cls)):
+        rows = np.arange(len(windows))
+        if enter + leave <= stay:
+            gain = over.max(axis=1) + stay
+            most = np.maximum(gain, 0).sum(axis=0)
+            first, last = np.minimum(gain[0], 0), np.minimum(gain[-1], 0)
+            held = np.maximum(enter + leave, np.maximum(first + leave, last + enter))
+            rows = np.flatnonzero(most - stay + np.maximum(held, first + last) > 0)
+        scores = np.zeros((len(rows), len(cls), self.tags), np.float32)
+        scores[:, :, 1:] = over[:, :, rows].transpose(2, 0, 1)
+        return rows, scores
+
+    def best_paths(self, chains: list[np.ndarray], begins: list[bool], stops: list[bool]) -> list[np.ndarray]:
+        """The best path of each chain of scores, (character, tag). What does not begin or stop at the end of a text is entered from outside, or left to it."""
+        a = self._prepare()["A"]
+        order = sorted(range(len(chains)), key=lambda k: -len(chains[k]))
+        sizes = np.array([len(chains[k]) for k in order])
+        out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(chains)
+        if not len(order):
+            return out
+        e = np.zeros((int(sizes[0]), self.tags, len(order)), np.float32)
+        for col, k in enumerate(order):
+            e[: sizes[col], :, col] = chains[k]
+        score = e[0] + np.where([begins[k] for k in order], 0, a[0][:, None])
+        back, final = np.zeros(e.shape, np.uint8), np.empty_like(score)
+        for t in range(1, len(e) + 1):
+            active = int(np.searchsorted(-sizes, -t, side="left"))  # the chains longer than t
+            final[:, active : score.shape[1]] = score[:, active:]
+            score = score[:, :active]
+            if not active:
+                break
             step = score[:, None, :] + a[:, :, None]
-            back[t] = step.argmax(axis=0)
-            score = step.max(axis=0) + e[t]
-        tags = np.zeros((len(cls), len(rows)), np.uint8)
-        tags[-1] = score.argmax(axis=0)
-        cols = np.arange(len(rows))
-        for t in range(len(cls) - 1, 0, -1):
-            tags[t - 1] = back[t][tags[t], cols]
-        some = tags.any(axis=0)
-        return rows[some], np.ascontiguousarray(tags.T[some])
+            back[t, :, :active] = step.argmax(axis=0)
+            score = step.max(axis=0) + e[t, :, :active]
+        tag = (final + np.where([stops[k] for k in order], 0, a[:, 0][:, None])).argmax(axis=0)
+        tags = np.zeros((len(e), len(order)), np.uint8)
+        cols = np.arange(len(order))
+        for t in range(len(e) - 1, -1, -1):
+            active = cols[: int(np.searchsorted(-sizes, -t, side="left"))]
+            tags[t, active] = tag[active]
+            tag[active] = back[t][tag[active], active]
+        for col, k in enumerate(order):
+            out[k] = tags[: sizes[col], col]
+        return out
+
+    def decode(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, tags): the windows of which the best path leaves tag 0, and their best paths, (row, character)."""
+        rows, scores = self.inside(windows)
+        paths = self.best_paths(list(scores), [True] * len(rows), [True] * len(rows))
+        some = [k for k, path in enumerate(paths) if path.any()]
+        return rows[some], np.array([paths[k] for k in some], np.uint8).reshape(len(some), windows.shape[1])

@@ -3,12 +3,12 @@
 The base finds e-mail and IP addresses, card and phone numbers by pattern, leftmost and not overlapping, and drops the matches that fail
 their test. The tagger (lstm_crf.py) is trained on labelled spans: windows of a bounded sample of documents, with the spans that the
 base finds there and with further forms written into them, such as addresses with the sign spelt out and phone numbers
-without a plus. It reads every character of every text in overlapping windows. Each window is decoded by its own best path; the
-paths are reconciled over the whole document: every character takes its tag from the window in which it lies deepest, and spans
-are the runs of a tag in the joined sequence, so a span across an edge of windows comes out whole and once. A span
+without a plus. It reads every character of every text in overlapping windows. The windows' scores are reconciled over the whole document:
+where windows overlap, the mean counts, weighted by the distance from their edges, and the best path of the CRF runs over all characters of windows that follow on one another, with its
+transitions across their edges, so a span across an edge of windows comes out whole and once. A span
 that passes an exact test for its kind and overlaps no span of the base is added to them.
 
-Cases: a null or empty text has no spans; a text shorter than a window is padded; rows given twice get the same spans twice; a
+Cases: a null or empty text has no spans; a text shorter than a window is padded; a text of any length is read whole; rows given twice get the same spans twice; a
 null doc_id is returned as it is; without any document the tagger learns from generated text; an empty table gives an
 empty table; other columns are not read.
 """
@@ -173,8 +173,29 @@ def train(docs: DataFrame, rows: int = SAMPLE, steps: int = STEPS) -> Tagger:
 
 
 # -- scanning ------------------------------------------------------------------------------------------------------------
+def _weights(size: int, low: int) -> np.ndarray:
+    """What the scores of a window that begins at ``low`` of a text count for: more the farther a character is from the window's edges; an edge of the text is none."""
+    at, end = np.arange(min(WINDOW, size - low)), low + WINDOW < size
+    out = np.full(len(at), OVERLAP + 1.0, np.float32)
+    if low:
+        out = np.minimum(out, at + 1)
+    return np.minimum(out, len(at) - at) if end else out
+
+
+def reconciled(size: int, windows: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The scores of a chain of overlapping windows (begin, scores) of a text of ``size`` characters: where they overlap, the weighted mean."""
+    low, high = windows[0][0], min(size, windows[-1][0] + WINDOW)
+    total, weight = np.zeros((high - low, windows[0][1].shape[1]), np.float32), np.zeros(high - low, np.float32)
+    for begin, scores in windows:
+        w = _weights(size, begin)
+        total[begin - low : begin - low + len(w)] += w[:, None] * scores[: len(w)]
+        weight[begin - low : begin - low + len(w)] += w
+    return total / weight[:, None]
+
+
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The runs of a tag in each text, from overlapping windows reconciled over the whole text."""
+    """The runs of a tag in each text. Windows whose best path stays outside are outside; the others that follow on one another are reconciled to one chain of
+    scores, of which the best path over all its characters is taken, with the transitions across the windows' edges."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = char_classes("".join(texts))
     starts_of = np.cumsum(sizes) - sizes
@@ -183,29 +204,41 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int,
     doc = np.repeat(np.arange(len(texts)), counts)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = nth * stride
-    joined_tags: dict[int, np.ndarray] = {}
     offsets = np.arange(WINDOW)
     padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    chains: list[tuple[int, int, np.ndarray]] = []
+    held: list[tuple[int, np.ndarray]] = []  # the windows of the chain that may go on
+    owner = -1
+
+    def close() -> None:
+        if held:
+            chains.append((owner, held[0][0], reconciled(int(sizes[owner]), held)))
+            held.clear()
+
+    def flush() -> None:
+        ends = [low + len(c) == sizes[i] for i, low, c in chains]
+        for (i, low, _), tags in zip(chains, tagger.best_paths([c for _, _, c in chains], [low == 0 for _, low, _ in chains], ends)):
+            edges = np.flatnonzero(np.diff(tags.astype(np.int8), prepend=0, append=0))
+            out[i] += [(KINDS[tags[s] - 1], low + s, low + e) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()) if tags[s]]
+        chains.clear()
+
     for a in range(0, len(doc), AT_ONCE):
         d, s = doc[a : a + AT_ONCE], begin[a : a + AT_ONCE]
         at = (starts_of[d] + s)[:, None] + offsets
         windows = padded[at]
         windows[offsets >= (sizes[d] - s)[:, None]] = PAD
-        rows, tags = tagger.decode(windows)
-        for r, path in zip(rows.tolist(), tags):
+        rows, scores = tagger.inside(windows)
+        for r, one in zip(rows.tolist(), scores):
             i, low = int(d[r]), int(s[r])
-            size = int(sizes[i])
-            whole = joined_tags.setdefault(i, np.zeros(size, np.uint8))
-            # the characters that lie deeper in this window than in its neighbours
-            first = 0 if low == 0 else OVERLAP // 2
-            last = size - low if low + WINDOW >= size else WINDOW - OVERLAP // 2
-            whole[low + first : low + last] = path[first:last]
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, tags in joined_tags.items():
-        edges = np.flatnonzero(np.diff(tags.astype(np.int8), prepend=0, append=0))
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if tags[s]:
-                out[i].append((KINDS[tags[s] - 1], s, e))
+            if held and (i != owner or low != held[-1][0] + stride):
+                close()
+            owner = i
+            held.append((low, one))
+        if len(chains) >= AT_ONCE // 4:
+            flush()
+    close()
+    flush()
     return out
 
 

@@ -103,20 +103,24 @@ def test_pii_base():
     assert pii.base_spans("") == []
 
 
+def plain_base(text):
+    """The base as the contract words it."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    want = [("email", *m.span()) for m in email.finditer(text)]
+    want += [("ip", *m.span()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    want += [("card", *m.span()) for m in card.finditer(text) if 16 <= sum(c.isdigit() for c in m.group()) <= 19 and pii.luhn(re.sub("[ -]", "", m.group()))]
+    return want + [("phone", *m.span()) for m in phone.finditer(text) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
+
+
 def test_pii_base_random():
     """The base as its patterns have it, on random pieces."""
     rng = random.Random(12)
     parts = ["a", "b.c", "@", "@", ".", "com", "10", "255", "256", ".", "0", "+", "1", " ", "-", "(", ")", "4111111111111111", "\n", "é", "_", "%"]
-    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
-        want = [("email", *m.span()) for m in email.finditer(text)]
-        want += [("ip", *m.span()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
-        want += [("card", *m.span()) for m in card.finditer(text) if 16 <= sum(c.isdigit() for c in m.group()) <= 19 and pii.luhn(re.sub("[ -]", "", m.group()))]
-        want += [("phone", *m.span()) for m in phone.finditer(text) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
-        assert pii.base_spans(text) == want
+        assert pii.base_spans(text) == plain_base(text)
     assert pii.base_spans("1" * 200_000 + "@" + "a" * 200_000) == [] and pii.base_spans("0" * 9000 + "1.1.1.1")[0][0] == "ip"
 
 
@@ -198,6 +202,74 @@ def test_decode_bound_loses_nothing(tagger):
     assert np.array_equal(full[rows], tags)
 
 
+def test_paths_are_global(tagger):
+    """Over windows that follow on one another the tags are the best path of the whole text by plain Viterbi, seams included."""
+    rng = random.Random(14)
+    for k in range(12):
+        parts = [pii._planted(rng, rng.choice(pii.KINDS)) if rng.random() < 0.3 else pii._name(rng) for _ in range(150)]
+        text = " ".join(parts)
+        stride, size = pii.WINDOW - pii.OVERLAP, len(text)
+        begins = [b for b in range(0, max(size - pii.OVERLAP, 1), stride)]
+        windows = np.full((len(begins), pii.WINDOW), pii.PAD, np.uint8)
+        classes = pii.char_classes(text)
+        for r, b in enumerate(begins):
+            windows[r, : len(classes[b : b + pii.WINDOW])] = classes[b : b + pii.WINDOW]
+        rows, scores = tagger.inside(windows)
+        a, want = tagger._prepare()["A"], np.zeros(size, int)
+        e = np.full((size, tagger.tags), -1e9)
+        e[:, 0] = 0
+        chain = []
+        for n, r in enumerate(rows.tolist() + [-9]):
+            if chain and r != chain[-1][0] + 1:
+                low = begins[chain[0][0]]
+                one = pii.reconciled(size, [(begins[x], scores[y]) for x, y in chain])
+                e[low : low + len(one)] = one
+                chain = []
+            if r >= 0:
+                chain.append((r, n))
+        score, back = e[0].astype(float), []
+        for t in range(1, size):
+            step = score[:, None] + a
+            back.append(step.argmax(axis=0))
+            score = step.max(axis=0) + e[t]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        want = np.array(path[::-1])
+        got = np.zeros(size, int)
+        for kind, x, y in pii.tagged_spans(tagger, [text])[0]:
+            got[x:y] = pii.KINDS.index(kind) + 1
+        assert np.array_equal(got, want)
+
+
+def test_decode_without_the_shortcut(tagger):
+    """Where entering and leaving cost less than staying, no window is left out."""
+    import copy
+
+    odd = copy.deepcopy(tagger)
+    odd.p["A"] = np.zeros_like(odd.p["A"])
+    odd.p["A"][0, 1:] = odd.p["A"][1:, 0] = 1.0
+    odd.fast = None
+    windows, _ = pii.examples(["plain words " * 30], 20, 96)
+    assert len(odd.inside(windows)[0]) == 20
+
+
+def test_pii_query(spark, tmp_path):
+    """The base columns of the query against the contract's patterns."""
+    rng = random.Random(22)
+    parts = ["mail", "a.b@c.org", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "+1 (555) 123-4567", "é", "\n", "@", "12", " "]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(30)), "en", "s", 1) for i in range(150)] + [(900, None, "en", "s", 0), (901, "", None, None, None), (None, "x@y.org", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op1_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, text, *_ in rows:
+        spans = plain_base(text or "")
+        assert tuple(got[i][f"n_{k}"] for k in pii.KINDS) == tuple(sum(s[0] == k for s in spans) for k in pii.KINDS)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        every = [x for x in got[i]["spans"].split(",") if x]
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(every)
+
+
 def test_pii_rows(make, odd_rows):
     out = pii.find_personal_data(make([*odd_rows, (60, "write to me@example.org")]), pii._trained((), 3)).collect()
     got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in out}
