@@ -2,7 +2,7 @@
 
 Two classifiers see two views of a document that share no evidence: its words (hashed to ``BUCKETS`` presence features), and its page
 metadata (source, language, and the layout of the page: its length, and the number, mean, largest length and blank share of its lines). Both are logistic
-regressions. In each round each of them scores every unlabelled row of the table on the executors; of the rows with calibrated odds of 19 to 1 at least, were both labels as frequent, the ``PSEUDO`` surest, in the proportion of
+regressions. In each round each of them scores every row of the table but those that the fit has the label of, on the executors; of the rows with calibrated odds of 19 to 1 at least, were both labels as frequent, the ``PSEUDO`` surest, in the proportion of
 the known labels, come to the driver and join the other's training rows with its label. At the end each view is calibrated on labelled rows that it did not learn
 from (Platt scaling), and the calibrated log odds are averaged, weighted by their quality there, into the score of every document.
 
@@ -10,7 +10,7 @@ Features are written once and read by every round and the last scoring. Bounded
 rows that a round brings back; the rounds look at the whole corpus, and the score reads every whole text.
 
 Cases: a null or empty text has no words and zero lengths; a null source or lang is a value of its own; a label that
-is null or has no document teaches nothing; of a document with two labels the better one counts; rows with a null doc_id are unlabelled; with fewer than two labels known all scores are the known share (0.5
+is null or has no document teaches nothing; of a document with two labels the better one counts; rows with a null doc_id have no label; with fewer than two labels known all scores are the known share (0.5
 without any); rows of one doc_id with different texts and equally sure rows are ordered by their features, so runs agree; rows given twice get the same score
 twice; a text of any length is read whole; an empty table gives an empty table; other columns are not read.
 """
@@ -30,10 +30,10 @@ from quillon.llm.columns import SPACE, lines, tokens
 from quillon.session import discard, materialise, table
 
 BUCKETS, LABELLED, PSEUDO, ROUNDS, TAIL = 1 << 14, 2500, 250, 4, 256
-#: Log odds from which on a view is sure: 19 to 1.
-CONFIDENT = 2.944
+#: Log odds from which on a view is sure, 19 to 1, and what a pseudo-label weighs against a known one.
+CONFIDENT, TRUST = 2.944, 0.3
 META = ["log_chars", "log_lines", "line_len", "longest_line", "blank_lines", "upper", "digit", "symbol"]
-ROWS = "doc_id long, words array<int>, meta array<double>, tags array<int>, y int"
+ROWS = "doc_id long, words array<int>, meta array<double>, tags array<int>"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -48,10 +48,24 @@ def features(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", held.alias("words"), F.array(*(m.cast("double") for m in meta)).alias("meta"), tags.alias("tags"))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``ROWS``: the features of every row with its label, 1 or 0, or null; written once."""
+def written_features(docs: DataFrame) -> DataFrame:
+    """``features`` of every row, written once."""
+    return materialise(features(docs), "features")
+
+
+def _hashed() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+
+
+def labelled_rows(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> list:
+    """(doc_id, words, meta, tags, y) of at most ``most`` labelled documents, those with the least hash of doc_id. Only ids are sorted, and the features of
+    the chosen ones fetched."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
-    return materialise(features(docs).join(known, "doc_id", "left").select("doc_id", "words", "meta", "tags", "y"), "features")
+    chosen = known.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").orderBy(_hashed(), "doc_id").limit(most).collect()
+    ids = rows.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, y int")
+    found = rows.join(F.broadcast(ids), "doc_id")  # at most ``most`` ids
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct("words", "meta", "tags", "y"), F.xxhash64("words", "meta", "tags")).alias("x"))
+    return first.select("doc_id", "x.*").orderBy(_hashed(), "doc_id").collect()
 
 
 def _sparse_rows(lists: list) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +94,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _balance(y: np.ndarray) -> np.ndarray:
+def _balance(y: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights under which both labels count alike, with the sum 1."""
-    p = max(y.sum(), 1), max((1 - y).sum(), 1)
-    w = np.where(y > 0, 0.5 / p[0], 0.5 / p[1])
+    weight = np.ones(len(y)) if weight is None else weight
+    p = max((weight * y).sum(), 1), max((weight * (1 - y)).sum(), 1)
+    w = weight * np.where(y > 0, 0.5 / p[0], 0.5 / p[1])
     return w / w.sum()
 
 
@@ -91,8 +106,8 @@ def _balance(y: np.ndarray) -> np.ndarray:
 class TextView:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS + 1))
 
-    def fit(self, index, sizes, y) -> None:
-        share, rows = _balance(y), np.repeat(np.arange(len(sizes)), sizes)
+    def fit(self, index, sizes, y, weight=None) -> None:
+        share, rows = _balance(y, weight), np.repeat(np.arange(len(sizes)), sizes)
         scale = 1 / np.sqrt(np.maximum(sizes, 1))
 
         def gradient(w):
@@ -118,9 +133,9 @@ class MetaView:
             one_hot[np.arange(len(z)), tags[:, c]] = 0.5
         return np.hstack([z, z * z / 4, one_hot, np.ones((len(z), 1))])
 
-    def fit(self, meta, tags, y) -> None:
+    def fit(self, meta, tags, y, weight=None) -> None:
         self.mean, self.spread = meta.mean(axis=0), meta.std(axis=0) + 1e-6
-        x, share = self.matrix(meta, tags), _balance(y)
+        x, share = self.matrix(meta, tags), _balance(y, weight)
         self.weights = _fit(lambda w: x.T @ (share * (_sigmoid(x @ w) - y)) + 1e-3 * w, x.shape[1])
 
     def odds(self, meta, tags) -> np.ndarray:
@@ -165,11 +180,6 @@ class CoTrained:
         return np.array([_sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(self.weight[0] * odds[0] + self.weight[1] * odds[1])])
 
 
-def _order() -> list[Column]:
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    return [hashed, F.col("doc_id"), F.xxhash64("words", "meta", "tags")]
-
-
 def _arrays(rows: list) -> tuple[list, np.ndarray, np.ndarray]:
     return [r["words"] for r in rows], np.array([r["meta"] for r in rows], float).reshape(len(rows), len(META)), np.array([r["tags"] for r in rows], np.int64).reshape(len(rows), 2)
 
@@ -182,7 +192,7 @@ def _batch_arrays(b: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def surest(rows: DataFrame, text: TextView, page: MetaView, low: int, high: int, taken: tuple[set, set], limits: list[tuple[float, float]]) -> list[list]:
-    """For each view the ``low`` unlabelled rows with the least and the ``high`` rows with the largest odds, as (label, row); not those of the ids in ``taken``, and
+    """For each view the ``low`` rows with the least and the ``high`` rows with the largest odds, as (label, row); not those of the ids in ``taken``, and
     only odds of at most the first and at least the second of the view's ``limits``.
 
     A task puts out that many rows of each kind at most, and the driver gets that many of all."""
@@ -192,7 +202,6 @@ def surest(rows: DataFrame, text: TextView, page: MetaView, low: int, high: int,
         held: dict[tuple, pa.Table] = {}
         words_, pages, done = shared.value
         for b in batches:
-            b = b.filter(pc.is_null(b.column(4)))
             if not b.num_rows:
                 continue
             parts, meta, tags = _batch_arrays(b)
@@ -215,23 +224,28 @@ def surest(rows: DataFrame, text: TextView, page: MetaView, low: int, high: int,
         for (view, label), t in held.items():
             for b in t.combine_chunks().to_batches():
                 fixed = [pa.array(np.full(b.num_rows, x), pa.int32()) for x in (view, label)]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), b.column(5), *fixed], names=[*(x.split()[0] for x in ROWS.split(", ")), "odds", "view", "label"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), b.column(4), *fixed], names=[*(x.split()[0] for x in ROWS.split(", ")), "odds", "view", "label"])
 
-    found = rows.where("y is null").mapInArrow(run, ROWS + ", odds double, view int, label int")
-    found = materialise(found, "surest")
+    written = materialise(rows.mapInArrow(run, ROWS + ", odds double, view int, label int"), "surest")
+    found = written.withColumn("tie", F.xxhash64("words", "meta", "tags"))
     out: list[list] = [[], []]
     for view in range(2):
         for label, most in ((0, low), (1, high)):
-            some = found.where((F.col("view") == view) & (F.col("label") == label)).orderBy("odds", *_order()).limit(most).collect()
-            out[view] += [(label, r) for r in some]
-    discard(found)
+            some = found.where((F.col("view") == view) & (F.col("label") == label))
+            chosen = some.select("odds", "doc_id", "tie").orderBy("odds", _hashed(), "doc_id", "tie").limit(most).collect()
+            if chosen:
+                keys = rows.sparkSession.createDataFrame(sorted({(r["doc_id"], r["tie"]) for r in chosen}, key=str), "id long, t long")
+                got = some.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t"))).dropDuplicates(["doc_id", "tie"])
+                out[view] += [(label, r) for r in got.orderBy("odds", _hashed(), "doc_id", "tie").collect()]
+    discard(written)
     shared.unpersist()
     return out
 
 
-def co_train(rows: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, pseudo: int = PSEUDO) -> CoTrained:
-    """The model learnt from ``labelled_features``; each third labelled row is kept for the calibration."""
-    known = rows.where("y is not null").orderBy(*_order()).limit(labelled).collect()
+def co_train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, pseudo: int = PSEUDO) -> CoTrained:
+    """The model learnt from ``written_features`` and labels (doc_id, quality); each third labelled row is kept for the calibration. All documents but the
+    labelled ones of the fit are the pool of every round."""
+    known = labelled_rows(rows, labels, labelled)
     y = np.array([r["y"] for r in known], float)
     text, page = TextView(), MetaView()
     if len(set(y)) < 2:
@@ -241,7 +255,7 @@ def co_train(rows: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, ps
         held = learn = list(range(len(known)))
     low = min(pseudo - 1, max(1, round(pseudo * (1 - y[learn].mean()))))
     mine = [[(y[k], known[k]) for k in learn] for _ in range(2)]  # what each view learns from
-    taken: tuple[set, set] = (set(), set())
+    taken: tuple[set, set] = tuple({r["doc_id"] for r in known} for _ in range(2))
     calibration = _arrays([known[k] for k in held])
 
     def held_odds() -> list[np.ndarray]:
@@ -251,7 +265,8 @@ def co_train(rows: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, ps
         for view, own in zip((text, page), mine):
             words_, meta, tags = _arrays([x for _, x in own])
             labels = np.array([x for x, _ in own], float)
-            view.fit(*_sparse_rows(words_), labels) if view is text else view.fit(meta, tags, labels)
+            weight = np.where(np.arange(len(own)) < len(learn), 1.0, TRUST)
+            view.fit(*_sparse_rows(words_), labels, weight) if view is text else view.fit(meta, tags, labels, weight)
         if r == rounds:
             break
         limits = [_sure(o, y[held]) for o in held_odds()]
@@ -280,5 +295,5 @@ def classify(rows: DataFrame, model: CoTrained) -> DataFrame:
 def op9_quality_classifier(spark, sf_dir):
     """doc_id, p_text, p_meta, score (of good quality, 0 to 1) and kept (score at least 0.5) for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rows = labelled_features(docs, table(spark, sf_dir, "labels"))
-    return classify(rows, co_train(rows)).withColumn("kept", F.col("score") >= 0.5)
+    rows = written_features(docs)
+    return classify(rows, co_train(rows, table(spark, sf_dir, "labels"))).withColumn("kept", F.col("score") >= 0.5)

@@ -313,20 +313,19 @@ def test_quality_held_out(spark):
     """Learnt from half of the labels, right on the other half; the rounds help, and bring rows of the whole table."""
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality_classifier.labelled_features(docs, labels.where("doc_id % 2 = 0"))
-    for labelled, least in ((150, 0.88), (2500, 0.93)):
-        held = quality_classifier.classify(rows, quality_classifier.co_train(rows, labelled, pseudo=20)).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    rows, known = quality_classifier.written_features(docs), labels.where("doc_id % 2 = 0")
+    for labelled, least in ((150, 0.95), (2500, 0.97)):
+        held = quality_classifier.classify(rows, quality_classifier.co_train(rows, known, labelled, pseudo=20)).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
         assert _auc(held.score.to_numpy(), held.quality.to_numpy()) > least
 
 
 def test_surest_rows(spark):
     """What a round brings back is what sorting all unlabelled rows would."""
     sf = "/root/testdata/sf0.001"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality_classifier.labelled_features(docs, labels).repartition(7)
+    rows = quality_classifier.written_features(spark.read.parquet(f"{sf}/documents.parquet")).repartition(7)
     rng = np.random.default_rng(3)
     text, page = quality_classifier.TextView(rng.normal(size=quality_classifier.BUCKETS + 1)), quality_classifier.MetaView(rng.normal(size=2 * len(quality_classifier.META) + quality_classifier.TAIL + 1))
-    some = [r for r in rows.collect() if r["y"] is None]
+    some = rows.collect()
     words_, meta, tags = quality_classifier._arrays(some)
     done = {some[0]["doc_id"], some[1]["doc_id"]}
     got = quality_classifier.surest(rows, text, page, 5, 9, (done, set()), [(np.inf, -np.inf)] * 2)
@@ -344,11 +343,11 @@ def test_surest_rows(spark):
 def test_quality_odd(spark, make, odd_rows):
     docs = make(odd_rows)
     none = spark.createDataFrame([(None, 1), (999, 0), (1, None)], "doc_id long, quality int")
-    rows = quality_classifier.labelled_features(docs, none)
-    out = quality_classifier.classify(rows, quality_classifier.co_train(rows)).collect()
+    rows = quality_classifier.written_features(docs)
+    out = quality_classifier.classify(rows, quality_classifier.co_train(rows, none)).collect()
     assert len(out) == len(odd_rows) and {r["score"] for r in out} == {0.5}
-    some = quality_classifier.labelled_features(docs, spark.createDataFrame([(1, 1), (3, 0), (4, 1), (7, 0), (13, 1)], "doc_id long, quality int"))
-    first, again = (sorted((r["doc_id"] or -1, r["score"]) for r in quality_classifier.classify(some.repartition(n), quality_classifier.co_train(some.repartition(n), pseudo=4)).collect()) for n in (1, 5))
+    some = spark.createDataFrame([(1, 1), (3, 0), (4, 1), (7, 0), (13, 1)], "doc_id long, quality int")
+    first, again = (sorted((r["doc_id"] or -1, r["score"]) for r in quality_classifier.classify(rows.repartition(n), quality_classifier.co_train(rows.repartition(n), some, pseudo=4)).collect()) for n in (1, 5))
     assert first == again
-    empty = quality_classifier.labelled_features(make([]), none)
-    assert quality_classifier.classify(empty, quality_classifier.co_train(empty)).count() == 0
+    empty = quality_classifier.written_features(make([]))
+    assert quality_classifier.classify(empty, quality_classifier.co_train(empty, none)).count() == 0
