@@ -6,11 +6,14 @@ a text into its kernel values against the landmarks; one-versus-rest kernel ridg
 score for each language. n-grams are hashed to ``BUCKETS`` presence bits, so the kernel values of a batch of texts
 are one matrix product of its presence bits with those of the landmarks, and the scores are a second product.
 
-Only the fit is bounded: at most ``PER_LANG`` labelled rows a language, those with the least hash of doc_id, read
+The longer a text, the more n-grams it has, and the less their presence says; so texts are cut into segments of ``SEGMENT`` characters, each of which is a row of the kernel,
+and a text has the mean of its segments' scores, weighted by their lengths.
+
+Only the fit is bounded: at most ``ROWS`` labelled rows, as many of each of the ``LANGS`` most frequent languages, ``PER_LANG`` at most, those with the least hash of doc_id, read
 whole. The prediction reads every whole text.
 
 Cases: a null text or one without a letter is `und` with score 0; a null lang teaches nothing; without any labelled row every
-prediction is `und`; a single language is predicted everywhere; rows given twice get the same answer twice; other columns than
+prediction is `und`; a single language is predicted everywhere; of languages with equal scores the first in alphabetical order is predicted; a text of any length is read whole; rows given twice get the same answer twice; other columns than
 doc_id, text and (for the fit) lang are not read; an empty table gives an empty table.
 """
 
@@ -22,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.spans import pieces
 from quillon.session import table
 
-#: n-gram lengths, hash buckets, labelled rows a language, landmarks a language, ridge, rows of one matrix product.
-LENGTHS, BUCKETS, PER_LANG, LANDMARKS, RIDGE, BLOCK = (1, 2, 3), 1 << 14, 300, 24, 1e-3, 256
+#: n-gram lengths, hash buckets, characters of a segment, landmarks of all languages and of one, ridge, rows of one matrix product.
+LENGTHS, BUCKETS, SEGMENT, MARKS, LANDMARKS, RIDGE, BLOCK = (1, 2, 3), 1 << 14, 4096, 512, 24, 1e-3, 256
+#: Bounds of the fit: labelled rows of all languages and of one, languages.
+ROWS, PER_LANG, LANGS = 4096, 300, 256
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -55,6 +60,12 @@ def kernel(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (rows @ marks.T) / norms
 
 
+def segments(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """(the segments of all texts, the text of each)."""
+    parts = [(t[a : a + SEGMENT], i) for i, t in enumerate(texts) for a in range(0, max(len(t), 1), SEGMENT)]
+    return [p for p, _ in parts], np.array([i for _, i in parts], np.int64)
+
+
 @dataclass
 class KernelRidge:
     """``marks``: presence bits of the landmarks; ``weights``: kernel values to scores, a column for each of ``langs``."""
@@ -65,59 +76,52 @@ class KernelRidge:
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]], per_lang: int = LANDMARKS, ridge: float = RIDGE) -> KernelRidge:
-        """From (text, lang) pairs, in a fixed order; the first ``per_lang`` of each language are its landmarks."""
+        """From (text, lang) pairs, in a fixed order; the first segments of the first texts of each language are its landmarks."""
         labelled = [(t, x) for t, x in labelled if LETTER.search(t)]
         langs = sorted({x for _, x in labelled})
-        rows = presence([t for t, _ in labelled])
-        y = np.array([[1.0 if x == lang else -1.0 for lang in langs] for _, x in labelled]).reshape(len(labelled), len(langs))
-        seen = dict.fromkeys(langs, 0)
-        chosen = []
-        for i, (_, x) in enumerate(labelled):
-            if seen[x] < per_lang:
-                seen[x] += 1
-                chosen.append(i)
-        marks = rows[chosen]
-        if not chosen:
-            return cls([], marks, np.zeros((0, 0), np.float32))
-        k = kernel(rows, marks).astype(np.float64)
-        share = np.array([1.0 / sum(x == z for _, z in labelled) for _, x in labelled])[:, None]  # languages weigh alike
+        if not langs:
+            return cls([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, 0), np.float32))
+        per_lang = max(1, min(per_lang, MARKS // len(langs)))
+        chosen = [t for lang in langs for t in [t for t, x in labelled if x == lang][:per_lang]]
+        marks = presence([t[:SEGMENT] for t in chosen])
+        parts, owner = segments([t for t, _ in labelled])
+        k = np.concatenate([kernel(presence(parts[a : a + BLOCK]), marks) for a in range(0, len(parts), BLOCK)]).astype(np.float64)
+        number = {x: i for i, x in enumerate(langs)}
+        lang = np.array([number[x] for _, x in labelled])[owner]
+        y = np.where(lang[:, None] == np.arange(len(langs)), 1.0, -1.0)
+        share = (1.0 / np.bincount(lang, minlength=len(langs)))[lang][:, None]  # languages weigh alike
         kmm = kernel(marks, marks).astype(np.float64)
-        gram = k.T @ (share * k) + ridge * kmm + 1e-9 * np.eye(len(chosen))
+        gram = k.T @ (share * k) + ridge * kmm + 1e-9 * np.eye(len(marks))
         return cls(langs, marks, np.linalg.solve(gram, k.T @ (share * y)).astype(np.float32))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language with the largest score and a softmax of the scores at it."""
-        out: list[tuple[str, float]] = []
-        for at in range(0, len(texts), BLOCK):
-            block = texts[at : at + BLOCK]
-            if not self.langs:
-                out += [(UNKNOWN, 0.0)] * len(block)
-                continue
-            scores = (kernel(presence(block), self.marks) @ self.weights).astype(np.float64)
-            best = scores.argmax(axis=1)
-            sure = 1 / np.exp(4 * (scores - scores.max(axis=1, keepdims=True))).sum(axis=1)
-            out += [(self.langs[b], round(float(s), 4)) if LETTER.search(t) else (UNKNOWN, 0.0) for b, s, t in zip(best, sure, block)]
-        return out
-
-
-def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (text, lang) of each language, those with the least hash of doc_id.
+        if not self.langs or not texts:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        parts, owner = segments(texts)
+        scores = np.concatenate([kernel(presence(parts[a : a + BLOCK]), self.marks) @ self.weights for a in range(0, len(parts), BLOCK)]).astype(np.float64)
+        size = np.maximum(np.fromiter(map(len, parts), np.float64, len(parts)), 1)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        scores = np.add.reduceat(scores * size[:, None], first) / np.add.reduceat(size, first)[:, None]
+        best = scores.argmax(axis=1)
+        sure = 1 / np.exp(4 * (scores - scores.max(axis=1, keepdims=True))).sum(axis=1)
+        return [(self.langs[b], round(float(s), 4)) if LETTER.search(t) else (UNKNOWN, 0.0) for b, s, t in zip(best, sure, texts)]
+
+
+def sample(docs: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS, langs: int = LANGS) -> list[tuple[str, str]]:
+    """(text, lang) of at most ``rows`` rows, as many of each of the ``langs`` most frequent languages, those with the least hash of doc_id.
 
     The counts by language give a share of the hashes that holds enough rows; what is read beyond it never leaves the executors."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    within = F.lit(False)
-    for lang, n in counts.items():
-        within = within | ((F.col("lang") == lang) & (hashed < int((1 << 30) * min(1.0, 1.5 * per_lang / n + 20 / n))))
-    rows = known.where(within).withColumn("h", hashed).orderBy("h", "doc_id", "text").limit(2 * per_lang * max(1, len(counts))).collect()
-    taken = dict.fromkeys(counts, 0)
-    out = []
-    for r in rows:
-        if taken[r["lang"]] < per_lang:
-            taken[r["lang"]] += 1
-            out.append((r["text"], r["lang"]))
-    return out
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    if not counts:
+        return []
+    most = max(1, min(per_lang, rows // len(counts)))
+    shares = [(r["lang"], int((1 << 30) * min(1.0, (1.5 * most + 20) / r["n"]))) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(shares, "lang string, bound long")
+    some = known.join(F.broadcast(bounds), "lang").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") <= F.col("bound"))  # LANGS rows
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))
+    return [(r["text"], r["lang"]) for r in some.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("h", "doc_id", "lang", "nth").select("text", "lang").collect()]
 
 
 def predict(docs: DataFrame, model: KernelRidge) -> DataFrame:

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import language_id, pii, quality_classifier, secret_scan
 from quillon.llm.automaton import Ends, Starts
@@ -294,6 +296,44 @@ def test_language_odd(make, odd_rows):
     assert language_id.predict(make([]), model).count() == 0
 
 
+def test_language_of_long_texts(spark, sf):
+    """A text of a million characters is told by all its segments; its first part alone would say something else."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.KernelRidge.fit(language_id.sample(docs))
+    by = {x: " ".join(r["text"] for r in docs.where(F.col("lang") == x).orderBy("doc_id").collect()) for x in ("fr", "de")}
+    long = by["fr"][:9000] + (by["de"] * 9)[:1_000_000]
+    assert [x for x, _ in model.predict([long, by["fr"], "", by["de"]])] == ["de", "fr", "und", "de"]
+
+
+def test_language_by_brute_force(spark, sf):
+    """The query's rows are those of the kernel with plain sets of n-grams and the ridge solved anew."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(t[: language_id.SEGMENT], x) for t, x in language_id.sample(docs.where("lang in ('en', 'fr')"), 12)]
+    model = language_id.KernelRidge.fit(rows, per_lang=4)
+    buckets = [set(np.flatnonzero(language_id.presence([t])[0]).tolist()) for t, _ in rows]
+    first = [k for x in ("en", "fr") for k in [k for k, r in enumerate(rows) if r[1] == x][:4]]
+
+    def plain(a, b):
+        return len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+
+    k = np.array([[plain(a, buckets[m]) for m in first] for a in buckets])
+    n = Counter(x for _, x in rows)
+    share = np.array([1 / n[x] for _, x in rows])[:, None]
+    y = np.array([[1.0 if x == lang else -1.0 for lang in ("en", "fr")] for _, x in rows])
+    weights = np.linalg.solve(k.T @ (share * k) + language_id.RIDGE * k[first] + 1e-9 * np.eye(len(first)), k.T @ (share * y))
+    want = [("en", "fr")[int(s.argmax())] for s in k @ weights]
+    assert [x for x, _ in model.predict([t for t, _ in rows])] == want
+    assert np.abs(model.weights - weights).max() < 1e-2 * np.abs(weights).max()
+
+
+def test_many_languages(spark):
+    """A dirty lang column can't make the fit grow without bound."""
+    rows = [(i, f"word{i} text", f"lang{i % 700}") for i in range(2000)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=512, langs=100)
+    assert len({x for _, x in got}) == 100 and len(got) <= 512
+    assert len(language_id.KernelRidge.fit(got).langs) == 100
+
+
 def test_kernel_is_presence():
     rows = language_id.presence(["abcabc", "abc", "xyz", ""])
     assert (rows[0] >= rows[1]).all() and language_id.kernel(rows[1:2], rows[1:2])[0, 0] == pytest.approx(1)
