@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,13 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset: in local mode, as in tests, a temporary folder that goes with the process; on a
+    cluster a folder of the warehouse, and an error where that is a machine's own disk too."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    if not shared and _is_local(spark.sparkContext.master):
         if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
+            folder = tempfile.mkdtemp(prefix="quillon-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own.append("file://" + folder)
         shared = _own[0]
+    if not shared:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", "")
+        if not warehouse or warehouse.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"{warehouse.rstrip('/')}/scratch"
     return f"{shared.rstrip('/')}/quillon/{spark.sparkContext.applicationId}"
 
 
