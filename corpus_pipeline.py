@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages, each one operator of quillon.llm, each written as Parquet and read again.
 
 A stage takes (spark, docs, sf_dir) and returns the documents it leaves, with the columns of ``docs``. All texts are read
-whole, and each stage sees every row that the one before it kept.
+whole, whatever their length, and each stage sees every row that the one before it kept.
+
+Cases: a null, empty or short text fails the quality rules and goes; a null doc_id is the least id, and rows that share a doc_id are one document to the rules and the line
+dedup; of rows given twice the join keeps one; a null source is a host and a source of its own, the last; a null lang is kept as it is; of equal keepers the join takes
+the one with the least hash of its text, and the mix takes rows with one hash together; without a benchmark nothing goes; empty documents leave an empty
+table; columns of any other name are passed through. n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from quillon.session import materialise, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are depleted by lines that too many documents of their host hold, go."""
+    """Documents that fail the base rules, or are depleted by lines that too many documents of their host hold, go; the others lose these lines."""
     return quality_rules.keep_good(docs)
 
 

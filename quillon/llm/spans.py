@@ -5,27 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 #: Rows of a batch: bounds what one call to a scanner holds in memory, also where texts are long.
-ROWS, CHARS = 8000, 32_000_000
+ROWS, BYTES = 8000, 32_000_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of at most ROWS rows and about CHARS characters, with their texts; a null text is empty."""
+    """Slices of at most ROWS rows and about BYTES bytes of text, with their texts; a null text is empty. Only a slice's texts are made at once; a
+    longer text is a slice of its own."""
     for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
         start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and (i - start >= ROWS or size + len(t) > CHARS):
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*sizes, BYTES + 1]):
+            if i > start and (i - start >= ROWS or size + n > BYTES):
+                some = batch.slice(start, i - start)
+                yield some, ["" if t is None else t for t in some.column(1).to_pylist()]
                 start, size = i, 0
-            size += len(t)
-        if texts[start:]:
-            yield batch.slice(start), texts[start:]
+            size += n
 
 
 def span_rows(docs: DataFrame, make_scanner: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int]]]]]) -> DataFrame:
