@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from quillon.session import materialise
 
 
+#: Edges of a task; up to SPLIT tasks the edges are dealt into as many parts as they need, beyond it Spark splits what is hot.
+EDGES, SPLIT = 1 << 19, 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of the (a, b) long pairs the least node of its component; loops are allowed."""
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -25,15 +29,19 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == seen:
             break
         seen = tuple(state)
+        parts = 1 + state["n"] // EDGES
+
+        def dealt(rows: DataFrame, parts: int = parts) -> DataFrame:
+            return rows.repartition(parts, "a") if parts <= SPLIT else rows
+
         both = edges.where("a <> b")
-        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = dealt(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large")
+        large = dealt(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         loops = edges.select(F.col("b").alias("a"), "b").where("a = b")
-        edges = materialise(small.where("a <> b").unionByName(loops).distinct(), "edges")
+        edges = materialise(dealt(small.where("a <> b").unionByName(loops)).distinct(), "edges")
     rooted = edges.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root"))
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return rooted.unionByName(tops).groupBy("node").agg(F.min("root").alias("root"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.columns import NO_ID, ROW, packed, token_hashes, unpacked, with_row_key
 from quillon.llm.components import Forest, components, whole_groups
 from quillon.llm.decontamination import mixed, shingle_hashes
-from quillon.session import discard, materialise, table
+from quillon.session import materialise, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.9999
@@ -189,8 +189,7 @@ def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataF
     floor = prefix_length(similarity, recall=recall)
     apart = leaves(some, floor).withColumn("root", F.col("node"))  # the leaves of subtrees with more than one component; all joins with it are merges at any size
     some = materialise(some.join(apart.select("node").distinct().hint("merge"), "node", "left_semi"), "meeting")
-    roots = some.select("node", F.col("node").alias("root"))
-    links = roots.sparkSession.createDataFrame([], LINK)
+    links = some.sparkSession.createDataFrame([], LINK)
 
     def level(depth: int) -> tuple[DataFrame, DataFrame]:
         """The leaves with their bucket of this depth, and the buckets with more than one component."""
@@ -200,18 +199,15 @@ def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataF
 
     def add(found: DataFrame) -> bool:
         """Join the components that new links connect, and leave the subtrees with a single one; whether there are any links."""
-        nonlocal links, roots, apart
+        nonlocal links, apart
         found = materialise(found, "near")
         if found.isEmpty():
             return False
         links = links.unionByName(found)
-        tops = materialise(components(found.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
-        top = F.coalesce("top", "root").alias("root")
-        roots = materialise(roots.join(tops.hint("merge"), "root", "left").select("node", top), "roots")
-        moved = materialise(apart.join(tops.hint("merge"), "root", "left").select("bucket", "key", "node", top), "moved")
+        tops = components(found.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = apart.join(tops.hint("merge"), "root", "left").select("bucket", "key", "node", F.coalesce("top", "root").alias("root"))
         several = moved.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         apart = materialise(moved.join(several.hint("merge"), "bucket", "left_semi"), "apart")
-        discard(moved)
         return True
 
     for depth in range(DEPTH, floor - 1, -1):
@@ -221,13 +217,14 @@ def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataF
             sigs = stars.join(some.hint("merge"), "node").select("root", "sig", "first", "first_root").join(some.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")).hint("merge"), "first")
             if add(sigs.select("root", "sig", "first_root", "first_sig").mapInArrow(lambda x: _to_first(x, least), LINK)):
                 rows, buckets = level(depth)
-            chunked = buckets.select("bucket", F.ceil(F.col("n") / BUCKET_CHUNK).alias("chunks"))
-            members = _dealt(rows.join(chunked.hint("merge"), "bucket").join(some.hint("merge"), "node"), "bucket", "chunks")
-            members = members.select("__g", "key", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
-            add(members.mapInArrow(lambda x: _within(x, least), LINK))
+            if not buckets.isEmpty():
+                chunked = buckets.select("bucket", F.ceil(F.col("n") / BUCKET_CHUNK).alias("chunks"))
+                members = _dealt(rows.join(chunked.hint("merge"), "bucket").join(some.hint("merge"), "node"), "bucket", "chunks")
+                members = members.select("__g", "key", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
+                add(members.mapInArrow(lambda x: _within(x, least), LINK))
         if estimated_recall(links, similarity, depth) >= recall:
             break
-    return roots
+    return components(links.select("a", "b"))  # a component goes by one of its nodes, so the links have all nodes that any has
 
 
 # -- exact links ---------------------------------------------------------------------------------------------------------
