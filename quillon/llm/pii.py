@@ -285,3 +285,8 @@ def op1_pii(spark, sf_dir):
     found = find_personal_data(table(spark, sf_dir, "documents"))
     counts = [F.size(of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def pii_base(spark, sf_dir):
+    """The columns of ``op1_pii`` that come from the patterns alone, which SQL can express."""
+    return op1_pii(spark, sf_dir).drop("spans")

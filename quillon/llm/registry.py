@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup
+from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,8 +17,14 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "pipeline": corpus_pipeline.run,
+    "pii_base": pii.pii_base,
 }
 ORACLE_SQL = {
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op7_suffix_dedup": oracles.SUFFIXES,
+    "op8_ngram_join": oracles.JOIN,
+    "op10_secret_scan": oracles.SECRETS,
+    "pii_base": oracles.PERSONAL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
