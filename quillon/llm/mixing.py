@@ -8,7 +8,7 @@ the running sum names the bucket in which the remaining budget ends, and only th
 again by the next bits, until the hash is used up. The documents with the boundary hash itself are taken if
 that comes nearer to the target. The histogram has 2^bits rows a source at most, whatever the number of documents.
 
-Cases: a null text has no words and is taken 0 times; a null source is the last one; rows with the same doc_id share
+Cases: a null text has no words and is taken 0 times; a text of any length is counted whole; a null source is the last one; rows with the same doc_id share
 a hash and go together; a null doc_id has a hash of its own; a source without words gets the target 0; an empty
 table gives an empty table; other columns, whatever their names, are passed through by ``mix``, which repeats rows as often as taken.
 """
