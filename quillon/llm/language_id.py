@@ -9,8 +9,8 @@ are one matrix product of its presence bits with those of the landmarks, and the
 The longer a text, the more n-grams it has, and the less their presence says; so texts are cut into segments of ``SEGMENT`` characters, each of which is a row of the kernel,
 and a text has the mean of its segments' scores, weighted by their lengths.
 
-Only the fit is bounded: at most ``ROWS`` labelled rows, as many of each of the ``LANGS`` most frequent languages, ``PER_LANG`` at most, those with the least hash of doc_id, read
-whole. The prediction reads every whole text.
+Only the fit is bounded: at most ``ROWS`` segments of labelled texts, as many of each of the ``LANGS`` most frequent languages, ``PER_LANG`` at most, those with the least hash
+of doc_id and place. The prediction reads every whole text.
 
 Cases: a null text or one without a letter is `und` with score 0; a null lang teaches nothing; without any labelled row every
 prediction is `und`; a single language is predicted everywhere; of languages with equal scores the first in alphabetical order is predicted; a text of any length is read whole; rows given twice get the same answer twice; other columns than
@@ -33,7 +33,7 @@ from quillon.session import table
 
 #: n-gram lengths, hash buckets, characters of a segment, landmarks of all languages and of one, ridge, rows of one matrix product.
 LENGTHS, BUCKETS, SEGMENT, MARKS, LANDMARKS, RIDGE, BLOCK = (1, 2, 3), 1 << 14, 4096, 512, 24, 1e-3, 256
-#: Bounds of the fit: labelled rows of all languages and of one, languages.
+#: Bounds of the fit: segments of all languages and of one, languages.
 ROWS, PER_LANG, LANGS = 4096, 300, 256
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -109,19 +109,23 @@ class KernelRidge:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS, langs: int = LANGS) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``rows`` rows, as many of each of the ``langs`` most frequent languages, those with the least hash of doc_id.
+    """(segment, lang) of at most ``rows`` segments of labelled texts, as many of each of the ``langs`` most frequent languages: those with the least hash of doc_id
+    and place, from anywhere in a text.
 
-    The counts by language give a share of the hashes that holds enough rows; what is read beyond it never leaves the executors."""
+    The counts by language give a share of the hashes that holds enough segments; what is read beyond it never leaves the executors."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    known = known.withColumn("place", F.explode(F.sequence(F.lit(0), F.expr(f"greatest(length(text) - 1, 0) div {SEGMENT}"))))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
     if not counts:
         return []
     most = max(1, min(per_lang, rows // len(counts)))
     shares = [(r["lang"], int((1 << 30) * min(1.0, (1.5 * most + 20) / r["n"]))) for r in counts]
     bounds = docs.sparkSession.createDataFrame(shares, "lang string, bound long")
-    some = known.join(F.broadcast(bounds), "lang").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") <= F.col("bound"))  # LANGS rows
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))
-    return [(r["text"], r["lang"]) for r in some.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("h", "doc_id", "lang", "nth").select("text", "lang").collect()]
+    some = known.join(F.broadcast(bounds), "lang").withColumn("h", F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 30))).where(F.col("h") <= F.col("bound"))  # LANGS rows
+    some = some.select("lang", "h", "doc_id", "place", F.substring("text", F.col("place") * SEGMENT + 1, F.lit(SEGMENT)).alias("part"))
+    order = ("h", "doc_id", "place", F.xxhash64("part"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return [(r["part"], r["lang"]) for r in some.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("h", "doc_id", "place", "lang", "nth").select("part", "lang").collect()]
 
 
 def predict(docs: DataFrame, model: KernelRidge) -> DataFrame:

@@ -35,8 +35,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-#: Characters of a window, of its overlap with the next, windows decoded at once; of the fit the characters of a window, documents, windows and steps.
-WINDOW, OVERLAP, AT_ONCE, LEARN, SAMPLE, EXAMPLES, STEPS = 256, 32, 2048, 96, 200, 4000, 450
+#: Characters of a window, of its overlap with the next, windows decoded at once; of the fit the characters of a window, documents, characters of each, windows and steps.
+WINDOW, OVERLAP, AT_ONCE, LEARN, SAMPLE, PART, EXAMPLES, STEPS = 256, 32, 2048, 96, 200, 1 << 16, 4000, 450
 
 
 def luhn(digits: str) -> bool:
@@ -165,11 +165,13 @@ def _trained(texts: tuple[str, ...], steps: int) -> Tagger:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE, steps: int = STEPS) -> Tagger:
-    """The tagger learnt from at most ``rows`` documents, those with the least hash of doc_id."""
+    """The tagger learnt from at most ``rows`` documents, those with the least hash of doc_id, and ``PART`` characters of each, from anywhere in it."""
     n = docs.count()
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = docs.where(F.col("text").isNotNull()).where(hashed <= int((1 << 30) * min(1.0, 2 * rows / max(1, n)))).select("text", hashed.alias("h"))
-    return _trained(tuple(r["text"] for r in some.orderBy("h", "text").limit(rows).collect()), steps)
+    some = docs.where(F.col("text").isNotNull()).where(hashed <= int((1 << 30) * min(1.0, 2 * rows / max(1, n)))).withColumn("h", hashed)
+    begin = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.length("text") - PART, F.lit(0)) + 1).cast("int") + 1
+    some = some.select("h", F.substring("text", begin, F.lit(PART)).alias("part"))
+    return _trained(tuple(r["part"] for r in some.orderBy("h", "part").limit(rows).collect()), steps)
 
 
 # -- scanning ------------------------------------------------------------------------------------------------------------
