@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules
+from quillon.llm import decontamination, line_dedup, mixing, ngram_join, oracles, quality_rules
 from quillon.session import materialise, table
 
 
@@ -50,8 +50,8 @@ STAGES = [
     ("mixing", weights),
 ]
 
-#: SQL cannot express the join's classes; tests/llm/test_pipeline.py holds the rows against a brute-force version.
-ORACLE_SQL = None
+#: All five stages by brute force; tests/llm/test_pipeline.py holds the rows against plain Python too.
+ORACLE_SQL = oracles.PIPELINE
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from quillon.llm import line_dedup, mixing, quality_rules
 from quillon.llm.decontamination import SHINGLE, SIMILARITY
 from quillon.llm.secret_scan import BASE
 from quillon.llm.suffix_dedup import LENGTH
@@ -95,3 +98,37 @@ with {_DOCS}, m as ({" union all ".join(_marked(k, o, p, keep) for o, (k, p, kee
 a as (select doc_id, {", ".join(f"count_if(kind = '{k}')::bigint as n_{k}" for k, _, _ in _PERSONAL)}, string_agg(kind || ':' || s || ':' || e, ',' order by o, s) as base from m group by doc_id)
 select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k, _, _ in _PERSONAL)}, sha256(coalesce(base, '')) as base_sha256 from d left join a using (doc_id)
 """
+
+
+def _on(sql: str, table: str) -> str:
+    """A query over ``table`` in place of documents."""
+    return re.sub(r"\bdocuments\b", table, sql)
+
+
+_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _lines(table: str) -> str:
+    return f"(select doc_id, coalesce(source, chr(0)) as source, pos, line, {_KEY} as k from (select doc_id, source, u.line, u.pos from (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as ls from {table}) x, lateral (select unnest(x.ls) as line, generate_subscripts(x.ls, 1) as pos) u))"
+
+
+def _rest(table: str, gone: str) -> str:
+    """``table`` with the texts that lose the lines for which ``gone`` holds, and n_chars counted anew for them."""
+    return f"""(select t.doc_id, case when g.lost > 0 then g.rest else t.text end as text, t.lang, t.source, case when g.lost > 0 then length(g.rest) else t.n_chars end as n_chars
+      from {table} t join (select l.doc_id, count_if({gone}) as lost, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where not ({gone})), '') as rest
+        from {_lines(table)} l left join above_{table} a on a.k = l.k and (a.source is null or a.source = l.source) group by l.doc_id) g on g.doc_id = t.doc_id)"""
+
+
+#: The five stages, one after another; a row is a document.
+PIPELINE = f"""
+with recursive ok as (select doc_id from ({quality_rules.ORACLE_SQL}) where kept),
+above_documents as (select l.source, l.k, null::bigint as last_doc from {_lines("documents")} l join (select coalesce(source, chr(0)) as source, count(*) as n from documents group by 1) s on s.source = l.source
+  where l.k <> '' group by l.source, l.k having count(distinct l.doc_id) >= {quality_rules.HOST_DOCS} and count(distinct l.doc_id) > any_value(s.n) * {quality_rules.HOST_SHARE}::double),
+d1 as (select r.* from {_rest("documents", "a.k is not null")} r join ok using (doc_id)),
+above_d1 as (select null::varchar as source, l.k, max(l.doc_id) as last_doc from {_lines("d1")} l where length(l.k) >= {line_dedup.MIN_CHARS} group by l.k having count(distinct l.doc_id) >= {line_dedup.MIN_DOCS}),
+d2 as (select * from {_rest("d1", "a.k is not null and l.doc_id < a.last_doc")}),
+d3 as (select d2.* from d2 join ({_on(JOIN, "d2")}) c on c.doc_id = d2.doc_id and c.class_id = d2.doc_id),
+d4 as (select * from d3 where doc_id not in (select doc_id from ({_on(DECONTAMINATION, "d3")}))),
+mx as ({_on(mixing.ORACLE_SQL, "d4")})
+select d4.doc_id, d4.text, d4.lang, d4.source, d4.n_chars from d4 join mx using (doc_id), lateral (select unnest(range(0, case when mx.size > 0 then mx.taken // mx.size else 0 end))) r
+"""

@@ -25,6 +25,7 @@ ORACLE_SQL = {
     "op8_ngram_join": oracles.JOIN,
     "op10_secret_scan": oracles.SECRETS,
     "pii_base": oracles.PERSONAL,
+    "pipeline": corpus_pipeline.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
