@@ -2,8 +2,8 @@
 
 Documents are sets of 5-token shingles. Documents with the same set are one node, kept with the number of its copies, so no
 group of copies is ever expanded. Each node has TREES x DEPTH MinHash values; a tree of the forest is the trie of the nodes'
-DEPTH values, with its leaves in sorted order. Nodes match that share a prefix in some tree: at first all DEPTH values, and then, level by level, fewer, until the
-recall measured on the links found so far reaches the target. Nodes whose signatures agree often enough (RELAX standard deviations below
+DEPTH values, with its leaves in sorted order. Nodes match that share a prefix in some tree: at first all DEPTH values, and then, by the similarities of the links
+found so far, as few as bring the measured recall to the target. Nodes whose signatures agree often enough (RELAX standard deviations below
 the least similarity) are linked. A bucket, which is a subtree, gives at most one row a node and level, and only subtrees with
 nodes that are not yet connected are looked at again.
 
@@ -169,21 +169,27 @@ def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)) for k, kind in enumerate((np.int64, np.int64, float))], names=["a", "b", "s"])
 
 
-def estimated_recall(links: DataFrame, similarity: float, depth: int) -> float:
-    """The least share of the links of a band of similarities that prefixes of ``depth`` values find: a link of similarity s is found with the chance
-    p = 1 - (1 - s^depth)^TREES, so the n links found stand for the sum of 1 / p; 1 without any link."""
+def estimated_recall(links: DataFrame, similarity: float, depth: int, least: int = 1) -> dict[int, float]:
+    """For prefixes of ``depth`` values and of fewer, down to ``least``: the share of all links that they find, in the band of similarities where that is least.
+
+    Prefixes of d values find a link of similarity s with the chance p(d) = 1 - (1 - s^d)^TREES; so the links found at ``depth`` stand for the sum of 1 / p(depth)
+    of all, and prefixes of d values are to find the sum of p(d) / p(depth) of these. A band without any link counts as empty: at DEPTH values a link of the least similarity
+    is found with a chance of 0.97, so that is wrong for one in 40 bands with a single link. 1 without any link at all."""
     s = F.least(F.lit(1.0), F.greatest(F.lit(similarity), F.col("s")))
-    p = 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(TREES))
-    bands = links.groupBy(F.floor((s - similarity) * 20).alias("band")).agg((F.count("*") / F.sum(1 / p)).alias("share"))
-    return bands.agg(F.coalesce(F.min("share"), F.lit(1.0))).first()[0]
+    depths = range(least, depth + 1)
+    chance = {d: 1 - F.pow(1 - F.pow(s, F.lit(d)), F.lit(TREES)) for d in depths}
+    bands = links.groupBy(F.floor((s - similarity) * 20).alias("band")).agg(*((F.sum(chance[d] / chance[depth]) / F.sum(1 / chance[depth])).alias(f"d{d}") for d in depths))
+    row = bands.agg(*(F.coalesce(F.min(f"d{d}"), F.lit(1.0)).alias(f"d{d}") for d in depths)).first()
+    return {d: row[f"d{d}"] for d in depths}
 
 
 def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(node, root): the components of nodes with a like signature that share a prefix in some tree.
 
-    The prefixes begin at DEPTH values and get shorter until the measured recall reaches the target; at ``prefix_length`` it is reached for the least
-    similarity, so they never get shorter. Each level looks only at buckets with nodes of different components: first each node meets
-    the first of its largest bucket, which a large group of near copies needs no more than, and then what is still apart is compared pair by pair."""
+    The prefixes begin at DEPTH values. As long as the recall measured on the links found misses the target, they are shortened to the length at which these links say
+    that it is reached, and measured again; at ``prefix_length`` it is reached for the least similarity, so they never get shorter. Each level looks only at
+    buckets with nodes of different components: each node meets the first of its largest bucket, which a large group of near copies needs no more than.
+    At the last level, whose buckets hold those of all others, what is still apart is compared pair by pair."""
     least = similarity - RELAX * math.sqrt(similarity * (1 - similarity) / HASHES)
     some = nodes.where("n_shingles > 0").select("node", "sig")
     floor = prefix_length(similarity, recall=recall)
@@ -210,20 +216,23 @@ def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataF
         apart = materialise(moved.join(several.hint("merge"), "bucket", "left_semi"), "apart")
         return True
 
-    for depth in range(DEPTH, floor - 1, -1):
+    depth = DEPTH
+    while True:
         rows, buckets = level(depth)
         if not buckets.isEmpty():
             stars = rows.join(buckets.hint("merge"), "bucket").where("root <> first_root").groupBy("node").agg(F.max_by(F.struct("root", "first", "first_root"), F.struct("n", "first")).alias("x")).select("node", "x.*")
             sigs = stars.join(some.hint("merge"), "node").select("root", "sig", "first", "first_root").join(some.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")).hint("merge"), "first")
-            if add(sigs.select("root", "sig", "first_root", "first_sig").mapInArrow(lambda x: _to_first(x, least), LINK)):
-                rows, buckets = level(depth)
-            if not buckets.isEmpty():
-                chunked = buckets.select("bucket", F.ceil(F.col("n") / BUCKET_CHUNK).alias("chunks"))
-                members = _dealt(rows.join(chunked.hint("merge"), "bucket").join(some.hint("merge"), "node"), "bucket", "chunks")
-                members = members.select("__g", "key", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
-                add(members.mapInArrow(lambda x: _within(x, least), LINK))
-        if estimated_recall(links, similarity, depth) >= recall:
+            add(sigs.select("root", "sig", "first_root", "first_sig").mapInArrow(lambda x: _to_first(x, least), LINK))
+        found = estimated_recall(links, similarity, depth, floor)
+        if depth == floor or (found[depth] >= recall and not links.isEmpty()):
             break
+        depth = floor if links.isEmpty() else max([d for d in range(floor, depth) if found[d] >= recall], default=floor)
+    rows, buckets = level(depth)
+    if not buckets.isEmpty():
+        chunked = buckets.select("bucket", F.ceil(F.col("n") / BUCKET_CHUNK).alias("chunks"))
+        members = _dealt(rows.join(chunked.hint("merge"), "bucket").join(some.hint("merge"), "node"), "bucket", "chunks")
+        members = members.select("__g", "key", "root", "sig").repartition("__g").sortWithinPartitions("__g", "key")
+        links = links.unionByName(materialise(members.mapInArrow(lambda x: _within(x, least), LINK), "near"))
     return components(links.select("a", "b"))  # a component goes by one of its nodes, so the links have all nodes that any has
 
 

@@ -161,8 +161,10 @@ def test_prefix_stops_at_the_target(spark):
     """Links that are all alike need no short prefixes; links at the limit need the shortest."""
     near = spark.createDataFrame([(1, 2, 0.99)] * 50, ngram_join.LINK)
     edge = near.unionByName(spark.createDataFrame([(3, 4, 0.8)], ngram_join.LINK))
-    assert ngram_join.estimated_recall(near, 0.8, 8) > 0.9999 > ngram_join.estimated_recall(edge, 0.8, 5) and ngram_join.estimated_recall(edge, 0.8, 4) > 0.9999
-    assert ngram_join.estimated_recall(near.limit(0), 0.8, 8) == 1
+    assert ngram_join.estimated_recall(near, 0.8, 8)[8] > 0.9999 > ngram_join.estimated_recall(edge, 0.8, 5)[5] and ngram_join.estimated_recall(edge, 0.8, 4)[4] > 0.9999
+    said = ngram_join.estimated_recall(edge, 0.8, 8)
+    assert said[4] > 0.9999 > said[5] > said[8] and list(said.values()) == sorted(said.values(), reverse=True)
+    assert set(ngram_join.estimated_recall(near.limit(0), 0.8, 8, 4).values()) == {1}
 
 
 def test_differences_count_common_shingles():
