@@ -240,6 +240,7 @@ def _tokens(x: str) -> str:
 
 OVERLAP = f"list_has_any({_tokens('generated_answer')}, {_tokens('gold_answer')})"
 VERSUS = f"'generated=''' || {A} || ''' vs gold=''' || {G} || ''''"
+# The messages of the filters, which results depend on.
 REASONS = {
     "format": "case when generated_reasoning is null or generated_answer is null then 'Missing reasoning or answer fields' end",
     "citations": f"case when not ({INSUFFICIENT} or {CITED}) then 'No valid citations found in reasoning' end",
@@ -252,6 +253,7 @@ REASONS = {
       when question_type = 'yesno' then case when lower({A}) <> lower({G}) then 'Yes/no mismatch: ' || {VERSUS} end
       when not {OVERLAP} then 'Factoid mismatch: ' || {VERSUS} end""",
 }
+#: End of fixed values.
 FILTERED = f"{EX}, rs as (select *, " + ", ".join(f"{sql} as r_{n}" for n, sql in REASONS.items()) + " from ex), fl as (select *, coalesce(" + ", ".join(f"r_{n}" for n in REASONS) + ") is null as filter_passed, case " + " ".join(f"when r_{n} is not null then '{n}'" for n in REASONS) + " end as filter_failed_at, coalesce(" + ", ".join(f"r_{n}" for n in REASONS) + ") as filter_failure_reason from rs)"
 
 for _name in quality.NAMES:
