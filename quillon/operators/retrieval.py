@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import words
+from quillon.functions.text import hash_number, words
 from quillon.session import materialise
 
 #: Queries whose products are held at once, bytes of the queries of a pass, digits of a score.
@@ -161,17 +161,20 @@ def seeded_distractors(gold: DataFrame, corpus: DataFrame, per_query: int, seed:
     """(qid, pid, is_gold, position): a seeded coin keeps one gold passage with four random others, or gives five others.
 
     Candidates come from a hash band of the corpus around each query's own hash, so no query meets the whole corpus."""
+
+    def drawn(salt: int, *parts: str) -> Column:
+        return hash_number(F.concat_ws("|", F.lit(seed + salt), *(F.col(p).cast("string") for p in parts)))
+
     n = max(1, corpus.count() // max(4 * per_query, 1))
-    band = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n))
-    pool = corpus.select(F.col("id").alias("pid"), band.alias("band"))
-    asked = gold.groupBy("qid").agg(F.min_by("pid", F.xxhash64(F.lit(seed), "qid", "pid")).alias("gold_pid")).withColumn("band", F.pmod(F.xxhash64(F.lit(seed), "qid"), F.lit(n)))
-    coin = F.pmod(F.xxhash64(F.lit(seed + 1), "qid"), F.lit(1000)) < int(1000 * gold_share)
-    some = asked.join(pool, "band").join(gold.select("qid", "pid"), ["qid", "pid"], "left_anti").withColumn("with_gold", coin)
-    w = Window.partitionBy("qid").orderBy(F.xxhash64(F.lit(seed), "qid", "pid"))
+    pool = corpus.select(F.col("id").alias("pid"), (drawn(0, "id") % n).alias("band"))
+    one = gold.groupBy("qid").agg(F.min_by("pid", F.struct(drawn(0, "qid", "pid"), "pid")).alias("gold_pid")).withColumn("band", drawn(0, "qid") % n)
+    coin = drawn(1, "qid") % 1000 < int(1000 * gold_share)
+    some = one.join(pool, "band").join(gold.select("qid", "pid"), ["qid", "pid"], "left_anti").withColumn("with_gold", coin)
+    w = Window.partitionBy("qid").orderBy(drawn(0, "qid", "pid"), "pid")
     some = some.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_query - F.col("with_gold").cast("int")).select("qid", "pid", F.lit(False).alias("is_gold"))
-    kept = asked.where(coin).select("qid", F.col("gold_pid").alias("pid"), F.lit(True).alias("is_gold"))
-    w = Window.partitionBy("qid").orderBy(F.xxhash64(F.lit(seed + 2), "qid", "pid"))
-    return some.unionByName(kept).withColumn("position", F.row_number().over(w))
+    kept = one.where(coin).select("qid", F.col("gold_pid").alias("pid"), F.lit(True).alias("is_gold"))
+    w = Window.partitionBy("qid").orderBy(drawn(2, "qid", "pid"), "pid")
+    return some.unionByName(kept).withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def asked(question: Column, prefix: str = QUERY_INSTRUCTION) -> Column:

@@ -449,7 +449,16 @@ query(
     "lexical_overlap",
     f"with {EX}, x as (select question_id, {sql_words('lower(generated_reasoning)')} as r, list_distinct({sql_words('lower(text)')}) as p from ex join documents on doc_id = question_id where generated_reasoning is not null) select question_id, round(len(list_filter(r, lambda w: list_contains(p, w))) / greatest(len(r), 1)::double, 6) as overlap from x",
 )(lambda spark, d: examples(spark, d).where("generated_reasoning is not null").join(table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), "text"), "question_id").select("question_id", statistics.lexical_overlap(F.col("generated_reasoning"), F.col("text")).alias("overlap")))
-query("power_simulation")(lambda spark, d: statistics.power(spark))
+_POLY = "0.0::double"
+for _c in reversed(statistics.ERF_A):
+    _POLY = f"(({_POLY} + ({_c})::double) * t)"
+_DRAW = "('0x' || substr(md5('42|' || e || '|' || s || '|' || i || '|' || r || '|{arm}'), 1, 8))::bigint / 4294967296.0::double"
+query(
+    "power_simulation",
+    f"""with g as (select e, s, i, avg(({_DRAW.format(arm=1)} < 0.6::double + e / 100.0::double)::int - ({_DRAW.format(arm=0)} < 0.6::double)::int) as d from (values (3), (5), (8)) x(e), range(0, 1000) y(s), range(0, 500) z(i), range(0, 3) w(r) group by e, s, i),
+    m as (select e, s, abs(avg(d)) / greatest(stddev_samp(d) / sqrt(500), 1e-12) / sqrt(2) as x from g group by e, s), t as (select e, x, 1 / (1 + {statistics.ERF_P}::double * x) as t from m), p as (select e, {_POLY} * exp(-x * x) as p from t)
+    select e as effect, round(avg((p < 0.05)::int), 6) as power, round(avg(p), 6) as mean_p, round(1 - avg((p < 0.05)::int), 6) as false_negative_rate from p group by e""",
+)(lambda spark, d: statistics.power(spark))
 query("cell_grid", "select model, retrieval, s.seed, model || '_' || retrieval || coalesce('_seed' || s.seed, '') as cell from (values ('base'), ('lora_a'), ('lora_a_prime'), ('lora_b')) m(model), (values ('none'), ('strong'), ('oracle')) r(retrieval), (values (42), (123), (456), (null)) s(seed) where (model = 'base') = (s.seed is null)")(lambda spark, d: statistics.cells(spark))
 
 

@@ -325,10 +325,18 @@ select qid, pid, is_gold, row_number() over (partition by qid order by md5('42o|
 )
 
 
-@query("seeded_distractors")
-def seeded_distractors(spark, d):
-    """Random other passages by xxhash64, which DuckDB lacks; tests hold the shares and that no gold is among them."""
-    return retrieval.seeded_distractors(gold(spark, d), passages(spark, d), 5)
+def _drawn(salt: int, *parts: str) -> str:
+    return f"('0x' || substr(md5('{42 + salt}|' || " + " || '|' || ".join(parts) + "), 1, 8))::bigint"
+
+
+query(
+    "seeded_distractors",
+    f"""with {C.GOLD}, n as (select greatest(1, count(*) // 20) as n from documents), pool as (select doc_id as pid, {_drawn(0, "doc_id")} % n as band from documents, n),
+    one as (select qid, pid, {_drawn(0, "qid")} % n as band, {_drawn(1, "qid")} % 1000 < 800 as coin from (select *, row_number() over (partition by qid order by {_drawn(0, "qid", "pid")}, pid) as r from gold), n where r = 1),
+    so as (select one.qid, pool.pid, coin, row_number() over (partition by one.qid order by {_drawn(0, "one.qid", "pool.pid")}, pool.pid) as nth from one join pool on pool.band = one.band where not exists (select 1 from gold where gold.qid = one.qid and gold.pid = pool.pid)),
+    al as (select qid, pid, false as is_gold from so where nth <= 5 - coin::int union all select qid, pid, true from one where coin)
+    select qid, pid, is_gold, row_number() over (partition by qid order by {_drawn(2, "qid", "pid")}, pid) as position from al""",
+)(lambda spark, d: retrieval.seeded_distractors(gold(spark, d), passages(spark, d), 5))
 
 
 # -- statistics and tables -----------------------------------------------------------------------------------------------

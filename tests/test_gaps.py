@@ -191,6 +191,14 @@ def test_bands_and_texts(spark):
     assert {k: "caption" in v for k, v in analysis.tables(one, one, one, one).items()} == {"main": True, "errors": True, "retrieval": True, "tests": True}
 
 
+def test_erfc(spark):
+    import math
+
+    xs = [k / 50 for k in range(300)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(statistics.erfc(F.col("x"))).collect()]
+    assert max(abs(a - math.erfc(x)) for a, x in zip(got, xs)) < 2e-7
+
+
 def test_manifest(spark, tmp_path):
     content = {"ids": ["é", "b"], "size": 2}
     files.write_manifest(spark, content, f"file://{tmp_path}/m")
