@@ -296,6 +296,11 @@ query("first_gold", "select doc_id as question_id, case when doc_id % 10 <> 0 th
 
 
 # -- prompts, answers and text -------------------------------------------------------------------------------------------
+_PLAIN = r"regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_\s]', ' ', 'g')"
+_COUNTED = f"list_filter(list_transform(list_filter({sql_words(_PLAIN)}, lambda w: not list_contains({C._STOP}, w)), lambda w: coalesce({C._NUM}[w], w)), lambda w: length(w) > 1 or regexp_full_match(w, '[0-9]'))"
+query("factoid_tokens", f"with t as (select doc_id, list_sort(list_distinct({_COUNTED})) as t from documents) select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as h from t")(
+    lambda spark, d: _docs(spark, d).withColumn("t", F.sort_array(T.factoid_tokens(F.col("text")))).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("h"))
+)
 query("query_prefix", f"select doc_id, md5('{retrieval.QUERY_INSTRUCTION}' || text) as h from documents")(lambda spark, d: _docs(spark, d).select("doc_id", F.md5(retrieval.asked(F.col("text")).cast("binary")).alias("h")))
 query("preview", "select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview from documents")(lambda spark, d: _docs(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview")))
 query("token_estimate", f"select doc_id, floor(len({sql_words('text')}) * 1.3::double)::int as n from documents")(lambda spark, d: _docs(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("n")))
