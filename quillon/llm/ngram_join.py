@@ -313,7 +313,8 @@ def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
 
     Every text of a component is sent once, to one of the places to which the root's text goes, and leaves its difference from that; only the differences
     of a component meet each other, so a large group of near copies, which differ little, is small."""
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
+    roots = materialise(roots, "roots")
+    sizes = materialise(roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / SALT).cast("int").alias("salts")), "sizes")
     some = roots.join(sizes, "root").join(nodes.select("node", "copies", *ROW), "node")
     some = materialise(some, "candidates")  # as many as the corpus has near copies: no bound, so no broadcast at any size
     texts = with_row_key(docs.select("doc_id", "text"))
@@ -339,7 +340,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     full = nodes.select("node", *ROW, "copies", "n_shingles").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     full = materialise(full, "classes")
-    tops = full.groupBy("root").agg(F.min(F.struct(*ROW)).alias("top"), F.sum("copies").alias("class_size"))
+    tops = materialise(full.groupBy("root").agg(F.min(F.struct(*ROW)).alias("top"), F.sum("copies").alias("class_size")), "tops")  # so that Spark can split a hot root's join
     by_node = full.join(tops, "root").select(
         "node",
         F.col("top.__q_id").alias("class_id"),
