@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import decontamination, language_id, line_dedup, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup
+from quillon.llm import decontamination, fill_middle, language_id, line_dedup, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,7 +16,10 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
+    "whitening_base": whitening.whitening_base,
     "pii_base": pii.pii_base,
 }
 ORACLE_SQL = {
@@ -26,6 +29,8 @@ ORACLE_SQL = {
     "op10_secret_scan": oracles.SECRETS,
     "pii_base": oracles.PERSONAL,
     "pipeline": corpus_pipeline.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "whitening_base": whitening.BASE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
