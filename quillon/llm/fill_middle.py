@@ -3,9 +3,9 @@
 Identical texts are grouped by the SHA-256 of their bytes and the texts themselves: each group is the set of its different texts, so that a copy is a copy by content. For each distinct
 text the ends of its tokens, ``[A-Za-z]+|[^A-Za-z]`` over code points, are found once and kept as an Elias-Fano list: the low bits of each end in a row, the high bits in unary, some two bits
 a token and the logarithm of a token's mean length. Documents are joined to the index by the hash, which the index has shown to name one text, and each seeded cut is one select
-in the list of its text: no text is cut into tokens twice.
+in the list of its text: no text is cut into tokens twice. Only the cuts are joined to the texts.
 
-Texts are shuffled twice, to be grouped (copies meet before the shuffle) and to meet their lists; a text that many documents share is one row of the index and, as a hot key, left to
+Texts are shuffled twice, to be grouped (copies meet before the shuffle) and to meet their cuts; a text that many documents share is one row of the index and, as a hot key, left to
 Spark's splitting of skewed joins. The cuts are seeded by doc_id alone, so they are the same on any cluster.
 
 Cases: a null text is empty, an empty text is plain with no token; a text with one of the marks is plain, as are ten in a hundred of the rest by their seed; a null doc_id
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.spans import pieces
-from quillon.session import materialise, table
+from quillon.session import discard, materialise, table
 
 # The marks and the shares, in hundredths, of plain texts (from PLAIN on) and of those with the suffix first (below SUFFIX_FIRST).
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -99,28 +99,37 @@ def seeds(doc_id: Column) -> list[Column]:
     return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
 
 
+def cuts(keyed: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc_id, key, n, a, b) of each distinct (doc_id, key) of ``keyed``: where the prefix and the middle end, in code points, if the seed cuts the document. No text is needed."""
+    found = keyed.select("doc_id", "key").distinct().join(lists, "key")
+    h1, h2, h3, _ = seeds(F.col("doc_id"))
+    first, second = h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
+
+    def needed(value: Column, otherwise: Column) -> Column:
+        return F.when(h3 % 100 >= PLAIN, otherwise).otherwise(value)  # a whole text needs no list
+
+    start, none = F.lit(0).cast("long"), F.lit(b"")
+    at = _places(needed(F.least(first, second), start), needed(F.greatest(first, second), start), "low_bits", needed(F.col("low"), none), needed(F.col("high"), none))
+    return found.select("doc_id", "key", "n", at.alias("at")).select("doc_id", "key", "n", "at.a", "at.b")
+
+
 def cut(docs: DataFrame) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) of each row of ``docs``: ``output`` is the text, or its three parts behind their marks in the order of ``form``."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", _key(F.col("text")))
-    found = rows.join(materialise(index(docs), "token-ends"), "key")
-    h1, h2, h3, h4 = seeds(F.col("doc_id"))
+    lists = materialise(index(docs), "token-ends")
+    at = materialise(cuts(rows, lists), "cuts")
+    discard(lists)
+    found = rows.join(at, rows["doc_id"].eqNullSafe(at["doc_id"]) & (rows["key"] == at["key"])).select(rows["doc_id"], "text", "n", "a", "b")
+    _, _, h3, h4 = seeds(F.col("doc_id"))
     plain = (F.col("text") == "") | (h3 % 100 >= PLAIN)
     for mark in (PREFIX, SUFFIX, MIDDLE):
         plain = plain | F.col("text").contains(mark)
     found = found.withColumn("form", F.when(plain, "plain").when(h4 % 100 < SUFFIX_FIRST, "spm").otherwise("psm"))
-    whole, first, second = F.col("form") == "plain", h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
-
-    def needed(value: Column, otherwise: Column) -> Column:
-        return F.when(whole, otherwise).otherwise(value)  # a whole text needs no list
-
-    start, none = F.lit(0).cast("long"), F.lit(b"")
-    args = [needed(F.least(first, second), start), needed(F.greatest(first, second), start), F.col("low_bits"), needed(F.col("low"), none), needed(F.col("high"), none)]
-    placed = found.withColumn("at", _places(*args))
-    a, b = F.col("at.a"), F.col("at.b")
+    a, b, whole = F.col("a"), F.col("b"), F.col("form") == "plain"
     p, m, s = F.substring("text", 1, a), F.substring("text", a + 1, b - a), F.substring("text", b + 1, F.length("text"))
     output = F.when(whole, F.col("text")).when(F.col("form") == "psm", F.concat(F.lit(PREFIX), p, F.lit(SUFFIX), s, F.lit(MIDDLE), m)).otherwise(F.concat(F.lit(SUFFIX), s, F.lit(PREFIX), p, F.lit(MIDDLE), m))
-    return placed.select("doc_id", "n", "form", F.when(~whole, a.cast("long")).alias("prefix_chars"), F.when(~whole, (b - a).cast("long")).alias("middle_chars"), output.alias("output"))
+    return found.select("doc_id", "n", "form", F.when(~whole, a.cast("long")).alias("prefix_chars"), F.when(~whole, (b - a).cast("long")).alias("middle_chars"), output.alias("output"))
 
 
 def restored(output: Column, form: Column) -> Column:
