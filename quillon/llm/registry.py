@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import decontamination, fill_middle, language_id, line_dedup, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup, whitening
+from quillon.llm import decontamination, fill_middle, language_id, line_dedup, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_url_filter": url_filter.op12_url_filter,
     "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
     "whitening_base": whitening.whitening_base,
+    "url_rules": url_filter.url_rules,
     "pii_base": pii.pii_base,
 }
 ORACLE_SQL = {
@@ -31,6 +33,7 @@ ORACLE_SQL = {
     "pipeline": corpus_pipeline.ORACLE_SQL,
     "op11_fill_middle": fill_middle.ORACLE_SQL,
     "whitening_base": whitening.BASE_SQL,
+    "url_rules": url_filter.RULES_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillon.llm import fill_middle, whitening
+from quillon.llm import fill_middle, url_filter, whitening
 
 
 # -- fill-in-the-middle --------------------------------------------------------------------------------------------------
@@ -123,3 +123,94 @@ def test_lobpcg_against_dense():
         found = whitening.lobpcg(lambda b: a @ b, d)
         assert np.abs(found.values - np.sort(spread)[::-1][:4]).max() <= 1e-12 * max(spread.max(), 1)
         assert found.residual <= whitening.ROUNDING and np.abs(found.vectors.T @ found.vectors - np.eye(4)).max() < 1e-12
+
+
+# -- URL filters ---------------------------------------------------------------------------------------------------------
+URLS = [
+    None, "", "no scheme.example.net/en/x", "http://", "https://EXAMPLE.NET/en/", "https://example.net/en", "http://a.example.net/EN/x?y", "http://xnet/", "http://net/", "http://net", "http://a.net:80/", "http://org/fr/#x",
+    "ftp://b.example.com/de/9?x=://q.net/", "http://b.example.com/de", "http://www.cheappills.example.com/en/12.html", "http://freebets.example.com/fr/win-now", "http://cheap-pills.example.org/en/1", "http://café-poker.example.org/es/",
+    "http://quietgarden.example.com/en/7", "http://quietgarden.example.com/en/8", "http://m.gardennews.example.org/en/quietnews", "http://threads.example.com/es/1", "http://news.example.org/en/threads#casino", "x://" + "ab" * 40 + ".com/" + "q/" * 300,
+    "http://\nnews\n.example.com/en/\n?x", "http://news.example.com?garden", "http://news.example.com#/de/", "http://gardenpoker.example.com/en/win",
+]
+TEXTS = ["the quiet garden news and the cheap free threads win", "Garden garden NEWS now a quiet thread", None, "", "the the the ads", "word" * 9]
+
+
+def plain_split(name, counts, total):
+    """Every split of a short name, the best by log-probability, fewest words, longest last words."""
+    unit = 1 << 20
+    best = None
+    for cut in range(1 << (len(name) - 1)):
+        ends = [i + 1 for i in range(len(name) - 1) if cut >> i & 1] + [len(name)]
+        words = [name[a:b] for a, b in zip([0, *ends], ends)]
+        p = sum(round(unit * math.log(counts[w] / total)) if counts.get(w) and len(w) <= url_filter.WORD else round(unit * math.log(10 / total)) - len(w) * round(unit * math.log(10)) for w in words)
+        one = (p, -len(words), [len(w) for w in words[::-1]])
+        if best is None or one > best[0]:
+            best = (one, words)
+    return best[1]
+
+
+def plain_judge(pages, texts):
+    counts = Counter(w for t in texts if t for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) <= 20)
+    total = sum(counts.values())
+    each = max(1, total // 10_000)
+    counts.update({w: each for w in url_filter.LEXICON})
+    total += each * len(url_filter.LEXICON)
+    seen = {}
+    rows = []
+    for i, url in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest).group()
+        path = re.match("[^?#]*", rest[len(host) :]).group()
+        host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: len(r.text)) if fits else None
+        words = []
+        for name in re.findall(r"[^\W\d_]+", (host + "/" + path).lower()):
+            if len(name) > 63:
+                words.append("#" + hashlib.md5(name.encode()).hexdigest())
+            else:
+                if name not in seen:
+                    seen[name] = plain_split(name, counts, total) if len(name) < 14 else [name]
+                words += seen[name]
+        rows.append((i, host, path, rule, words))
+    classes = {True: Counter(), False: Counter()}
+    docs = Counter()
+    for _, _, _, rule, words in rows:
+        if rule is None or rule.verdict != "block":
+            bad = bool(set(words) & set(url_filter.LEXICON))
+            docs[bad] += 1
+            classes[bad].update(words)
+    v = len(set(classes[True]) | set(classes[False]))
+    nb, na = sum(classes[True].values()), sum(classes[False].values())
+    odds = {w: math.log((classes[True][w] + 1) / (nb + v)) - math.log((classes[False][w] + 1) / (na + v)) for w in set(classes[True]) | set(classes[False])}
+    prior = math.log((docs[True] + 1) / (docs[False] + 1))
+    for i, host, path, rule, words in rows:
+        score = prior + sum(odds.get(w, 0) for w in words)
+        yield i, host, path, rule.text if rule else None, rule.verdict if rule else "block" if score > 1e-6 else "allow", " ".join(words), round(score, 3)
+
+
+def judged(spark, pages, texts):
+    df = spark.createDataFrame([(i, u, "<p>", "x") for i, u in pages], "page_id long, url string, html string, word string")
+    out = url_filter.judge(df, spark.createDataFrame([(t, 1) for t in texts], "text string, n int")).collect()
+    return Counter((*r[:6], round(r["score"], 3)) for r in out)
+
+
+def test_url_filter(spark):
+    pages = [*enumerate(URLS), (None, URLS[14]), (3, URLS[3]), *((100 + k, f"http://hot.example.com/en/{k}") for k in range(80))]
+    want = Counter(plain_judge(pages, TEXTS))
+    assert judged(spark, pages, TEXTS) == want
+    verdicts = {i: (verdict, words) for i, _, _, _, verdict, words, _ in want}
+    assert verdicts[14] == ("block", "www cheap pills example com en html") and verdicts[15][1].startswith("free bets example")
+    assert verdicts[18] == ("allow", "quiet garden example com en") and verdicts[21][1] == "threads example com es" and verdicts[27][0] == "block"
+
+
+def test_url_filter_of_nothing(spark):
+    assert judged(spark, [], TEXTS) == Counter()
+    assert judged(spark, [(1, None), (2, "http://casino.example.com/")], []) == Counter(plain_judge([(1, None), (2, "http://casino.example.com/")], []))
+
+
+def test_split_is_the_likeliest():
+    counts = {"the": 50, "he": 20, "red": 10, "there": 9, "d": 4, "a": 30, "are": 12, "tare": 1}
+    for name in ("thered", "theared", "xthe", "aaa", "tare", "redthexx", "q"):
+        found = {(a, b): counts[name[a:b]] for a in range(len(name)) for b in range(a + 1, len(name) + 1) if name[a:b] in counts}
+        assert url_filter.split(name, found, 1000) == plain_split(name, counts, 1000)
