@@ -1,19 +1,72 @@
-"""Ranks and order statistics that hold for tables of any size: no task sorts more than a range of the values."""
+"""Ranks and order statistics that hold for tables of any size: ranks come from range partitions, order statistics from histograms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.session import materialise
 
 
+#: Buckets that a range of values is cut into; a histogram of so many rows at most, for each rank asked for, comes to the driver.
+RADIX = 4096
+
+
+def exact_ranks(df: DataFrame, values: str, shares: list[tuple[int, int]], radix: int = RADIX) -> list:
+    """The value at index floor(numerator * n / denominator) of the sorted values, for each (numerator, denominator); nulls do not count, and without a value each is None.
+
+    Selection by leading digits: the range of the values is cut into ``radix`` equal buckets, these are counted with their least and largest value, and only the bucket that holds a rank is
+    counted again, in its own range, until it holds a single value. Partial counts are made before the shuffle, and no value is sorted. Each round leaves a rank at most one bucket of ``radix``; equal values are
+    one bucket, however many. The type of the column (a whole, decimal or floating number) is kept, and a NaN is the largest value, as in Spark's order."""
+    kind = df.schema[values].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    v = F.col("value")
+    # NaN is apart: it has no place in a range
+    rows = df.select(F.col(values).alias("value")).where(v.isNotNull())
+    nan = F.isnan(v) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.lit(False)
+    whole_range = rows.agg(F.count("*").alias("n"), F.count_if(nan).alias("nans"), F.min(F.when(~nan, v)).alias("lo"), F.max(F.when(~nan, v)).alias("hi")).first()
+    n, numbers = whole_range["n"], whole_range["n"] - whole_range["nans"]
+    out: list = [None] * len(shares)
+    open_: dict[int, tuple] = {}  # of each share whose value is not known: (values below its range, least, largest, rank)
+    for i, (numerator, denominator) in enumerate(shares):
+        rank = numerator * n // denominator
+        if rank < numbers:
+            open_[i] = (0, whole_range["lo"], whole_range["hi"], rank)
+        elif rank < n:
+            out[i] = float("nan")
+    while open_:
+        for i in [i for i, (_, lo, hi, _) in open_.items() if lo == hi]:
+            out[i] = open_.pop(i)[1]
+        ranges = sorted({(lo, hi) for _, lo, hi, _ in open_.values()})
+        if not ranges:
+            break
+        bucket, of = F.lit(None).cast("long"), F.lit(None).cast("int")
+        for k, (lo, hi) in enumerate(ranges):
+            inside = ~nan & v.between(F.lit(lo).cast(kind), F.lit(hi).cast(kind))
+            of = F.when(inside, k).otherwise(of)
+            if whole:
+                place = F.floor((v.cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit((hi - lo) // radix + 1).cast("decimal(20,0)"))
+            else:
+                lo_, half = F.lit(float(lo)), float(hi) / 2 - float(lo) / 2  # halves, so that no difference is beyond the largest number
+                place = F.floor((v.cast("double") / 2 - lo_ / 2) / F.lit(half) * (radix - 1)) if half > 0 else F.lit(0)
+                place = F.when(v == F.lit(hi).cast(kind), radix).otherwise(place)  # so that a range is always parted
+            bucket = F.when(inside, place.cast("long")).otherwise(bucket)
+        counts = rows.select(of.alias("of"), bucket.alias("bucket"), "value").where("of is not null").groupBy("of", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("of", "bucket").collect()
+        for i, (below, lo, hi, rank) in open_.items():
+            for r in counts:
+                if ranges[r["of"]] == (lo, hi):
+                    if rank < below + r["n"]:
+                        open_[i] = (below, r["lo"], r["hi"], rank)
+                        break
+                    below += r["n"]
+    return out
+
+
 def exact_rank(df: DataFrame, values: str, numerator: int, denominator: int) -> DataFrame:
-    """(value): the value at index floor(numerator * n / denominator) of the sorted values: counts by value, and a running sum over the distinct values."""
-    counts = df.where(F.col(values).isNotNull()).groupBy(F.col(values).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value"))
-    total = counts.agg(F.floor(F.lit(numerator) * F.sum("n") / F.lit(denominator)).alias("at"))
-    return counts.withColumn("upto", upto).join(F.broadcast(total)).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select("value")
+    """(value): the value at index floor(numerator * n / denominator) of the sorted values, as ``exact_ranks`` finds it; no row without a value."""
+    value = exact_ranks(df, values, [(numerator, denominator)])
+    return df.sparkSession.createDataFrame([(x,) for x in value if x is not None], T.StructType([T.StructField("value", df.schema[values].dataType)]))
 
 
 def with_rank(rows: DataFrame, name: str, *order: str) -> DataFrame:

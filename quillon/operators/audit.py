@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.order_statistics import exact_rank
+from quillon.functions.order_statistics import exact_ranks
 from quillon.functions.text import word_count
+from quillon.session import materialise
 
 
 def distribution(rows: DataFrame, *by: str) -> DataFrame:
@@ -34,9 +35,9 @@ def dataset_audit(rows: DataFrame, label: str, *texts: str) -> DataFrame:
     labels = counts.agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("labels"))  # a handful of labels
     out = rows.agg(F.count("*").alias("total"), *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "dev", "test"))).join(F.broadcast(labels))
     for t in texts:
-        n = rows.select(word_count(F.col(t)).cast("long").alias("n"))
-        out = out.join(F.broadcast(n.agg(F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias(f"{t}_mean"), F.coalesce(F.max("n"), F.lit(0)).alias(f"{t}_max"))))
-        out = out.join(F.broadcast(exact_rank(n, "n", 1, 2).agg(F.coalesce(F.max("value"), F.lit(0)).alias(f"{t}_median"))))  # single rows
+        n = materialise(rows.select(word_count(F.col(t)).cast("long").alias("n")), "word-counts")
+        out = out.join(F.broadcast(n.agg(F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias(f"{t}_mean"), F.coalesce(F.max("n"), F.lit(0)).alias(f"{t}_max"))))  # single rows
+        out = out.withColumn(f"{t}_median", F.lit(exact_ranks(n, "n", [(1, 2)])[0] or 0).cast("long"))
     return out
 
 

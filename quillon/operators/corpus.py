@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.order_statistics import exact_rank
+from quillon.functions.order_statistics import exact_ranks
 from quillon.functions.text import dedup_key, word_count
+from quillon.session import materialise
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -44,13 +45,11 @@ def abstract_passages(examples: DataFrame) -> DataFrame:
 
 
 def corpus_stats(passages: DataFrame) -> DataFrame:
-    """One row: number, least, lower quarter, median, upper quarter and largest number of words, and the mean."""
-    counted = passages.select(word_count(F.col("text")).alias("n"))
+    """One row: number, least, lower quarter, median, upper quarter and largest number of words, and the mean. The texts are read once; their numbers of words are written."""
+    counted = materialise(passages.select(word_count(F.col("text")).alias("n")), "word-counts")
     out = counted.agg(F.count("*").alias("n_passages"), F.coalesce(F.min("n"), F.lit(0)).cast("long").alias("min_words"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("max_words"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("mean_words"))
-    for name, a, b in (("p25_words", 1, 4), ("median_words", 1, 2), ("p75_words", 3, 4)):
-        one = exact_rank(counted, "n", a, b).agg(F.coalesce(F.max("value"), F.lit(0)).cast("long").alias(name))
-        out = out.join(F.broadcast(one))  # single rows on both sides
-    return out
+    names = ("p25_words", "median_words", "p75_words")
+    return out.withColumns({name: F.lit(value or 0).cast("long") for name, value in zip(names, exact_ranks(counted, "n", [(1, 4), (1, 2), (3, 4)]))})
 
 
 def per_source_stats(rows: DataFrame, group: str, distinct: str, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.order_statistics import with_rank
+from quillon.session import materialise
 
 METRICS = ("hit", "recall", "mrr", "ndcg")
 BUCKETS = ["low (1-5)", "medium (6-10)", "high (11+)"]
@@ -34,11 +35,24 @@ def query_metrics(retrieved: DataFrame, gold: DataFrame, k: int = 5) -> DataFram
 
 def length_terciles(rows: DataFrame, value: str, key: str) -> DataFrame:
     """``rows`` with ``tercile``: n div 3 rows are short, as many medium, and the rest long; ties go by key."""
+    return terciles(rows, value, key, ("short", "medium", "long"))
+
+
+def terciles(rows: DataFrame, value: str, key: str, names: tuple[str, str, str]) -> DataFrame:
+    """``rows`` with ``tercile``: the first n div 3 rows by value and key have the first name, as many the second, and the rest the third."""
     third = rows.count() // 3
-    name = F.when(F.col("__rank") < third, "short").when(F.col("__rank") < 2 * third, "medium").otherwise("long")
+    name = F.when(F.col("__rank") < third, names[0]).when(F.col("__rank") < 2 * third, names[1]).otherwise(names[2])
     return with_rank(rows, "__rank", value, key).withColumn("tercile", name).drop("__rank")
 
 
+def retrieval_strata(metrics: DataFrame, value: str = "ndcg") -> DataFrame:
+    """(example_id, kind, stratum): how well retrieval worked for each query of ``query_metrics``: whether a gold passage was among the best, and the tercile of ``value``."""
+    rows = materialise(metrics.select(F.col("qid").alias("example_id"), "hit", value), "retrieval-quality")
+    hit = rows.select("example_id", F.lit("gold retrieved").alias("kind"), F.when(F.col("hit") > 0, "yes").otherwise("no").alias("stratum"))
+    third = terciles(rows.select("example_id", value), value, "example_id", ("low", "medium", "high"))
+    return hit.unionByName(third.select("example_id", F.lit(f"{value} tercile").alias("kind"), F.col("tercile").alias("stratum")))
+
+
 def hit_band(figures: DataFrame, low: float = 0.70, high: float = 0.95, k: int = 5) -> DataFrame:
     """``figures`` with ``in_band``: retrieval is neither useless nor saturated if low < hit < high."""
     return figures.withColumn("in_band", (F.col(f"hit_{k}") > low) & (F.col(f"hit_{k}") < high))

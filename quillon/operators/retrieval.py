@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import hash_number, words
+from quillon.functions.order_statistics import with_rank
+from quillon.functions.text import words
 from quillon.session import materialise
 
 #: Queries whose products are held at once, bytes of the queries of a pass, digits of a score.
@@ -158,23 +159,43 @@ def distractors(retrieved: DataFrame, gold: DataFrame, mode: str) -> DataFrame:
 
 
 def seeded_distractors(gold: DataFrame, corpus: DataFrame, per_query: int, seed: int = 42, gold_share: float = 0.8) -> DataFrame:
-    """(qid, pid, is_gold, position): a seeded coin keeps one gold passage with four random others, or gives five others.
-
-    Candidates come from a hash band of the corpus around each query's own hash, so no query meets the whole corpus."""
-
-    def drawn(salt: int, *parts: str) -> Column:
-        return hash_number(F.concat_ws("|", F.lit(seed + salt), *(F.col(p).cast("string") for p in parts)))
-
-    n = max(1, corpus.count() // max(4 * per_query, 1))
-    pool = corpus.select(F.col("id").alias("pid"), (drawn(0, "id") % n).alias("band"))
-    one = gold.groupBy("qid").agg(F.min_by("pid", F.struct(drawn(0, "qid", "pid"), "pid")).alias("gold_pid")).withColumn("band", drawn(0, "qid") % n)
-    coin = drawn(1, "qid") % 1000 < int(1000 * gold_share)
-    some = one.join(pool, "band").join(gold.select("qid", "pid"), ["qid", "pid"], "left_anti").withColumn("with_gold", coin)
-    w = Window.partitionBy("qid").orderBy(drawn(0, "qid", "pid"), "pid")
-    some = some.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_query - F.col("with_gold").cast("int")).select("qid", "pid", F.lit(False).alias("is_gold"))
-    kept = one.where(coin).select("qid", F.col("gold_pid").alias("pid"), F.lit(True).alias("is_gold"))
-    w = Window.partitionBy("qid").orderBy(drawn(2, "qid", "pid"), "pid")
-    return some.unionByName(kept).withColumn("position", F.row_number().over(w).cast("long"))
+    """(qid, pid, is_gold, position): a seeded coin keeps one gold passage with ``per_query`` - 1 others, or gives ``per_query`` others: each set of passages of the corpus that are no gold of the query is equally likely.
+
+    A passage is drawn by its rank in the order of ids. For a query with g golds Floyd's sampling draws k + g ranks without repetition; of these g are gold at most, so k others are left, and
+    no draw is made again. Only the drawn ranks, k + g a query, meet the corpus. Golds that the corpus lacks are no golds. A query with too few others in the whole corpus has one row, without pid, at position 0."""
+
+    def drawn(salt: int, *parts: str | Column) -> Column:
+        text = F.concat_ws("|", F.lit(seed + salt), *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")  # 60 bits
+
+    ranked = materialise(with_rank(corpus.select(F.col("id").alias("pid")).distinct(), "rank", "pid"), "passage-ranks")
+    n = ranked.count()
+    golds = gold.select("qid", "pid").distinct()
+    known = golds.join(ranked, "pid", "left_semi")
+    one = golds.select("qid").distinct().join(known.groupBy("qid").agg(F.count("*").alias("g"), F.min_by("pid", F.struct(drawn(0, "qid", "pid"), "pid")).alias("gold_pid")), "qid", "left")
+    one = one.withColumn("g", F.coalesce("g", F.lit(0))).withColumn("with_gold", (drawn(1, "qid") % 1000 < int(1000 * gold_share)) & (F.col("g") > 0))
+    one = one.withColumn("need", F.lit(per_query) - F.col("with_gold").cast("int"))
+    size = F.least(F.lit(n), F.col("need") + F.col("g"))
+
+    def next_rank(taken: Column, i: Column) -> Column:
+        last = F.lit(n) - F.col("size") + i  # ranks up to here may be drawn now
+        rank = drawn(2, F.col("qid"), i) % (last + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, rank), last).otherwise(rank)))
+
+    none = F.array().cast("array<bigint>")
+    ranks = F.when(F.col("size") > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), none, next_rank)).otherwise(none)
+    draws = one.withColumn("size", size.cast("long")).select("qid", "need", F.explode(ranks).alias("rank"))
+    others = draws.join(ranked, "rank").join(golds, ["qid", "pid"], "left_anti")
+    w = Window.partitionBy("qid").orderBy(drawn(3, "qid", "pid"), "pid")
+    others = others.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= F.col("need"))
+    enough = others.groupBy("qid").agg(F.count("*").alias("found")).withColumnRenamed("qid", "__qid")
+    one = one.join(enough, F.col("qid") == F.col("__qid"), "left").withColumn("ok", F.coalesce("found", F.lit(0)) == F.col("need")).drop("__qid")
+    full = one.where("ok").select("qid")
+    rows = others.join(full, "qid", "left_semi").select("qid", "pid", F.lit(False).alias("is_gold"))
+    rows = rows.unionByName(one.where("ok and with_gold").select("qid", F.col("gold_pid").alias("pid"), F.lit(True).alias("is_gold")))
+    w = Window.partitionBy("qid").orderBy(drawn(4, "qid", "pid"), "pid")
+    short = one.where("not ok").select("qid", F.lit(None).cast(ranked.schema["pid"].dataType).alias("pid"), F.lit(False).alias("is_gold"), F.lit(0).cast("long").alias("position"))
+    return rows.withColumn("position", F.row_number().over(w).cast("long")).unionByName(short)
 
 
 def asked(question: Column, prefix: str = QUERY_INSTRUCTION) -> Column:

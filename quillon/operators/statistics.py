@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.order_statistics import with_rank
@@ -77,22 +77,64 @@ def gains(pred: DataFrame, baseline: str = "base") -> DataFrame:
     return across_seeds(acc.where(F.col("model") != baseline).join(F.broadcast(base), "retrieval").withColumn("gain", F.col("acc") - F.col("base")), "gain", "model", "retrieval")
 
 
-def bootstrap(pairs: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(mean_diff, ci_lower, ci_upper, p_value) of the mean of ``value`` (one row a key, such as a paired difference).
-
-    Draw i of resample b is row hash(seed|b|i) mod n, so the result is the same on any cluster. Draws are made where they are summed: Spark
-    broadcasts the values where its own size check allows, and then only a sum a resample and task is shuffled."""
-    n = pairs.count()
-    spark = pairs.sparkSession
-    ranked = with_rank(pairs.select(key, F.col(value).cast("double").alias("v")), "i", key).select("v", "i")
-    draws = spark.range(n * resamples).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.expr(f"id % {max(n, 1)}").alias("d"))
-    draws = draws.select("b", (hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string"))) % max(n, 1)).alias("i"))
-    means = draws.join(ranked, "i").groupBy("b").agg((F.sum("v") / n).alias("m"))
+#: Distinct values of a group up to which a draw is looked up in a list of them; beyond it, draws are joined with the ranked rows.
+FEW = 4096
+
+
+def _drawn(groups: DataFrame, by: list[str], resamples: int, seed: int, *more: str) -> DataFrame:
+    """``groups`` (by, n, more) with a row for each draw: (by, n, more, b, r), r the place, from 0, that draw d of resample b takes: hash(seed|by|b|d) mod n."""
+    spread = groups.select(*by, "n", *more, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    spread = spread.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = spread.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 65536"))))
+    spread = spread.withColumn("d", F.explode(F.sequence(F.col("__c") * 65536, F.least(F.col("n"), (F.col("__c") + 1) * 65536) - 1)))
+    key = F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in [*by, "b", "d"]))
+    return spread.select(*by, "n", *more, "b", (hash_number(key) % F.col("n")).alias("r"))
+
+
+def resampled_means(rows: DataFrame, value: str, by: list[str], resamples: int, seed: int, few: int = FEW) -> DataFrame:
+    """(by, b, m): the mean of each resample of each group of ``rows``.
+
+    A draw is a place among the group's sorted values, so a resample is a multinomial count over the distinct values: these are counted once, and a
+    draw finds its value by the running totals. Nothing is joined, and a sum a resample and task is shuffled."""
+    values = rows.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
+    counts = values.groupBy(*by, "v").agg(F.count("*").alias("c"))
+    most = counts.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k").alias("k")).first()["k"] or 0
+    if most > few:
+        ranked = with_rank(values, "i", *by, "v")
+        groups = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.min("i").alias("first"))
+        places = _drawn(groups, by, resamples, seed, "first").select(*by, "n", "b", (F.col("first") + F.col("r")).alias("i"))
+        return places.join(ranked.select("i", "v"), "i").groupBy(*by, "b").agg((F.sum("v") / F.first("n")).alias("m"))
+    running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("v")))  # few rows a group
+    groups = running.groupBy(*by).agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("upto", "v"))).alias("vs"))
+    at = F.size(F.filter("vs.upto", lambda u: u <= F.col("r")))
+    return _drawn(groups, by, resamples, seed, "vs").select(*by, "n", "b", F.get("vs.v", at).alias("v")).groupBy(*by, "b").agg((F.sum("v") / F.first("n")).alias("m"))
+
+
+def grouped_bootstrap(rows: DataFrame, value: str, *by: str, resamples: int = 1000, seed: int = 42, level: float = 0.95, few: int = FEW) -> DataFrame:
+    """(by, n, mean_diff, ci_lower, ci_upper, p_value) of the mean of ``value`` in each group, all groups in one plan; the draws are hashes of group, resample and place, so the
+    result is the same on any cluster. Rows without a value don't count; a group without any has no row."""
+    by_ = list(by)
     low, high = math.floor((1 - level) / 2 * resamples), min(resamples - 1, math.floor((1 + level) / 2 * resamples))
-    ordered = means.agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("ms"), F.avg((F.round("m", 9) <= 0).cast("int")).alias("le"), F.avg((F.round("m", 9) >= 0).cast("int")).alias("ge"))
-    mean = pairs.agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    means = resampled_means(rows, value, by_, resamples, seed, few)
+    m = F.round("m", 9)
+    ordered = means.groupBy(*by_).agg(F.array_sort(F.collect_list(m)).alias("ms"), F.avg((m <= 0).cast("int")).alias("le"), F.avg((m >= 0).cast("int")).alias("ge"))
+    mean = rows.groupBy(*by_).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    out = ordered.join(F.broadcast(mean)) if not by_ else ordered.alias("o").join(mean.alias("m"), _same("o", "m", by_)).select(*(F.col(f"o.{c}").alias(c) for c in by_), "ms", "le", "ge", "n", "mean")
     p = F.least(F.lit(1.0), 2 * F.least("le", "ge"))
-    return ordered.join(F.broadcast(mean)).select(F.round("mean", 6).alias("mean_diff"), F.round(F.get("ms", low), 6).alias("ci_lower"), F.round(F.get("ms", high), 6).alias("ci_upper"), F.round(p, 6).alias("p_value"))
+    return out.select(*by_, "n", F.round("mean", 6).alias("mean_diff"), F.round(F.get("ms", low), 6).alias("ci_lower"), F.round(F.get("ms", high), 6).alias("ci_upper"), F.round(p, 6).alias("p_value"))
+
+
+def _same(a: str, b: str, columns: list[str]) -> Column:
+    """Equality of the columns of two aliased tables, where a null equals a null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def bootstrap(pairs: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(mean_diff, ci_lower, ci_upper, p_value) of the mean of ``value`` (one row a key, such as a paired difference): ``grouped_bootstrap`` of one group."""
+    return grouped_bootstrap(pairs.select(key, value), value, resamples=resamples, seed=seed, level=level).drop("n")
 
 
 def paired(pred: DataFrame, a: tuple, b: tuple) -> DataFrame:
@@ -112,23 +154,32 @@ def interaction_pairs(pred: DataFrame, treated: str = "lora_b", control: str = "
     return rows.groupBy("example_id").agg((F.sum(sign * (F.col("predicted") == F.col("gold")).cast("int")) / n).alias("diff"))
 
 
-def interaction_effect(pred: DataFrame, treated: str = "lora_b", control: str = "lora_a_prime", resamples: int = 1000) -> DataFrame:
-    """One row: the interaction (gain at oracle less gain at none) of both models, their difference with its interval and p, the effect size (Cohen's h of
-    treated against control at oracle, less that at none) and what it says."""
+def interaction_effect(pred: DataFrame, treated: str = "lora_b", control: str = "lora_a_prime", resamples: int = 1000, strata: DataFrame | None = None) -> DataFrame:
+    """The interaction (gain at oracle less gain at none) of both models, their difference with its interval and p, the effect size (Cohen's h of
+    treated against control at oracle, less that at none) and what it says.
+
+    One row; with ``strata`` (example_id, kind, stratum) one row, and n, for each stratum of each kind of stratum, all in one plan. An example without a stratum of a kind doesn't count in it."""
+    by = [] if strata is None else ["kind", "stratum"]
     acc = pred.where(F.col("model").isin(treated, control, "base") & F.col("retrieval").isin("oracle", "none"))
-    acc = acc.groupBy("model", "retrieval").agg(F.avg((F.col("predicted") == F.col("gold")).cast("int")).alias("acc"))
+    diffs = interaction_pairs(pred, treated, control)
+    if strata is not None:
+        acc, diffs = (df.join(strata.select("example_id", *by), "example_id") for df in (acc, diffs))
+    acc = acc.groupBy(*by, "model", "retrieval").agg(F.avg((F.col("predicted") == F.col("gold")).cast("int")).alias("acc"))
 
     def at(model: str, retrieval: str) -> Column:
         return F.max(F.when((F.col("model") == model) & (F.col("retrieval") == retrieval), F.col("acc")))
 
     base = at("base", "oracle") - at("base", "none")
-    one = acc.agg(
+    one = acc.groupBy(*by).agg(
         F.round(at(treated, "oracle") - at(treated, "none") - base, 6).alias("treated_interaction"),
         F.round(at(control, "oracle") - at(control, "none") - base, 6).alias("control_interaction"),
         F.round(cohens_h(at(treated, "oracle"), at(control, "oracle")) - cohens_h(at(treated, "none"), at(control, "none")), 6).alias("effect_size"),
     )
-    tested = bootstrap(interaction_pairs(pred, treated, control), "example_id", "diff", resamples).withColumnRenamed("mean_diff", "difference")
-    out = one.join(F.broadcast(tested))  # single rows
+    tested = grouped_bootstrap(diffs, "diff", *by, resamples=resamples).withColumnRenamed("mean_diff", "difference")
+    if by:
+        out = one.alias("a").join(tested.alias("b"), _same("a", "b", by)).select(*(F.col(f"a.{c}").alias(c) for c in by), *(c for c in [*one.columns, *tested.columns] if c not in by))
+    else:
+        out = one.join(F.broadcast(tested.drop("n")))  # single rows
     return out.withColumn("interpretation", F.concat(decision(F.col("p_value"), F.col("difference"), F.col("effect_size")), F.lit(", "), effect_name(F.col("effect_size")), F.lit(" effect")))
 
 

@@ -423,7 +423,7 @@ RESAMPLES = 1000
 
 
 def _bootstrap_sql(pairs: str) -> str:
-    return f"""{pairs}, v as (select diff::double as v, row_number() over (order by example_id) - 1 as i from pairs), n as (select count(*) as n from pairs),
+    return f"""{pairs}, v as (select diff::double as v, row_number() over (order by diff) - 1 as i from pairs), n as (select count(*) as n from pairs),
     dr as (select b, ('0x' || substr(md5('42|' || b || '|' || d), 1, 8))::bigint % n as i from n, range(0, {RESAMPLES}) x(b), lateral (select unnest(range(0, n.n)) as d)),
     me as (select b, round(sum(v) / any_value(n.n), 9) as m from dr join v using (i), n group by b), s as (select list_sort(list(m)) as ms, avg((m <= 0)::int) as le, avg((m >= 0)::int) as ge from me)
     select round((select avg(v) from v), 6) as mean_diff, round(ms[{int(0.025 * RESAMPLES) + 1}], 6) as ci_lower, round(ms[{min(RESAMPLES - 1, int(0.975 * RESAMPLES)) + 1}], 6) as ci_upper, round(least(1, 2 * least(le, ge)), 6) as p_value from s"""

@@ -331,16 +331,22 @@ select qid, pid, is_gold, row_number() over (partition by qid order by md5('42o|
 
 
 def _drawn(salt: int, *parts: str) -> str:
-    return f"('0x' || substr(md5('{42 + salt}|' || " + " || '|' || ".join(parts) + "), 1, 8))::bigint"
+    return f"('0x' || substr(md5('{42 + salt}|' || " + " || '|' || ".join(parts) + "), 1, 15))::bigint"
 
 
 query(
     "seeded_distractors",
-    f"""with {C.GOLD}, n as (select greatest(1, count(*) // 20) as n from documents), pool as (select doc_id as pid, {_drawn(0, "doc_id")} % n as band from documents, n),
-    one as (select qid, pid, {_drawn(0, "qid")} % n as band, {_drawn(1, "qid")} % 1000 < 800 as coin from (select *, row_number() over (partition by qid order by {_drawn(0, "qid", "pid")}, pid) as r from gold), n where r = 1),
-    so as (select one.qid, pool.pid, coin, row_number() over (partition by one.qid order by {_drawn(0, "one.qid", "pool.pid")}, pool.pid) as nth from one join pool on pool.band = one.band where not exists (select 1 from gold where gold.qid = one.qid and gold.pid = pool.pid)),
-    al as (select qid, pid, false as is_gold from so where nth <= 5 - coin::int union all select qid, pid, true from one where coin)
-    select qid, pid, is_gold, row_number() over (partition by qid order by {_drawn(2, "qid", "pid")}, pid) as position from al""",
+    f"""with recursive {C.GOLD}, rk as (select doc_id as pid, row_number() over (order by doc_id) - 1 as rank from documents), n as (select count(*) as n from documents),
+    kn as (select qid, pid from gold where pid in (select doc_id from documents)),
+    o0 as (select x.qid, count(kn.pid) as g, min_by(kn.pid, {_drawn(0, "x.qid", "kn.pid")}) as gold_pid from (select distinct qid from gold) x left join kn on kn.qid = x.qid group by x.qid),
+    o1 as (select *, {_drawn(1, "qid")} % 1000 < 800 and g > 0 as with_gold from o0), o2 as (select *, 5 - with_gold::int as need from o1), o as (select o2.*, n, least(n, need + g) as size from o2, n),
+    fl(qid, i, n, size, taken) as (select qid, 0::bigint, n, size, []::bigint[] from o
+      union all select qid, i + 1, n, size, list_append(taken, case when list_contains(taken, {_drawn(2, "qid", "i")} % (n - size + i + 1)) then n - size + i else {_drawn(2, "qid", "i")} % (n - size + i + 1) end) from fl where i < size),
+    dr as (select qid, unnest(taken) as rank from fl where i = size),
+    ot as (select o.qid, rk.pid, need, row_number() over (partition by o.qid order by {_drawn(3, "o.qid", "rk.pid")}, rk.pid) as nth from dr join rk using (rank) join o on o.qid = dr.qid where not exists (select 1 from gold where gold.qid = o.qid and gold.pid = rk.pid)),
+    kp as (select * from ot where nth <= need), ok as (select o.qid, gold_pid, with_gold, count(kp.pid) = any_value(o.need) as ok from o left join kp on kp.qid = o.qid group by o.qid, gold_pid, with_gold),
+    al as (select kp.qid, kp.pid, false as is_gold from kp join ok on ok.qid = kp.qid and ok.ok union all select qid, gold_pid, true from ok where ok and with_gold)
+    select qid, pid, is_gold, row_number() over (partition by qid order by {_drawn(4, "qid", "pid")}, pid) as position from al union all select qid, null, false, 0 from ok where not ok""",
 )(lambda spark, d: retrieval.seeded_distractors(gold(spark, d), passages(spark, d), 5))
 
 
@@ -365,6 +371,35 @@ def interaction_effect(spark, d):
     return statistics.interaction_effect(predictions(spark, d))
 
 
+_DIFFS = f"select example_id, sum((case model when 'lora_b' then 1 else -1 end) * (case retrieval when 'oracle' then 1 else -1 end) * {C.OK}) / 3.0 as diff from pred where model in ('lora_b', 'lora_a_prime') and retrieval in ('oracle', 'none') group by example_id"
+_H = "2 * asin(sqrt({0}))"
+
+
+@query(
+    "stratified_interaction",
+    f"""with {PRED}, mt as (with {C.METRICS} select qid, hit, ndcg from m), c as (select count(*) as c from mt),
+    st as (select example_id, 'question type' as kind, case when example_id % 2 = 0 then 'yesno' else 'factoid' end as stratum from lab
+      union all select qid, 'gold retrieved', case when hit > 0 then 'yes' else 'no' end from mt
+      union all select qid, 'ndcg tercile', case when r <= c // 3 then 'low' when r <= 2 * (c // 3) then 'medium' else 'high' end from (select qid, row_number() over (order by ndcg, qid) as r from mt), c),
+    sp as (select kind, stratum, diff from ({_DIFFS}) join st using (example_id)),
+    v as (select kind, stratum, diff::double as v, row_number() over (partition by kind, stratum order by diff) - 1 as i from sp), n as (select kind, stratum, count(*) as n, avg(v) as mean from v group by all),
+    dr as (select kind, stratum, b, ('0x' || substr(md5('42|' || kind || '|' || stratum || '|' || b || '|' || d), 1, 8))::bigint % n as i from n, range(0, {C.RESAMPLES}) x(b), lateral (select unnest(range(0, n.n)) as d)),
+    me as (select kind, stratum, b, round(sum(v) / any_value(n.n), 9) as m from dr join v using (kind, stratum, i) join n using (kind, stratum) group by all),
+    s as (select kind, stratum, list_sort(list(m)) as ms, avg((m <= 0)::int) as le, avg((m >= 0)::int) as ge from me group by all),
+    ac as (select kind, stratum, model, retrieval, avg({C.OK}) as acc from pred join st using (example_id) group by all),
+    w as (select kind, stratum, {", ".join(f"max(acc) filter (where model = '{m}' and retrieval = '{r}') as {a}" for a, m, r in (("bo", "lora_b", "oracle"), ("bn", "lora_b", "none"), ("ao", "lora_a_prime", "oracle"), ("an", "lora_a_prime", "none"), ("eo", "base", "oracle"), ("en", "base", "none")))} from ac group by all),
+    f as (select kind, stratum, n, round(bo - bn - (eo - en), 6) as treated_interaction, round(ao - an - (eo - en), 6) as control_interaction, round(({_H.format("bo")} - {_H.format("ao")}) - ({_H.format("bn")} - {_H.format("an")}), 6) as effect_size,
+      round(mean, 6) as difference, round(ms[{int(0.025 * C.RESAMPLES) + 1}], 6) as ci_lower, round(ms[{min(C.RESAMPLES - 1, int(0.975 * C.RESAMPLES)) + 1}], 6) as ci_upper, round(least(1, 2 * least(le, ge)), 6) as p_value from w join s using (kind, stratum) join n using (kind, stratum))
+    select *, case when p_value < 0.05 and difference > 0 and effect_size > 0.3 then 'strong' when p_value < 0.10 and difference > 0 then 'moderate' else 'null' end || ', ' || case when abs(effect_size) < 0.2 then 'negligible' when abs(effect_size) < 0.5 then 'small' when abs(effect_size) < 0.8 then 'medium' else 'large' end || ' effect' as interpretation from f""",
+)
+def stratified_interaction(spark, d):
+    """The interaction in each question type and in each stratum of retrieval quality."""
+    pred = predictions(spark, d)
+    kinds = pred.select("example_id").distinct().select("example_id", F.lit("question type").alias("kind"), F.expr("if(example_id % 2 = 0, 'yesno', 'factoid')").alias("stratum"))
+    quality_ = evaluation.retrieval_strata(evaluation.query_metrics(C._reranked(spark, d), gold(spark, d)))
+    return statistics.interaction_effect(pred, strata=kinds.unionByName(quality_))
+
+
 # -- model steps with stand-in models ------------------------------------------------------------------------------------
 def _answers(prompt: str) -> tuple[str, int, int]:
     if len(prompt) % 11 == 0:

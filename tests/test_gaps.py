@@ -203,3 +203,108 @@ def test_manifest(spark, tmp_path):
     content = {"ids": ["é", "b"], "size": 2}
     files.write_manifest(spark, content, f"file://{tmp_path}/m")
     assert files.read_manifest(spark, f"file://{tmp_path}/m") == content
+
+
+def test_bootstrap_by_values_and_by_ranks(spark):
+    """A draw looked up among few distinct values and one joined with the ranked rows give the same resamples, and those of plain Python."""
+    import hashlib
+
+    from quillon.operators import statistics
+
+    rows = [(g, float(v)) for g, n in (("a", 41), ("b", 7), (None, 5)) for v in [(i * i) % 9 - 3 for i in range(n)]] + [("a", None), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    few, many = (statistics.grouped_bootstrap(df, "v", "g", resamples=60, few=k) for k in (10, 1))
+    few, many = ({r["g"]: tuple(r) for r in x.collect()} for x in (few, many))
+    assert few == many and set(few) == {"a", "b", None}
+    values = sorted(v for g, v in rows if g == "a" and v is not None)
+    n = len(values)
+    means = sorted(round(sum(values[int(hashlib.md5(f"42|a|{b}|{d}".encode()).hexdigest()[:8], 16) % n] for d in range(n)) / n, 9) for b in range(60))
+    p = min(1, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / 60)
+    assert few["a"][1:] == pytest.approx((n, sum(values) / n, means[1], means[58], p), abs=1e-6)
+
+
+def test_interaction_by_strata_is_that_of_each_stratum(spark):
+    from quillon.operators import statistics
+
+    cells = [("base", "none"), ("base", "oracle"), ("lora_b", "none"), ("lora_b", "oracle"), ("lora_a_prime", "none"), ("lora_a_prime", "oracle")]
+    pred = [(i, m, r, 42, "yes" if (i * 7 + 3 * len(m) + len(r) * i) % 5 else "no", "yes") for i in range(60) for m, r in cells]
+    pred = spark.createDataFrame(pred, "example_id int, model string, retrieval string, seed int, predicted string, gold string")
+    strata = spark.createDataFrame([(i, "third", str(i % 3)) for i in range(50)] + [(i, "all", "all") for i in range(60)], "example_id int, kind string, stratum string")
+    out = {(r["kind"], r["stratum"]): r for r in statistics.interaction_effect(pred, resamples=30, strata=strata).collect()}
+    assert len(out) == 4 and out["third", "0"]["n"] == 17 and out["all", "all"]["n"] == 60
+    whole = statistics.interaction_effect(pred, resamples=30).first()
+    for c in ("treated_interaction", "control_interaction", "effect_size", "difference"):
+        assert out["all", "all"][c] == whole[c]
+    part = statistics.interaction_effect(pred.where("example_id % 3 = 1 and example_id < 50"), resamples=30).first()
+    assert (out["third", "1"]["difference"], out["third", "1"]["treated_interaction"]) == (part["difference"], part["treated_interaction"])
+
+
+def test_exact_ranks(spark):
+    """Order statistics by histograms are those of a sort, for whole numbers, decimals and floats of any spread, with ties, nulls and NaN."""
+    import decimal
+    import math
+    import random
+
+    from quillon.functions.order_statistics import exact_rank, exact_ranks
+
+    rng = random.Random(4)
+    shares = [(0, 1), (1, 4), (1, 2), (3, 4), (1, 1), (999, 1000)]
+    columns = {
+        "long": [rng.randint(-(10**rng.randint(1, 18)), 10**rng.randint(1, 18)) for _ in range(700)] + [7] * 300 + [2**63 - 1, -(2**63)],
+        "int": list(range(1000)),
+        "double": [rng.choice((-1, 1)) * 10.0 ** rng.uniform(-300, 300) for _ in range(400)] + [0.5] * 90 + [float("inf"), -1.7e308, 1.7e308, 5e-324, 0.0],
+        "float": [rng.random() for _ in range(200)],
+        "decimal(20,4)": [decimal.Decimal(rng.randint(-(10**15), 10**15)).scaleb(-4) for _ in range(300)],
+    }
+    for kind, values in columns.items():
+        if kind == "double":
+            values = [v for v in values if not math.isinf(v)]
+        df = spark.createDataFrame([(v,) for v in [*values, None]], f"x {kind}")
+        order = sorted(r["x"] for r in df.where("x is not null").collect())
+        want = [order[a * len(order) // b] if a * len(order) // b < len(order) else None for a, b in shares]
+        assert exact_ranks(df, "x", shares) == want and exact_ranks(df, "x", shares, radix=3) == want, kind
+    df = spark.createDataFrame([(v,) for v in (1.0, float("nan"), 2.0, float("nan"))], "x double")
+    got = exact_ranks(df, "x", [(0, 1), (1, 2), (3, 4)])
+    assert got[0] == 1.0 and math.isnan(got[1]) and math.isnan(got[2])
+    empty = df.where("x > 5 and not isnan(x)")
+    assert exact_ranks(empty, "x", [(1, 2)]) == [None] and exact_rank(empty, "x", 1, 2).count() == 0
+
+
+def test_exact_ranks_of_many_distinct_values(spark):
+    from quillon.functions.order_statistics import exact_ranks
+
+    df = spark.range(300_000).select((F.xxhash64("id") % 10**12).alias("x"))
+    order = sorted(r["x"] for r in df.collect())
+    assert exact_ranks(df, "x", [(1, 4), (1, 2), (9, 10)]) == [order[300_000 // 4], order[150_000], order[270_000]]
+
+
+def test_distractors_from_the_whole_corpus(spark):
+    """Always as many as asked for, from every place of the corpus, also where it is small; each set is equally likely."""
+    corpus = spark.range(60).select(F.col("id").alias("id"))
+    gold = spark.createDataFrame([(q, p) for q in range(3000) for p in (q % 60, (q + 1) % 60, 1000 + q)], "qid int, pid long")
+    rows = retrieval.seeded_distractors(gold, corpus, 5).collect()
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r["qid"], []).append(r)
+    assert len(by) == 3000 and all(len(x) == 5 and len({r["pid"] for r in x}) == 5 and sorted(r["position"] for r in x) == [1, 2, 3, 4, 5] for x in by.values())
+    assert all(not r["is_gold"] or r["pid"] in (r["qid"] % 60, (r["qid"] + 1) % 60) for r in rows) and not any(not r["is_gold"] and r["pid"] in (r["qid"] % 60, (r["qid"] + 1) % 60) for r in rows)
+    seen = [0] * 60
+    for r in rows:
+        seen[r["pid"]] += not r["is_gold"]
+    mean = sum(seen) / 60
+    assert 0.7 * mean < min(seen) and max(seen) < 1.3 * mean
+    pairs = [0, 0]
+    for x in by.values():  # neighbours in the corpus are no likelier together than others
+        ids = sorted(r["pid"] for r in x if not r["is_gold"])
+        pairs[0] += sum(b - a == 1 for a, b in zip(ids, ids[1:]))
+        pairs[1] += len(ids) * (len(ids) - 1) // 2
+    assert pairs[0] / pairs[1] == pytest.approx(2 / 60, rel=0.25)
+
+
+def test_too_few_distractors_are_told(spark):
+    corpus = spark.createDataFrame([(str(i),) for i in range(6)], "id string")
+    gold = spark.createDataFrame([("a", "0"), ("b", "0"), ("b", "1"), ("b", "2"), ("c", "x")], "qid string, pid string")
+    rows = retrieval.seeded_distractors(gold, corpus, 5, gold_share=1.0).collect()
+    assert [tuple(r) for r in rows if r["qid"] == "b"] == [("b", None, False, 0)]
+    assert {q: sum(r["qid"] == q for r in rows) for q in "ac"} == {"a": 5, "c": 5}
+    assert {r["pid"] for r in rows if r["is_gold"]} == {"0"} and not any(r["is_gold"] for r in rows if r["qid"] == "c")
