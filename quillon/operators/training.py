@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import answer_label, bracket_citations, citation_count, parse_response, seeded
+from quillon.sources.ledger import CallLedger
 
 # Prompts must be byte-identical to what a trained model expects.
 BEGIN, END = "<|begin_of_text|>", "<|eot_id|>"
@@ -118,36 +119,46 @@ def _answered(out: DataFrame) -> DataFrame:
     return out.withColumns({"generated_reasoning": reasoning, "generated_answer": answer, "cost_estimate": cost(F.col("input_tokens"), F.col("output_tokens"))})
 
 
-def _with_answers(prompts: DataFrame, workers: int, answer: Callable[[Callable, list[str]], list[tuple]], factory) -> DataFrame:
+def _with_answers(prompts: DataFrame, workers: int, answer: Callable[[Callable, pd.DataFrame], list[tuple]], factory) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
         for p in parts:
-            rows = answer(call, p["prompt"].tolist())
+            rows = answer(call, p)
             yield pd.concat([p.reset_index(drop=True), pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", " + ANSWER
     return _answered(prompts.repartition(workers).mapInPandas(run, schema))
 
 
-def generate(prompts: DataFrame, factory, workers: int = 10, retries: int = 2) -> DataFrame:
+def generate(prompts: DataFrame, factory, workers: int = 10, retries: int = 2, ledger: str | None = None, key: tuple[str, ...] = ("question_id", "mode"), attempt: int = 0) -> DataFrame:
     """``prompts`` (with column prompt) plus generated_reasoning, generated_answer, tokens, cost, status and error.
 
     ``factory()`` makes a worker's client: a function from a prompt to (text, input tokens, output tokens). A connection or time fault is tried again; a call that
-    still fails gives a row with status error, never a failed job. ``workers`` bounds the calls at a time."""
-
-    def answer(call, texts: list[str]) -> list[tuple]:
-        rows = []
-        for prompt in texts:
-            for left in range(retries, -1, -1):
-                try:
-                    rows.append((*call(prompt), "success", None))
-                    break
-                except (ConnectionError, TimeoutError) as e:
-                    if not left:
-                        rows.append((None, 0, 0, "error", str(e)))
-                except Exception as e:  # the row says so
-                    rows.append((None, 0, 0, "error", str(e)))
-                    break
+    still fails gives a row with status error, never a failed job. ``workers`` bounds the calls at a time. With the path of a ``ledger`` each answer is kept there, under ``key`` and ``attempt``, as soon
+    as it is there, and a call whose answer the ledger has is not made: a task that is run again pays for no call twice. Errors are not kept."""
+
+    def called(call, prompt: str) -> tuple:
+        for left in range(retries, -1, -1):
+            try:
+                return (*call(prompt), "success", None)
+            except (ConnectionError, TimeoutError) as e:
+                if not left:
+                    return None, 0, 0, "error", str(e)
+            except Exception as e:  # the row says so
+                return None, 0, 0, "error", str(e)
+
+    def answer(call, p: pd.DataFrame) -> list[tuple]:
+        if ledger is None:
+            return [called(call, prompt) for prompt in p["prompt"]]
+        kept, rows = CallLedger(ledger), []
+        for prompt, *parts in zip(p["prompt"], *(p[k] for k in key)):
+            digest = kept.digest((*parts, attempt))
+            row = kept.get(digest)
+            if row is None:
+                row = called(call, prompt)
+                if row[3] == "success":
+                    kept.put(digest, list(row))
+            rows.append(tuple(row))
         return rows
 
     return _with_answers(prompts, workers, answer, factory)
@@ -157,8 +168,8 @@ def generate_batches(prompts: DataFrame, factory, batch: int = 8, workers: int =
     """As ``generate``, for a model that answers a list of prompts at once: ``factory()`` makes a function from at most ``batch`` prompts to as many
     (text, input tokens, output tokens)."""
 
-    def answer(call, texts: list[str]) -> list[tuple]:
-        rows = []
+    def answer(call, p: pd.DataFrame) -> list[tuple]:
+        texts, rows = p["prompt"].tolist(), []
         for a in range(0, len(texts), batch):
             some = texts[a : a + batch]
             try:

@@ -17,6 +17,7 @@ from quillon.plans.registry import query
 from quillon.session import scratch_dir, table
 from quillon.sources import files, questions
 from quillon.streaming import progress
+from quillon.streaming.sink import CommittedSink
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -514,3 +515,45 @@ def nonempty_overlap(spark, d):
     """Texts that two parts of the corpus share: an overlap check that has rows."""
     docs = _docs(spark, d)
     return docs.where("doc_id % 2 = 1").join(splits.overlap(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "text"), "text", "left_semi").select("doc_id")
+
+
+@query(
+    "stream_budget",
+    f"""with {EX}, c as (select question_id, {C.COST} as c from ex), b as (select *, coalesce(sum(c) over (order by question_id rows between unbounded preceding and 1 preceding), 0) as before, row_number() over (order by question_id) as r from c)
+    select question_id, round(before, 6) as spent_before from b where before < 0.35 and r <= 900""",
+)
+def stream_budget(spark, d):
+    """Rows are sent in three parts, each to a query that is started again; they are admitted until the budget is spent, as in one run over all."""
+    path, state = _place(spark), _place(spark)
+    rows = C._priced(spark, d).select("question_id", "cost_estimate")
+    sink = CommittedSink(_place(spark), "question_id long, cost_estimate double, spent_before double")
+    most = rows.agg(F.max("question_id")).first()[0] or 0
+    for k in range(3):
+        files.append_lines(rows.where((F.col("question_id") > most * k // 3 - (k == 0)) & (F.col("question_id") <= most * (k + 1) // 3)), path)
+        progress.spend_until(progress.progress_stream(spark, path, "question_id long, cost_estimate double"), sink, state, "question_id", "cost_estimate", 0.35, 900)
+    return sink.rows(spark).select("question_id", F.round("spent_before", 6).alias("spent_before"))
+
+
+@query("stream_first_into", f"with {EX} select question_id, mode from ex")
+def stream_first_into(spark, d):
+    """Each key once, by comparison with the sink; a third of the rows is sent again to a query started later."""
+    path, state = _place(spark), _place(spark)
+    sink = CommittedSink(_place(spark), "question_id long, mode string")
+    rows = C._priced(spark, d).select("question_id", "mode")
+    for part in (rows.where("question_id % 2 = 0"), rows.where("question_id % 2 = 1"), rows.where("question_id % 3 = 0")):
+        files.append_lines(part, path)
+        progress.first_of_each_into(progress.progress_stream(spark, path, "question_id long, mode string"), sink, state)
+    return sink.rows(spark).select("question_id", "mode")
+
+
+@query("stream_answers", f"select doc_id as question_id, {_STATUS}, case when length(text) % 11 = 0 then 'no answer' end as error from documents")
+def stream_answers(spark, d):
+    """Answers to a stream of prompts, of which a third is sent again, each paid for once: by the sink, the commits and the ledger."""
+    path, state = _place(spark), _place(spark)
+    rows = _docs(spark, d).select(F.col("doc_id").alias("question_id"), F.lit("easy").alias("mode"), F.col("text").alias("prompt"))
+    columns = "question_id long, mode string, prompt string"
+    sink = CommittedSink(_place(spark), f"{columns}, {training.ANSWER}, generated_reasoning string, generated_answer string, cost_estimate double")
+    for part in (rows, rows.where("question_id % 3 = 0")):
+        files.append_lines(part, path)
+        progress.generate_into(progress.progress_stream(spark, path, columns), sink, state, lambda: _answers, _place(spark))
+    return sink.rows(spark).select("question_id", "status", "generated_answer", "input_tokens", "error")

@@ -308,3 +308,119 @@ def test_too_few_distractors_are_told(spark):
     assert [tuple(r) for r in rows if r["qid"] == "b"] == [("b", None, False, 0)]
     assert {q: sum(r["qid"] == q for r in rows) for q in "ac"} == {"a": 5, "c": 5}
     assert {r["pid"] for r in rows if r["is_gold"]} == {"0"} and not any(r["is_gold"] for r in rows if r["qid"] == "c")
+
+
+# -- streams that go on where they ended ---------------------------------------------------------------------------------
+def send(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(path)
+
+
+def test_budget_over_failures(spark, tmp_path, monkeypatch):
+    """A batch that fails after its rows are written counts once; the query ends when the budget is spent."""
+    from quillon.streaming import progress
+    from quillon.streaming.sink import CommittedSink
+
+    schema, rows = "id long, price double", [(i, 0.25 * (1 + i % 3)) for i in range(60)]
+    sink = CommittedSink(f"{tmp_path}/sink", schema + ", spent_before double")
+    write, failures = CommittedSink.write, []
+
+    def fails_once(self, rows, batch, *more, **named):
+        out = write(self, rows, batch, *more, **named)
+        if batch == 1 and not failures:
+            failures.append(batch)
+            spark.createDataFrame([], "x int").write.mode("overwrite").parquet(f"{self.path}/commits/of={batch}")  # rows without commit
+            raise RuntimeError("lost")
+        return out
+
+    monkeypatch.setattr(CommittedSink, "write", fails_once)
+    told = []
+    for k in range(4):
+        send(spark, rows[15 * k : 15 * k + 15], schema, f"{tmp_path}/in")
+        for _ in range(2):
+            try:
+                told.append(progress.spend_until(progress.progress_stream(spark, f"{tmp_path}/in", schema), sink, f"{tmp_path}/state", "id", "price", 12.0))
+                break
+            except Exception as e:
+                assert "lost" in str(e)
+    assert failures == [1]
+    want, spent = [], 0.0
+    for i, price in rows:
+        if spent < 12.0:
+            want.append((i, price, spent))
+            spent += price
+    assert sorted(tuple(r) for r in sink.rows(spark).drop("bucket").collect()) == want
+    assert told[-1] == (len(want), spent) and [t[0] for t in told] == sorted(t[0] for t in told)
+
+
+def test_first_of_each_without_state(spark, tmp_path):
+    """Each key once, also when it comes again many batches later and with null keys; the query keeps no state."""
+    from quillon.streaming import progress
+    from quillon.streaming.sink import CommittedSink
+
+    schema = "question_id string, mode string, v long"
+    sink = CommittedSink(f"{tmp_path}/sink", schema)
+    for k in range(4):
+        send(spark, [(str(i), "easy", k) for i in range(10 * k, 10 * k + 15)] + [(None, "easy", k), ("0", None, k), ("0", "easy", k), ("0", "easy", k)], schema, f"{tmp_path}/in")
+        progress.first_of_each_into(progress.progress_stream(spark, f"{tmp_path}/in", schema), sink, f"{tmp_path}/state")
+    rows = sink.rows(spark).collect()
+    keys = [(r["question_id"], r["mode"]) for r in rows]
+    assert len(keys) == len(set(keys)) and set(keys) == {(str(i), "easy") for i in range(45)} | {(None, "easy"), ("0", None)}
+    assert {r["v"] for r in rows if r["question_id"] == "0"} == {0}
+    assert not (tmp_path / "state" / "state").exists()  # no state store
+
+
+def test_paid_calls_survive_a_killed_worker(tmp_path):
+    """A worker dies in the middle of a task; the task is run again and makes only the calls that the first one had not made."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from quillon.operators import training
+from quillon.session import local_session
+import pathlib
+calls, died = pathlib.Path({str(tmp_path)!r}) / "calls", pathlib.Path({str(tmp_path)!r}) / "died"
+
+def client():
+    def call(prompt):
+        if prompt == "p 13" and not died.exists():
+            died.touch()
+            os._exit(1)
+        with calls.open("a") as f:
+            f.write(prompt + "\\n")
+        if prompt == "p 5":
+            raise RuntimeError("refused")
+        return "Reasoning: r\\nAnswer: " + prompt, 10, 1
+    return call
+
+spark = local_session("2, 4", 2, "1g")
+rows = spark.createDataFrame([(str(i), "easy", f"p {{i}}") for i in range(20)], "question_id string, mode string, prompt string")
+out = training.generate(rows, client, workers=2, ledger="file://{tmp_path}/ledger").collect()
+assert sorted(r["generated_answer"] or "" for r in out) == sorted("" if i == 5 else f"p {{i}}" for i in range(20)), out
+again = training.generate(rows, client, workers=1, ledger="file://{tmp_path}/ledger").collect()
+assert len(again) == 20
+""")
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=240)
+    assert out.returncode == 0, out.stderr[-2000:]
+    made = (tmp_path / "calls").read_text().splitlines()
+    assert (tmp_path / "died").exists()
+    assert sorted(x for x in made if x != "p 5") == sorted(f"p {i}" for i in range(20) if i != 5)  # each paid once, over a killed worker and a second run
+    assert 2 <= made.count("p 5") <= 3  # an error is not kept
+
+
+def test_answers_stop_at_the_budget(spark, tmp_path):
+    from quillon.operators import training
+    from quillon.streaming import progress
+    from quillon.streaming.sink import CommittedSink
+
+    schema = "question_id string, mode string, prompt string"
+    sink = CommittedSink(f"{tmp_path}/sink", f"{schema}, {training.ANSWER}, generated_reasoning string, generated_answer string, cost_estimate double")
+    told = []
+    for k in range(3):
+        send(spark, [(str(i), "easy", "p") for i in range(5 * k, 5 * k + 5)], schema, f"{tmp_path}/in")
+        told.append(progress.generate_into(progress.progress_stream(spark, f"{tmp_path}/in", schema), sink, f"{tmp_path}/state", lambda: lambda p: ("Answer: yes", 1_000_000, 0), f"{tmp_path}/ledger", dollars=7.0, workers=2))
+    assert told == [(5, 5.0), (10, 10.0), (10, 10.0)]  # the batch that goes beyond the cap is the last
+    assert len(list((tmp_path / "ledger").glob("*/*.json"))) == 10
