@@ -149,20 +149,25 @@ def factoid_overlap(a: Column, b: Column, ascii_only: bool = False) -> Column:
 # -- JSON ----------------------------------------------------------------------------------------------------------------
 #: The short escapes of JSON, by UTF-16 unit.
 ESCAPES = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
+#: The characters that JSON leaves as they are, of ASCII.
+PLAIN = "[ !#-\\[\\]-~]"
 
 
 def json_string(text: Column) -> Column:
-    """The text as a JSON string in ASCII: all else as \\u and four lower-case digits, above 16 bits as a surrogate pair."""
-    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    """The text as a JSON string in ASCII: all else as \\u and four lower-case digits, above 16 bits as a surrogate pair. Only the runs of characters that are escaped are taken apart."""
 
     def escaped(u: Column) -> Column:
-        out = F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+        out = F.concat(F.lit("\\u"), F.lower(u))
         for unit, short in ESCAPES.items():
             out = F.when(u == unit, short).otherwise(out)
         return out
 
-    plain = text.rlike("^[ !#-\\[\\]-~]*\\z")
-    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(units, escaped), "")), F.lit('"'))
+    def run(piece: Column) -> Column:
+        units = F.regexp_extract_all(F.hex(F.encode(piece, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+        return F.when(piece.rlike(f"^{PLAIN}"), piece).otherwise(F.array_join(F.transform(units, escaped), ""))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"({PLAIN}+|[^{PLAIN[1:]}+)"), F.lit(1))
+    return F.concat(F.lit('"'), F.when(text.rlike(f"^{PLAIN}*\\z"), text).otherwise(F.array_join(F.transform(pieces, run), "")), F.lit('"'))
 
 
 # -- hashing -------------------------------------------------------------------------------------------------------------

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from quillon.functions.order_statistics import first_ranks, with_rank
 from quillon.functions.text import json_string, seeded
 from quillon.operators.corpus import last_wins
 from quillon.session import exists
+from quillon.sources.files import read_manifest, write_manifest
 
 SPLITS, HELD_OUT = ("train", "dev", "test"), ("mirage",)
 CONDITIONS = {"bioasq": ["none", "strong", "oracle"], "pubmedqa": ["none", "strong", "oracle"], "mirage": ["none", "strong"]}
@@ -118,7 +121,43 @@ def canonical_json(*fields: tuple[str, Column]) -> Column:
 
 
 def test_hash(rows: DataFrame, key: str, *fields: str) -> DataFrame:
-    """(hash, size): SHA-256 of the canonical JSON list of the rows, sorted by key; for test sets, which are small by design."""
-    each = rows.select(F.struct(F.col(key).cast("string").alias("k"), canonical_json(*((f, F.col(f)) for f in fields)).alias("j")).alias("r"))
-    listed = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["j"]), ", "), F.lit("]"))
-    return each.agg(F.sha2(listed, 256).alias("hash"), F.count("*").alias("size"))
+    """(hash, size): SHA-256 of the canonical JSON list of the rows, sorted by key.
+
+    The lock hashes one text, so its digest is a chain: rows are made and sorted in ranges of the key, and one task reads the ranges one after another and passes
+    the digest's state on from batch to batch. No task holds more than a batch of rows beside the sort of a range."""
+    each = rows.select(F.col(key).cast("string").alias("k"), canonical_json(*((f, F.col(f)) for f in fields)).alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(b"["), 0
+        for batch in batches:
+            for text in batch.column(0):
+                digest.update((b", " if n else b"") + text.as_py().encode())
+                n += 1
+        digest.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=["hash", "size"])
+
+    chained = each.orderBy("k", "j").coalesce(1).select("j").mapInArrow(run, "hash string, size long")
+    none = hashlib.sha256(b"[]").hexdigest()  # an empty table may have no task
+    return chained.agg(F.coalesce(F.max("hash"), F.lit(none)).alias("hash"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("size"))
+
+
+def save_test_hash(spark: SparkSession, path: str, sets: dict[str, Callable[[], DataFrame]], key: str = "id", fields: tuple[str, ...] = ("id", "answer")) -> dict[str, dict]:
+    """Writes the manifest {name: {hash, size}} of the sets that their makers give, sorted by name; a set that can't be made has {error} in its place."""
+    out: dict[str, dict] = {}
+    for name in sorted(sets):
+        try:
+            out[name] = test_hash(sets[name](), key, *fields).first().asDict()
+        except Exception as e:  # the others are saved all the same
+            out[name] = {"error": str(e)}
+    write_manifest(spark, out, path)
+    return out
+
+
+def verify_test_hash(spark: SparkSession, path: str, name: str, rows: DataFrame, key: str = "id", fields: tuple[str, ...] = ("id", "answer")) -> bool:
+    """Whether the set is the one that was locked. FileNotFoundError where nothing was saved, ValueError where this set was not."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no saved hashes at {path}: save_test_hash writes them")
+    saved = read_manifest(spark, path)
+    if "hash" not in saved.get(name, {}):
+        raise ValueError(f"set {name!r} has no hash in {path}")
+    return test_hash(rows, key, *fields).first()["hash"] == saved[name]["hash"]

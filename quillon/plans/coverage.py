@@ -173,6 +173,46 @@ def partitioned_records(spark, d):
     return rows.groupBy("recipe").agg(F.count("*").alias("n"), F.min("example_id").alias("least"), F.max("example_id").alias("largest"))
 
 
+@query(
+    "aligned_records",
+    f"""with {C.RECORDS}, r as (select recipe, example_id, (row_number() over (partition by recipe order by example_id) - 1) // 100 as file from rec)
+    select recipe, file, count(*) as n, sha256(string_agg(example_id::varchar, ',' order by example_id)) as ids_sha256, true as same_bytes, true as same_prompts from r group by recipe, file""",
+)
+def aligned_records(spark, d):
+    """The files of all three recipes: the same examples in the same order, and the same bytes when they are written again; the grounded recipes' files have the same prompts."""
+    first, second = _place(spark), _place(spark)
+    for path in (first, second):
+        files.write_aligned(C._records(spark, d).select("recipe", "example_id", "prompt", "target"), path, "recipe", "example_id", 100)
+    a, b = (files.aligned_manifest(spark, path, "recipe", "example_id") for path in (first, second))
+    prompts = spark.read.schema("recipe string, file string, example_id long, prompt string").json(first).where("recipe <> 'a'").groupBy("example_id").agg(F.countDistinct(F.sha2("prompt", 256)).alias("k"), F.count("*").alias("n"))
+    ok = prompts.agg(F.bool_and((F.col("k") == 1) & (F.col("n") == 2)).alias("same_prompts"))
+    again = b.select("recipe", "file", F.col("sha256").alias("again"))
+    return a.join(again, ["recipe", "file"]).join(F.broadcast(ok)).select("recipe", "file", "n", "ids_sha256", (F.col("sha256") == F.col("again")).alias("same_bytes"), "same_prompts")  # one row
+
+
+@query("file_ordinals", "select doc_id, row_number() over (order by doc_id) - 1 as ordinal, 'mmlu_x_' || (row_number() over (order by doc_id) - 1) as id from documents")
+def file_ordinals(spark, d):
+    """Ordinals as the files have the rows: seven files in the order of doc_id, of several row groups each."""
+    path = _place(spark)
+    _docs(spark, d).select("doc_id", F.col("text").alias("question"), F.array("lang", "source").alias("choices"), F.lit(1).alias("answer")).repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 65536).parquet(path)
+    rows = questions.with_ordinal(spark.read.parquet(path))
+    return rows.select("doc_id", "ordinal").join(questions.choice_lists(rows, "x", "ordinal").select("id", F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("ordinal")), "ordinal")
+
+
+@query("verified_sets", f"""with s as (select lang, doc_id, source as answer, case when lang = 'de' and doc_id % 7 = 0 then 'x' else source end as later from documents),
+  h as (select lang as name, {", ".join(f"sha256('[' || string_agg('{{{{\"answer\": \"' || {c} || '\", \"id\": \"' || doc_id || '\"}}}}', ', ' order by doc_id::varchar) || ']') as {c}" for c in ("answer", "later"))}, count(*) as size from s group by lang)
+  select name, answer as hash, size, answer = later as verified from h""".replace("{{", "{").replace("}}", "}"))
+def verified_sets(spark, d):
+    """Sets locked by their hashes, of which one is changed later."""
+    path = _place(spark)
+    rows = _docs(spark, d).select("lang", F.col("doc_id").alias("id"), F.col("source").alias("answer"))
+    later = rows.withColumn("answer", F.when((F.col("lang") == "de") & F.expr("id % 7 = 0"), "x").otherwise(F.col("answer")))
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # four languages
+    saved = splits.save_test_hash(spark, path, {n: (lambda n=n: rows.where(F.col("lang") == n)) for n in names})
+    found = [(n, saved[n]["hash"], saved[n]["size"], splits.verify_test_hash(spark, path, n, later.where(F.col("lang") == n))) for n in names]
+    return spark.createDataFrame(found, "name string, hash string, size long, verified boolean")
+
+
 @query("split_manifest", "select count(*) as n, sum(doc_id)::bigint as total from documents where doc_id % 10 = 3")
 def split_manifest(spark, d):
     path = _place(spark)
@@ -256,6 +296,15 @@ def held_out_splits(spark, d):
     return rows.groupBy("split").agg(F.count("*").alias("n"))
 
 
+@query("three_splits", "select case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'dev' else 'train' end as split, lang, count(*) as n, min(doc_id) as least from documents group by 1, 2")
+def three_splits(spark, d):
+    """A dataset with three splits: each loader is asked for its own."""
+    part = {"train": "doc_id % 10 > 1", "dev": "doc_id % 10 = 1", "test": "doc_id % 10 = 0"}
+    parts = splits.splits_of("bioasq", {"bioasq": lambda s: _docs(spark, d).where(part[s]), "pubmedqa": lambda s: _docs(spark, d).limit(0)})
+    out = [df.groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).select(F.lit(s).alias("split"), "lang", "n", "least") for s, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 _SPLIT = "(['train', 'train', 'dev', 'test'])[doc_id % 4 + 1]"
 
 
@@ -557,3 +606,16 @@ def stream_answers(spark, d):
         files.append_lines(part, path)
         progress.generate_into(progress.progress_stream(spark, path, columns), sink, state, lambda: _answers, _place(spark))
     return sink.rows(spark).select("question_id", "status", "generated_answer", "input_tokens", "error")
+
+
+@query("misaligned_records", f"with {C.RECORDS}, x as (select example_id, recipe, case when recipe = 'b' and example_id % 5 = 0 then prompt || ' ' else prompt end as prompt from rec where not (recipe = 'a' and example_id % 7 = 0)) select example_id, count(distinct recipe) as n, count(distinct case when recipe <> 'a' then prompt end) as prompts from x group by example_id having n <> 3 or prompts <> 1")
+def misaligned_records(spark, d):
+    """The check of the recipes on records of which some are lost and some have another prompt."""
+    rows = C._records(spark, d).where(~((F.col("recipe") == "a") & F.expr("example_id % 7 = 0")))
+    return training.misaligned(rows.withColumn("prompt", F.when((F.col("recipe") == "b") & F.expr("example_id % 5 = 0"), F.concat("prompt", F.lit(" "))).otherwise(F.col("prompt"))))
+
+
+@query("intersect_texts", "select distinct text from documents where doc_id % 2 = 0 intersect select text from documents where doc_id % 2 = 1")
+def intersect_texts(spark, d):
+    """Whole texts that two halves of the corpus share."""
+    return _docs(spark, d).where("doc_id % 2 = 0").select("text").intersect(_docs(spark, d).where("doc_id % 2 = 1").select("text"))

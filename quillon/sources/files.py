@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.order_statistics import with_rank
 from quillon.schemas import ANNOTATION
 from quillon.session import exists
 
@@ -83,6 +84,25 @@ def write_partitioned(df: DataFrame, path: str, by: str, order: str) -> None:
     df.repartitionByRange(by, order).sortWithinPartitions(by, order).write.mode("overwrite").partitionBy(by).json(path)
 
 
+def write_aligned(records: DataFrame, path: str, by: str, order: str, per_file: int = 1000) -> None:
+    """Records of several kinds (``by``) of the same examples (``order``), so that the files of all kinds have the same examples in the same order.
+
+    One ordinal numbers the examples for all kinds; file k of a kind, in folder ``by``=../file=.., has those from k * ``per_file`` on, in their order. Each file is written by one task, which
+    holds that file's rows only."""
+    ids = with_rank(records.select(order).distinct(), "__at", order)
+    rows = records.join(ids, order).withColumn("file", F.lpad(F.expr(f"string(__at div {per_file})"), 9, "0"))
+    rows.repartition(by, "file").sortWithinPartitions(by, "file", "__at").drop("__at").write.mode("overwrite").partitionBy(by, "file").json(path)
+
+
+def aligned_manifest(spark: SparkSession, path: str, by: str, order: str) -> DataFrame:
+    """(by, file, n, ids_sha256, sha256) of each file of ``write_aligned``, read from the files themselves: how many records, the ids in their order, comma-joined, and all bytes."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: x != "")
+    ids = F.transform(lines, lambda x: F.get_json_object(x, f"$.{order}"))
+    kind, file = (F.regexp_extract("path", f"/{c}=([^/]*)/", 1) for c in (by, "file"))
+    return raw.select(kind.alias(by), file.cast("long").alias("file"), F.size(ids).cast("long").alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), F.sha2("content", 256).alias("sha256"))
+
+
 def annotation_json(df: DataFrame) -> DataFrame:
     """(value): each annotation as JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -11,7 +11,7 @@ import warnings
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.order_statistics import with_rank
@@ -77,12 +77,22 @@ def choice_lists(raw: DataFrame, subject: str, ordinal: str, source: str = "mmlu
 
 
 def with_ordinal(raw: DataFrame, *order: str) -> DataFrame:
-    """``raw`` with ``ordinal``, the place of each row, from 0, in the order of the columns."""
-    return with_rank(raw, "ordinal", *order)
+    """``raw`` with ``ordinal``, the place of each row, from 0, in the order of the columns; without one, in the order of the files, by path, and of the rows in each."""
+    return with_rank(raw, "ordinal", *order) if order else file_ordinals(raw)
+
+
+def file_ordinals(raw: DataFrame) -> DataFrame:
+    """``raw``, as read from Parquet files, with ``ordinal``, the place of each row, from 0, as the files have them: a row's index in its file, which the reader knows, whatever the splits, and
+    the number of rows in the files before it. No row is sorted or shuffled; only the files' sizes are, a row a file."""
+    placed = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = raw.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count("*").alias("__n"))
+    ahead = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # files, not rows
+    sizes = sizes.select("__file", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    return placed.join(sizes, "__file").withColumn("ordinal", F.col("__ahead") + F.col("__row")).drop("__file", "__row", "__ahead")
 
 
 def subjects(loaders: dict[str, Callable[[], DataFrame]], *order: str) -> DataFrame:
-    """``choice_lists`` of all subjects, with ordinals by subject; a subject that can't be loaded is left out with a warning."""
+    """``choice_lists`` of all subjects, with ordinals by subject, in the order of the columns or else of the files; a subject that can't be loaded is left out with a warning."""
     parts = []
     for subject, load in loaders.items():
         try:

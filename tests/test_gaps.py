@@ -424,3 +424,68 @@ def test_answers_stop_at_the_budget(spark, tmp_path):
         told.append(progress.generate_into(progress.progress_stream(spark, f"{tmp_path}/in", schema), sink, f"{tmp_path}/state", lambda: lambda p: ("Answer: yes", 1_000_000, 0), f"{tmp_path}/ledger", dollars=7.0, workers=2))
     assert told == [(5, 5.0), (10, 10.0), (10, 10.0)]  # the batch that goes beyond the cap is the last
     assert len(list((tmp_path / "ledger").glob("*/*.json"))) == 10
+
+
+# -- locks, ordinals, aligned files --------------------------------------------------------------------------------------
+def test_saved_hashes_are_verified(spark, tmp_path):
+    import hashlib
+
+    rows = [(f"q{i}", a) for i, a in enumerate(["yes", "no \"x\" \\ é\n\t\x01\x7f", "𝒳 ü", None, "maybe"] * 40)]
+    df = spark.createDataFrame(rows, "id string, answer string").repartition(7)
+
+    def fails():
+        raise RuntimeError("no data")
+
+    saved = splits.save_test_hash(spark, f"{tmp_path}/hashes", {"a": lambda: df, "b": lambda: df.limit(0), "c": fails})
+    text = json.dumps([{"id": i, "answer": a or ""} for i, a in sorted(rows)], sort_keys=True)
+    assert saved["a"] == {"hash": hashlib.sha256(text.encode()).hexdigest(), "size": 200}
+    assert saved["b"] == {"hash": hashlib.sha256(b"[]").hexdigest(), "size": 0} and saved["c"] == {"error": "no data"}
+    check = lambda name, rows: splits.verify_test_hash(spark, f"{tmp_path}/hashes", name, rows)
+    assert check("a", df.orderBy(F.desc("id"))) and check("b", df.where("false"))
+    assert not check("a", df.withColumn("answer", F.when(F.col("id") == "q7", "no").otherwise(F.col("answer")))) and not check("a", df.where("id <> 'q7'"))
+    for name in ("c", "d"):
+        with pytest.raises(ValueError):
+            check(name, df)
+    with pytest.raises(FileNotFoundError):
+        splits.verify_test_hash(spark, f"{tmp_path}/none", "a", df)
+
+
+def test_hash_of_a_large_set_is_a_chain(spark):
+    """The same digest as that of one text, from ranges of the key; the plan collects no list."""
+    import hashlib
+
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.md5(F.col("id").cast("string").cast("binary")).alias("answer"))
+    out = splits.test_hash(rows, "id", "id", "answer")
+    text = json.dumps([{"answer": r["answer"], "id": r["id"]} for r in sorted(rows.collect(), key=lambda r: r["id"])])
+    assert tuple(out.first()) == (hashlib.sha256(text.encode()).hexdigest(), 20_000)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Exchange rangepartitioning" in plan
+
+
+def test_ordinals_of_files(spark, tmp_path):
+    """Places over several files and row groups, whatever the splits of the read."""
+    from quillon.sources import questions
+
+    spark.range(5000).select("id", F.concat(F.lit("text "), F.md5(F.col("id").cast("string").cast("binary"))).alias("t")).repartitionByRange(3, "id").sortWithinPartitions("id").write.option("parquet.block.size", 20_000).parquet(f"{tmp_path}/x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "16k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = questions.with_ordinal(spark.read.parquet(f"{tmp_path}/x"))
+            assert rows.where("id <> ordinal").count() == 0 and rows.count() == 5000 and rows.columns == ["id", "t", "ordinal"]
+        assert rows.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_aligned_files(spark, tmp_path):
+    rows = spark.createDataFrame([(k, i, f"{k} {i} é") for k in ("b", "a") for i in range(25) if (k, i) != ("a", 12)], "kind string, id int, text string").repartition(5)
+    for path in ("x", "y"):
+        files.write_aligned(rows, f"{tmp_path}/{path}", "kind", "id", 10)
+    x, y = ({(r["kind"], r["file"]): r for r in files.aligned_manifest(spark, f"{tmp_path}/{p}", "kind", "id").collect()} for p in "xy")
+    assert {k: r["n"] for k, r in x.items()} == {("a", 0): 10, ("a", 1): 9, ("a", 2): 5, ("b", 0): 10, ("b", 1): 10, ("b", 2): 5}
+    assert {k: r["sha256"] for k, r in x.items()} == {k: r["sha256"] for k, r in y.items()}
+    same = {k: x["a", k]["ids_sha256"] == x["b", k]["ids_sha256"] for k in range(3)}
+    assert same == {0: True, 1: False, 2: True}  # the lost record shows in its file
+    lines = next((tmp_path / "x").glob("kind=b/file=000000001/*.json")).read_text().splitlines()
+    assert [json.loads(line)["id"] for line in lines] == list(range(10, 20))
