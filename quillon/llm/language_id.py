@@ -9,17 +9,16 @@ are one matrix product of its presence bits with those of the landmarks, and the
 The longer a text, the more n-grams it has, and the less their presence says; so texts are cut into segments of ``SEGMENT`` characters, each of which is a row of the kernel,
 and a text has the mean of its segments' scores, weighted by their lengths.
 
-Only the fit is bounded: at most ``ROWS`` segments of labelled texts, as many of each of the ``LANGS`` most frequent languages, ``PER_LANG`` at most, those with the least hash
-of doc_id and place. The prediction reads every whole text.
+Only the fit is bounded: at most ``ROWS`` segments of labelled texts, as many of each language, ``PER_LANG`` at most, those with the least hash
+of doc_id and place. Every language is learnt, as long as there are ``ROWS`` segments to share; beyond that many languages, the most frequent. The prediction reads every whole text.
 
-Cases: a null text or one without a letter is `und` with score 0; a null lang teaches nothing; without any labelled row every
+Cases: a null text or one without a letter (number signs such as ``½`` are none) is `und` with score 0; a null lang teaches nothing; without any labelled row every
 prediction is `und`; a single language is predicted everywhere; of languages with equal scores the first in alphabetical order is predicted; a text of any length is read whole; rows given twice get the same answer twice; other columns than
 doc_id, text and (for the fit) lang are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +32,15 @@ from quillon.session import table
 
 #: n-gram lengths, hash buckets, characters of a segment, landmarks of all languages and of one, ridge, rows of one matrix product.
 LENGTHS, BUCKETS, SEGMENT, MARKS, LANDMARKS, RIDGE, BLOCK = (1, 2, 3), 1 << 14, 4096, 512, 24, 1e-3, 256
-#: Bounds of the fit: segments of all languages and of one, languages.
-ROWS, PER_LANG, LANGS = 4096, 300, 256
-LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the fit: segments of all languages and of one.
+ROWS, PER_LANG = 4096, 300
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """A row of 0 and 1 for each text: which n-gram buckets it holds. Letters are compared in lower case."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
@@ -77,22 +79,26 @@ class KernelRidge:
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]], per_lang: int = LANDMARKS, ridge: float = RIDGE) -> KernelRidge:
         """From (text, lang) pairs, in a fixed order; the first segments of the first texts of each language are its landmarks."""
-        labelled = [(t, x) for t, x in labelled if LETTER.search(t)]
+        labelled = [(t, x) for t, x in labelled if has_letter(t)]
         langs = sorted({x for _, x in labelled})
         if not langs:
             return cls([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, 0), np.float32))
         per_lang = max(1, min(per_lang, MARKS // len(langs)))
-        chosen = [t for lang in langs for t in [t for t, x in labelled if x == lang][:per_lang]]
-        marks = presence([t[:SEGMENT] for t in chosen])
+        of: dict[str, list[str]] = {}
+        for t, x in labelled:
+            of.setdefault(x, []).append(t)
+        some = langs if len(langs) <= MARKS else [langs[i * len(langs) // MARKS] for i in range(MARKS)]  # landmarks span a space; not each language needs its own
+        marks = presence([t[:SEGMENT] for x in some for t in of[x][:per_lang]])
         parts, owner = segments([t for t, _ in labelled])
         k = np.concatenate([kernel(presence(parts[a : a + BLOCK]), marks) for a in range(0, len(parts), BLOCK)]).astype(np.float64)
         number = {x: i for i, x in enumerate(langs)}
         lang = np.array([number[x] for _, x in labelled])[owner]
-        y = np.where(lang[:, None] == np.arange(len(langs)), 1.0, -1.0)
         share = (1.0 / np.bincount(lang, minlength=len(langs)))[lang][:, None]  # languages weigh alike
         kmm = kernel(marks, marks).astype(np.float64)
         gram = k.T @ (share * k) + ridge * kmm + 1e-9 * np.eye(len(marks))
-        return cls(langs, marks, np.linalg.solve(gram, k.T @ (share * y)).astype(np.float32))
+        own = np.zeros((len(langs), len(marks)))
+        np.add.at(own, lang, share * k)  # the rows of a language count 1 in its own column and -1 in the others
+        return cls(langs, marks, np.linalg.solve(gram, 2 * own.T - own.sum(axis=0)[:, None]).astype(np.float32))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language with the largest score and a softmax of the scores at it."""
@@ -105,23 +111,23 @@ class KernelRidge:
         scores = np.add.reduceat(scores * size[:, None], first) / np.add.reduceat(size, first)[:, None]
         best = scores.argmax(axis=1)
         sure = 1 / np.exp(4 * (scores - scores.max(axis=1, keepdims=True))).sum(axis=1)
-        return [(self.langs[b], round(float(s), 4)) if LETTER.search(t) else (UNKNOWN, 0.0) for b, s, t in zip(best, sure, texts)]
+        return [(self.langs[b], round(float(s), 4)) if has_letter(t) else (UNKNOWN, 0.0) for b, s, t in zip(best, sure, texts)]
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS, langs: int = LANGS) -> list[tuple[str, str]]:
-    """(segment, lang) of at most ``rows`` segments of labelled texts, as many of each of the ``langs`` most frequent languages: those with the least hash of doc_id
-    and place, from anywhere in a text.
+def sample(docs: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS) -> list[tuple[str, str]]:
+    """(segment, lang) of at most ``rows`` segments of labelled texts, as many of each language: those with the least hash of doc_id and place, from anywhere in a
+    text.
 
     The counts by language give a share of the hashes that holds enough segments; what is read beyond it never leaves the executors."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     known = known.withColumn("place", F.explode(F.sequence(F.lit(0), F.expr(f"greatest(length(text) - 1, 0) div {SEGMENT}"))))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
     if not counts:
         return []
     most = max(1, min(per_lang, rows // len(counts)))
     shares = [(r["lang"], int((1 << 30) * min(1.0, (1.5 * most + 20) / r["n"]))) for r in counts]
     bounds = docs.sparkSession.createDataFrame(shares, "lang string, bound long")
-    some = known.join(F.broadcast(bounds), "lang").withColumn("h", F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 30))).where(F.col("h") <= F.col("bound"))  # LANGS rows
+    some = known.join(F.broadcast(bounds), "lang").withColumn("h", F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 30))).where(F.col("h") <= F.col("bound"))  # a row a language, at most ``rows``
     some = some.select("lang", "h", "doc_id", "place", F.substring("text", F.col("place") * SEGMENT + 1, F.lit(SEGMENT)).alias("part"))
     order = ("h", "doc_id", "place", F.xxhash64("part"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
