@@ -229,6 +229,11 @@ class Tagger:
             out[k] = tags[: sizes[col], col]
         return out
 
+    def margin(self, scores: np.ndarray, tag: int, start: int, end: int) -> float:
+        """What a path scores that holds ``tag`` from ``start`` to ``end`` of a chain and is outside on both sides, beyond the path that stays outside there."""
+        a = self._prepare()["A"]
+        return float(scores[start:end, tag].sum() + a[0, tag] + (end - start - 1) * a[tag, tag] + a[tag, 0] - (end - start + 1) * a[0, 0])
+
     def decode(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, tags): the windows of which the best path leaves tag 0, and their best paths, (row, character)."""
         rows, scores = self.inside(windows)
