@@ -1,16 +1,17 @@
 """Quality classifier by co-training.
 
-Two classifiers see two views of a document that share no evidence: its words (hashed to ``BUCKETS`` presence features), and its page
-metadata (source, language, and the layout of the page: its length, and the number, mean, largest length and blank share of its lines). Both are logistic
-regressions. In each round each of them scores every row of the table but those that the fit has the label of, on the executors; of the rows with calibrated odds of 19 to 1 at least, were both labels as frequent, the ``PSEUDO`` surest, in the proportion of
-the known labels, come to the driver and join the other's training rows with its label. At the end each view is calibrated on labelled rows that it did not learn
+Two classifiers see two views of a document: its words (hashed to ``BUCKETS`` presence features), and its page
+metadata (source, language, and the layout of the page: its length, the number, mean, largest length and blank share of its lines, and its shares of capitals, digits and signs, which
+no word feature has). Both are logistic regressions. In each round each of them scores every row of the table but those that the fit has the label of, on the executors; of the rows with calibrated odds of 19 to 1 at least, were both labels as frequent, the ``PSEUDO`` surest, in the proportion of
+the known labels, come to the driver and join the other's training rows with its label. A view keeps what a round brought it only if its calibrated loss on labelled rows that no view learns from does not rise; else
+it goes back to what it was, and when no view has gained, the rounds end. At the end each view is calibrated on labelled rows that it did not learn
 from (Platt scaling), and the calibrated log odds are averaged, weighted by their quality there, into the score of every document.
 
 Features are written once and read by every round and the last scoring. Bounded are the labelled rows of the fit, at most ``LABELLED``, those with the least hash of doc_id, and the
 rows that a round brings back; the rounds look at the whole corpus, and the score reads every whole text.
 
 Cases: a null or empty text has no words and zero lengths; a null source or lang is a value of its own; a label that
-is null or has no document teaches nothing; of a document with two labels the better one counts; rows with a null doc_id have no label; with fewer than two labels known all scores are the known share (0.5
+is null or has no document teaches nothing; of a document with two labels the better one counts; rows with a null doc_id have no label, and after a round has brought some, no later round brings others; with fewer than two labels known all scores are the known share (0.5
 without any); rows of one doc_id with different texts and equally sure rows are ordered by their features, so runs agree; rows given twice get the same score
 twice; a text of any length is read whole; an empty table gives an empty table; other columns are not read.
 """
@@ -258,24 +259,41 @@ def co_train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
     taken: tuple[set, set] = tuple({r["doc_id"] for r in known} for _ in range(2))
     calibration = _arrays([known[k] for k in held])
 
-    def held_odds() -> list[np.ndarray]:
-        return [text.odds(*_sparse_rows(calibration[0])), page.odds(*calibration[1:])]
-
-    for r in range(rounds + 1):
-        for view, own in zip((text, page), mine):
-            words_, meta, tags = _arrays([x for _, x in own])
-            labels = np.array([x for x, _ in own], float)
-            weight = np.where(np.arange(len(own)) < len(learn), 1.0, TRUST)
-            view.fit(*_sparse_rows(words_), labels, weight) if view is text else view.fit(meta, tags, labels, weight)
-        if r == rounds:
+    def fitted(k: int) -> TextView | MetaView:
+        view, own = (TextView(), MetaView())[k], mine[k]
+        words_, meta, tags = _arrays([x for _, x in own])
+        y_, weight = np.array([x for x, _ in own], float), np.where(np.arange(len(own)) < len(learn), 1.0, TRUST)
+        view.fit(*_sparse_rows(words_), y_, weight) if k == 0 else view.fit(meta, tags, y_, weight)
+        return view
+
+    def judged(k: int, view) -> tuple[tuple[float, float], float]:
+        """The calibration of a view, and its mean log loss on the held rows."""
+        odds = view.odds(*_sparse_rows(calibration[0])) if k == 0 else view.odds(*calibration[1:])
+        slope, offset = _platt(odds, y[held])
+        p = _sigmoid(slope * odds + offset)
+        return (slope, offset), float(-np.mean(np.log(np.where(y[held] > 0, p, 1 - p).clip(1e-6))))
+
+    views = [fitted(k) for k in range(2)]
+    state = [judged(k, v) for k, v in enumerate(views)]
+    for _ in range(rounds):
+        text, page = views
+        limits = [_sure(o, y[held]) for o in (text.odds(*_sparse_rows(calibration[0])), page.odds(*calibration[1:]))]
+        before, gained = [len(x) for x in mine], False
+        for k, found in enumerate(surest(rows, text, page, low, pseudo - low, taken, limits)):
+            mine[1 - k] += [(float(label), x) for label, x in found]
+            taken[k].update(x["doc_id"] for _, x in found)
+        for k in range(2):
+            if len(mine[k]) > before[k]:
+                view = fitted(k)
+                new = judged(k, view)
+                if new[1] <= state[k][1]:
+                    views[k], state[k], gained = view, new, True
+                else:
+                    del mine[k][before[k] :]
+        if not gained:
             break
-        limits = [_sure(o, y[held]) for o in held_odds()]
-        for view, found in enumerate(surest(rows, text, page, low, pseudo - low, taken, limits)):
-            mine[1 - view] += [(float(label), x) for label, x in found]
-            taken[view].update(x["doc_id"] for _, x in found)
-    odds = held_odds()
-    platt = [_platt(o, y[held]) for o in odds]
-    loss = [-np.mean(np.log(np.where(y[held] > 0, p, 1 - p).clip(1e-6))) for p in (_sigmoid(a * o + b) for o, (a, b) in zip(odds, platt))]
+    text, page = views
+    platt, loss = [x for x, _ in state], [x for _, x in state]
     weight = [1 / (x + 1e-3) for x in loss]
     return CoTrained(text, page, platt, [x / sum(weight) for x in weight])
 
