@@ -64,6 +64,21 @@ def question_files(spark, d):
     return questions.questions(questions.files_of(spark, path)).select("id", "answer")
 
 
+@query("split_question_files", f"with {QUESTIONS} select id, question_type, answer, ideal_answer, len(kept)::int as n_snippets, md5(array_to_string(kept, '|')) as h from qx")
+def split_question_files(spark, d):
+    """The same questions in one file, read by many tasks in ranges of 64 KB; brackets and quotes in strings mislead none of them."""
+    path = _place(spark)
+    rows = question_rows(spark, d).select(F.lit(1).alias("o"), F.concat(F.lit(", "), F.to_json("q")).alias("line"))
+    ends = spark.createDataFrame([(0, '{"note": "[{ \\" }", "questions": [{}'), (2, "]}")], "o int, line string")
+    ends.where("o = 0").unionByName(rows).unionByName(ends.where("o = 2")).select("line").coalesce(1).write.text(path)
+    files_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = files_.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(files_) if s.getPath().getName().endswith(".txt"))
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/questions.json"))
+    found = questions.questions(questions.split_question_files(spark, path, 1 << 16))
+    return found.select("id", "question_type", "answer", "ideal_answer", F.size("snippets").alias("n_snippets"), F.md5(F.array_join(F.transform("snippets", lambda s: s["text"]), "|").cast("binary")).alias("h"))
+
+
 @query("snippet_passages", f"with {QUESTIONS} select 'bioasq_' || id || '_snip' || (first_snippet + i) as pid, length(kept[i + 1])::bigint as n_chars, id as question from qx, range(0, 2) r(i) where i < len(kept)")
 def snippet_passages(spark, d):
     rows = corpus.snippet_passages(questions.questions(question_rows(spark, d)))

@@ -24,4 +24,5 @@ ANNOTATION = (
     "is_correct boolean, error_categories array<string>, notes string, annotator string, timestamp string"
 )
 #: Raw documents of question files: the polymorphic fields are kept as JSON text and taken apart by ``variant`` functions.
+QUESTION = "id string, body string, type string, exact_answer variant, ideal_answer variant, snippets array<struct<text:string,document:string>>"
 QUESTION_FILE = "questions array<struct<id:string,body:string,type:string,exact_answer:variant,ideal_answer:variant,snippets:array<struct<text:string,document:string>>>>"

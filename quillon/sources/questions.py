@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.order_statistics import with_rank
-from quillon.schemas import QUESTION_FILE
+from quillon.schemas import QUESTION, QUESTION_FILE
 from quillon.session import exists
+from quillon.sources.json_ranges import RANGE, elements
 
 INCLUDED_TYPES = ["factoid", "yesno"]
 LETTERS = ["A", "B", "C", "D"]
@@ -28,6 +29,11 @@ def question_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("questions").alias("q"))
 
 
+def split_question_files(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """The rows of ``question_files`` where files are large: each is read by many tasks, in ranges of ``size`` bytes."""
+    return elements(spark, path, size).select(F.from_json("element", QUESTION).alias("q"))
+
+
 def exact_answer(kind: Column, value: Column) -> Column:
     """yesno: a string in lower case, else null; factoid: a string, or the first of a list or of a list of lists."""
     shape = F.schema_of_variant(value)

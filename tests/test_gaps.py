@@ -489,3 +489,52 @@ def test_aligned_files(spark, tmp_path):
     assert same == {0: True, 1: False, 2: True}  # the lost record shows in its file
     lines = next((tmp_path / "x").glob("kind=b/file=000000001/*.json")).read_text().splitlines()
     assert [json.loads(line)["id"] for line in lines] == list(range(10, 20))
+
+
+# -- question files in ranges --------------------------------------------------------------------------------------------
+def odd_json(rng, n):
+    """Documents with quotes, brackets, runs of backslashes and other scripts in strings, nested lists, and elements longer than a range."""
+    parts = ['"', "\\", "\\\\", "{", "}", "[", "]", "é", "𝒳", "a", " ", "\n", ",", ":", '\\"']
+    text = lambda k: "".join(rng.choice(parts) for _ in range(rng.randint(0, k)))
+    return [{"id": str(i), "body": text(30), "type": "factoid", "exact_answer": [[text(5), "x"], [text(9)]], "snippets": [{"text": text(400 if i % 9 == 0 else 12), "document": "d"} for _ in range(rng.randint(0, 3))], "more": {"a": [{"b": text(4)}, []]}} for i in range(n)]
+
+
+def test_elements_by_ranges(spark, tmp_path):
+    from quillon.sources import json_ranges
+
+    rng = random.Random(8)
+    want = {}
+    for k, (n, indent) in enumerate([(40, None), (25, 2), (0, None), (1, 1)]):
+        rows = odd_json(rng, n)
+        name = f"{tmp_path}/f{k}.json"
+        with open(name, "w") as f:
+            json.dump({"title": "[{\\\"", "questions": rows, "end": {"x": "]"}}, f, indent=indent, ensure_ascii=k % 2 == 0)
+        want[name] = rows
+    for size in (7, 64, 1000, 1 << 20):
+        if size == 7:  # many ranges of one file
+            (tmp_path / "one").mkdir()
+            (tmp_path / "one" / "f.json").write_bytes((tmp_path / "f3.json").read_bytes())
+            got = json_ranges.elements(spark, f"{tmp_path}/one", size).collect()
+            assert [json.loads(r["element"]) for r in got] == want[f"{tmp_path}/f3.json"]
+            (tmp_path / "one" / "f.json").unlink()
+            continue
+        by = {}
+        for r in json_ranges.elements(spark, str(tmp_path), size).collect():
+            by.setdefault(r["file"], []).append((r["start"], json.loads(r["element"])))
+        assert {k: [e for _, e in sorted(v, key=lambda x: x[0])] for k, v in by.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_split_files_have_the_rows_of_whole_ones(spark, tmp_path):
+    from quillon.sources import json_ranges, questions
+
+    rng = random.Random(9)
+    (tmp_path / "q.json").write_text(json.dumps({"questions": odd_json(rng, 30)}))
+    pick = lambda df: sorted(map(str, df.select("q.id", "q.body", F.to_json("q.exact_answer"), "q.snippets").collect()))
+    whole = pick(questions.question_files(spark, str(tmp_path)))
+    parted = questions.split_question_files(spark, str(tmp_path), 500)
+    assert pick(parted) == whole and len(whole) == 30 and parted.rdd.getNumPartitions() > 10
+    (tmp_path / "broken.json").write_text('{"questions": [{"id": "1"}, {"id": "2')
+    with pytest.raises(ValueError):
+        json_ranges.elements(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        json_ranges.elements(spark, f"{tmp_path}/none")
