@@ -210,7 +210,7 @@ def candidate_links(nodes: DataFrame, similarity: float, recall: float) -> DataF
         if found.isEmpty():
             return False
         links = links.unionByName(found)
-        tops = components(found.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        tops = materialise(components(found.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top")), "roots-above")  # so that Spark can split a hot root's join
         moved = apart.join(tops.hint("merge"), "root", "left").select("bucket", "key", "node", F.coalesce("top", "root").alias("root"))
         several = moved.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         apart = materialise(moved.join(several.hint("merge"), "bucket", "left_semi"), "apart")
