@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import analysis, audit, corpus, evaluation, quality, retrieval, splits, statistics, training
-from quillon.plans.fixtures import EX, GOLD, KNN, PRED, QUERIES as Q_SQL, corpus as passages, examples, gold, predictions, queries, retrieved, retrieved_text, sql_words, with_passages
+from quillon.operators import analysis, audit, corpus, evaluation, pruned, quality, retrieval, splits, statistics, training
+from quillon.plans.fixtures import EX, GOLD, KNN, PRED, QUERIES as Q_SQL, corpus as passages, examples, gold, predictions, queries, retrieved, retrieved_text, sql_words, vectors, with_passages
 from quillon.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from quillon.session import materialise, table
 
@@ -23,6 +23,13 @@ def knn_top20(spark, d):
     return retrieved(spark, d)
 
 
+@query("knn_pruned", f"with {KNN} select qid, pid, rank, score from knn")
+def knn_pruned(spark, d):
+    """The same rows by blocks with bounds: no block that can't hold one of the best is scored."""
+    blocks = pruned.Blocks(vectors(spark, d).select("pid", "embedding"))
+    return pruned.nearest_pruned(queries(spark, d).select("qid", "embedding"), blocks, 20, exclude_same=True)[0].select("qid", "pid", "rank", "score")
+
+
 @query("retrieve_left_text", f"with {KNN} select qid, pid, rank, length(coalesce(text, '')) as n_chars, coalesce(source, '') as source from knn left join documents on doc_id = pid")
 def retrieve_left_text(spark, d):
     return retrieved_text(spark, d).select("qid", "pid", "rank", F.length("text").cast("long").alias("n_chars"), "source")

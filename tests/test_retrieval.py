@@ -105,3 +105,36 @@ def test_embed(spark):
     rows = spark.createDataFrame([("ab",), ("",)], "t string")
     got = retrieval.embed(rows, "t", lambda: lambda texts: [[len(t), 0.0] for t in texts]).collect()
     assert [list(r["embedding"]) for r in got] == [[1.0, 0.0], [0.0, 0.0]]
+
+
+def test_pruned_search_is_exact(spark):
+    """The rows of the search over all pairs, on clustered vectors with copies and ties, by far fewer blocks."""
+    import numpy as np
+
+    from quillon.operators import pruned
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 4, (30, 12))
+    rows = [(i, (centres[i % 30] + rng.normal(0, 0.2, 12)).astype(np.float32).tolist()) for i in range(1500)]
+    rows += [(2000 + i, rows[3][1]) for i in range(400)] + [(3000, None)]
+    passages = spark.createDataFrame(rows, "pid long, embedding array<float>")
+    queries = passages.where("pid % 7 = 0 or pid = 3000").withColumnRenamed("pid", "qid")
+    for exclude, k in ((True, 20), (False, 3), (False, 5000)):
+        want = sorted(map(tuple, retrieval.nearest(queries.where("qid < 500" if k == 5000 else "true"), passages, k, exclude).collect()))
+        got, counts = pruned.nearest_pruned(queries.where("qid < 500" if k == 5000 else "true"), pruned.Blocks(passages, centres=60, most=100), k, exclude)
+        got = sorted((r["qid"], r["pid"], r["score"], r["rank"]) for r in got.collect())
+        assert got == sorted((q, p, s, r) for q, p, s, r in [(r[0], r[1], r[2], r[3]) for r in want])
+        if k < 100:
+            seen = counts.collect()
+            assert sum(r["n_scored"] for r in seen) < 0.25 * sum(r["n_blocks"] for r in seen)
+    empty = pruned.nearest_pruned(queries, pruned.Blocks(passages.where("pid < 0")), 3)
+    assert empty[0].count() == 0 and empty[0].columns == ["qid", "pid", "rank", "score"]
+
+
+def test_blocks_are_bounded(spark):
+    from quillon.operators import pruned
+
+    rows = [(i, [1.0, 0.0]) for i in range(900)] + [(1000 + i, [0.0, float(i)]) for i in range(50)]
+    blocks = pruned.Blocks(spark.createDataFrame(rows, "pid long, embedding array<float>"), centres=5, most=100)
+    shapes = blocks.shapes.collect()
+    assert sum(r["n"] for r in shapes) == 950 and max(r["n"] for r in shapes) < 200  # copies, too, are parted
