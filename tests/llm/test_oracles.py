@@ -32,4 +32,8 @@ def test_same_odd_rows(spark, make, odd_rows, tmp_path, name):
     rows = [r for k, r in enumerate(odd_rows) if r[0] is not None and r[0] not in [x[0] for x in odd_rows[:k]]]
     make(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, rows[0][1]), (2, "short text of five words"), (3, None), (4, "word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert same(spark, tmp_path, ("documents", "benchmark"), name)
+    urls = [None, "", "no scheme", "http://", "https://EXAMPLE.net/en/x", "http://net", "http://a.net/", "http://xnet/de/", "http://b.example.com/de/?q", "http://org/fr/#x", "x://a.example.net/en?://b.org/fr/", "http://É.org/fr/é"]
+    spark.createDataFrame(list(enumerate([*urls, urls[4]])), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    vectors = [None, [], [None, 1.0, 2.0], [float("nan"), 0.0, 0.0], [0.0, float("-inf"), 1.0], *([float(i % 5), i / 7, -i / 300] for i in range(40)), [0.0, 0.0, -0.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert same(spark, tmp_path, ("documents", "benchmark", "pages", "embeddings"), name)
