@@ -133,8 +133,22 @@ def _same(a: str, b: str, columns: list[str]) -> Column:
 
 
 def bootstrap(pairs: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(mean_diff, ci_lower, ci_upper, p_value) of the mean of ``value`` (one row a key, such as a paired difference): ``grouped_bootstrap`` of one group."""
-    return grouped_bootstrap(pairs.select(key, value), value, resamples=resamples, seed=seed, level=level).drop("n")
+    """(mean_diff, ci_lower, ci_upper, p_value) of the mean of ``value`` (one row a key, such as a paired difference), by draws of rows in the order of the key: its seeded results are fixed. ``grouped_bootstrap``
+    draws from counts of values, and joins nothing.
+
+    Draw i of resample b is row hash(seed|b|i) mod n, so the result is the same on any cluster. Draws are made where they are summed: Spark
+    broadcasts the values where its own size check allows, and then only a sum a resample and task is shuffled."""
+    n = pairs.count()
+    spark = pairs.sparkSession
+    ranked = with_rank(pairs.select(key, F.col(value).cast("double").alias("v")), "i", key).select("v", "i")
+    draws = spark.range(n * resamples).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.expr(f"id % {max(n, 1)}").alias("d"))
+    draws = draws.select("b", (hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string"))) % max(n, 1)).alias("i"))
+    means = draws.join(ranked, "i").groupBy("b").agg((F.sum("v") / n).alias("m"))
+    low, high = math.floor((1 - level) / 2 * resamples), min(resamples - 1, math.floor((1 + level) / 2 * resamples))
+    ordered = means.agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("ms"), F.avg((F.round("m", 9) <= 0).cast("int")).alias("le"), F.avg((F.round("m", 9) >= 0).cast("int")).alias("ge"))
+    mean = pairs.agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    p = F.least(F.lit(1.0), 2 * F.least("le", "ge"))
+    return ordered.join(F.broadcast(mean)).select(F.round("mean", 6).alias("mean_diff"), F.round(F.get("ms", low), 6).alias("ci_lower"), F.round(F.get("ms", high), 6).alias("ci_upper"), F.round(p, 6).alias("p_value"))
 
 
 def paired(pred: DataFrame, a: tuple, b: tuple) -> DataFrame:
@@ -175,11 +189,11 @@ def interaction_effect(pred: DataFrame, treated: str = "lora_b", control: str =
         F.round(at(control, "oracle") - at(control, "none") - base, 6).alias("control_interaction"),
         F.round(cohens_h(at(treated, "oracle"), at(control, "oracle")) - cohens_h(at(treated, "none"), at(control, "none")), 6).alias("effect_size"),
     )
-    tested = grouped_bootstrap(diffs, "diff", *by, resamples=resamples).withColumnRenamed("mean_diff", "difference")
+    tested = (grouped_bootstrap(diffs, "diff", *by, resamples=resamples) if by else bootstrap(diffs, "example_id", "diff", resamples)).withColumnRenamed("mean_diff", "difference")
     if by:
         out = one.alias("a").join(tested.alias("b"), _same("a", "b", by)).select(*(F.col(f"a.{c}").alias(c) for c in by), *(c for c in [*one.columns, *tested.columns] if c not in by))
     else:
-        out = one.join(F.broadcast(tested.drop("n")))  # single rows
+        out = one.join(F.broadcast(tested))  # single rows
     return out.withColumn("interpretation", F.concat(decision(F.col("p_value"), F.col("difference"), F.col("effect_size")), F.lit(", "), effect_name(F.col("effect_size")), F.lit(" effect")))
 
 

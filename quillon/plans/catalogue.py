@@ -429,8 +429,8 @@ query("gain", f"with {PRED}, {SEEDED}, b as (select retrieval, avg(acc) as base
 RESAMPLES = 1000
 
 
-def _bootstrap_sql(pairs: str) -> str:
-    return f"""{pairs}, v as (select diff::double as v, row_number() over (order by diff) - 1 as i from pairs), n as (select count(*) as n from pairs),
+def _bootstrap_sql(pairs: str, order: str = "example_id") -> str:
+    return f"""{pairs}, v as (select diff::double as v, row_number() over (order by {order}) - 1 as i from pairs), n as (select count(*) as n from pairs),
     dr as (select b, ('0x' || substr(md5('42|' || b || '|' || d), 1, 8))::bigint % n as i from n, range(0, {RESAMPLES}) x(b), lateral (select unnest(range(0, n.n)) as d)),
     me as (select b, round(sum(v) / any_value(n.n), 9) as m from dr join v using (i), n group by b), s as (select list_sort(list(m)) as ms, avg((m <= 0)::int) as le, avg((m >= 0)::int) as ge from me)
     select round((select avg(v) from v), 6) as mean_diff, round(ms[{int(0.025 * RESAMPLES) + 1}], 6) as ci_lower, round(ms[{min(RESAMPLES - 1, int(0.975 * RESAMPLES)) + 1}], 6) as ci_upper, round(least(1, 2 * least(le, ge)), 6) as p_value from s"""
@@ -440,6 +440,10 @@ query(
     "bootstrap_ci",
     f"with {PRED}, " + _bootstrap_sql("pairs as (select a.example_id, (a.predicted = a.gold)::int - (b.predicted = b.gold)::int as diff from pred a join pred b using (example_id) where a.model = 'lora_b' and a.retrieval = 'oracle' and a.seed = 42 and b.model = 'base' and b.retrieval = 'oracle')"),
 )(lambda spark, d: statistics.bootstrap(statistics.paired(predictions(spark, d), ("lora_b", "oracle", 42), ("base", "oracle", 42)), "example_id", "diff", RESAMPLES))
+query(
+    "bootstrap_by_values",
+    f"with {PRED}, " + _bootstrap_sql("pairs as (select a.example_id, (a.predicted = a.gold)::int - (b.predicted = b.gold)::int as diff from pred a join pred b using (example_id) where a.model = 'lora_b' and a.retrieval = 'oracle' and a.seed = 42 and b.model = 'base' and b.retrieval = 'oracle')", "diff"),
+)(lambda spark, d: statistics.grouped_bootstrap(statistics.paired(predictions(spark, d), ("lora_b", "oracle", 42), ("base", "oracle", 42)), "diff", resamples=RESAMPLES).drop("n"))
 query(
     "interaction",
     f"with {PRED}, " + _bootstrap_sql(f"pairs as (select example_id, sum((case model when 'lora_b' then 1 else -1 end) * (case retrieval when 'oracle' then 1 else -1 end) * {OK}) / 3.0 as diff from pred where model in ('lora_b', 'lora_a_prime') and retrieval in ('oracle', 'none') group by example_id)"),
