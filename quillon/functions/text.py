@@ -41,6 +41,20 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def held_words(some: Column, others: Column) -> Column:
+    """How many of the words ``some``, repeats counted, are among the words ``others``.
+
+    Both are sorted together, a word's others first, and read once, so long texts cost n log n; a search of ``others`` inside a lambda would split that text again for each word."""
+    marked = F.concat(F.transform(others, lambda w: F.struct(w.alias("word"), F.lit(0).alias("asks"))), F.transform(some, lambda w: F.struct(w.alias("word"), F.lit(1).alias("asks"))))
+    start = F.struct(F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
+
+    def step(state: Column, x: Column) -> Column:
+        asks = x["asks"] == 1
+        return F.struct(F.when(asks, state["held"]).otherwise(x["word"]).alias("held"), (state["n"] + F.when(asks & state["held"].eqNullSafe(x["word"]), 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.array_sort(marked), start, step, lambda state: state["n"])
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends; ``trim`` would take blanks only."""
     return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")

@@ -61,3 +61,10 @@ def test_extract_label(spark, text, want):
 
 def test_preview_and_tokens(spark):
     assert column(spark, ["a" * 10, "a b c"], T.preview(F.col("t"), 5), T.token_estimate(F.col("t"))) == [("aaaaa...", 1), ("a b c", 3)]
+
+
+def test_held_words(spark):
+    """Repeats count, in linear memory; null and blank texts have no words."""
+    rows = [(1, "a b a c", "a x c"), (2, "", "a"), (3, None, "a"), (4, "a a", None), (5, "z z z", "z"), (6, "A é", "é a"), (7, "b " * 60000, "a b " * 60000)]
+    df = spark.createDataFrame(rows, "id int, some string, others string").select("id", T.held_words(T.words(F.col("some")), T.words(F.col("others"))).alias("n"))
+    assert {r["id"]: r["n"] for r in df.collect()} == {1: 3, 2: 0, 3: 0, 4: 0, 5: 3, 6: 1, 7: 60000}
