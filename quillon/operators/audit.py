@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,44 +44,45 @@ def utc_now() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def containing(docs: DataFrame, items: DataFrame, block: int = 4096) -> DataFrame:
-    """(doc_id, item_id): the items (item_id, text) that a document (doc_id, text) holds character for character.
-
-    Blocks of items go to the documents as one Aho-Corasick automaton each, so a text is read once a block and nothing is shuffled."""
-    schema = "doc_id long, item_id long"
-    parts = [docs.sparkSession.createDataFrame([], schema)]
-
-    def search(shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            found_by, always = ahocorasick.Automaton(), []
-            for text, ids in shared.value.items():
-                if text:
-                    found_by.add_word(text, ids)
-                else:
-                    always = ids
-            found_by.make_automaton()
-            for b in batches:
-                rows = []
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if text is not None:
-                        hits = set(always)
-                        if len(found_by):
-                            hits.update(i for _, ids in found_by.iter(text) for i in ids)
-                        rows += [(doc_id, i) for i in sorted(hits)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], names=["doc_id", "item_id"])
-
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-    held: dict[str, list] = {}
-    for n, r in enumerate(items.where("text is not null").select("item_id", "text").toLocalIterator(), 1):
-        held.setdefault(r["text"], []).append(r["item_id"])
-        if n % block == 0:
-            parts.append(search(docs.sparkSession.sparkContext.broadcast(held)))
-            held = {}
-    if held:
-        parts.append(search(docs.sparkSession.sparkContext.broadcast(held)))
+#: Words of a run by which an item is looked up.
+RUN = 5
+
+
+def _runs(tokens: Column, k: Column | int) -> Column:
+    """The hashes of all runs of ``k`` tokens. The tokens are bound first: inside a lambda an outer expression is computed for each element."""
+    k = k if isinstance(k, Column) else F.lit(k)
+    every = F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.xxhash64(F.slice(t, i, k)))).otherwise(F.array().cast("array<long>")))
+    return F.array_distinct(F.get(every, 0))
+
+
+def containing(docs: DataFrame, items: DataFrame, block: int = 1024) -> DataFrame:
+    """(doc_id, item_id): the items (item_id, text) that a document (doc_id, text) holds character for character, for each row of both.
+
+    What lies between an item's first and last white space are whole words of any text that holds it, so runs of up to ``RUN`` of them are joined with the runs of the documents; of an item's
+    runs the one in the fewest documents is taken, and only documents with that run are compared with the item. An item without such a word (up to two words) has no run: these are
+    compared with all documents, about ``block`` of them in a pass. Null texts hold nothing and are in nothing; an empty item is in every text; rows with one id, or none, are rows of their own."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"), F.sha2("text", 256).alias("key"))
+    tokens = F.split("item", "\\s+")
+    inner = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
+    texts = materialise(items.select("key", "item").distinct().withColumn("k", F.least(F.size(inner), F.lit(RUN))), "item-texts")
+    lengths = sorted(r["k"] for r in texts.select("k").distinct().collect())  # at most RUN + 1 numbers
+    parts = [docs.sparkSession.createDataFrame([], "doc_id long, item_id long")]
+    if any(lengths):
+        runs = materialise(texts.where("k > 0").select("key", F.explode(_runs(inner, F.col("k"))).alias("run")), "item-runs")
+        own = F.concat(*(_runs(F.split("text", "\\s+"), k) for k in lengths if k))
+        held = materialise(docs.select("doc_id", F.explode(F.array_distinct(own)).alias("run")).join(runs.select("run").distinct(), "run", "left_semi"), "held-runs")
+        counts = runs.join(held.groupBy("run").agg(F.count("*").alias("n")), "run", "left")  # a run that no document has rules its item out
+        rarest = counts.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best")).where("best.n > 0").select("key", "best.run")
+        pairs = held.join(rarest, "run").select("doc_id", "key").distinct().join(items, "key")
+        parts.append(pairs.alias("p").join(docs.alias("d"), F.col("p.doc_id").eqNullSafe(F.col("d.doc_id"))).where(F.contains("d.text", "p.item")).select("p.doc_id", "p.item_id"))
+    if 0 in lengths:
+        short = texts.where("k = 0").select("key", "item")
+        passes = -(-short.count() // block)
+        for n in range(passes):
+            some = short.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == n).agg(F.collect_list(F.struct("item", "key")).alias("some"))
+            found = docs.join(F.broadcast(some)).select("doc_id", F.explode(F.filter("some", lambda x: F.contains(F.col("text"), x["item"]))).alias("x"))
+            parts.append(found.select("doc_id", "x.key").join(items, "key").select("doc_id", "item_id"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -538,3 +538,15 @@ def test_split_files_have_the_rows_of_whole_ones(spark, tmp_path):
         json_ranges.elements(spark, str(tmp_path))
     with pytest.raises(FileNotFoundError):
         json_ranges.elements(spark, f"{tmp_path}/none")
+
+
+def test_items_in_documents(spark):
+    """Items of any number of words against a search of every pair; nulls, empty items, repeated rows and ids, and more short items than one pass takes."""
+    texts = ["the quick brown fox jumps over the lazy dog", "xthe quick brown fox jumps over the lazy dogs", "the quick brown fox", "a\n\nb  c d", "", None, "fox", "the the the the the the the the", "ünï cödé wörds hére and there", "w " * 3000 + "end"]
+    docs = [(i % 8, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0]), (3, texts[3])]
+    wanted = ["the quick brown fox jumps over the lazy dog", "quick brown fox jumps over", "brown fox", "ox jum", "a\n\nb  c", "b  c ", "", None, "the the the the the", "cödé wörds hére", "w w w w w w end", "no such words are here", "fox", "fox", " the lazy ", "  ", "lazy dogs"]
+    items = list(enumerate(wanted)) + [(0, wanted[0])]
+    expected = sorted(((d, i) for d, t in docs for i, w in items if t is not None and w is not None and w in t), key=str)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(r) for r in audit.containing(a, b, 2).collect()), key=str) == expected
+    assert audit.containing(a, b.limit(0)).count() == 0 and audit.containing(a.limit(0), b).count() == 0
