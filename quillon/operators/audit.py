@@ -115,3 +115,9 @@ def error_categories(spark) -> DataFrame:
 def error_breakdown(annotations: DataFrame) -> DataFrame:
     """(cell_name, category, n) of (cell_name, error_categories); a row counts under each of its categories."""
     return annotations.select("cell_name", F.explode("error_categories").alias("category")).groupBy("cell_name", "category").agg(F.count("*").alias("n"))
+
+
+def taxonomy_use(annotations: DataFrame) -> DataFrame:
+    """The error categories, each with the number of annotations (error_categories) that name it; 0 where none does. Names that are no category are left out."""
+    named = annotations.select(F.explode(F.array_distinct("error_categories")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return error_categories(annotations.sparkSession).join(named, "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))

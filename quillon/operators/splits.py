@@ -28,6 +28,13 @@ def conditions(dataset: str) -> list[str]:
     return CONDITIONS[dataset]
 
 
+def with_conditions(rows: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Each row once for every retrieval condition that its dataset supports, as ``condition``; a dataset that is unknown, or null, is an error."""
+    known = F.create_map(*(x for name, some in CONDITIONS.items() for x in (F.lit(name), F.array(*map(F.lit, some)))))
+    unknown = F.raise_error(F.concat(F.lit("unknown dataset "), F.coalesce(dataset, F.lit("null")))).cast("array<string>")
+    return rows.select("*", F.explode(F.coalesce(F.try_element_at(known, F.col(dataset)), unknown)).alias("condition"))
+
+
 def least(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """Exactly n rows (or all) without replacement: those with the least seeded hash; a distributed top-n."""
     return rows.orderBy(seeded(seed, F.col(key)), key).limit(n)

@@ -21,6 +21,14 @@ def cells(spark) -> DataFrame:
     return df.withColumn("cell", cell_name(F.col("model"), F.col("retrieval"), F.col("seed")))
 
 
+def cells_found(pred: DataFrame) -> DataFrame:
+    """Every cell of the grid with the number of its predictions, 0 where it was not run; runs of the base model count for its one cell, whatever their seed."""
+    seed = F.when(F.col("model") != "base", F.col("seed")).cast("int")
+    n = pred.groupBy("model", "retrieval", seed.alias("seed")).agg(F.count("*").alias("n"))
+    out = cells(pred.sparkSession).alias("c").join(n.alias("n"), _same("c", "n", ["model", "retrieval", "seed"]), "left")
+    return out.select("c.*", F.coalesce("n.n", F.lit(0)).alias("n"))
+
+
 def cell_name(model: Column, retrieval: Column, seed: Column) -> Column:
     return F.concat_ws("_", model, retrieval, F.when(seed.isNotNull(), F.concat(F.lit("seed"), seed.cast("string"))))
 
@@ -233,20 +241,31 @@ def erfc(x: Column) -> Column:
 
 
 def power(spark, effects=(3, 5, 8), n: int = 500, seeds: int = 3, simulations: int = 1000, alpha: float = 0.05, base: float = 0.6, seed: int = 42) -> DataFrame:
-    """(effect, power, mean_p, false_negative_rate): simulated paired experiments of ``n`` examples and ``seeds`` runs each, tested by the mean difference.
+    """(effect, power, mean_p, false_negative_rate): simulated paired experiments of ``n`` examples and ``seeds`` runs each, tested by the mean difference."""
+    one = spark.range(1).select(F.lit(base).alias("base"))
+    return power_from(one, "base", effects=effects, n=n, seeds=seeds, simulations=simulations, alpha=alpha, seed=seed)
+
+
+def power_from(groups: DataFrame, base: str, *by: str, effects=(3, 5, 8), n: int = 500, seeds: int = 3, simulations: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """``power`` for each of a few groups (``by``) with its own accuracy ``base`` to start from, as it was measured.
 
-    A draw is the hash of its place in the grid, so the result is the same on any cluster; the grid is one range, and only sums of an experiment are shuffled."""
-    grid = spark.range(len(effects) * simulations * n).select(F.element_at(F.array(*map(F.lit, effects)), (F.expr(f"id div {simulations * n}") + 1).cast("int")).alias("effect"), F.expr(f"(id div {n}) % {simulations}").alias("sim"), F.expr(f"id % {n}").alias("i"))
+    A draw is the hash of its place in the grid, so the result is the same on any cluster and all groups share the draws; the grid is one range, and only sums of an experiment are shuffled."""
+    grid = groups.sparkSession.range(len(effects) * simulations * n).select(F.element_at(F.array(*map(F.lit, effects)), (F.expr(f"id div {simulations * n}") + 1).cast("int")).alias("effect"), F.expr(f"(id div {n}) % {simulations}").alias("sim"), F.expr(f"id % {n}").alias("i"))
 
-    def right(arm: int, run: int, chance: Column) -> Column:
-        return (hash_number(F.concat_ws("|", F.lit(seed), "effect", "sim", "i", F.lit(run), F.lit(arm))) / 2.0**32 < chance).cast("int")
+    def draw(arm: int, run: int) -> Column:
+        return hash_number(F.concat_ws("|", F.lit(seed), "effect", "sim", "i", F.lit(run), F.lit(arm))) / 2.0**32
 
-    d = sum((right(1, r, F.lit(base) + F.col("effect") / 100) - right(0, r, F.lit(base)) for r in range(seeds)), F.lit(0)) / seeds
-    each = grid.select("effect", "sim", d.alias("d")).groupBy("effect", "sim").agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"))
+    drawn = grid.select("effect", "sim", *(draw(arm, r).alias(f"u{arm}_{r}") for arm in range(2) for r in range(seeds)))
+    few = groups.agg(F.collect_list(F.struct(*by, F.col(base).cast("double").alias("__base"))).alias("__few"))
+    rows = drawn.join(F.broadcast(few)).withColumn("__g", F.explode("__few"))  # one row
+    start = F.col("__g.__base")
+    d = sum(((F.col(f"u1_{r}") < start + F.col("effect") / 100).cast("int") - (F.col(f"u0_{r}") < start).cast("int") for r in range(seeds)), F.lit(0)) / seeds
+    keys = [F.col(f"__g.{c}").alias(c) for c in by]
+    each = rows.select(*keys, "effect", "sim", d.alias("d")).groupBy(*by, "effect", "sim").agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"))
     z = F.abs("m") / F.greatest(F.col("sd") / math.sqrt(n), F.lit(1e-12))
-    rows = each.select("effect", erfc(z / math.sqrt(2)).alias("p"))
+    tested = each.select(*by, "effect", erfc(z / math.sqrt(2)).alias("p"))
     hit = (F.col("p") < alpha).cast("int")
-    return rows.groupBy("effect").agg(F.round(F.avg(hit), 6).alias("power"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(1 - F.avg(hit), 6).alias("false_negative_rate"))
+    return tested.groupBy(*by, "effect").agg(F.round(F.avg(hit), 6).alias("power"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(1 - F.avg(hit), 6).alias("false_negative_rate"))
 
 
 def mean_std(mean: float, std: float, precision: int = 1) -> str:

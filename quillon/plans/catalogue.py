@@ -386,13 +386,13 @@ query("resume_anti", f"with {EX} select question_id, m.mode from ex, (values ('e
 
 @query(
     "mcq_options",
-    """with x as (select doc_id, string_split(text, ' ')[1:4] as w, doc_id % 6 as cop from documents)
+    """with x as (select doc_id, [lang, source, doc_id::varchar, text] as w, doc_id % 6 as cop from documents)
     select 'medmcqa_' || doc_id as id, (['A','B','C','D'])[cop + 1] as answer, list_transform(range(1, 5), lambda i: coalesce(w[i], ''))::varchar[] as texts from x where cop between 0 and 3""",
 )
 def mcq_options(spark, d):
     from quillon.sources.questions import choice_columns
 
-    w = F.split("text", " ")
+    w = F.array("lang", "source", F.col("doc_id").cast("string"), "text")
     raw = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), *(F.get(w, i).alias(c) for i, c in enumerate(("opa", "opb", "opc", "opd"))), F.expr("int(doc_id % 6)").alias("cop"), F.lit("s").alias("subject_name"))
     return choice_columns(raw).select("id", "answer", F.transform("options", lambda o: o["text"]).alias("texts"))
 
@@ -466,11 +466,14 @@ for _c in reversed(statistics.ERF_A):
 _DRAW = "('0x' || substr(md5('42|' || e || '|' || s || '|' || i || '|' || r || '|{arm}'), 1, 8))::bigint / 4294967296.0::double"
 query(
     "power_simulation",
-    f"""with g as (select e, s, i, avg(({_DRAW.format(arm=1)} < 0.6::double + e / 100.0::double)::int - ({_DRAW.format(arm=0)} < 0.6::double)::int) as d from (values (3), (5), (8)) x(e), range(0, 1000) y(s), range(0, 500) z(i), range(0, 3) w(r) group by e, s, i),
-    m as (select e, s, abs(avg(d)) / greatest(stddev_samp(d) / sqrt(500), 1e-12) / sqrt(2) as x from g group by e, s), t as (select e, x, 1 / (1 + {statistics.ERF_P}::double * x) as t from m), p as (select e, {_POLY} * exp(-x * x) as p from t)
-    select e as effect, round(avg((p < 0.05)::int), 6) as power, round(avg(p), 6) as mean_p, round(1 - avg((p < 0.05)::int), 6) as false_negative_rate from p group by e""",
-)(lambda spark, d: statistics.power(spark))
-query("cell_grid", "select model, retrieval, s.seed, model || '_' || retrieval || coalesce('_seed' || s.seed, '') as cell from (values ('base'), ('lora_a'), ('lora_a_prime'), ('lora_b')) m(model), (values ('none'), ('strong'), ('oracle')) r(retrieval), (values (42), (123), (456), (null)) s(seed) where (model = 'base') = (s.seed is null)")(lambda spark, d: statistics.cells(spark))
+    f"""with {PRED}, bs as (select retrieval, round(avg({OK}), 6) as base from pred where model = 'base' group by retrieval),
+    u as (select e, s, i, r, {_DRAW.format(arm=1)} as u1, {_DRAW.format(arm=0)} as u0 from (values (3), (5), (8)) x(e), range(0, 1000) y(s), range(0, 500) z(i), range(0, 3) w(r)),
+    g as (select retrieval, e, s, i, avg((u1 < base + e / 100.0::double)::int - (u0 < base)::int) as d from u, bs group by all),
+    m as (select retrieval, e, s, abs(avg(d)) / greatest(stddev_samp(d) / sqrt(500), 1e-12) / sqrt(2) as x from g group by all), t as (select retrieval, e, x, 1 / (1 + {statistics.ERF_P}::double * x) as t from m), p as (select retrieval, e, {_POLY} * exp(-x * x) as p from t)
+    select retrieval, e as effect, round(avg((p < 0.05)::int), 6) as power, round(avg(p), 6) as mean_p, round(1 - avg((p < 0.05)::int), 6) as false_negative_rate from p group by retrieval, e""",
+)(lambda spark, d: statistics.power_from(statistics.accuracy(predictions(spark, d).where("model = 'base'"), "retrieval"), "accuracy", "retrieval"))
+query("cell_grid", f"""with {PRED}, g as (select model, retrieval, s.seed, model || '_' || retrieval || coalesce('_seed' || s.seed, '') as cell from (values ('base'), ('lora_a'), ('lora_a_prime'), ('lora_b')) m(model), (values ('none'), ('strong'), ('oracle')) r(retrieval), (values (42), (123), (456), (null)) s(seed) where (model = 'base') = (s.seed is null)),
+    n as (select model, retrieval, case when model <> 'base' then seed end as seed, count(*) as n from pred group by all) select g.model, g.retrieval, g.seed, g.cell, coalesce(n, 0) as n from g left join n on g.model = n.model and g.retrieval = n.retrieval and g.seed is not distinct from n.seed""")(lambda spark, d: statistics.cells_found(predictions(spark, d)))
 
 
 # -- analysis ------------------------------------------------------------------------------------------------------------

@@ -141,9 +141,11 @@ def id_sources(spark, d):
     return audit.distribution(ids.select(questions.source_of_id(F.col("id")).alias("source")), "source")
 
 
-@query("retrieval_conditions", "select * from (values ('bioasq', 'none'), ('bioasq', 'strong'), ('bioasq', 'oracle'), ('pubmedqa', 'none'), ('pubmedqa', 'strong'), ('pubmedqa', 'oracle'), ('mirage', 'none'), ('mirage', 'strong')) t(dataset, condition)")
+@query("retrieval_conditions", "select dataset, condition, count(*) as n, min(doc_id) as least from (select doc_id, (['bioasq', 'pubmedqa', 'mirage'])[doc_id % 3 + 1] as dataset from documents) join (values ('bioasq', 'none'), ('bioasq', 'strong'), ('bioasq', 'oracle'), ('pubmedqa', 'none'), ('pubmedqa', 'strong'), ('pubmedqa', 'oracle'), ('mirage', 'none'), ('mirage', 'strong')) t(dataset, condition) using (dataset) group by dataset, condition")
 def retrieval_conditions(spark, d):
-    return spark.createDataFrame([(s, c) for s in splits.CONDITIONS for c in splits.conditions(s)], "dataset string, condition string")
+    """The runs of each dataset: its documents under each condition that it supports."""
+    rows = _docs(spark, d).select("doc_id", F.get(F.array(*map(F.lit, ("bioasq", "pubmedqa", "mirage"))), F.expr("int(doc_id % 3)")).alias("dataset"))
+    return splits.with_conditions(rows).groupBy("dataset", "condition").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
 
 
 # -- files ---------------------------------------------------------------------------------------------------------------
@@ -228,10 +230,10 @@ def verified_sets(spark, d):
     return spark.createDataFrame(found, "name string, hash string, size long, verified boolean")
 
 
-@query("split_manifest", "select count(*) as n, sum(doc_id)::bigint as total from documents where doc_id % 10 = 3")
+@query("split_manifest", "select count(*) as n, sum(doc_id)::bigint as total from documents")
 def split_manifest(spark, d):
     path = _place(spark)
-    some = _docs(spark, d).where("doc_id % 10 = 3").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total")).first()
+    some = _docs(spark, d).agg(F.count("*").alias("n"), F.sum("doc_id").alias("total")).first()
     files.write_manifest(spark, some.asDict(), path)
     m = files.read_manifest(spark, path)
     return spark.createDataFrame([(m["n"], m["total"])], "n long, total long")
@@ -279,7 +281,7 @@ def annotation_export(spark, d):
 
 query("annotation_progress", "select 'cell' || (doc_id % 4) as cell_name, count(*) as n, count_if(doc_id % 5 = 0)::bigint as n_correct from documents group by 1")(lambda spark, d: files.annotation_progress(annotations(spark, d)))
 query("error_breakdown", f"select 'cell' || (doc_id % 4) as cell_name, ({_NAMES})[(doc_id + k) % 7 + 1] as category, count(*) as n from documents, range(0, 3) r(k) where k <= doc_id % 3 group by 1, 2")(lambda spark, d: audit.error_breakdown(annotations(spark, d)))
-query("error_categories", "select * from (values " + ", ".join(f"('{c}', '{n}', '" + t.replace("'", "''") + f"', {len(e)})" for c, n, t, e in audit.ERRORS) + ") t(category, name, description, n_examples)")(lambda spark, d: audit.error_categories(spark).select("category", "name", "description", F.size("examples").alias("n_examples")))
+query("error_categories", f"with t as (select ({_NAMES})[(doc_id + k) % 7 + 1] as category, count(*) as n from documents, range(0, 3) r(k) where k <= doc_id % 3 group by 1) select e.*, coalesce(n, 0) as n from (values " + ", ".join(f"('{c}', '{n}', '" + t.replace("'", "''") + f"', {len(e)})" for c, n, t, e in audit.ERRORS) + ") e(category, name, description, n_examples) left join t using (category)")(lambda spark, d: audit.taxonomy_use(annotations(spark, d)).select("category", "name", "description", F.size("examples").alias("n_examples"), "n"))
 
 
 # -- splits and audits ---------------------------------------------------------------------------------------------------
@@ -634,3 +636,57 @@ def misaligned_records(spark, d):
 def intersect_texts(spark, d):
     """Whole texts that two halves of the corpus share."""
     return _docs(spark, d).where("doc_id % 2 = 0").select("text").intersect(_docs(spark, d).where("doc_id % 2 = 1").select("text"))
+
+
+# -- reports -------------------------------------------------------------------------------------------------------------
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    """The lines of a report, which is small by its design."""
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line long, text string")
+
+
+_FIGURES = ["hit_5", "recall_5", "mrr", "ndcg_5"]
+
+
+@query("retrieval_report", f"""with r as ({C.ORACLE_SQL["retrieval_eval_grouping_sets"]}), o as (select row_number() over (order by kind <> 'overall', kind, stratum) as line, concat_ws('  ', kind, stratum, n, {", ".join(f"printf('%.3f', {f})" for f in _FIGURES)}) as text from r)
+select line, text from o union all select 0, 'kind  stratum  n  {"  ".join(_FIGURES)}'""")
+def retrieval_report(spark, d):
+    return _lines(spark, evaluation.report(C.retrieval_eval_grouping_sets(spark, d).collect()))
+
+
+@query("interaction_report", f"""with i as ({C.ORACLE_SQL["interaction"]}) select 0::bigint as line, '$\\Delta = ' || printf('%.3f', mean_diff) || '$ (95\\% CI $[' || printf('%.3f', ci_lower) || ', ' || printf('%.3f', ci_upper) || ']$, ' ||
+case when p_value < 0.001 then '$p < 0.001$' when p_value < 0.01 then '$p = ' || printf('%.3f', p_value) || '$' else '$p = ' || printf('%.2f', p_value) || '$' end || ')' as text from i""")
+def interaction_report(spark, d):
+    return _lines(spark, statistics.interaction_text(*C.QUERIES["interaction"](spark, d).first()))
+
+
+@query("latex_table", f"""with m as ({C.ORACLE_SQL["main_table"]}), x(line, text) as (select 5 + row_number() over (order by model), replace(model, '_', '\\_') || {" || ".join(f"' & ' || coalesce(printf('%.3f', {r}), '--')" for r in statistics.RETRIEVALS)} || ' \\\\' from m
+  union all values (1, '\\begin{{table}}'), (2, '\\caption{{Accuracy by model and retrieval}}'), (3, '\\begin{{tabular}}{{lrrr}}'), (4, 'model & {" & ".join(statistics.RETRIEVALS)} \\\\'), (5, '\\hline'), (1000, '\\end{{tabular}}'), (1001, '\\end{{table}}'))
+select row_number() over (order by line) - 1 as line, text from x""")
+def latex_table(spark, d):
+    cells = C.main_table(spark, d)
+    return _lines(spark, analysis.latex(cells.orderBy("model").collect(), cells.columns, "Accuracy by model and retrieval"))
+
+
+@query("markdown_audit", f"""with l as ({C.ORACLE_SQL["label_distribution"]}), g as ({C.ORACLE_SQL["length_audit"]}), x(part, place, text) as (values (0, 0, '# Audit'),
+  (1, 0, ''), (1, 1, '## labels'), (1, 2, ''), (1, 3, '| quality | toxic | n |'), (1, 4, '| --- | --- | --- |'), (2, 0, ''), (2, 1, '## lengths'), (2, 2, ''), (2, 3, '| lang | n | min_words | max_words | mean_words |'), (2, 4, '| --- | --- | --- | --- | --- |')
+  union all select 1, 4 + row_number() over (order by quality nulls first, toxic nulls first), '| ' || coalesce(quality::varchar, 'None') || ' | ' || coalesce(toxic::varchar, 'None') || ' | ' || n || ' |' from l
+  union all select 2, 4 + row_number() over (order by lang nulls first), '| ' || coalesce(lang, 'None') || ' | ' || n || ' | ' || min_words || ' | ' || max_words || ' | ' || mean_words || ' |' from g)
+select row_number() over (order by part, place) - 1 as line, text from x""")
+def markdown_audit(spark, d):
+    labels = audit.distribution(table(spark, d, "labels"), "quality", "toxic")
+    return _lines(spark, audit.markdown("Audit", {"labels": labels, "lengths": C.length_audit(spark, d)}))
+
+
+@query("refilter_compat", f"with c as ({C.ORACLE_SQL['filter_cascade']}) select question_id, filter_passed, filter_failed_at, coalesce(gold_disagreement, case when question_id % 3 = 0 then 'old' end) as gold_disagreement from c")
+def refilter_compat(spark, d):
+    """Filtered again, with old verdicts on the rows: they are replaced, but for an old disagreement where the new verdict gives none."""
+    old = examples(spark, d).withColumns({"filter_passed": F.lit(True), "filter_failed_at": F.lit("format"), "filter_failure_reason": F.lit("old"), "gold_disagreement": F.expr("if(question_id % 3 = 0, 'old', null)")})
+    return quality.apply_filters(old, ascii_only=True, compat=True).select("question_id", "filter_passed", "filter_failed_at", "gold_disagreement")
+
+
+@query("time_stamps", "select count(*) as n, count(*) as well_formed, 1::bigint as moments, true as now from documents")
+def time_stamps(spark, d):
+    """The stamp of each document: ISO-8601 in UTC, the same for all rows of a query."""
+    rows = _docs(spark, d).select(audit.utc_now().alias("t"))
+    age = F.current_timestamp().cast("double") - F.to_timestamp(F.min("t")).cast("double")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("t").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{6}[+]00:00$")).alias("well_formed"), F.count_distinct("t").alias("moments"), (F.abs(age) < 60).alias("now"))

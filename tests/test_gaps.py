@@ -550,3 +550,21 @@ def test_items_in_documents(spark):
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert sorted((tuple(r) for r in audit.containing(a, b, 2).collect()), key=str) == expected
     assert audit.containing(a, b.limit(0)).count() == 0 and audit.containing(a.limit(0), b).count() == 0
+
+
+def test_conditions_of_rows(spark):
+    rows = spark.createDataFrame([(1, "bioasq"), (2, "mirage"), (2, "mirage")], "id long, dataset string")
+    assert sorted(tuple(r) for r in splits.with_conditions(rows).select("id", "condition").collect()) == [(1, "none"), (1, "oracle"), (1, "strong"), (2, "none"), (2, "none"), (2, "strong"), (2, "strong")]
+    for bad in ("other", None):
+        with pytest.raises(Exception, match="unknown dataset"):
+            splits.with_conditions(spark.createDataFrame([(1, bad)], "id long, dataset string")).collect()
+    assert splits.with_conditions(rows.limit(0)).count() == 0
+
+
+def test_taxonomy_and_grid_have_every_row(spark):
+    """Categories and cells that do not occur have 0; a category named twice in one annotation counts once; the base model's seed does not matter."""
+    notes = spark.createDataFrame([(["refusal", "refusal"],), (["refusal", "no such"],), (None,)], "error_categories array<string>")
+    assert {r["category"]: r["n"] for r in audit.taxonomy_use(notes).collect()} == {e[0]: 2 * (e[0] == "refusal") for e in audit.ERRORS}
+    pred = spark.createDataFrame([("base", "none", 42), ("base", "none", 7), ("lora_a", "oracle", 123), ("lora_a", "oracle", 9)], "model string, retrieval string, seed int")
+    found = {r["cell"]: r["n"] for r in statistics.cells_found(pred).collect()}
+    assert len(found) == 30 and {c: n for c, n in found.items() if n} == {"base_none": 2, "lora_a_oracle_seed123": 1}
