@@ -57,7 +57,7 @@ def held_words(some: Column, others: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends; ``trim`` would take blanks only."""
-    return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]++|(?<![\\s\\x1c-\\x1f])[\\s\\x1c-\\x1f]++\\z", "")  # each run of white space is read once
 
 
 def dedup_key(text: Column) -> Column:
@@ -127,12 +127,15 @@ def extract_label(text: Column) -> Column:
     """yes, no or maybe from free text: after "Answer:", after "answer is", else the last one that stands alone."""
     label = "(yes|no|maybe)"
     low = F.lower(text)
-    found = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (f"answer:\\s*{label}\\b", f"answer is:?\\s*{label}\\b", f"(?s).*\\b{label}\\b")]
+    found = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (f"answer:\\s*{label}\\b", f"answer is:?\\s*{label}\\b", f"(?s)\\A.*\\b{label}\\b")]  # anchored: a long text without a label is read once
     return F.coalesce(*found)
 
 
 def answer_of_target(target: Column) -> Column:
-    return F.nullif(F.regexp_extract(target, "(?s)Answer: (.+?)<\\|eot_id\\|>", 1), F.lit(""))
+    """What stands between the first "Answer: " and the end mark that follows; null where one of them is missing."""
+    at = F.locate("Answer: ", target) + F.lit(8)
+    end = F.call_function("locate", F.lit("<|eot_id|>"), target, at + 1)
+    return F.when((at > 8) & (end > 0), F.substring(target, at, end - at))
 
 
 # -- factoids ------------------------------------------------------------------------------------------------------------

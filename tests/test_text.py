@@ -68,3 +68,17 @@ def test_held_words(spark):
     rows = [(1, "a b a c", "a x c"), (2, "", "a"), (3, None, "a"), (4, "a a", None), (5, "z z z", "z"), (6, "A é", "é a"), (7, "b " * 60000, "a b " * 60000)]
     df = spark.createDataFrame(rows, "id int, some string, others string").select("id", T.held_words(T.words(F.col("some")), T.words(F.col("others"))).alias("n"))
     assert {r["id"]: r["n"] for r in df.collect()} == {1: 3, 2: 0, 3: 0, 4: 0, 5: 3, 6: 1, 7: 60000}
+
+
+def test_long_texts_take_linear_time(spark):
+    """Half a million characters without a label, or of white space, or of openings without an end: quadratic time would take hours."""
+    rows = [("word " * 100000,), ("a" + " " * 500000 + "b",), ("Answer: " * 60000,), (" " * 500000,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(T.extract_label(F.col("t")).alias("label"), F.length(T.strip(F.col("t"))).alias("n"), T.answer_of_target(F.col("t")).alias("answer")).collect()
+    assert [tuple(r) for r in got] == [(None, 499999, None), (None, 500002, None), (None, 479999, None), (None, 0, None)]
+
+
+def test_answer_of_target(spark):
+    rows = ["Answer: yes<|eot_id|>", "x\nAnswer: a\nb<|eot_id|>c<|eot_id|>", "Answer: <|eot_id|>", "Answer: <|eot_id|>d<|eot_id|>", "<|eot_id|>Answer: no", None, "", "Answer: 1 Answer: 2<|eot_id|>", "Answer:<|eot_id|>"]
+    plain = [None if t is None or not (m := re.search(r"(?s)Answer: (.+?)<\|eot_id\|>", t)) else m.group(1) for t in rows]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(T.answer_of_target(F.col("t"))).collect()] == plain
