@@ -1,6 +1,8 @@
 """Steps whose memory, disk or time must not grow faster than their input."""
 
-from quillon.operators import analysis, statistics
+import random
+
+from quillon.operators import analysis, retrieval, statistics
 from quillon.plans.fixtures import predictions
 from quillon.session import table
 
@@ -15,3 +17,15 @@ def test_predictions_are_not_broadcast(spark, sf):
     strata = table(spark, sf, "documents").selectExpr("doc_id as example_id", "lang as stratum", "'lang' as kind")
     assert "BroadcastHashJoin" not in _plan(analysis.stratified(predictions(spark, sf), strata, "model"))
     assert "BroadcastHashJoin" not in _plan(statistics.paired(predictions(spark, sf), ("lora_b", "oracle", 42), ("base", "oracle", 42)))
+
+
+def test_nearest_in_small_blocks(spark, monkeypatch):
+    """Products of few queries and passages at a time, with a floor between them, give the same rows, ties too."""
+    rng = random.Random(7)
+    vectors = [[rng.choice((0.0, 0.5, 1.0)) for _ in range(3)] for _ in range(200)]  # many equal scores
+    v = spark.createDataFrame(list(enumerate(vectors)), "pid long, embedding array<double>").coalesce(2)
+    q = v.where("pid < 30").withColumnRenamed("pid", "qid")
+    want = sorted((i, *t) for i in range(30) for t in [(p, r + 1, s) for r, (s, p) in enumerate(sorted(((sum(a * b for a, b in zip(vectors[i], x)), p) for p, x in enumerate(vectors) if p != i), key=lambda t: (-t[0], t[1]))[:5])])
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "PASSAGE_BLOCK", 3)  # fewer than k
+    assert sorted(tuple(r) for r in retrieval.nearest(q, v, 5, True).select("qid", "pid", "rank", "score").collect()) == want
