@@ -21,6 +21,8 @@ from quillon.session import materialise
 
 #: Centres at most, passages of a block at most (about), queries that meet a block in one task (about).
 CENTRES, ROWS, QUERIES = 1024, 8192, 2048
+#: Rows whose products with all centres are held at once, rows of a batch that a task gives.
+STEP, GIVEN = 256, 4096
 #: What rounding may add to a bound.
 SLACK = 3e-9
 
@@ -43,8 +45,9 @@ class Blocks:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
-            for b in batches:
-                if b.num_rows:
+            for batch in batches:
+                for a in range(0, batch.num_rows, STEP):
+                    b = batch.slice(a, STEP)
                     near = (_matrix(b.column(1)) @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), b.column(0), b.column(1)], names=["centre", "pid", "embedding"])
 
@@ -116,8 +119,8 @@ def nearest_pruned(queries: DataFrame, blocks: Blocks, k: int = 20, exclude_same
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names_, sizes_, c, r, norms = shared.value
             for b in batches:
-                for a in range(0, b.num_rows, 1024):
-                    part = b.slice(a, 1024)
+                for a in range(0, b.num_rows, STEP):
+                    part = b.slice(a, STEP)
                     q = _matrix(part.column(1))
                     middle = q @ c.T
                     order = np.argsort(-middle, axis=1, kind="stable")
@@ -129,7 +132,9 @@ def nearest_pruned(queries: DataFrame, blocks: Blocks, k: int = 20, exclude_same
                         bound = middle + length * r + SLACK * (1 + length * (norms + r))
                         first = ~first & (bound >= np.array(part.column(2).to_pylist(), float)[:, None])
                     i, j = np.nonzero(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(names_[j].tolist(), pa.string()), part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i))], names=["block", "qid", "embedding"])
+                    for x in range(0, len(i), GIVEN):  # a query may meet every block
+                        at = pa.array(i[x : x + GIVEN])
+                        yield pa.RecordBatch.from_arrays([pa.array(names_[j[x : x + GIVEN]].tolist(), pa.string()), part.column(0).take(at), part.column(1).take(at)], names=["block", "qid", "embedding"])
 
         return run
 

@@ -2,7 +2,7 @@
 
 import random
 
-from quillon.operators import analysis, retrieval, statistics
+from quillon.operators import analysis, pruned, retrieval, statistics
 from quillon.plans.fixtures import predictions
 from quillon.session import table
 
@@ -29,3 +29,13 @@ def test_nearest_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     monkeypatch.setattr(retrieval, "PASSAGE_BLOCK", 3)  # fewer than k
     assert sorted(tuple(r) for r in retrieval.nearest(q, v, 5, True).select("qid", "pid", "rank", "score").collect()) == want
+
+
+def test_pruned_in_small_batches(spark, monkeypatch):
+    rng = random.Random(8)
+    v = spark.createDataFrame([(i, [rng.random() for _ in range(3)]) for i in range(120)], "pid long, embedding array<double>").coalesce(2)
+    q = v.where("pid < 25").withColumnRenamed("pid", "qid")
+    monkeypatch.setattr(pruned, "STEP", 4)
+    monkeypatch.setattr(pruned, "GIVEN", 3)
+    got = pruned.nearest_pruned(q, pruned.Blocks(v, centres=9), 5, True)[0]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.nearest(q, v, 5, True).select(*got.columns).collect()))
