@@ -2,7 +2,7 @@
 
 import random
 
-from quillon.operators import analysis, pruned, retrieval, statistics
+from quillon.operators import analysis, pruned, retrieval, statistics, training
 from quillon.plans.fixtures import predictions
 from quillon.session import table
 
@@ -39,3 +39,24 @@ def test_pruned_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(pruned, "GIVEN", 3)
     got = pruned.nearest_pruned(q, pruned.Blocks(v, centres=9), 5, True)[0]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.nearest(q, v, 5, True).select(*got.columns).collect()))
+
+
+def test_model_steps_hold_few_rows(spark, monkeypatch):
+    """A worker holds no more rows than it is told to, whatever Spark's batches are, and gives the same answers."""
+    monkeypatch.setattr(training, "HELD", 12)
+    rows = spark.range(100).selectExpr("id as doc_id", "concat('p', id) as prompt", "'t' as target", "named_struct('a', id) as metadata")
+
+    def model(texts):
+        return [(f"{len(texts)} Answer: {t}", 1, 1) for t in texts]
+
+    got = training.generate_batches(rows, lambda: model, 5, workers=1).select("doc_id", "metadata.a", "generated_answer", "response").collect()
+    assert {(r[0], r[1], r[2]) for r in got} == {(i, i, f"p{i}") for i in range(100)}
+    assert sorted(r["response"][0] for r in got) == ["5"] * 100
+    seen = spark.sparkContext.accumulator(0)
+
+    def tokenizer():
+        return lambda t: (seen.add(1), [ord(c) for c in t])[1]
+
+    out = training.tokenised(rows.coalesce(1), tokenizer, 3)
+    assert [f.dataType.simpleString() for f in out.schema.fields if f.name in ("input_ids", "labels", "metadata")] == ["struct<a:bigint>", "array<int>", "array<int>"]
+    assert out.limit(1).collect()[0]["input_ids"] is not None and seen.value < 100  # the first few were enough
