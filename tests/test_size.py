@@ -1,10 +1,15 @@
 """Steps whose memory, disk or time must not grow faster than their input."""
 
+import gzip
+import json
 import random
 
+import pytest
+
 from quillon.operators import analysis, pruned, retrieval, statistics, training
-from quillon.plans.fixtures import predictions
+from quillon.plans.fixtures import examples, predictions, with_passages, with_passages_by
 from quillon.session import table
+from quillon.sources import files
 
 
 def _plan(df) -> str:
@@ -60,3 +65,20 @@ def test_model_steps_hold_few_rows(spark, monkeypatch):
     out = training.tokenised(rows.coalesce(1), tokenizer, 3)
     assert [f.dataType.simpleString() for f in out.schema.fields if f.name in ("input_ids", "labels", "metadata")] == ["struct<a:bigint>", "array<int>", "array<int>"]
     assert out.limit(1).collect()[0]["input_ids"] is not None and seen.value < 100  # the first few were enough
+
+
+@pytest.mark.parametrize("n", [1, 4, 70])
+def test_records_are_written_without_a_shuffle(spark, tmp_path, n):
+    """The same passages as by blocks of ids; and what is written is compressed, whole and in the order of the examples."""
+    d = str(tmp_path)
+    spark.createDataFrame([(3 * i if n == 70 else i, f"text {i}", "en", "s", 8) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
+    rows = examples(spark, d)
+    packed = with_passages_by(files.numbered(rows, "question_id", 8), spark, d, "file", 3)
+    want = {r["question_id"]: r["passages"] for r in with_passages(rows, spark, d).collect()}
+    assert {r["question_id"]: r["passages"] for r in packed.collect()} == want
+    records = lambda x: training.recipes(x.where("generated_reasoning is not null"))
+    files.write_expanded(packed, records, f"{d}/out", "recipe")
+    ids = []
+    for part in sorted((tmp_path / "out" / "recipe=b").glob("part-*.json.gz")):
+        ids += [json.loads(line)["example_id"] for line in gzip.open(part, "rt")]
+    assert ids == sorted(i for i in want if i % 50 != 49)
