@@ -19,8 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of a range.
-RANGE = 32 << 20
+#: Bytes of a range; tasks at most, which read the ranges one after another.
+RANGE, TASKS = 32 << 20, 256
 _QUOTE, _BACK = ord('"'), ord("\\")
 _OPEN, _CLOSE = (ord("{"), ord("[")), (ord("}"), ord("]"))
 
@@ -94,16 +94,33 @@ class ByteRange(InputPartition):
     depth: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """The ranges of a task, in their order."""
+
+    ranges: list[ByteRange]
+
+
 class JsonRangesReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.states = [tuple(map(int, s.split(","))) for s in options["states"].split(";") if s]
         self.names = options["files"].split("\n")
 
-    def partitions(self) -> list[ByteRange]:
-        return [ByteRange(self.names[n], size, begin, end, bool(in_string), bool(escaped), depth) for n, size, begin, end, in_string, escaped, depth in self.states]
+    def __getstate__(self) -> dict:
+        """What a task gets with its ranges: not the states of all the others, which grow with the file."""
+        return {"path": self.path}
+
+    def partitions(self) -> list[Ranges]:
+        every = [ByteRange(self.names[n], size, begin, end, bool(in_string), bool(escaped), depth) for n, size, begin, end, in_string, escaped, depth in self.states]
+        many = -(-len(every) // TASKS) or 1
+        return [Ranges(every[a : a + many]) for a in range(0, len(every), many)]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._read(one)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def _read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         store, _ = opened(self.path)
         with store.open_input_file(partition.file) as f:
             f.seek(partition.begin)
@@ -155,7 +172,7 @@ def range_states(spark: SparkSession, path: str, files: list[tuple[str, int]], s
                     rows.append((n, begin, state, int(c.in_string), int(c.escaped), int(c.step.sum())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=[x.split()[0] for x in SUMS.split(", ")])
 
-    asked = spark.createDataFrame(ranges, "file int, begin long").repartition(min(len(ranges), 10_000), "file", "begin")
+    asked = spark.createDataFrame(ranges, "file int, begin long").repartition(min(len(ranges), TASKS), "file", "begin")
     sums = {(r["file"], r["begin"], r["state"]): r for r in asked.mapInArrow(run, SUMS).collect()}
     out = []
     for n, (_, total) in enumerate(files):

@@ -5,11 +5,12 @@ import json
 import random
 
 import pytest
+from pyspark import cloudpickle
 
 from quillon.operators import analysis, pruned, retrieval, statistics, training
 from quillon.plans.fixtures import examples, predictions, with_passages, with_passages_by
 from quillon.session import table
-from quillon.sources import files
+from quillon.sources import files, json_ranges
 
 
 def _plan(df) -> str:
@@ -82,3 +83,12 @@ def test_records_are_written_without_a_shuffle(spark, tmp_path, n):
     for part in sorted((tmp_path / "out" / "recipe=b").glob("part-*.json.gz")):
         ids += [json.loads(line)["example_id"] for line in gzip.open(part, "rt")]
     assert ids == sorted(i for i in want if i % 50 != 49)
+
+
+def test_tasks_of_ranges_do_not_grow(tmp_path, monkeypatch):
+    """However many ranges a file has, tasks are bounded and get their own ranges only."""
+    states = ";".join(f"0,{10 * 999},{10 * i},{10 * i + 10},0,0,0" for i in range(999))
+    reader = json_ranges.JsonRangesReader({"path": str(tmp_path), "states": states, "files": "x"})
+    parts = reader.partitions()
+    assert len(parts) <= 256 and [r.begin for p in parts for r in p.ranges] == list(range(0, 9990, 10))
+    assert len(cloudpickle.dumps(reader)) < 2000 + len(str(tmp_path))
