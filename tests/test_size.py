@@ -92,3 +92,12 @@ def test_tasks_of_ranges_do_not_grow(tmp_path, monkeypatch):
     parts = reader.partitions()
     assert len(parts) <= 256 and [r.begin for p in parts for r in p.ranges] == list(range(0, 9990, 10))
     assert len(cloudpickle.dumps(reader)) < 2000 + len(str(tmp_path))
+
+
+def test_draws_are_looked_up_by_halving(spark):
+    """A draw costs the logarithm of the distinct values, in plain columns without a lambda, and takes the value that a join with the ranked rows gives."""
+    for k in (1, 2, 3, 8, 300):  # distinct values
+        rows = spark.range(700).selectExpr("if(id < 500, 'a', null) as g", f"cast(id * id % {k} as double) / 8 as v")
+        few, many = (statistics.resampled_means(rows, "v", ["g"], 20, 5, few) for few in (4096, 0))
+        assert "lambda" not in _plan(few)
+        assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() == 40
