@@ -101,3 +101,10 @@ def test_draws_are_looked_up_by_halving(spark):
         few, many = (statistics.resampled_means(rows, "v", ["g"], 20, 5, few) for few in (4096, 0))
         assert "lambda" not in _plan(few)
         assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() == 40
+
+
+def test_draws_without_groups_are_looked_up_by_halving(spark, sf):
+    pairs = statistics.paired(predictions(spark, sf), ("lora_b", "oracle", 42), ("base", "oracle", 42))
+    few, many = (statistics.resampled_means(pairs, "diff", [], 30, 42, few) for few in (4096, 0))
+    assert "lambda" not in _plan(few)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() == 30
