@@ -6,7 +6,9 @@ import random
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
+from quillon.functions import text as T
 from quillon.operators import analysis, pruned, retrieval, statistics, training
 from quillon.plans.fixtures import examples, predictions, with_passages, with_passages_by
 from quillon.session import table
@@ -108,3 +110,21 @@ def test_draws_without_groups_are_looked_up_by_halving(spark, sf):
     few, many = (statistics.resampled_means(pairs, "diff", [], 30, 42, few) for few in (4096, 0))
     assert "lambda" not in _plan(few)
     assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() == 30
+
+
+def test_held_words_of_long_texts(spark):
+    """The words asked for are sorted as plain strings, each text is split once, and repeats, odd characters and empty texts count as in plain Python."""
+    rng = random.Random(9)
+    bag = ["a", "A", "ab", "a\x01", "a\x00", "é", "é", "\U0001f600", "～", "[P1].", "zz"]
+    texts = [(i, " ".join(rng.choices(bag, k=i % 40)) or None, " ".join(rng.choices(bag[: 1 + i % 11], k=i % 7))) for i in range(200)] + [(200, "", "a"), (201, "a a", None), (202, " \t", " ")]
+    df = spark.createDataFrame(texts, "i int, some string, others string")
+    out = df.select("i", T.held_words(T.words(F.col("some")), T.words(F.col("others"))).alias("n"), statistics.lexical_overlap(F.col("some"), F.col("others")).alias("share"))
+
+    def held(a, b):
+        return sum(w in b.split() for w in a.split())
+
+    for r, (_, a, b) in zip(sorted(out.collect()), texts):
+        a, b = a or "", b or ""
+        assert r["n"] == held(a, b) and r["share"] == round(held(a.lower(), b.lower()) / max(len(a.split()), 1), 6)
+    plan = _plan(df.select(statistics.lexical_overlap(F.col("some"), F.col("others")).alias("share")))
+    assert "array_sort(" not in plan and plan.count("split(") == 2
