@@ -128,3 +128,20 @@ def test_held_words_of_long_texts(spark):
         assert r["n"] == held(a, b) and r["share"] == round(held(a.lower(), b.lower()) / max(len(a.split()), 1), 6)
     plan = _plan(df.select(statistics.lexical_overlap(F.col("some"), F.col("others")).alias("share")))
     assert "array_sort(" not in plan and plan.count("split(") == 2
+
+
+@pytest.mark.parametrize("few", [0, 2, T.FEW_WORDS])
+def test_held_words_without_a_sort(spark, few):
+    """Texts that lack or hold only a few of the other's words are compared with these and not sorted, and count the same as sorted ones; empty words go without a step a word."""
+    rng = random.Random(10)
+    bag = [f"w{k}" for k in range(60)] + ["é", "\x00", "\U0001f600"]
+    texts = []
+    for i in range(120):
+        others = rng.sample(bag, (0, 1, 5, 40, len(bag))[i % 5])
+        own = rng.choices(bag, k=i) if i % 3 else rng.choices(others, k=i) if others else []
+        texts.append((i, f" {' '.join(own)}\n\t{rng.choice(bag)} ", " ".join(others)))
+    df = spark.createDataFrame(texts, "i int, some string, others string")
+    held = df.select("i", T.held_words(T.words(F.col("some")), T.words(F.col("others")), few).alias("n"))
+    assert {r["i"]: r["n"] for r in held.collect()} == {i: sum(w in set(b.split()) for w in a.split()) for i, a, b in texts}
+    plan = _plan(held)
+    assert "filter(split(" not in plan and plan.count("split(") == 2
